@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,26 @@ def sma(x, k: int, name: str, df: DataFrame) -> DataFrame:
     return with_rolling(df, {name: (col(x), k)}).drop(f"{name}_n", f"{name}_std").withColumnRenamed(f"{name}_mean", name)
 
 
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def shared(spark, name: str, sf_dir: str, build) -> DataFrame:
+    """Build a day-grain table once per session and persist it.
+
+    Every replay, sweep and study reads the same signals; blocks lost with an
+    executor are recomputed from lineage.
+    """
+    key = (spark.sparkContext.applicationId, name, sf_dir)
+    if key not in _SHARED:
+        _SHARED[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+    return _SHARED[key]
+
+
 def signal_frame(spark, sf_dir: str, by: str = "flag") -> DataFrame:
+    return shared(spark, f"signals-{by}", sf_dir, lambda: build_signal_frame(spark, sf_dir, by))
+
+
+def build_signal_frame(spark, sf_dir: str, by: str = "flag") -> DataFrame:
     """symbol, ts, pos, close, r, gap, intra, rate, z, vz, iz, nlz, master."""
     from tidemark.operators.projections import alternating_signals, daily_state, with_previous
 
@@ -47,7 +67,7 @@ def signal_frame(spark, sf_dir: str, by: str = "flag") -> DataFrame:
     obs = market.observations(spark, sf_dir)
     b = asof(b, obs, ["series_id"], "ts", ["value"], bucket=F.trunc("ts", "month"))
     b = b.withColumn("rate", daily_rate_trading(F.coalesce("value", F.lit(0.0))))
-    cal = market.calendar(market.day_totals(spark, sf_dir, by).select("ts"))
+    cal = market.calendar(spark, sf_dir)
     sig = alternating_signals(with_previous(market.projections(spark, sf_dir)))
     state = daily_state(sig, cal.select("ts"))
     keep = ["symbol", "ts", "pos", "close", "r", "gap", "intra", "rate", "z", "vz", "iz", "nlz"]

@@ -1,4 +1,4 @@
 """All registered queries; importing a module registers its queries."""
 
-from tidemark.plans import base_queries, fold_queries  # noqa: F401
+from tidemark.plans import base_queries, fold_queries, window_queries  # noqa: F401
 from tidemark.plans.registry import COVERS, ORACLE, QUERIES  # noqa: F401

@@ -58,7 +58,7 @@ def projection_signals(spark, sf):
     B.with_(B.bars(), B.CAL, B.PROJ, B.MASTER) + "SELECT strftime(ts,'%Y-%m-%d') AS ts, CAST(master AS INT) AS master FROM mstate",
 )
 def projection_daily_state(spark, sf):
-    cal = market.calendar(market.day_totals(spark, sf))
+    cal = market.calendar(spark, sf)
     st = daily_state(alternating_signals(with_previous(market.projections(spark, sf))), cal.select("ts"))
     return st.select(day().alias("ts"), F.col("master").cast("int"))
 

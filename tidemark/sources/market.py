@@ -20,8 +20,25 @@ SYMBOL = {
 }
 
 
+# Explicit schemas: no footer inference when a query is built.
+SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+    "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, "
+    "l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def day_totals(spark: SparkSession, sf_dir: str, by: str = "flag") -> DataFrame:
@@ -99,9 +116,10 @@ def series_of_symbol(symbol="symbol") -> Column:
     return F.when(flag == "A", "P1").when(flag == "R", "P2").otherwise("P3")
 
 
-def calendar(b: DataFrame) -> DataFrame:
-    """Trading calendar with positions; bounded by the number of days."""
-    one = b.select("ts").distinct().withColumn("cal_id", F.lit("X"))
+def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trading calendar with positions; one row per day, from a one-column scan."""
+    day = trading_day(F.col("l_shipdate").cast("date"))
+    one = table(spark, sf_dir, "lineitem").select(day.alias("ts")).distinct().withColumn("cal_id", F.lit("X"))
     return one.withColumn("pos", F.row_number().over(Window.partitionBy("cal_id").orderBy("ts")))
 
 
