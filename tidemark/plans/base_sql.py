@@ -74,9 +74,9 @@ sigrow AS (SELECT md, ty, pty=ty AS same_ty, row_number() OVER (ORDER BY md) rn,
   CASE ty-y WHEN 0 THEN pce0 WHEN 1 THEN pce1 END AS pce, CASE ty-y WHEN 0 THEN rate0 WHEN 1 THEN rate1 END AS rate,
   CASE ty-py WHEN 0 THEN ppce0 WHEN 1 THEN ppce1 WHEN 2 THEN ppce2 END AS prev_pce,
   CASE ty-py WHEN 0 THEN prate0 WHEN 1 THEN prate1 WHEN 2 THEN prate2 END AS prev_rate FROM prev),
-cond AS (SELECT *, CASE WHEN rate>prev_rate AND pce>2 AND pce>prev_pce THEN 0 WHEN rate<=prev_rate AND pce IS NOT NULL AND prev_pce IS NOT NULL THEN 1 END AS ev
+pcond AS (SELECT *, CASE WHEN rate>prev_rate AND pce>2 AND pce>prev_pce THEN 0 WHEN rate<=prev_rate AND pce IS NOT NULL AND prev_pce IS NOT NULL THEN 1 END AS ev
   FROM sigrow WHERE rn>1 AND pce IS NOT NULL),
-lat AS (SELECT *, coalesce(last_value(ev IGNORE NULLS) OVER (ORDER BY md),1) AS st FROM cond),
+lat AS (SELECT *, coalesce(last_value(ev IGNORE NULLS) OVER (ORDER BY md),1) AS st FROM pcond),
 psig AS (SELECT *, CASE WHEN st<>coalesce(lag(st) OVER (ORDER BY md),1) THEN CASE st WHEN 1 THEN 'ENTER' ELSE 'EXIT' END ELSE '' END AS signal FROM lat)"""
 
 MASTER = """
