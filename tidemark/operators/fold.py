@@ -19,10 +19,10 @@ from tidemark.operators.latch import latch, latch_event, priority
 FEE = 0.0086
 FLOOR = 0.001
 RULES = {
-    "z_trigger": 1.0, "z_recover": 0.5,
+    "z_trigger": 1.2, "z_recover": 0.5,
     "vz_trigger": 1.5, "vz_recover": 0.5, "vz_lev": 2.0,
     "inf_trigger": 2.5, "inf_recover": 0.3, "inf_lev": 1.0,
-    "nl_trigger": -1.5, "nl_recover": 0.0, "nl_lev": 1.0,
+    "nl_trigger": -1.5, "nl_recover": -0.5, "nl_lev": 2.0,
     "tc_bps": 25.0,
 }
 

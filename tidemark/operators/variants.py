@@ -9,6 +9,7 @@ per variant), tasks are (series, chunk) pairs, and only moments leave a task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -19,17 +20,34 @@ from tidemark.operators.fold import FEE, FLOOR, RULES
 
 SWITCHES = {"use_credit": 1.0, "use_vol": 1.0, "use_ratio": 1.0, "use_liq": 0.0, "credit_hold": 0.0, "cr_lev": 1.0}
 DEFAULTS = {**RULES, **SWITCHES}
+# Axes of the published six-parameter sweep (17,250 valid combinations).
+PUBLISHED_GRID = {
+    "z_trigger": [0.8, 1.0, 1.2, 1.5, 1.8, 2.0],
+    "z_recover": [-0.5, 0.0, 0.2, 0.5, 0.7],
+    "vz_trigger": [0.5, 1.0, 1.5, 1.8, 2.0],
+    "vz_recover": [-0.5, 0.0, 0.3, 0.5, 0.8],
+    "inf_trigger": [1.5, 2.0, 2.5, 3.0, 3.5],
+    "inf_recover": [-0.5, 0.0, 0.3, 0.5, 1.0],
+}
 SERIES = ["r", "gap", "intra", "rate", "z", "vz", "iz", "nlz", "master"]
 
 
-def listed(spark: SparkSession, rows: list[dict]) -> DataFrame:
+class Variants(NamedTuple):
+    """Parameter table and the upper bound of its variant ids."""
+
+    table: DataFrame
+    size: int
+
+
+def listed(spark: SparkSession, rows: list[dict]) -> Variants:
     """Variants from explicit overrides; everything else keeps the defaults."""
     full = [{**DEFAULTS, **r} for r in rows]
     schema = "variant_id bigint, " + ", ".join(f"{k} double" for k in DEFAULTS)
-    return spark.createDataFrame([(i, *[float(v[k]) for k in DEFAULTS]) for i, v in enumerate(full)], schema)
+    data = [(i, *[float(v[k]) for k in DEFAULTS]) for i, v in enumerate(full)]
+    return Variants(spark.createDataFrame(data, schema), len(data))
 
 
-def grid(spark: SparkSession, axes: dict[str, list[float]]) -> DataFrame:
+def grid(spark: SparkSession, axes: dict[str, list[float]]) -> Variants:
     """Cartesian grid with a positional variant_id; each trigger must exceed its recover level."""
     df, stride, vid = spark.range(1), 1, F.lit(0).cast("bigint")
     for name, values in axes.items():
@@ -38,15 +56,11 @@ def grid(spark: SparkSession, axes: dict[str, list[float]]) -> DataFrame:
         stride *= len(values)
     df = df.select(vid.alias("variant_id"), *axes)
     df = df.withColumns({k: F.lit(float(v)) for k, v in DEFAULTS.items() if k not in axes})
-    return df.where("z_trigger > z_recover and vz_trigger > vz_recover and inf_trigger > inf_recover")
+    return Variants(df.where("z_trigger > z_recover and vz_trigger > vz_recover and inf_trigger > inf_recover"), stride)
 
 
-def replay(sig: DataFrame, variants: DataFrame, by: list[str] = ["symbol"], chunk: int = 512, period=None) -> DataFrame:  # noqa: B006
-    """One row per (series, variant, period) with n, final, cagr, mdd, both Sharpes, trades.
-
-    ``period`` is an optional integer column; rows outside any period carry NULL.
-    The whole history is reported as period -1.
-    """
+def _fan_out(sig: DataFrame, variants: Variants, by: list[str], chunk: int, period) -> DataFrame:
+    """One row per (series, variant chunk) with the day arrays and the chunk's parameters."""
     filled = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("r", "gap", "intra")}
     rate = F.when(F.col("rate").isNull(), F.raise_error(F.lit("rate must not be NULL"))).otherwise(F.col("rate"))
     nan = {c: F.coalesce(F.col(c), F.lit(float("nan"))) for c in ("z", "vz", "iz", "nlz")}
@@ -55,30 +69,56 @@ def replay(sig: DataFrame, variants: DataFrame, by: list[str] = ["symbol"], chun
     d = sig.select(*by, "ts", *[c.alias(n) for n, c in cols.items()], F.coalesce(per, F.lit(-1)).cast("double").alias("period"))
     arr = d.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ts", *SERIES, "period"))).alias("days"))
     arr = arr.select(*by, *[F.col(f"days.{c}").alias(c) for c in [*SERIES, "period"]])
-    v = variants.withColumn("chunk", F.floor(F.col("variant_id") / chunk))
+    v = variants.table.withColumn("chunk", F.floor(F.col("variant_id") / chunk))
     v = v.groupBy("chunk").agg(F.collect_list(F.struct("variant_id", *DEFAULTS)).alias("lanes"))
-    ids = v.agg(F.array_sort(F.collect_set("chunk")).alias("ids"))
-    # the chunk list is one row of a parameter table: attach it, fan out, then meet the lanes by key
-    fan = arr.withColumn("__one", F.lit(1)).join(ids.withColumn("__one", F.lit(1)), "__one").drop("__one")
-    fan = fan.withColumn("chunk", F.explode("ids")).drop("ids").join(v, "chunk")
+    n_chunks = (variants.size - 1) // chunk + 1
+    fan = arr.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)).cast("array<bigint>"))).join(v, "chunk")
     fan = fan.select(*by, "chunk", *[F.col(f"lanes.{c}").alias(f"v_{c}") for c in ["variant_id", *DEFAULTS]], *SERIES, "period")
-    fan = fan.repartition(*[F.col(c) for c in [*by, "chunk"]])
-    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sig.select(*by).schema)
-    schema = (
-        f"{keys}, variant_id bigint, period int, n int, final double, cagr double, mdd double, "
-        "sharpe1 double, sharpe0 double, trades int, in_market double"
-    )
+    return fan.repartition(*[F.col(c) for c in [*by, "chunk"]])
+
+
+def _lanes(row: dict) -> tuple[dict, dict, np.ndarray]:
+    day = {c: np.asarray(row[c], dtype=float) for c in [*SERIES, "period"]}
+    return day, {c: np.asarray(row[f"v_{c}"], dtype=float) for c in DEFAULTS}, np.asarray(row["v_variant_id"], dtype=np.int64)
+
+
+def _ddl(sig: DataFrame, by: list[str], rest: str) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sig.select(*by).schema) + ", variant_id bigint, " + rest
+
+
+def replay(sig: DataFrame, variants: Variants, by: tuple[str, ...] = ("symbol",), chunk: int = 512, period=None) -> DataFrame:
+    """One row per (series, variant, period) with n, final, cagr, mdd, both Sharpes, trades.
+
+    ``period`` is an optional integer column; rows outside any period carry NULL.
+    The whole history is reported as period -1.
+    """
+    by = list(by)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                day, params, ids = _lanes(row)
+                out, _ = _advance(day, params)
+                yield out.assign(**{b: row[b] for b in by}, variant_id=np.tile(ids, len(out) // len(ids)))
+
+    cols = "period int, n int, final double, cagr double, mdd double, sharpe1 double, sharpe0 double, trades int, in_market double"
+    return _fan_out(sig, variants, by, chunk, period).mapInPandas(run, _ddl(sig, by, cols))
+
+
+def equity_paths(sig: DataFrame, variants: Variants, by: tuple[str, ...] = ("symbol",), chunk: int = 16) -> DataFrame:
+    """Daily equity and leverage per (series, variant): ``pos`` counts days from 1."""
+    by = list(by)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.to_dict("records"):
-                out = _advance({c: np.asarray(row[c], dtype=float) for c in [*SERIES, "period"]}, {c: np.asarray(row[f"v_{c}"], dtype=float) for c in DEFAULTS})
-                out.insert(0, "variant_id", np.tile(np.asarray(row["v_variant_id"], dtype=np.int64), len(out) // len(row["v_variant_id"])))
-                for b in reversed(by):
-                    out.insert(0, b, row[b])
-                yield out
+                day, params, ids = _lanes(row)
+                _, path = _advance(day, params, keep_path=True)
+                for j, v in enumerate(ids):
+                    one = pd.DataFrame({"pos": np.arange(1, len(path) + 1), "eq": [e[j] for e, _ in path], "lev": [x[j] for _, x in path]})
+                    yield one.assign(**{b: row[b] for b in by}, variant_id=v)
 
-    return fan.mapInPandas(run, schema)
+    return _fan_out(sig, variants, by, chunk, None).mapInPandas(run, _ddl(sig, by, "pos bigint, eq double, lev double"))
 
 
 class _Moments:
@@ -106,7 +146,7 @@ class _Moments:
         return {"period": period, "n": self.n, "final": self.last / self.first, "cagr": (self.last / self.first) ** (252.0 / self.n) - 1, "mdd": self.mdd, **sh}
 
 
-def _advance(day: dict, p: dict) -> pd.DataFrame:
+def _advance(day: dict, p: dict, keep_path: bool = False) -> tuple[pd.DataFrame, list]:
     """Step all variant lanes of one series through its days."""
     k = len(p["tc_bps"])
     eq, lev, basis = np.ones(k), np.full(k, 3.0), np.ones(k)
@@ -123,7 +163,7 @@ def _advance(day: dict, p: dict) -> pd.DataFrame:
     on = {g[0]: np.zeros(k, bool) for g in guards}
     keep = p["credit_hold"] > 0
     cost_unit = p["tc_bps"] / 1e4
-    total, parts = _Moments(k), {}
+    total, parts, path = _Moments(k), {}, []
     for i in range(len(day["r"])):
         new = pend
         moved = new != lev
@@ -151,7 +191,10 @@ def _advance(day: dict, p: dict) -> pd.DataFrame:
         lev, pend = new, target
         inside += lev > 0
         total.add(eq)
+        if keep_path:
+            path.append((eq, lev))
         if day["period"][i] >= 0:
             parts.setdefault(int(day["period"][i]), _Moments(k)).add(eq)
     extra = {"trades": trades, "in_market": inside / max(total.n, 1)}
-    return pd.concat([pd.DataFrame({**m.frame(c), **extra}) for c, m in [(-1, total), *sorted(parts.items())]], ignore_index=True)
+    rows = [pd.DataFrame({**m.frame(c), **extra}) for c, m in [(-1, total), *sorted(parts.items())]]
+    return pd.concat(rows, ignore_index=True), path

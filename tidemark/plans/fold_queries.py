@@ -19,12 +19,12 @@ def latch_sql(name, x, on, off, part="symbol"):
 
 
 LAYERS = f"""
-lay0 AS (SELECT *, {latch_sql('in_credit', 'z', '>1.0', '<0.5')}, {latch_sql('in_vol', 'vz', '>1.5', '<0.5')},
-  {latch_sql('in_ratio', 'iz', '>2.5', '<0.3')}, {latch_sql('in_liq', 'nlz', '<-1.5', '>0.0')} FROM sig),
+lay0 AS (SELECT *, {latch_sql('in_credit', 'z', '>1.2', '<0.5')}, {latch_sql('in_vol', 'vz', '>1.5', '<0.5')},
+  {latch_sql('in_ratio', 'iz', '>2.5', '<0.3')}, {latch_sql('in_liq', 'nlz', '<-1.5', '>-0.5')} FROM sig),
 lay AS MATERIALIZED (SELECT *, CASE WHEN master=0 THEN 0 WHEN in_credit=1 THEN 1 WHEN in_ratio=1 THEN 2 WHEN in_vol=1 THEN 3 ELSE 5 END AS layer FROM lay0)"""
 
 
-def run_sql(src="lay", key="symbol", stay="3.0", nsl=True, split=True, vz_lev="2.0", inf_lev="1.0", cr_lev="1.0", bps="25.0", cash="rate", extra=""):
+def run_sql(src="lay", key="symbol", stay="3.0", nsl=True, split=True, vz_lev="2.0", inf_lev="1.0", cr_lev="1.0", nl_lev="2.0", bps="25.0", cash="rate", extra=""):
     """Recursive replay: one step per bar for all keys at once."""
     win = "(held AND eq>basis)" if nsl else "TRUE"
     sw = "lv<>lev" if split else "FALSE"
@@ -42,7 +42,7 @@ run(k,pos,ts,eq,lev,pend,held,basis,trades,peq,plev,rt) AS (
       CASE WHEN lv=0 THEN {cash} ELSE 0.0::DOUBLE END AS csh, abs(lv-lev)*(({bps})::DOUBLE/10000) AS cost,
       CASE layer WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN CASE WHEN {win} THEN ({cr_lev})::DOUBLE ELSE ({stay})::DOUBLE END
         WHEN 2 THEN CASE WHEN {win} THEN ({inf_lev})::DOUBLE ELSE lv END WHEN 3 THEN CASE WHEN {win} THEN ({vz_lev})::DOUBLE ELSE lv END
-        WHEN 4 THEN CASE WHEN {win} THEN 1.0::DOUBLE ELSE lv END ELSE 3.0::DOUBLE END AS target
+        WHEN 4 THEN CASE WHEN {win} THEN ({nl_lev})::DOUBLE ELSE lv END ELSE 3.0::DOUBLE END AS target
     FROM (SELECT r.k, s.pos, s.ts, r.eq, r.lev, r.held, r.basis, r.trades, CASE WHEN r.pend>=0 THEN r.pend ELSE r.lev END AS lv,
         s.layer, s.rate, coalesce(s.r,0) AS rr, coalesce(s.gap,0) AS g, coalesce(s.intra,0) AS i{extra}
       FROM run r JOIN {src} s ON s.{key}=r.k AND s.pos=r.pos+1))),

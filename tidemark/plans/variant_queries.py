@@ -27,7 +27,7 @@ def variant_sql(rows, src="sig"):
         f"{latch_sql('in_vol', '(CASE WHEN use_vol>0 THEN vz END)', '>vz_trigger', '<vz_recover', part)}, {latch_sql('in_ratio', '(CASE WHEN use_ratio>0 THEN iz END)', '>inf_trigger', '<inf_recover', part)}, "
         f"{latch_sql('in_liq', '(CASE WHEN use_liq>0 THEN nlz END)', '<nl_trigger', '>nl_recover', part)} FROM {src} sig JOIN v ON TRUE)",
         "vl AS MATERIALIZED (SELECT *, CASE WHEN master=0 THEN 0 WHEN in_credit=1 THEN 1 WHEN in_ratio=1 THEN 2 WHEN in_vol=1 THEN 3 WHEN in_liq=1 THEN 4 ELSE 5 END AS layer FROM vl0)",
-        run_sql("vl", "key", stay="CASE WHEN credit_hold>0 THEN lv ELSE 3.0 END", vz_lev="vz_lev", inf_lev="inf_lev", cr_lev="cr_lev", bps="tc_bps", extra=", s.vz_lev, s.inf_lev, s.cr_lev, s.tc_bps, s.credit_hold"),
+        run_sql("vl", "key", stay="CASE WHEN credit_hold>0 THEN lv ELSE 3.0 END", vz_lev="vz_lev", inf_lev="inf_lev", cr_lev="cr_lev", nl_lev="nl_lev", bps="tc_bps", extra=", s.vz_lev, s.inf_lev, s.cr_lev, s.nl_lev, s.tc_bps, s.credit_hold"),
         METRICS,
     ]
 
@@ -46,11 +46,6 @@ COSTS = [{"tc_bps": b} for b in (0, 25, 50, 100, 200)]
 LADDER = [{"cr_lev": a, "vz_lev": b, "inf_lev": c, "credit_hold": 1} for a in (0, 1, 2, 3) for b in (0, 1, 2, 3) for c in (0, 1, 2, 3)]
 HILL = [{"z_trigger": z} for z in (0.8, 1.0, 1.2, 1.5, 2.0)] + [{"z_recover": z} for z in (0.0, 0.2, 0.5, 0.8)] + [{"vz_trigger": z} for z in (1.0, 1.5, 2.0)] + [{"inf_trigger": z} for z in (1.5, 2.0, 2.5)]
 GRID = {"z_trigger": [0.8, 1.0, 1.5], "z_recover": [0.2, 0.5], "vz_trigger": [1.0, 1.5, 2.0], "vz_recover": [0.0, 0.5], "inf_trigger": [1.5, 2.5], "vz_lev": [1.0, 2.0]}
-# Axes of the published sweep: 18,750 combinations before the trigger > recover rule.
-FULL_GRID = {
-    "z_trigger": [0.5, 0.75, 1.0, 1.25, 1.5], "z_recover": [-0.2, 0.0, 0.2, 0.35, 0.5], "vz_trigger": [0.5, 1.0, 1.5, 2.0, 2.5],
-    "vz_recover": [-0.5, 0.0, 0.25, 0.5, 1.0], "inf_trigger": [1.0, 1.5, 2.0, 2.5, 3.0], "inf_recover": [-0.2, 0.0, 0.3, 0.5, 0.8, 1.0],
-}
 
 
 @query("I6 E2 layer ablation over all eight subsets", sweep_sql(ABLATION))
@@ -71,11 +66,11 @@ def leverage_ladder(spark, sf):
 @query(
     "I2 I8 one-at-a-time hill, plateau count and sensitivity range",
     recursive(*B.signal_frame(), *variant_sql(HILL)) + f"""SELECT split_part(k,'#',1) AS symbol, count(CASE WHEN sharpe>=base-0.10 THEN 1 END) AS plateau, round(max(sharpe)-min(sharpe),5) AS spread, max(sharpe)-min(sharpe)<0.10 AS stable
-    FROM met JOIN (SELECT split_part(k,'#',1) AS sy, sharpe AS base FROM met WHERE split_part(k,'#',2)='1') b ON b.sy=split_part(k,'#',1) GROUP BY 1""",
+    FROM met JOIN (SELECT split_part(k,'#',1) AS sy, sharpe AS base FROM met WHERE split_part(k,'#',2)='2') b ON b.sy=split_part(k,'#',1) GROUP BY 1""",
 )
 def parameter_hill(spark, sf):
     m = V.replay(signal_frame(spark, sf), V.listed(spark, HILL)).where("period = -1")
-    m = m.withColumn("base", F.max(F.when(F.col("variant_id") == 1, F.col("sharpe1"))).over(Window.partitionBy("symbol")))
+    m = m.withColumn("base", F.max(F.when(F.col("variant_id") == 2, F.col("sharpe1"))).over(Window.partitionBy("symbol")))
     spread = F.max("sharpe1") - F.min("sharpe1")
     return m.groupBy("symbol").agg(F.count_if(F.col("sharpe1") >= F.col("base") - 0.10).alias("plateau"), F.round(spread, 5).alias("spread"), (spread < 0.10).alias("stable"))
 
@@ -97,7 +92,7 @@ def grid_rows(axes):
 )
 def grid_marginals(spark, sf):
     g = V.grid(spark, GRID)
-    m = V.replay(signal_frame(spark, sf), g).where("period = -1").join(g, "variant_id")
+    m = V.replay(signal_frame(spark, sf), g).where("period = -1").join(g.table, "variant_id")
     u = m.unpivot(["symbol", "sharpe1"], ["z_trigger", "vz_trigger", "vz_lev"], "param", "val")
     s = F.col("sharpe1")
     return u.groupBy("param", "val").agg(
@@ -109,7 +104,7 @@ def grid_marginals(spark, sf):
 def parameter_grid(spark, sf):
     """The whole grid: summary per symbol and period of all valid variants."""
     per = F.when(F.year("ts") <= 1997, 0).when(F.year("ts") <= 1999, 1).otherwise(2)
-    m = V.replay(signal_frame(spark, sf), V.grid(spark, FULL_GRID), chunk=1024, period=per)
+    m = V.replay(signal_frame(spark, sf), V.grid(spark, V.PUBLISHED_GRID), chunk=1024, period=per)
     a = m.groupBy("symbol", "period").agg(
         F.count(F.lit(1)).alias("variants"), F.percentile("sharpe0", F.array(*[F.lit(q) for q in (0.1, 0.25, 0.5, 0.75, 0.9)])).alias("q"),
         F.max_by("variant_id", F.struct("sharpe0", -F.col("variant_id"))).alias("best"), F.count_if((F.col("sharpe0") > 0.5) & (F.col("mdd") > -0.6)).alias("passed"),
@@ -126,7 +121,7 @@ def parameter_grid(spark, sf):
 )
 def grid_neighbours(spark, sf):
     g = V.grid(spark, GRID)
-    m = V.replay(signal_frame(spark, sf), g).where("period = -1").join(g, "variant_id").withColumn("sh", F.round("sharpe1", 8))
+    m = V.replay(signal_frame(spark, sf), g).where("period = -1").join(g.table, "variant_id").withColumn("sh", F.round("sharpe1", 8))
     best = m.groupBy("symbol").agg(F.max_by(F.struct(*GRID, "sh"), F.struct("sh", -F.col("variant_id"))).alias("b"))
     diff = sum(((F.col(a) != F.col(f"b.{a}")).cast("int") for a in GRID), F.lit(0))
     gap = F.col("b.sh") - F.col("sh")
