@@ -50,17 +50,16 @@ def block_moments(df: DataFrame, by: list[str], blocks: list[int], values: dict[
     d = df.select(*by, order, *[v.alias(k) for k, v in values.items()])
     d = d.withColumns({f"__c_{k}": F.sum(k).over(run) for k in values})
     d = d.withColumn("start", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    out = None
-    for b in blocks:
-        ahead = {k: F.lead(f"__c_{k}", b - 1).over(w) - F.col(f"__c_{k}") + F.col(k) for k in values}
-        x = d.withColumns({f"f_{k}": e for k, e in ahead.items()}).where(F.col("start") <= F.col("n") - b)
-        x = x.select(*by, F.lit(b).alias("b"), "start", "n", *[f"f_{k}" for k in values])
-        out = x if out is None else out.unionByName(x)
-    base = d.select(*by, "start", *[(F.col(f"__c_{k}") - F.col(k)).alias(f"__b_{k}") for k in values])
-    tail = base.select(*by, F.col("start").alias("__end"), *[F.col(f"__b_{k}").alias(f"__e_{k}") for k in values])
-    out = out.join(base, [*by, "start"]).withColumn("__end", F.col("start") + F.col("n") % F.col("b"))
-    out = out.join(tail, [*by, "__end"], "left")
-    return out.select(*by, "b", "start", "n", *[f"f_{k}" for k in values], *[F.coalesce(F.col(f"__e_{k}") - F.col(f"__b_{k}"), F.lit(0.0)).alias(f"t_{k}") for k in values])
+    before = {k: F.col(f"__c_{k}") - F.col(k) for k in values}
+    sums = lambda b: [(F.lead(f"__c_{k}", b - 1).over(w) - before[k]).alias(f"f_{k}") for k in values]
+    d = d.withColumns({f"__blk_{b}": F.struct(F.lit(b).alias("b"), *sums(b)) for b in blocks})
+    d = d.withColumns({f"__p_{k}": e for k, e in before.items()})
+    x = d.withColumn("__m", F.explode(F.array(*[f"__blk_{b}" for b in blocks])))
+    x = x.select(*by, "start", "n", *[f"__p_{k}" for k in values], "__m.*").where(F.col("start") <= F.col("n") - F.col("b"))
+    end = d.select(*by, F.col("start").alias("__end"), *[F.col(f"__p_{k}").alias(f"__e_{k}") for k in values])
+    x = x.withColumn("__end", F.col("start") + F.col("n") % F.col("b")).join(end, [*by, "__end"], "left")
+    tails = [F.coalesce(F.col(f"__e_{k}") - F.col(f"__p_{k}"), F.lit(0.0)).alias(f"t_{k}") for k in values]
+    return x.select(*by, "b", "start", "n", *[f"f_{k}" for k in values], *tails)
 
 
 def block_bootstrap(df: DataFrame, by: list[str], blocks: list[int], values: dict[str, Column], reps: int, seed: int = 42, order: str = "pos") -> DataFrame:

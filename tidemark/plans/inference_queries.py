@@ -10,7 +10,7 @@ from tidemark.operators import inference as N
 from tidemark.operators import variants as V
 from tidemark.operators import windows as W
 from tidemark.operators.episodes import cooled_episodes
-from tidemark.operators.signals import signal_frame
+from tidemark.operators.signals import shared, signal_frame
 from tidemark.plans import base_sql as B
 from tidemark.plans.base_queries import day
 from tidemark.plans.fold_queries import recursive
@@ -41,6 +41,10 @@ BOOT_BLOCKS = [21, 63, 126]
 
 def wide_returns(spark, sf):
     """Daily equity returns of the full rule set and of each reduced one, side by side."""
+    return shared(spark, "ablation-returns", sf, lambda: build_wide_returns(spark, sf))
+
+
+def build_wide_returns(spark, sf):
     p = V.equity_paths(signal_frame(spark, sf), V.listed(spark, LAYER_SETS))
     e = p.withColumn("er", F.col("eq") / F.lag("eq").over(Window.partitionBy("symbol", "variant_id").orderBy("pos")) - 1)
     e = e.where("er is not null")
