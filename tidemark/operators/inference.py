@@ -8,6 +8,7 @@ moments come from prefix sums, and each replicate only adds up looked-up blocks.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidemark.functions.expr import TRADING_DAYS
+from tidemark.session import spread
 
 
 def with_draw(df: DataFrame, name: str, keys: list, n) -> DataFrame:
@@ -35,46 +37,53 @@ def with_draw(df: DataFrame, name: str, keys: list, n) -> DataFrame:
 def replicates(keys: DataFrame, by: list[str], reps: int, slices: int = 64) -> DataFrame:
     """(key, rep) rows spread over the cluster before anything per-draw happens."""
     r = keys.withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    r = r.repartition(*[F.col(c) for c in by], "__s")
+    r = spread(r, *by, "__s")
     reps_of_slice = F.sequence(F.col("__s"), F.lit(reps - 1), F.lit(slices))
     return r.where(F.col("__s") < reps).withColumn("rep", F.explode(reps_of_slice)).drop("__s")
 
 
-def block_moments(df: DataFrame, by: list[str], blocks: list[int], values: dict[str, Column], order: str = "pos") -> DataFrame:
-    """Sums of each value over every block start: full blocks and the truncated last block.
+def _draws(seed: int, reps: np.ndarray, k: np.ndarray, n: int) -> np.ndarray:
+    """Same numbers as ``with_draw`` with keys (seed, rep, k), for a reps-by-k matrix."""
+    p, h = np.int64(2147483647), np.int64(0)
+    for i, key in enumerate((np.int64(seed), reps[:, None].astype(np.int64), k[None, :].astype(np.int64))):
+        x = (h + key * 1000003 + 7919 * (i + 1)) % p
+        y = (x * x) % p
+        h = (((y * y) % p) * x) % p
+    return h % n
 
-    ``n`` rows give starts 0..n-b; the tail block has n mod b rows.
+
+def block_bootstrap(
+    df: DataFrame, by: list[str], blocks: list[int], values: dict[str, Column], reps: int, seed: int = 42, order: str = "pos", slices: int = 16
+) -> DataFrame:
+    """Moving-block bootstrap: per (key, b, rep) the resampled sum of every value.
+
+    n // b + 1 overlapping blocks are drawn with replacement and the last one is
+    cut to n mod b rows; all values share the picks. A series (one row per day)
+    travels once per slice of replicates; a replicate is a handful of look-ups in
+    prefix sums, so neither draws nor resampled rows are ever shuffled.
     """
-    w = Window.partitionBy(*by).orderBy(order)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = df.select(*by, order, *[v.alias(k) for k, v in values.items()])
-    d = d.withColumns({f"__c_{k}": F.sum(k).over(run) for k in values})
-    d = d.withColumn("start", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
-    before = {k: F.col(f"__c_{k}") - F.col(k) for k in values}
-    sums = lambda b: [(F.lead(f"__c_{k}", b - 1).over(w) - before[k]).alias(f"f_{k}") for k in values]
-    d = d.withColumns({f"__blk_{b}": F.struct(F.lit(b).alias("b"), *sums(b)) for b in blocks})
-    d = d.withColumns({f"__p_{k}": e for k, e in before.items()})
-    x = d.withColumn("__m", F.explode(F.array(*[f"__blk_{b}" for b in blocks])))
-    x = x.select(*by, "start", "n", *[f"__p_{k}" for k in values], "__m.*").where(F.col("start") <= F.col("n") - F.col("b"))
-    end = d.select(*by, F.col("start").alias("__end"), *[F.col(f"__p_{k}").alias(f"__e_{k}") for k in values])
-    x = x.withColumn("__end", F.col("start") + F.col("n") % F.col("b")).join(end, [*by, "__end"], "left")
-    tails = [F.coalesce(F.col(f"__e_{k}") - F.col(f"__p_{k}"), F.lit(0.0)).alias(f"t_{k}") for k in values]
-    return x.select(*by, "b", "start", "n", *[f"f_{k}" for k in values], *tails)
-
-
-def block_bootstrap(df: DataFrame, by: list[str], blocks: list[int], values: dict[str, Column], reps: int, seed: int = 42, order: str = "pos") -> DataFrame:
-    """Per (key, b, rep): resampled sums of every value; all values share the same picks."""
-    m = block_moments(df, by, blocks, values, order)
-    size = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    keys = size.withColumn("b", F.explode(F.array(*[F.lit(b) for b in blocks]))).where("n >= b")
-    r = replicates(keys, [*by, "b"], reps)
-    r = r.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / F.col("b")))))
-    r = with_draw(r, "start", [seed, "rep", "k"], F.col("n") - F.col("b") + 1)
-    r = r.withColumn("last", F.col("k") == F.floor(F.col("n") / F.col("b"))).drop("n")
-    j = r.join(m, [*by, "b", "start"])
-    return j.groupBy(*by, "b", "rep").agg(
-        F.first("n").alias("n"), *[F.sum(F.when(F.col("last"), F.col(f"t_{k}")).otherwise(F.col(f"f_{k}"))).alias(k) for k in values]
-    )
+    d = df.select(*by, order, *[v.cast("double").alias(k) for k, v in values.items()])
+    arr = d.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, *values))).alias("rows"))
+    arr = arr.select(*by, *[F.col(f"rows.{k}").alias(k) for k in values])
+    arr = arr.withColumn("b", F.explode(F.array(*[F.lit(b) for b in blocks]))).where(F.size(next(iter(values))) >= F.col("b"))
+    arr = spread(arr.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))), *by, "b", "slice")
+    names = list(values)
+
+    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                x = np.column_stack([np.asarray(row[k], dtype=float) for k in names])
+                n, b = len(x), row["b"]
+                prefix = np.vstack([np.zeros(x.shape[1]), np.cumsum(x, axis=0)])
+                rep = np.arange(row["slice"], reps, slices)
+                length = np.full(n // b + 1, b)
+                length[-1] = n % b
+                start = _draws(seed, rep, np.arange(len(length)), n - b + 1)
+                total = (prefix[start + length] - prefix[start]).sum(axis=1)
+                yield pd.DataFrame(total, columns=names).assign(**{c: row[c] for c in by}, b=b, rep=rep, n=n)
+
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema)
+    return arr.mapInPandas(resample, f"{keys}, b int, rep int, n int, " + ", ".join(f"{k} double" for k in names))
 
 
 def sharpe_from_sums(s: str, q: str, n: str = "n") -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.fold import FEE, FLOOR, RULES
+from tidemark.session import spread
 
 SWITCHES = {"use_credit": 1.0, "use_vol": 1.0, "use_ratio": 1.0, "use_liq": 0.0, "credit_hold": 0.0, "cr_lev": 1.0}
 DEFAULTS = {**RULES, **SWITCHES}
@@ -74,7 +75,7 @@ def _fan_out(sig: DataFrame, variants: Variants, by: list[str], chunk: int, peri
     n_chunks = (variants.size - 1) // chunk + 1
     fan = arr.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)).cast("array<bigint>"))).join(v, "chunk")
     fan = fan.select(*by, "chunk", *[F.col(f"lanes.{c}").alias(f"v_{c}") for c in ["variant_id", *DEFAULTS]], *SERIES, "period")
-    return fan.repartition(*[F.col(c) for c in [*by, "chunk"]])
+    return spread(fan, *by, "chunk")
 
 
 def _lanes(row: dict) -> tuple[dict, dict, np.ndarray]:
@@ -86,7 +87,7 @@ def _ddl(sig: DataFrame, by: list[str], rest: str) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sig.select(*by).schema) + ", variant_id bigint, " + rest
 
 
-def replay(sig: DataFrame, variants: Variants, by: tuple[str, ...] = ("symbol",), chunk: int = 512, period=None) -> DataFrame:
+def replay(sig: DataFrame, variants: Variants, by: tuple[str, ...] = ("symbol",), chunk: int = 2048, period=None) -> DataFrame:
     """One row per (series, variant, period) with n, final, cagr, mdd, both Sharpes, trades.
 
     ``period`` is an optional integer column; rows outside any period carry NULL.
@@ -126,16 +127,17 @@ class _Moments:
 
     def __init__(self, lanes: int):
         self.n, self.first, self.last, self.peak = 0, None, None, None
-        self.s, self.q, self.mdd = np.zeros(lanes), np.zeros(lanes), np.zeros(lanes)
+        self.s, self.q, self.mdd = np.zeros(lanes), np.zeros(lanes), np.ones(lanes)
 
-    def add(self, eq):
+    def add(self, eq, r, rr):
+        """``r`` is the day's return and ``rr`` its square; the first day of a slice has none."""
         if self.n == 0:
             self.first = self.peak = eq
         else:
-            r = eq / self.last - 1
-            self.s, self.q = self.s + r, self.q + r * r
+            self.s += r
+            self.q += rr
             self.peak = np.maximum(self.peak, eq)
-            self.mdd = np.minimum(self.mdd, eq / self.peak - 1)
+            np.minimum(self.mdd, eq / self.peak, out=self.mdd)
         self.last, self.n = eq, self.n + 1
 
     def frame(self, period: int) -> dict:
@@ -143,14 +145,14 @@ class _Moments:
         mean, ss = self.s / m, np.maximum(self.q - self.s * self.s / m, 0.0)
         with np.errstate(divide="ignore", invalid="ignore"):
             sh = {f"sharpe{d}": np.where(ss > 0, mean / np.sqrt(ss / max(m - d, 1)) * np.sqrt(252.0), 0.0) for d in (1, 0)}
-        return {"period": period, "n": self.n, "final": self.last / self.first, "cagr": (self.last / self.first) ** (252.0 / self.n) - 1, "mdd": self.mdd, **sh}
+        return {"period": period, "n": self.n, "final": self.last / self.first, "cagr": (self.last / self.first) ** (252.0 / self.n) - 1, "mdd": self.mdd - 1, **sh}
 
 
 def _advance(day: dict, p: dict, keep_path: bool = False) -> tuple[pd.DataFrame, list]:
     """Step all variant lanes of one series through its days."""
     k = len(p["tc_bps"])
     eq, lev, basis = np.ones(k), np.full(k, 3.0), np.ones(k)
-    pend = lev
+    pend, ret, sq = lev, 0.0, 0.0
     held = np.zeros(k, bool)
     trades, inside = np.zeros(k, int), np.zeros(k)
     guards = [  # (series, latch mask per lane, on-compare, off-compare, leverage once on)
@@ -187,14 +189,17 @@ def _advance(day: dict, p: dict, keep_path: bool = False) -> tuple[pd.DataFrame,
             r, g, a, f = day["r"][i], day["gap"][i], day["intra"][i], day["rate"][i]
             gross = np.where(moved, (1 + lev * g) * (1 + new * a) - 1, new * r)
             drag = np.where(new > 1, (new - 1) * f + FEE / 252 * np.minimum(new / 3, 1.0), 0.0)
+            before = eq
             eq = np.maximum(eq * (1 + gross - drag + np.where(new == 0, f, 0.0) - np.abs(new - lev) * cost_unit), FLOOR)
+            ret = eq / before - 1
+            sq = ret * ret
         lev, pend = new, target
         inside += lev > 0
-        total.add(eq)
+        total.add(eq, ret, sq)
         if keep_path:
             path.append((eq, lev))
         if day["period"][i] >= 0:
-            parts.setdefault(int(day["period"][i]), _Moments(k)).add(eq)
+            parts.setdefault(int(day["period"][i]), _Moments(k)).add(eq, ret, sq)
     extra = {"trades": trades, "in_market": inside / max(total.n, 1)}
     rows = [pd.DataFrame({**m.frame(c), **extra}) for c, m in [(-1, total), *sorted(parts.items())]]
     return pd.concat(rows, ignore_index=True), path

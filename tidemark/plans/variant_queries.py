@@ -104,7 +104,7 @@ def grid_marginals(spark, sf):
 def parameter_grid(spark, sf):
     """The whole grid: summary per symbol and period of all valid variants."""
     per = F.when(F.year("ts") <= 1997, 0).when(F.year("ts") <= 1999, 1).otherwise(2)
-    m = V.replay(signal_frame(spark, sf), V.grid(spark, V.PUBLISHED_GRID), chunk=1024, period=per)
+    m = V.replay(signal_frame(spark, sf), V.grid(spark, V.PUBLISHED_GRID), period=per)
     a = m.groupBy("symbol", "period").agg(
         F.count(F.lit(1)).alias("variants"), F.percentile("sharpe0", F.array(*[F.lit(q) for q in (0.1, 0.25, 0.5, 0.75, 0.9)])).alias("q"),
         F.max_by("variant_id", F.struct("sharpe0", -F.col("variant_id"))).alias("best"), F.count_if((F.col("sharpe0") > 0.5) & (F.col("mdd") > -0.6)).alias("passed"),

@@ -37,3 +37,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *cols) -> DataFrame:
+    """Repartition small rows that carry heavy work.
+
+    A fixed partition count keeps AQE from merging them by size: the bytes are
+    few, the computation per row is not.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *cols)
