@@ -22,8 +22,8 @@ def bars(by: str = "flag", name: str = "bars") -> str:
     sum(l_quantity) AS qty,
     CAST(sum(CAST(round(l_discount*100) AS BIGINT)) AS BIGINT) AS d, CAST(sum(CAST(round(l_tax*100) AS BIGINT)) AS BIGINT) AS t
   FROM lineitem GROUP BY 1,2),
-{p}_m AS (SELECT *, round(avg(pc) OVER (PARTITION BY symbol),6) mu, round(avg(po) OVER (PARTITION BY symbol),6) muo, round(stddev_samp(pc) OVER (PARTITION BY symbol),6) sd FROM {p}_d),
-{p}_g AS (SELECT *, round(0.004::DOUBLE*(po-muo)/sd,8) g, round(0.006::DOUBLE*(pc-mu)/sd,8) i FROM {p}_m),
+{p}_m AS (SELECT *, round(avg(pc) OVER (PARTITION BY symbol),6) mu, round(avg(po) OVER (PARTITION BY symbol),6) muo, round(stddev_samp(pc) OVER (PARTITION BY symbol),6) sd, round(stddev_samp(po) OVER (PARTITION BY symbol),6) sdo FROM {p}_d),
+{p}_g AS (SELECT *, coalesce(round(0.004::DOUBLE*(po-muo)/nullif(sdo,0),8),0) g, coalesce(round(0.006::DOUBLE*(pc-mu)/nullif(sd,0),8),0) i FROM {p}_m),
 {p}_c AS (SELECT *, round(100.0::DOUBLE*exp(CAST(sum(CAST(round(ln((1+g)*(1+i)),10) AS DECIMAL(18,10))) OVER (PARTITION BY symbol ORDER BY ts) AS DOUBLE)),6) AS close FROM {p}_g),
 {p} AS MATERIALIZED (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS pos, round(close/(1+i),6) AS open, close,
   round(close*(1-0.001::DOUBLE*(d/(100.0::DOUBLE*n))),6) AS adj_close, n, qty, d/(100.0::DOUBLE*n) AS disc, t/(100.0::DOUBLE*n) AS tax FROM {p}_c)"""

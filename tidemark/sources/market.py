@@ -75,8 +75,10 @@ def bars(spark: SparkSession, sf_dir: str, by: str = "flag") -> DataFrame:
     whole = Window.partitionBy("symbol")
     run = whole.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumns({f"mu_{p}": F.round(F.avg(f"px_{p}").over(whole), 6) for p in ("open", "close")})
-    d = d.withColumn("sd", F.round(F.stddev_samp("px_close").over(whole), 6))
-    scaled = lambda p, k: F.round(F.lit(k) * (F.col(f"px_{p}") - F.col(f"mu_{p}")) / F.col("sd"), 8)
+    d = d.withColumns({f"sd_{p}": F.round(F.stddev_samp(f"px_{p}").over(whole), 6) for p in ("open", "close")})
+    # a series with one bar or one price has no spread: it stays flat
+    spread = lambda p: F.nullif(F.col(f"sd_{p}"), F.lit(0.0))
+    scaled = lambda p, k: F.coalesce(F.round(F.lit(k) * (F.col(f"px_{p}") - F.col(f"mu_{p}")) / spread(p), 8), F.lit(0.0))
     d = d.withColumn("g", scaled("open", 0.004)).withColumn("i", scaled("close", 0.006))
     step = F.round(F.log((1 + F.col("g")) * (1 + F.col("i"))), 10).cast("decimal(18,10)")
     d = d.withColumn("close", F.round(F.lit(100.0) * F.exp(F.sum(step).over(run).cast("double")), 6))
