@@ -94,6 +94,14 @@ def post_block_outcomes(spark, sf):
     )
 
 
+def meetings_of_symbols(spark, sf, s):
+    """(symbol, meeting_date): quarters spanned by each symbol, met with the meetings by key."""
+    meetings = market.projections(spark, sf).select("meeting_date")
+    q = s.groupBy("symbol").agg(F.trunc(F.min("ts"), "quarter").alias("a"), F.max("ts").alias("b"))
+    q = q.select("symbol", F.explode(F.expr("sequence(a, b, interval 3 month)")).alias("q"))
+    return q.select("symbol", F.date_add(F.add_months("q", 2), 14).alias("meeting_date")).join(meetings, "meeting_date", "left_semi")
+
+
 EVD = B.with_(*B.signal_frame()).rstrip() + """, nd AS (SELECT md, symbol, arg_min(pos, abs(ts-md)*10+CASE WHEN ts>=md THEN 0 ELSE 1 END) AS pos FROM proj JOIN sig ON ts BETWEEN md-7 AND md+7 GROUP BY 1,2)"""
 
 
@@ -105,11 +113,7 @@ def meeting_day_effect(spark, sf):
     s = signal_frame(spark, sf)
     w = W.over()
     x = s.select("symbol", "ts", (F.lead("close", 1).over(w) / F.col("close") - 1).alias("d1"), (F.lead("close", 5).over(w) / F.col("close") - 1).alias("d5"), (F.lead("z", 5).over(w) - F.col("z")).alias("dz5"))
-    syms = s.select("symbol").distinct()
-    ev = market.projections(spark, sf).select(F.col("meeting_date").alias("ts"))
-    # meetings are a handful per year: one row per (symbol, meeting) through the symbol list as an array
-    names = syms.agg(F.sort_array(F.collect_set("symbol")).alias("s")).select(F.explode("s").alias("symbol"), F.lit(1).alias("one"))
-    e = ev.withColumn("one", F.lit(1)).join(names, "one").drop("one")
+    e = meetings_of_symbols(spark, sf, s).withColumnRenamed("meeting_date", "ts")
     n = A.nearest(e, x.withColumn("hit", F.struct("d1", "d5", "dz5")), ["symbol"], "ts", ["hit"], "obs_ts").where("abs(datediff(obs_ts, ts)) <= 7")
     return n.select("symbol", day().alias("meeting_date"), r6("hit.d1", "d1"), r6("hit.d5", "d5"), r6("hit.dz5", "dz5"))
 
@@ -120,9 +124,8 @@ def meeting_day_effect(spark, sf):
 )
 def event_snapshots(spark, sf):
     s = signal_frame(spark, sf)
-    dates = market.projections(spark, sf).select(F.explode(F.array(F.struct(F.col("meeting_date").alias("ts"), F.lit(0).alias("back"), "meeting_date"), F.struct(F.date_sub("meeting_date", 60).alias("ts"), F.lit(60).alias("back"), "meeting_date"))).alias("e")).select("e.*")
-    names = s.agg(F.collect_set("symbol").alias("s")).select(F.explode("s").alias("symbol"), F.lit(1).alias("one"))
-    e = dates.withColumn("one", F.lit(1)).join(names, "one").drop("one")
+    both = F.array(*[F.struct(F.date_sub("meeting_date", b).alias("ts"), F.lit(b).alias("back")) for b in (0, 60)])
+    e = meetings_of_symbols(spark, sf, s).select("symbol", "meeting_date", F.explode(both).alias("e")).select("symbol", "meeting_date", "e.*")
     x = A.asof(e, s.select("symbol", "ts", "z", "vz"), ["symbol"], "ts", ["z", "vz"])
     at = lambda c, b, n: F.max(F.when(F.col("back") == b, F.col(c))).alias(n)
     return x.groupBy("symbol", day("meeting_date").alias("meeting_date")).agg(at("z", 0, "z0"), at("vz", 0, "v0"), at("z", 60, "z60"), at("vz", 60, "v60"))
