@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.expr import TRADING_DAYS
 from tidemark.operators.latch import latch, latch_event, priority
+from tidemark.session import spread
 
 # Fixed values of the published v2 rule set: they must be equal for equal results.
 FEE = 0.0086
@@ -83,7 +84,7 @@ def leverage_fold(
         *[c.alias(f"p_{k}") for k, c in p.items()],
     )
     pcols = [f"p_{k}" for k in p]
-    arr = prepared.groupBy(*by, *pcols).agg(
+    arr = spread(prepared, *by).groupBy(*by, *pcols).agg(
         F.array_sort(F.collect_list(F.struct("ts", "r", "gap", "intra", "rate", "layer"))).alias("days")
     )
     P = {k: F.col(f"p_{k}") for k in p}

@@ -158,7 +158,7 @@ def nested_thresholds(spark, sf):
     v = s.withColumn("v", F.explode(params)).select("symbol", "ts", "r", "p", "v.*")
     by = ("symbol", "vid")
     sw = M.hold_machine(v, F.col("p") > F.col("en"), F.col("p") < F.col("ex"), F.col("mh"), by=by)
-    sr = M.in_out_returns(M.with_state(v, sw, by=by), "state", by=by)
+    sr = shared(spark, "nested-variant-returns", sf, lambda: M.in_out_returns(M.with_state(v, sw, by=by), "state", by=by).select("symbol", "vid", "ts", "sr"))
     yearly = sr.groupBy("symbol", "vid", F.year("ts").alias("yr")).agg(F.round(S.sharpe("sr", population=True), 8).alias("sh"))
     pick = yearly.groupBy("symbol", (F.col("yr") + 1).alias("yr")).agg(F.max_by("vid", F.struct("sh", -F.col("vid"))).alias("vid"))
     chosen = s.withColumn("yr", F.year("ts")).join(pick, ["symbol", "yr"]).withColumn("v", F.element_at(params, F.col("vid") + 1)).select("symbol", "ts", "r", "p", "v.*")
