@@ -168,3 +168,56 @@ def leverage_fold(
         F.when(F.col("s.pend") >= 0, F.col("s.pend")).alias("pending"),
         F.col("s.log").alias("log"),
     )
+
+
+def instrument_fold(df: DataFrame, by: list[str], instruments: dict[int, dict[str, Column]], p=None) -> DataFrame:
+    """Replay on real instruments instead of scaled returns.
+
+    ``instruments[leverage]`` gives the columns ``r``, ``gap``, ``intra`` of the
+    instrument held at that leverage. Switch days chain the old one's gap with the
+    new one's intraday move and pay the cost multiplicatively; cash earns the rate
+    on ordinary days; the cost basis is never blended.
+    """
+    p = {**RULES, **(p or {})}
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    names = [f"{part}{k}" for k in instruments for part in ("r", "gap", "intra")]
+    cols = [zero(instruments[k][part]).alias(f"{part}{k}") for k in instruments for part in ("r", "gap", "intra")]
+    d = df.select(*by, "ts", "rate", F.col("layer").cast("int").alias("layer"), *cols)
+    arr = spread(d, *by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ts", "rate", "layer", *names))).alias("days"))
+
+    def held_at(x, part, lev, cash):
+        out = F.when(lev == 0, cash)
+        for k in instruments:
+            out = out.when(lev == k, x[f"{part}{k}"])
+        return out.otherwise(0.0)
+
+    init = F.struct(
+        F.lit(1.0).alias("eq"), F.lit(3.0).alias("lev"), F.lit(-1.0).alias("pend"), F.lit(False).alias("held"),
+        F.lit(1.0).alias("basis"), F.lit(0).alias("n"), F.lit(1.0).alias("peak"), F.lit(0.0).alias("mdd"),
+    )
+
+    def step(s, x):
+        return let(F.when(s["pend"] >= 0, s["pend"]).otherwise(s["lev"]), lambda lev: settle(s, x, lev))
+
+    def settle(s, x, lev):
+        win = s["held"] & (s["eq"] > s["basis"])
+        layer = lambda k, on, off: F.when(x["layer"] == k, F.when(win, F.lit(float(on))).otherwise(off))
+        target = F.coalesce(
+            F.when(x["layer"] == 0, 0.0), layer(1, 1.0, F.lit(3.0)), layer(2, p["inf_lev"], lev), layer(3, p["vz_lev"], lev), layer(4, p["nl_lev"], lev), F.lit(3.0)
+        )
+        cost = F.abs(lev - s["lev"]) * (p["tc_bps"] / 10000)
+        chained = (1 + held_at(x, "gap", s["lev"], F.lit(0.0))) * (1 + held_at(x, "intra", lev, F.lit(0.0))) * (1 - cost)
+        growth = F.when(lev != s["lev"], chained).otherwise(1 + held_at(x, "r", lev, x["rate"]))
+        eq = F.when(s["n"] > 0, F.greatest(s["eq"] * growth, F.lit(FLOOR))).otherwise(s["eq"])
+        return let(
+            F.struct(eq.alias("eq"), target.alias("t")),
+            lambda v: F.struct(
+                v["eq"].alias("eq"), lev.alias("lev"), F.when(v["t"] != lev, v["t"]).otherwise(-1.0).alias("pend"), (lev > 0).alias("held"),
+                F.when((lev > 0) & ~s["held"], s["eq"]).otherwise(s["basis"]).alias("basis"), (s["n"] + 1).alias("n"),
+                F.greatest(s["peak"], v["eq"]).alias("peak"), F.least(s["mdd"], v["eq"] / F.greatest(s["peak"], v["eq"]) - 1).alias("mdd"),
+            ),
+        )
+
+    out = arr.select(*by, F.aggregate("days", init, step).alias("s"))
+    cagr = F.pow(F.col("s.eq"), TRADING_DAYS / F.col("s.n")) - 1
+    return out.select(*by, F.col("s.n").alias("n"), F.col("s.eq").alias("final"), cagr.alias("cagr"), F.col("s.mdd").alias("mdd"))

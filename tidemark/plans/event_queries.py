@@ -283,7 +283,7 @@ RULES = [("z", 1.0), ("z", 1.5), ("vz", 1.0), ("vz", 1.5), ("iz", 1.0), ("iz", 2
 
 
 @query(
-    "V15 O4 exit-rule library scored by hits, delay and false exits against drawdown starts",
+    "V15 O4 X3 exit-rule library scored by hits, delay and false exits against drawdown starts",
     SIGX + DDE + ", rl(rule,level) AS (VALUES " + ",".join(f"('{c}',{t}::DOUBLE)" for c, t in RULES) + """), rs AS (SELECT rule, level, symbol, pos, CASE rule WHEN 'z' THEN z WHEN 'vz' THEN vz ELSE iz END>level AS f FROM sig JOIN rl ON TRUE),
     rx AS (SELECT * FROM (SELECT rule, level, symbol, pos, coalesce(f,FALSE) AS f, coalesce(lag(f) OVER (PARTITION BY rule,level,symbol ORDER BY pos),FALSE) AS g FROM rs) WHERE f AND NOT g), be AS (SELECT de.symbol, s.pos FROM de JOIN sig s ON s.symbol=de.symbol AND s.ts=de.start_ts),
     h AS (SELECT rl.rule, rl.level, be.symbol, be.pos, min(abs(rx.pos-be.pos)) AS d FROM be JOIN rl ON TRUE LEFT JOIN rx ON rx.rule=rl.rule AND rx.level=rl.level AND rx.symbol=be.symbol AND rx.pos BETWEEN be.pos-30 AND be.pos+30 GROUP BY 1,2,3,4),

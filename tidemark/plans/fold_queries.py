@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators.fold import leverage_fold, with_layers
+from tidemark.operators import machines as M
+from tidemark.operators.asof import asof, latest_per_key
+from tidemark.operators.fold import instrument_fold, leverage_fold, with_layers
+from tidemark.operators.latch import latch
+from tidemark.operators.linear import ols
+from tidemark.operators.metrics import path_metrics
+from tidemark.operators.projections import alternating_signals, with_previous
 from tidemark.operators.signals import signal_frame
 from tidemark.plans import base_sql as B
-from tidemark.plans.base_queries import day
 from tidemark.plans.registry import query
+from tidemark.sources import market
 
 
 def latch_sql(name, x, on, off, part="symbol"):
@@ -70,3 +76,44 @@ def rounded(df, *keys):
 @query("E1 L1 L3 K1 K2 K3 K7 production leverage replay", recursive(*B.signal_frame(), LAYERS, run_sql(), METRICS) + f"SELECT k AS symbol, {ROUNDED} FROM met")
 def leverage_backtest(spark, sf):
     return rounded(leverage_fold(with_layers(signal_frame(spark, sf), ["symbol"]), ["symbol"]), "symbol")
+
+
+REAL = """
+ri(k,pos,eq,lev,pend,held,basis) AS (SELECT symbol, CAST(0 AS BIGINT), 1.0::DOUBLE, 3.0::DOUBLE, -1.0::DOUBLE, FALSE, 1.0::DOUBLE FROM lay WHERE pos=1 UNION ALL
+ SELECT k, pos, CASE WHEN pos>1 THEN greatest(eq*CASE WHEN lv<>lev THEN (1+lev*g)*(1+lv*i)*(1-abs(lv-lev)*0.0025::DOUBLE) WHEN lv=0 THEN 1+rate ELSE 1+(lv*rr-0.00002::DOUBLE*lv*(lv-1)) END,0.001::DOUBLE) ELSE eq END, lv, CASE WHEN tg<>lv THEN tg ELSE -1.0::DOUBLE END, lv>0, CASE WHEN lv>0 AND NOT held THEN eq ELSE basis END
+ FROM (SELECT *, CASE layer WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN CASE WHEN held AND eq>basis THEN 1.0::DOUBLE ELSE 3.0::DOUBLE END WHEN 2 THEN CASE WHEN held AND eq>basis THEN 1.0::DOUBLE ELSE lv END WHEN 3 THEN CASE WHEN held AND eq>basis THEN 2.0::DOUBLE ELSE lv END ELSE 3.0::DOUBLE END AS tg
+  FROM (SELECT r.k, s.pos, r.eq, r.lev, r.held, r.basis, CASE WHEN r.pend>=0 THEN r.pend ELSE r.lev END AS lv, s.layer, s.rate, coalesce(s.r,0) AS rr, coalesce(s.gap,0) AS g, coalesce(s.intra,0) AS i FROM ri r JOIN lay s ON s.symbol=r.k AND s.pos=r.pos+1))),
+rd AS (SELECT *, eq/max(eq) OVER (PARTITION BY k ORDER BY pos)-1 AS dd FROM ri WHERE pos>0)"""
+
+
+@query("E3 replay on separate 3x, 2x and 1x instruments", recursive(*B.signal_frame(), LAYERS, REAL) + "SELECT k AS symbol, CAST(count(*) AS INT) AS n, round(arg_max(eq,pos),5) AS final, round(pow(arg_max(eq,pos),252.0::DOUBLE/count(*))-1,5) AS cagr, round(min(dd),5) AS mdd FROM rd GROUP BY 1")
+def instrument_replay(spark, sf):
+    inst = {k: {"r": k * F.col("r") - 0.00002 * k * (k - 1), "gap": k * F.col("gap"), "intra": k * F.col("intra")} for k in (3, 2, 1)}
+    m = instrument_fold(with_layers(signal_frame(spark, sf), ["symbol"]), ["symbol"], inst)
+    return m.select("symbol", "n", *[F.round(c, 5).alias(c) for c in ("final", "cagr", "mdd")])
+
+
+@query(
+    "E16 E13 fire-once events met by equality on the day after, cash yield while out",
+    B.with_(*B.signal_frame()).rstrip() + """, ev AS (SELECT ts, arg_max(signal,md) AS signal FROM (SELECT (SELECT min(ts) FROM cal WHERE ts>=md+1) AS ts, md, signal FROM psig WHERE signal<>'') WHERE ts IS NOT NULL GROUP BY 1),
+    st AS (SELECT s.*, coalesce(last_value(CASE signal WHEN 'ENTER' THEN 1 WHEN 'EXIT' THEN 0 END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY s.ts),1) AS st FROM sig s LEFT JOIN ev ON ev.ts=s.ts), rr AS (SELECT symbol, ts, CASE WHEN coalesce(lag(st) OVER (PARTITION BY symbol ORDER BY ts),1)=1 THEN coalesce(r,0) ELSE rate END AS sr FROM st), e AS (SELECT *, product(1+sr) OVER (PARTITION BY symbol ORDER BY ts) AS eq FROM rr), d AS (SELECT *, eq/max(eq) OVER (PARTITION BY symbol ORDER BY ts)-1 AS dd FROM e)
+    SELECT symbol, count(*) AS n, round(arg_max(eq,ts),5) AS final, round(min(dd),6) AS mdd, round(avg(sr)/stddev_pop(sr)*sqrt(252),5) AS sharpe FROM d GROUP BY 1""",
+)
+def event_driven_strategy(spark, sf):
+    s = signal_frame(spark, sf)
+    cal = market.calendar(spark, sf).select("cal_id", "ts").withColumn("use_on", F.col("ts"))
+    ev = alternating_signals(with_previous(market.projections(spark, sf))).where("signal <> ''")
+    ev = ev.select(F.lit("X").alias("cal_id"), F.date_add("meeting_date", 1).alias("ts"), "meeting_date", "state")
+    ev = asof(ev, cal, ["cal_id"], "ts", ["use_on"], "forward").where("use_on is not null").select(F.col("use_on").alias("ts"), "meeting_date", "state")
+    s = s.join(latest_per_key(ev, ["ts"], "meeting_date", ["state"]), "ts", "left").withColumn("st", latch(F.col("state"), initial=1))
+    m = path_metrics(M.in_out_returns(s, "st", cash=F.col("rate")))
+    return m.select("symbol", "n", F.round("final", 5).alias("final"), F.round("mdd", 6).alias("mdd"), F.round("sharpe", 5).alias("sharpe"))
+
+
+@query(
+    "P17 A10 regression with one calendar block excluded from training",
+    B.with_(*B.signal_frame()) + "SELECT symbol, count(*) AS n_obs, round(regr_slope(r,gap),6) AS beta, round(regr_intercept(r,gap),8) AS intercept FROM sig WHERE r IS NOT NULL AND gap IS NOT NULL AND NOT (ts BETWEEN DATE '1998-01-01' AND DATE '1998-12-31') GROUP BY 1",
+)
+def regression_without_block(spark, sf):
+    m = ols(signal_frame(spark, sf).where("not ts between date'1998-01-01' and date'1998-12-31'"), ["symbol"], ["gap"], "r")
+    return m.select("symbol", "n_obs", F.round("beta_gap", 6).alias("beta"), F.round("intercept", 8).alias("intercept"))

@@ -233,7 +233,7 @@ def distribution_tests(spark, sf):
 
 
 @query("I16 I17 I18 I19 p-values of the tests")
-def test_p_values(spark, sf):
+def two_sample_p_values(spark, sf):
     s = signal_frame(spark, sf)
     t = N.two_sample(s, ["symbol"], "r", group())
     x = t.join(N.levene(s, ["symbol"], "r", group()), "symbol").join(N.kolmogorov_smirnov(s, ["symbol"], "r", group()).select("symbol", "ks"), "symbol")

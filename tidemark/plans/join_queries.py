@@ -219,7 +219,7 @@ PSQL = " pr(period,a,b) AS (VALUES " + ",".join(f"('{n}', DATE '{a}', DATE '{b}'
 
 
 @query(
-    "J22 J24 I7 V6 overlapping named periods",
+    "J22 J24 I7 V6 S14 overlapping named periods",
     SIGX + PSQL + " SELECT symbol, period, count(r) AS n, round(avg(r)/stddev_samp(r)*sqrt(252),5) AS sharpe, round(product(1+r)-1,6) AS ret FROM sig JOIN pr ON ts BETWEEN a AND b WHERE r IS NOT NULL GROUP BY 1,2",
 )
 def period_metrics(spark, sf):

@@ -147,7 +147,7 @@ def in_out_strategy(spark, sf):
 
 
 @query(
-    "E13 trade list with reasons; last trade may still be open",
+    "E13 P20 trade list with reasons; last trade may still be open",
     RSIGX + cond_sql("z>1.0", "z<0") + HOLD.format(hold=1) + """, sw AS (SELECT *, lag(state,1,1) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM hs), ch AS (SELECT symbol, ts, close, state FROM sw WHERE state<>p),
     pr AS (SELECT *, lead(ts) OVER w AS ets, lead(close) OVER w AS ec FROM ch WINDOW w AS (PARTITION BY symbol ORDER BY ts)), lastc AS (SELECT symbol, max(ts) AS lts, arg_max(close,ts) AS lc FROM sig GROUP BY 1)
     SELECT symbol, strftime(ts,'%Y-%m-%d') AS exit_ts, strftime(coalesce(ets,lts),'%Y-%m-%d') AS entry_ts, round(coalesce(ec,lc)/close-1,6) AS ret, ets IS NULL AS still_out FROM pr JOIN lastc USING (symbol) WHERE state=0 AND date_diff('day',ts,coalesce(ets,lts))>5""",
