@@ -18,6 +18,12 @@ def nan_to_null(c) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def nz(c) -> Column:
+    """Denominator guard: zero becomes NULL, so the quotient is missing instead of an error."""
+    c = col(c)
+    return F.when(c != 0, c)
+
+
 def parse_number(c, missing: str = ".") -> Column:
     """Text to DOUBLE; the sentinel and unparsable text become NULL."""
     return nan_to_null(F.nullif(F.trim(col(c)), F.lit(missing)).try_cast("double"))

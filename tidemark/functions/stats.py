@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.expr import TRADING_DAYS, col
+from tidemark.functions.expr import TRADING_DAYS, col, nz
 
 
 def skew_corrected(x) -> Column:
     n = F.count(x).cast("double")
-    return F.when(n > 2, F.sqrt(n * (n - 1)) / (n - 2) * F.skewness(x))
+    return F.sqrt(n * (n - 1)) / nz(n - 2) * F.skewness(x)
 
 
 def kurtosis_corrected(x) -> Column:
     n = F.count(x).cast("double")
-    return F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6))
+    return F.when(n > 3, (n - 1) / nz((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(x) + 6))
 
 
 def compounded(r) -> Column:

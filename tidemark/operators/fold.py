@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.expr import TRADING_DAYS
+from tidemark.functions.expr import TRADING_DAYS, nz
 from tidemark.operators.latch import latch, latch_event, priority
 from tidemark.session import spread
 
@@ -154,8 +154,8 @@ def leverage_fold(
         )
 
     out = arr.select(*by, F.aggregate("days", init, step).alias("s"))
-    m = F.col("s.n") - 1
-    sd = F.sqrt(F.greatest((F.col("s.srr") - F.col("s.sr") * F.col("s.sr") / m) / (m - 1), F.lit(0.0)))
+    m = nz(F.col("s.n") - 1)
+    sd = F.sqrt(F.greatest((F.col("s.srr") - F.col("s.sr") * F.col("s.sr") / m) / nz(m - 1), F.lit(0.0)))
     return out.select(
         *by,
         F.col("s.n").alias("n"),

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from tidemark.functions.expr import TRADING_DAYS
+from tidemark.functions.expr import TRADING_DAYS, nz
 from tidemark.session import spread
 
 
@@ -99,15 +99,15 @@ def two_sample(df: DataFrame, by: list[str], x: str, group: Column) -> DataFrame
     a = g.groupBy(*by).agg(
         *[e.alias(f"{n}{v}") for v in (0, 1) for n, e in (("n", F.count(side(v))), ("m", F.avg(side(v))), ("v", F.var_samp(side(v))))]
     )
-    n0, n1, m0, m1, v0, v1 = (F.col(c) for c in ("n0", "n1", "m0", "m1", "v0", "v1"))
-    pooled = ((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2)
+    n0, n1, m0, m1, v0, v1 = (nz(c) if c[0] == "n" else F.col(c) for c in ("n0", "n1", "m0", "m1", "v0", "v1"))
+    pooled = ((n0 - 1) * v0 + (n1 - 1) * v1) / nz(n0 + n1 - 2)
     se = v0 / n0 + v1 / n1
     return a.select(
         *by, "n0", "n1",
-        ((m1 - m0) / F.sqrt(pooled * (1 / n0 + 1 / n1))).alias("t"), (n0 + n1 - 2).cast("double").alias("df"),
-        ((m1 - m0) / F.sqrt(se)).alias("welch_t"),
-        (se * se / ((v0 / n0) * (v0 / n0) / (n0 - 1) + (v1 / n1) * (v1 / n1) / (n1 - 1))).alias("welch_df"),
-        (v1 / v0).alias("f_ratio"),
+        ((m1 - m0) / nz(F.sqrt(pooled * (1 / n0 + 1 / n1)))).alias("t"), (n0 + n1 - 2).cast("double").alias("df"),
+        ((m1 - m0) / nz(F.sqrt(se))).alias("welch_t"),
+        (se * se / nz((v0 / n0) * (v0 / n0) / nz(n0 - 1) + (v1 / n1) * (v1 / n1) / nz(n1 - 1))).alias("welch_df"),
+        (v1 / nz(v0)).alias("f_ratio"),
     )
 
 
@@ -119,7 +119,7 @@ def levene(df: DataFrame, by: list[str], x: str, group: Column) -> DataFrame:
     per = d.groupBy(*by, "__g").agg(F.count(F.lit(1)).alias("k"), F.avg("__d").alias("mu"), F.var_pop("__d").alias("vp"))
     a = per.groupBy(*by).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("mu")).alias("s"), F.sum(F.col("k") * F.col("mu") * F.col("mu")).alias("q"), F.sum(F.col("k") * F.col("vp")).alias("within"))
     between = F.col("q") - F.col("s") * F.col("s") / F.col("n")
-    return a.select(*by, "n", ((F.col("n") - 2) * between / F.col("within")).alias("levene"))
+    return a.select(*by, "n", ((F.col("n") - 2) * between / nz("within")).alias("levene"))
 
 
 def kolmogorov_smirnov(df: DataFrame, by: list[str], x: str, group: Column) -> DataFrame:
@@ -128,7 +128,7 @@ def kolmogorov_smirnov(df: DataFrame, by: list[str], x: str, group: Column) -> D
     v = g.groupBy(*by, x).agg(F.count_if(F.col("__g") == 0).alias("a"), F.count_if(F.col("__g") == 1).alias("b"))
     part = Window.partitionBy(*by)
     run = part.orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    v = v.withColumn("d", F.abs(F.sum("a").over(run) / F.sum("a").over(part) - F.sum("b").over(run) / F.sum("b").over(part)))
+    v = v.withColumn("d", F.abs(F.sum("a").over(run) / nz(F.sum("a").over(part)) - F.sum("b").over(run) / nz(F.sum("b").over(part))))
     return v.groupBy(*by).agg(F.max("d").alias("ks"), F.sum("a").alias("n0"), F.sum("b").alias("n1"))
 
 
@@ -146,8 +146,8 @@ def mann_whitney(df: DataFrame, by: list[str], x: str, group: Column) -> DataFra
     n, n1 = F.col("n"), F.col("n1")
     n0 = n - n1
     u = F.col("r1") - n1 * (n1 + 1) / 2
-    sd = F.sqrt(n0 * n1 / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
-    return a.select(*by, u.alias("u"), ((u - n0 * n1 / 2) / sd).alias("score"))
+    sd = F.sqrt(n0 * n1 / 12 * (n + 1 - F.col("ties") / nz(n * (n - 1))))
+    return a.select(*by, u.alias("u"), ((u - n0 * n1 / 2) / nz(sd)).alias("score"))
 
 
 def break_scan(df: DataFrame, by: list[str], x: str, edge: int, order: str = "pos") -> DataFrame:
@@ -157,10 +157,10 @@ def break_scan(df: DataFrame, by: list[str], x: str, edge: int, order: str = "po
     d = df.where(F.col(x).isNotNull()).withColumn("__c", F.col(x) - F.avg(x).over(part))
     d = d.withColumns({"k": F.count(F.lit(1)).over(run), "s": F.sum("__c").over(run), "q": F.sum(F.col("__c") * F.col("__c")).over(run)})
     d = d.withColumns({"n": F.count(F.lit(1)).over(part), "s_all": F.sum("__c").over(part), "q_all": F.sum(F.col("__c") * F.col("__c")).over(part)})
-    n0, n1 = F.col("k").cast("double"), (F.col("n") - F.col("k")).cast("double")
+    n0, n1 = F.col("k").cast("double"), nz((F.col("n") - F.col("k")).cast("double"))
     s0, s1, q0, q1 = F.col("s"), F.col("s_all") - F.col("s"), F.col("q"), F.col("q_all") - F.col("q")
-    pooled = (q0 - s0 * s0 / n0 + q1 - s1 * s1 / n1) / (n0 + n1 - 2)
-    t = (s1 / n1 - s0 / n0) / F.sqrt(pooled * (1 / n0 + 1 / n1))
+    pooled = (q0 - s0 * s0 / n0 + q1 - s1 * s1 / n1) / nz(n0 + n1 - 2)
+    t = (s1 / n1 - s0 / n0) / nz(F.sqrt(pooled * (1 / n0 + 1 / n1)))
     return d.where((F.col("k") >= edge) & (F.col("n") - F.col("k") >= edge)).withColumn("t", t).drop("__c", "s", "q", "s_all", "q_all")
 
 

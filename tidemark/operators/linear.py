@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from tidemark.functions.expr import nz
 from tidemark.operators.windows import over, upto
 
 
@@ -41,14 +42,14 @@ def _moments(xs: list[str], y: str) -> dict[str, Column]:
 
 def _betas(df: DataFrame, xs: list[str], keep: list[str]) -> DataFrame:
     k = len(xs)
-    n = F.col("__n")
+    n = nz("__n")
     cv = lambda i, j: F.col(f"__s{min(i, j)}_{max(i, j)}") / n - F.col(f"__s{i}") / n * F.col(f"__s{j}") / n
     df = df.withColumn("__beta", solve(F.array(*[cv(i, j) for i in range(k) for j in range(k)]), F.array(*[cv(i, k) for i in range(k)])))
     explained = sum((F.col("__beta")[i] * cv(i, k) for i in range(k)), F.lit(0.0))
     icpt = F.col(f"__s{k}") / n - sum((F.col("__beta")[i] * F.col(f"__s{i}") / n for i in range(k)), F.lit(0.0))
     return df.select(
         *keep,
-        n.alias("n_obs"),
+        F.col("__n").alias("n_obs"),
         icpt.alias("intercept"),
         *[F.col("__beta")[i].alias(f"beta_{x}") for i, x in enumerate(xs)],
         (explained / F.nullif(cv(k, k), F.lit(0.0))).alias("r2"),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats as S
+from tidemark.functions.expr import nz
 from tidemark.operators.linear import _betas, _moments
 from tidemark.operators.windows import upto
 
@@ -63,7 +64,7 @@ def gaussian_bayes(df: DataFrame, xs: list[str], label: str, train: Column, by=(
         t = F.log(F.col(f"__n{v}").cast("double"))
         for x in xs:
             m, var = F.col(f"__m_{x}{v}"), F.col(f"__v_{x}{v}")
-            t = t - F.log(var) / 2 - (F.col(x) - m) * (F.col(x) - m) / (2 * var)
+            t = t - F.log(nz(var)) / 2 - (F.col(x) - m) * (F.col(x) - m) / nz(2 * var)
         return t
 
     return d.withColumn("log_odds", loglik(1) - loglik(0)).select(*df.columns, "log_odds")
@@ -79,13 +80,13 @@ def discriminant(df: DataFrame, x1: str, x2: str, label: str, train: Column, poo
         agg += [F.var_pop(side(v, x1)).alias(f"__p{v}"), F.var_pop(side(v, x2)).alias(f"__q{v}"), F.covar_pop(side(v, x1), side(v, x2)).alias(f"__c{v}")]
     d = df.join(df.groupBy(*by).agg(*agg), by)
     n = F.col("__n0") + F.col("__n1")
-    share = lambda s, v: (F.col("__n0") * F.col(f"__{s}0") + F.col("__n1") * F.col(f"__{s}1")) / n if pooled else F.col(f"__{s}{v}")
+    share = lambda s, v: (F.col("__n0") * F.col(f"__{s}0") + F.col("__n1") * F.col(f"__{s}1")) / nz(n) if pooled else F.col(f"__{s}{v}")
 
     def score(v):
         p, q, c = (share(s, v) for s in "pqc")
         det = p * q - c * c
         u, w = F.col(x1) - F.col(f"__a{v}"), F.col(x2) - F.col(f"__b{v}")
-        return F.log(F.col(f"__n{v}")) - F.log(det) / 2 - (q * u * u - 2 * c * u * w + p * w * w) / (2 * det)
+        return F.log(F.col(f"__n{v}")) - F.log(nz(det)) / 2 - (q * u * u - 2 * c * u * w + p * w * w) / nz(2 * det)
 
     return d.withColumn("log_odds", score(1) - score(0)).select(*df.columns, "log_odds")
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.expr import col
+from tidemark.functions.expr import col, nz
 
 BY, ORDER = ("symbol",), ("ts",)
 
@@ -101,7 +101,7 @@ def with_rolling_pair(df: DataFrame, x, y, k: int, by=BY, order=ORDER) -> DataFr
     df = df.withColumns({f"__{a}s": F.coalesce(e.over(run), F.lit(0)) for a, e in m.items()})
     df = df.withColumns({f"__{a}w": F.col(f"__{a}s") - F.coalesce(F.lag(f"__{a}s", k).over(w), F.lit(0)) for a in m})
     c, sx, sy, xx, yy, xy = (F.col(f"__{a}w") for a in m)
-    cov, vx, vy = xy - sx * sy / c, xx - sx * sx / c, yy - sy * sy / c
+    cov, vx, vy = xy - sx * sy / nz(c), xx - sx * sx / nz(c), yy - sy * sy / nz(c)
     full = (c == k) & (vx > 0) & (vy > 0)
     return df.select(
         *keep,
