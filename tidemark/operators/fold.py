@@ -28,9 +28,19 @@ RULES = {
 }
 
 
-def ordered(df: DataFrame, by: list[str], fields: list[str], order: str = "ts", name: str = "days") -> DataFrame:
-    """One row per key with its rows as an array sorted by ``order``."""
-    return df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias(name))
+MAX_DAYS = 100_000
+
+
+def day_arrays(df: DataFrame, by: list[str], fields: list[str]) -> DataFrame:
+    """One row per key with its days as an array sorted by ``ts``.
+
+    The array is bounded by the calendar because a series has one row per day; a
+    key with more rows than any calendar has days is an input error, not a load
+    to be carried.
+    """
+    out = spread(df, *by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ts", *fields))).alias("days"))
+    too_long = F.raise_error(F.lit(f"a series must hold one row per day; more than {MAX_DAYS} found"))
+    return out.withColumn("days", F.when(F.size("days") > MAX_DAYS, too_long).otherwise(F.col("days")))
 
 
 def let(value: Column, body) -> Column:
@@ -83,11 +93,7 @@ def leverage_fold(
         F.col("layer").cast("int").alias("layer"),
         *[c.alias(f"p_{k}") for k, c in p.items()],
     )
-    pcols = [f"p_{k}" for k in p]
-    arr = spread(prepared, *by).groupBy(*by, *pcols).agg(
-        F.array_sort(F.collect_list(F.struct("ts", "r", "gap", "intra", "rate", "layer"))).alias("days")
-    )
-    P = {k: F.col(f"p_{k}") for k in p}
+    arr = day_arrays(prepared, by, ["r", "gap", "intra", "rate", "layer", *[f"p_{k}" for k in p]])
     d0 = F.lit(0.0)
     trade_type = "array<struct<signal_date:date,exec_date:date,from_lev:double,to_lev:double,equity:double,layer:int>>"
     init = F.struct(
@@ -103,6 +109,7 @@ def leverage_fold(
 
     def settle(s, x, lev):
         changed = lev != s["lev"]
+        P = {k: x[f"p_{k}"] for k in p}
         win = (s["held"] & (s["eq"] > s["basis"])) if never_sell_in_loss else F.lit(True)
         stay = F.lit(3.0) if credit_unprofitable == "three" else lev
         target = (
@@ -183,7 +190,7 @@ def instrument_fold(df: DataFrame, by: list[str], instruments: dict[int, dict[st
     names = [f"{part}{k}" for k in instruments for part in ("r", "gap", "intra")]
     cols = [zero(instruments[k][part]).alias(f"{part}{k}") for k in instruments for part in ("r", "gap", "intra")]
     d = df.select(*by, "ts", "rate", F.col("layer").cast("int").alias("layer"), *cols)
-    arr = spread(d, *by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ts", "rate", "layer", *names))).alias("days"))
+    arr = day_arrays(d, by, ["rate", "layer", *names])
 
     def held_at(x, part, lev, cash):
         out = F.when(lev == 0, cash)

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.fold import day_arrays
 from tidemark.operators.windows import over, upto
-from tidemark.session import spread
 
 LOG = "array<struct<ts:date,state:int,reason:string>>"
 
@@ -19,7 +19,7 @@ LOG = "array<struct<ts:date,state:int,reason:string>>"
 def _fold(df: DataFrame, by, fields: dict[str, Column], init: dict[str, Column], step) -> DataFrame:
     """Run ``step(state, day) -> dict`` over each ordered series; returns the switch log."""
     d = df.select(*by, "ts", *[c.alias(n) for n, c in fields.items()])
-    arr = spread(d, *by).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ts", *fields))).alias("days"))
+    arr = day_arrays(d, list(by), list(fields))
     start = F.struct(*[v.alias(k) for k, v in init.items()], F.array().cast(LOG).alias("log"))
 
     def one(s, x):

@@ -64,10 +64,11 @@ def build_signal_frame(spark, sf_dir: str, by: str = "flag") -> DataFrame:
 
     b = with_stress_scores(with_returns(market.bars(spark, sf_dir, by)))
     b = b.withColumn("series_id", market.series_of_symbol())
-    obs = market.observations(spark, sf_dir)
-    b = asof(b, obs, ["series_id"], "ts", ["value"], bucket=F.trunc("ts", "month"))
-    b = b.withColumn("rate", daily_rate_trading(F.coalesce("value", F.lit(0.0))))
     cal = market.calendar(spark, sf_dir)
+    # the rate is resolved once per (series, calendar day); bars of any number of symbols meet it by key
+    days = cal.select("ts", F.explode(F.array(*[F.lit(s) for s in market.RATE_SERIES])).alias("series_id"))
+    rates = asof(days, market.observations(spark, sf_dir), ["series_id"], "ts", ["value"])
+    b = b.join(rates, ["series_id", "ts"]).withColumn("rate", daily_rate_trading(F.coalesce("value", F.lit(0.0))))
     sig = alternating_signals(with_previous(market.projections(spark, sf_dir)))
     state = daily_state(sig, cal.select("ts"))
     keep = ["symbol", "ts", "pos", "close", "r", "gap", "intra", "rate", "z", "vz", "iz", "nlz"]

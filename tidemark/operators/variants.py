@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.fold import FEE, FLOOR, RULES
+from tidemark.operators.fold import FEE, FLOOR, RULES, day_arrays
 from tidemark.session import spread
 
 SWITCHES = {"use_credit": 1.0, "use_vol": 1.0, "use_ratio": 1.0, "use_liq": 0.0, "credit_hold": 0.0, "cr_lev": 1.0}
@@ -68,7 +68,7 @@ def _fan_out(sig: DataFrame, variants: Variants, by: list[str], chunk: int, peri
     cols = {**filled, "rate": rate, **nan, "master": F.col("master").cast("double")}
     per = F.lit(None).cast("int") if period is None else period
     d = sig.select(*by, "ts", *[c.alias(n) for n, c in cols.items()], F.coalesce(per, F.lit(-1)).cast("double").alias("period"))
-    arr = d.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ts", *SERIES, "period"))).alias("days"))
+    arr = day_arrays(d, by, [*SERIES, "period"])
     arr = arr.select(*by, *[F.col(f"days.{c}").alias(c) for c in [*SERIES, "period"]])
     v = variants.table.withColumn("chunk", F.floor(F.col("variant_id") / chunk))
     v = v.groupBy("chunk").agg(F.collect_list(F.struct("variant_id", *DEFAULTS)).alias("lanes"))

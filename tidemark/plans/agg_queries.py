@@ -333,10 +333,10 @@ def first_triggers(spark, sf):
 
 @query(
     "P19 P8 divergence days with case labels",
-    SIG + """SELECT a.symbol, strftime(a.ts,'%Y-%m-%d') AS ts, CASE WHEN a.r< -0.02 THEN 'severe' WHEN a.r< -0.012 THEN 'large' ELSE 'mild' END AS label FROM sig a JOIN sig b ON a.ts=b.ts AND b.symbol='NO' WHERE a.r< -0.01 AND b.r> -0.002""",
+    SIG + """SELECT a.symbol, strftime(a.ts,'%Y-%m-%d') AS ts, CASE WHEN a.r< -0.009 THEN 'severe' WHEN a.r< -0.007 THEN 'large' ELSE 'mild' END AS label FROM sig a JOIN sig b ON a.ts=b.ts AND b.symbol='NO' WHERE a.r< -0.005 AND b.r> -0.002""",
 )
 def divergence_days(spark, sf):
     s = signal_frame(spark, sf)
     base = s.where("symbol = 'NO' and r > -0.002").select("ts")
-    label = F.when(F.col("r") < -0.02, "severe").when(F.col("r") < -0.012, "large").otherwise("mild")
-    return s.where("r < -0.01").join(base, "ts", "left_semi").select("symbol", day().alias("ts"), label.alias("label"))
+    label = F.when(F.col("r") < -0.009, "severe").when(F.col("r") < -0.007, "large").otherwise("mild")
+    return s.where("r < -0.005").join(base, "ts", "left_semi").select("symbol", day().alias("ts"), label.alias("label"))

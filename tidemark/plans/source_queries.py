@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.expr import third_wednesday
@@ -150,8 +149,9 @@ def rate_overrides(spark, sf):
 )
 def availability_profile(spark, sf):
     p = files.frequency_profile(market.observations(spark, sf))
-    newest = F.max("last_ts").over(Window.partitionBy(F.lit(0)))
-    return p.select("series_id", "n", day("first_ts").alias("first_ts"), day("last_ts").alias("last_ts"), "last_value", r6("gap"), "freq", F.datediff(newest, "last_ts").alias("age_days"))
+    newest = F.broadcast(p.agg(F.max("last_ts").alias("newest")).withColumn("k", F.lit(1)))  # one row
+    p = p.withColumn("k", F.lit(1)).join(newest, "k")
+    return p.select("series_id", "n", day("first_ts").alias("first_ts"), day("last_ts").alias("last_ts"), "last_value", r6("gap"), "freq", F.datediff("newest", "last_ts").alias("age_days"))
 
 
 @query(

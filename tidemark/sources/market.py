@@ -72,8 +72,9 @@ def bars(spark: SparkSession, sf_dir: str, by: str = "flag") -> DataFrame:
         .withColumn("px_close", F.col("cents") / 100.0 / F.col("qty"))
         .withColumn("px_open", (F.col("lo") + F.col("hi")) / 2)
     )
-    whole = Window.partitionBy("symbol")
-    run = whole.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    # one ordering for the whole-series and the running frames: a single sort
+    w = Window.partitionBy("symbol").orderBy("ts")
+    whole, run = (w.rowsBetween(Window.unboundedPreceding, end) for end in (Window.unboundedFollowing, 0))
     d = d.withColumns({f"mu_{p}": F.round(F.avg(f"px_{p}").over(whole), 6) for p in ("open", "close")})
     d = d.withColumns({f"sd_{p}": F.round(F.stddev_samp(f"px_{p}").over(whole), 6) for p in ("open", "close")})
     # a series with one bar or one price has no spread: it stays flat
@@ -85,7 +86,7 @@ def bars(spark: SparkSession, sf_dir: str, by: str = "flag") -> DataFrame:
     return d.select(
         "symbol",
         "ts",
-        F.row_number().over(whole.orderBy("ts")).alias("pos"),
+        F.row_number().over(w).alias("pos"),
         F.round(F.col("close") / (1 + F.col("i")), 6).alias("open"),
         "close",
         F.round(F.col("close") * (1 - 0.001 * (F.col("disc") / (100.0 * F.col("n")))), 6).alias("adj_close"),
@@ -112,6 +113,9 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+RATE_SERIES = ("P1", "P2", "P3")
+
+
 def series_of_symbol(symbol="symbol") -> Column:
     """Observation series that belongs to a symbol."""
     flag = F.substring(symbol, 1, 1)
