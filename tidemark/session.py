@@ -46,5 +46,5 @@ def spread(df: DataFrame, *cols) -> DataFrame:
     few, the computation per row is not.
     """
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     return df.repartition(n, *cols)
