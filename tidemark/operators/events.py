@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof
 from tidemark.operators.windows import over
+from tidemark.session import fan_join
 
 
 def following_rows(events: DataFrame, rows: DataFrame, n: int, values: list[str], by=("symbol",), inclusive: bool = False) -> DataFrame:
@@ -19,7 +20,7 @@ def following_rows(events: DataFrame, rows: DataFrame, n: int, values: list[str]
     lo = 0 if inclusive else 1
     e = events.withColumn("k", F.explode(F.sequence(F.lit(lo), F.lit(lo + n - 1)))).withColumn("__p", F.col("pos") + F.col("k"))
     r = rows.select(*by, F.col("pos").alias("__p"), *values)
-    return e.join(r, [*by, "__p"]).drop("__p")
+    return fan_join(e, r, [*by, "__p"]).drop("__p")
 
 
 def nearest_event(bench: DataFrame, cand: DataFrame, before: int, after: int, by=("symbol",), cand_values=()) -> DataFrame:

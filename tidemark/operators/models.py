@@ -17,6 +17,7 @@ from tidemark.functions import stats as S
 from tidemark.functions.expr import nz
 from tidemark.operators.linear import _betas, _moments
 from tidemark.operators.windows import upto
+from tidemark.session import fan_join
 
 
 def fold_of(pos: Column, first: int, step: int, embargo: int) -> Column:
@@ -103,7 +104,7 @@ def nearest_vote(df: DataFrame, x: str, label: str, train: Column, k: int, by=("
     d = d.withColumn("__i", F.count_if(F.col("__train")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     pts = d.where("__train").select(*by, F.col("__i").alias("__j"), F.struct(F.col(x).alias("v"), F.col(label).cast("double").alias("y"), F.col("pos").alias("p")).alias("__pt"))
     q = d.where(~F.col("__train")).withColumn("__j", F.explode(F.sequence(F.col("__i") - k + 1, F.col("__i") + k)))
-    c = q.join(pts, [*by, "__j"])
+    c = fan_join(q, pts, [*by, "__j"])
     dist = F.abs(F.col("__pt.v") - F.col(x))
     near = F.slice(F.array_sort(F.collect_list(F.struct(dist.alias("d"), F.col("__pt.p").alias("p"), F.col("__pt.y").alias("y")))), 1, k)
     g = c.groupBy(*by, "pos").agg(near.alias("__near"))

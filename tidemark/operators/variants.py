@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.fold import FEE, FLOOR, RULES, day_arrays
-from tidemark.session import spread
+from tidemark.session import fan_join, spread
 
 SWITCHES = {"use_credit": 1.0, "use_vol": 1.0, "use_ratio": 1.0, "use_liq": 0.0, "credit_hold": 0.0, "cr_lev": 1.0}
 DEFAULTS = {**RULES, **SWITCHES}
@@ -73,7 +73,9 @@ def _fan_out(sig: DataFrame, variants: Variants, by: list[str], chunk: int, peri
     v = variants.table.withColumn("chunk", F.floor(F.col("variant_id") / chunk))
     v = v.groupBy("chunk").agg(F.collect_list(F.struct("variant_id", *DEFAULTS)).alias("lanes"))
     n_chunks = (variants.size - 1) // chunk + 1
-    fan = arr.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)).cast("array<bigint>"))).join(v, "chunk")
+    fan = arr.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)).cast("array<bigint>")))
+    # a variant is about 200 bytes, so this many stay under 10 MB; larger tables are shuffled
+    fan = fan.join(F.broadcast(v), "chunk") if variants.size <= 50_000 else fan_join(fan, v, ["chunk"])
     fan = fan.select(*by, "chunk", *[F.col(f"lanes.{c}").alias(f"v_{c}") for c in ["variant_id", *DEFAULTS]], *SERIES, "period")
     return spread(fan, *by, "chunk")
 

@@ -20,6 +20,7 @@ from tidemark.plans.base_queries import day
 from tidemark.plans.join_queries import EDGE, NEAR, PERIODS, PSQL, TRIP, pulses
 from tidemark.plans.machine_queries import COOL, DDE, HOLD, cond_sql
 from tidemark.plans.registry import query
+from tidemark.session import fan_join
 from tidemark.plans.window_queries import BLOCKS, fwd_mdd_sql
 from tidemark.sources import market
 
@@ -68,7 +69,7 @@ def pre_event_lookback(spark, sf):
     s = signal_frame(spark, sf)
     e = drawdown_episodes(s, "close", -0.10, -0.03).select("symbol", "start_ts")
     e = e.withColumn("ts", F.explode(F.sequence(F.date_sub("start_ts", 90), F.date_sub("start_ts", 1))))
-    x = e.join(s.select("symbol", "ts", "z"), ["symbol", "ts"])
+    x = fan_join(e, s.select("symbol", "ts", "z"), ["symbol", "ts"])
     flag = F.col("z") > 1
     g = x.groupBy("symbol", "start_ts").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(flag).alias("flagged"), F.min("z").alias("lo"), F.max("z").alias("hi"), F.min(F.when(flag, F.col("ts"))).alias("ff")
@@ -86,7 +87,7 @@ def post_block_outcomes(spark, sf):
     s = signal_frame(spark, sf)
     b = blocks(s, F.col("z") > 0.5, min_rows=3, aggs=[F.min_by("close", "ts").alias("c0"), F.max_by("close", "ts").alias("c1")])
     b = b.withColumn("ts", F.explode(F.sequence(F.date_add("start_ts", 1), F.date_add("end_ts", 60))))
-    x = b.join(s.select("symbol", "ts", "close"), ["symbol", "ts"])
+    x = fan_join(b, s.select("symbol", "ts", "close"), ["symbol", "ts"])
     near = lambda c: (F.col("ts") > F.col(c)) & (F.col("ts") <= F.date_add(c, 60))
     worst = lambda c, base: F.min(F.when(near(c), F.col("close"))) / F.first(base) - 1
     return x.groupBy("symbol", "start_ts", "end_ts").agg(r6(worst("start_ts", "c0"), "worst_from_start"), r6(worst("end_ts", "c1"), "worst_from_end")).select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.expr import TRADING_DAYS  # noqa: F401
+from tidemark.functions.expr import draw
 from tidemark.operators import inference as N
 from tidemark.operators import variants as V
 from tidemark.operators import windows as W
@@ -17,6 +17,7 @@ from tidemark.plans.fold_queries import recursive
 from tidemark.plans.machine_queries import COOL
 from tidemark.plans.registry import query
 from tidemark.plans.variant_queries import variant_sql
+from tidemark.session import fan_join
 
 SIG = B.with_(*B.signal_frame())
 SIGX = SIG.rstrip() + ","
@@ -119,7 +120,7 @@ def bootstrap_mean_difference(spark, sf):
     r = N.replicates(a, ["symbol"], 200).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     r = N.with_draw(r, "p", [7, "rep", "k"], F.col("n"))
     late = F.col("k") >= F.col("n0")
-    b = r.join(s.select("symbol", "p", "r"), ["symbol", "p"]).groupBy("symbol", "rep").agg(
+    b = fan_join(r, s.select("symbol", "p", "r"), ["symbol", "p"]).groupBy("symbol", "rep").agg(
         F.first("d").alias("d"), (F.avg(F.when(late, F.col("r"))) - F.avg(F.when(~late, F.col("r")))).alias("bd")
     )
     return b.groupBy("symbol").agg(
@@ -142,15 +143,16 @@ def spaced_permutation(spark, sf):
     e = cooled_episodes(s, F.col("z") > 1.0, 60).where("f is not null")
     real = e.groupBy("symbol").agg(F.count(F.lit(1)).alias("m"), F.avg("f").alias("real"))
     keys = real.join(s.groupBy("symbol").agg((F.max("pos") - 21).cast("long").alias("n")), "symbol")
-    r = N.replicates(keys, ["symbol"], 200).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(499))))
-    r = N.with_draw(r, "c", [11, "rep", "k"], F.col("n"))
-    tries = r.groupBy("symbol", "rep", "m", "real").agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("t"))
+    r = N.replicates(keys, ["symbol"], 200)
+    # the draws of a replicate are an array computed in place: nothing is exploded or shuffled
+    tries = r.withColumn("t", F.transform(F.sequence(F.lit(0), F.lit(499)), lambda k: draw(11, "rep", k, n=F.col("n"))))
     none = F.array().cast("array<bigint>")
     accept = lambda acc, x: F.when(
-        (F.size(acc) < F.col("m")) & ~F.exists(acc, lambda a: F.abs(a - x["c"]) < 42), F.concat(acc, F.array(x["c"]))
+        (F.size(acc) < F.col("m")) & ~F.exists(acc, lambda a: F.abs(a - x) < 42), F.concat(acc, F.array(x))
     ).otherwise(acc)
     t = tries.withColumn("acc", F.aggregate("t", none, accept)).where(F.size("acc") == F.col("m"))
-    x = t.select("symbol", "rep", "real", F.explode(F.transform("acc", lambda a: a + 1)).alias("pos")).join(s.select("symbol", F.col("pos").cast("long").alias("pos"), "f"), ["symbol", "pos"])
+    x = t.select("symbol", "rep", "real", F.explode(F.transform("acc", lambda a: a + 1)).alias("pos"))
+    x = fan_join(x, s.select("symbol", F.col("pos").cast("long").alias("pos"), "f"), ["symbol", "pos"])
     p = x.groupBy("symbol", "rep").agg(F.first("real").alias("real"), F.avg("f").alias("v"))
     return p.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("reps"), F.round(F.first("real"), 6).alias("real"), F.round(F.avg("v"), 6).alias("null_mean"),
@@ -172,7 +174,8 @@ def shift_permutation(spark, sf):
     offs = e.join(a.select("symbol", "p0"), "symbol").select("symbol", (F.col("pos") - F.col("p0")).alias("off"))
     keys = a.join(s.groupBy("symbol").agg(F.max("pos").alias("n")), "symbol").where("n - span - 22 > 0")
     r = N.with_draw(N.replicates(keys, ["symbol"], 1000), "start", [13, "rep"], F.col("n") - F.col("span") - 22)
-    x = r.join(offs, "symbol").withColumn("pos", F.col("start") + 1 + F.col("off")).join(s.select("symbol", "pos", "f"), ["symbol", "pos"])
+    x = fan_join(r, offs, ["symbol"]).withColumn("pos", F.col("start") + 1 + F.col("off"))
+    x = fan_join(x, s.select("symbol", "pos", "f"), ["symbol", "pos"])
     p = x.groupBy("symbol", "rep").agg(F.first("real").alias("real"), F.avg("f").alias("v"))
     return p.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("reps"), F.round(F.first("real"), 6).alias("real"), F.round(F.avg("v"), 6).alias("null_mean"),
@@ -192,8 +195,8 @@ def circular_shift_permutation(spark, sf):
     s = s.select("symbol", "z", "f", (F.row_number().over(W.over()) - 1).cast("long").alias("p"))
     a = s.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.regr_r2("f", "z").alias("real"))
     r = N.with_draw(N.replicates(a, ["symbol"], 100), "sh", [17, "rep"], F.col("n") - 52).withColumn("sh", F.col("sh") + 26)
-    x = r.join(s.select("symbol", "z", "p"), "symbol").withColumn("p", (F.col("p") + F.col("sh")) % F.col("n"))
-    v = x.join(s.select("symbol", "p", "f"), ["symbol", "p"]).groupBy("symbol", "rep").agg(F.first("real").alias("real"), F.regr_r2("f", "z").alias("v"))
+    x = fan_join(r, s.select("symbol", "z", "p"), ["symbol"]).withColumn("p", (F.col("p") + F.col("sh")) % F.col("n"))
+    v = fan_join(x, s.select("symbol", "p", "f"), ["symbol", "p"]).groupBy("symbol", "rep").agg(F.first("real").alias("real"), F.regr_r2("f", "z").alias("v"))
     return v.groupBy("symbol").agg(
         F.round(F.first("real"), 6).alias("real"), F.round(F.avg("v"), 6).alias("null_mean"), F.round(F.percentile("v", 0.95), 6).alias("null_p95"),
         F.round(F.avg((F.col("v") >= F.col("real")).cast("int")), 6).alias("p_value"),

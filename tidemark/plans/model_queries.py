@@ -77,14 +77,26 @@ def prediction_value(spark, sf):
     return p.groupBy("symbol").agg(F.count_if(F.col("pred") < 0).alias("flagged"), r6(bad, "when_flagged"), r6(good, "when_safe"), r6(good - bad, "separation"))
 
 
-@query("M13 walk-forward with three feature sets")
+FEATURE_SETS = {"stress": ("z", "vz"), "momentum": ("mom4", "mom13"), "mixed": ("z", "mom13")}
+
+
+def set_sql(name, x1, x2):
+    src = "(SELECT symbol, ts, fwd, z, vz, mom4, mom13, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS pos FROM fr WHERE fwd IS NOT NULL AND vz IS NOT NULL)"
+    w = WALK.replace("z AS x1, mom13 AS x2", f"{x1} AS x1, {x2} AS x2").replace("FROM fr", f"FROM {src} fr").replace("fr t JOIN", "t JOIN").replace("b1*(z-a1)+b2*(mom13-a2)", f"b1*({x1}-a1)+b2*({x2}-a2)")
+    for cte in ("mo", "ru", "be", "pr"):
+        w = w.replace(f"{cte} AS (", f"{cte}_{name} AS (").replace(f"FROM {cte} ", f"FROM {cte}_{name} ").replace(f"JOIN {cte} ON", f"JOIN {cte}_{name} be ON")
+    return w.replace(f"FROM {src} t JOIN", f"FROM {src} t JOIN")
+
+
+@query(
+    "M13 walk-forward with three feature sets",
+    WF + "".join(set_sql(n, *xs) for n, xs in FEATURE_SETS.items()) + " UNION ALL ".join(f" SELECT '{n}' AS features, count(*) AS n, round(corr(fwd,pred),6) AS corr, round(avg(CAST((fwd>0)=(pred>0) AS INT)),6) AS direction FROM pr_{n}" for n in FEATURE_SETS),
+)
 def feature_set_comparison(spark, sf):
+    f = weekly_frame(spark, sf).where("fwd is not null and vz is not null").withColumn("pos", F.row_number().over(W.over()))
     out = None
-    for name, xs in {"stress": ["z", "vz"], "momentum": ["mom4", "mom13"], "all": ["z", "vz", "mom4", "mom13"]}.items():
-        f = weekly_frame(spark, sf).where("fwd is not null").na.drop("any", subset=["z", "vz", "mom4", "mom13"])
-        f = f.withColumn("pos", F.row_number().over(W.over()))
-        p = ML.expanding_ols(f, xs, "fwd", 100, 26, 5).withColumn("features", F.lit(name))
-        p = p.select("features", "fwd", "pred")
+    for name, xs in FEATURE_SETS.items():
+        p = ML.expanding_ols(f, list(xs), "fwd", 100, 26, 5).select(F.lit(name).alias("features"), "fwd", "pred")
         out = p if out is None else out.unionByName(p)
     return out.groupBy("features").agg(F.count(F.lit(1)).alias("n"), r6(F.corr("fwd", "pred"), "corr"), r6(S.share((F.col("fwd") > 0) == (F.col("pred") > 0)), "direction"))
 
@@ -176,11 +188,11 @@ def classifiers(n_features: int) -> dict:
     grid = ParamGridBuilder().addGrid(logistic.regParam, [0.01, 0.1]).build()
     return {
         "gbt": C.GBTClassifier(labelCol="label", maxDepth=3, maxIter=20, stepSize=0.05, subsamplingRate=0.8, seed=42),
-        "forest": C.RandomForestClassifier(labelCol="label", maxDepth=5, numTrees=50, seed=42),
+        "forest": C.RandomForestClassifier(labelCol="label", maxDepth=5, numTrees=30, seed=42),
         "tree": C.DecisionTreeClassifier(labelCol="label", maxDepth=4, seed=42),
         "logistic_cv": CrossValidator(estimator=logistic, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol="label"), numFolds=3, seed=42),
-        "elastic_net": C.LogisticRegression(labelCol="label", regParam=0.05, elasticNetParam=0.5),
-        "ridge": C.LogisticRegression(labelCol="label", regParam=0.5, elasticNetParam=0.0),
+        "elastic_net": C.LogisticRegression(labelCol="label", regParam=0.05, elasticNetParam=0.5, maxIter=20),
+        "ridge": C.LogisticRegression(labelCol="label", regParam=0.5, elasticNetParam=0.0, maxIter=20),
         "svm": C.LinearSVC(labelCol="label", maxIter=15),
         "mlp": C.MultilayerPerceptronClassifier(labelCol="label", layers=[n_features, 8, 2], maxIter=30, seed=42),
         "gaussian_nb": C.NaiveBayes(labelCol="label", modelType="gaussian"),

@@ -15,6 +15,9 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # broadcast only on sizes measured at run time, never on estimates
+        .config("spark.sql.autoBroadcastJoinThreshold", "-1")
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "10MB")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
@@ -39,6 +42,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fan_join(fanned: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join whose left side was multiplied by an explode.
+
+    Static size estimates do not see the multiplication and would broadcast the
+    fanned side; the hint keeps it a shuffled join whatever the estimate says.
+    """
+    return fanned.join(other.hint("merge"), keys, how)
+
+
 def spread(df: DataFrame, *cols) -> DataFrame:
     """Repartition small rows that carry heavy work.
 
