@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.expr import TRADING_DAYS, col, daily_rate_trading
 from tidemark.operators.asof import asof
 from tidemark.operators.windows import over, with_rolling, with_zscore
+from tidemark.session import calendar_sized
 from tidemark.sources import market
 
 
@@ -68,8 +69,8 @@ def build_signal_frame(spark, sf_dir: str, by: str = "flag") -> DataFrame:
     # the rate is resolved once per (series, calendar day); bars of any number of symbols meet it by key
     days = cal.select("ts", F.explode(F.array(*[F.lit(s) for s in market.RATE_SERIES])).alias("series_id"))
     rates = asof(days, market.observations(spark, sf_dir), ["series_id"], "ts", ["value"])
-    b = b.join(rates, ["series_id", "ts"]).withColumn("rate", daily_rate_trading(F.coalesce("value", F.lit(0.0))))
+    b = b.join(calendar_sized(rates), ["series_id", "ts"]).withColumn("rate", daily_rate_trading(F.coalesce("value", F.lit(0.0))))
     sig = alternating_signals(with_previous(market.projections(spark, sf_dir)))
     state = daily_state(sig, cal.select("ts"))
     keep = ["symbol", "ts", "pos", "close", "r", "gap", "intra", "rate", "z", "vz", "iz", "nlz"]
-    return b.select(*keep).join(state.select("ts", "master"), "ts")
+    return b.select(*keep).join(calendar_sized(state.select("ts", "master")), "ts")

@@ -15,6 +15,7 @@ from tidemark.operators.signals import signal_frame
 from tidemark.plans import base_sql as B
 from tidemark.plans.base_queries import day
 from tidemark.plans.registry import query
+from tidemark.session import calendar_sized
 from tidemark.sources import market
 
 SIG = B.with_(*B.signal_frame())
@@ -89,7 +90,7 @@ def tracking_against_base(spark, sf):
     s = signal_frame(spark, sf).where("r is not null")
     base = s.where("symbol = 'NO'").select("ts", F.col("r").alias("rb"))
     diff = F.col("r") - F.col("rb")
-    return s.join(base, "ts").groupBy("symbol").agg(
+    return s.join(calendar_sized(base), "ts").groupBy("symbol").agg(
         r6(F.covar_samp("r", "rb") / F.var_samp("rb"), "beta"), F.round(F.regr_slope("close", "pos"), 8).alias("slope"),
         r6(F.avg(diff) * 10000, "drift_bp"), r6(F.stddev_samp(diff) * F.sqrt(F.lit(252)), "te"),
         r6(F.sum(F.log1p("r") - F.log1p("rb")), "log_alpha"),
@@ -339,4 +340,4 @@ def divergence_days(spark, sf):
     s = signal_frame(spark, sf)
     base = s.where("symbol = 'NO' and r > -0.002").select("ts")
     label = F.when(F.col("r") < -0.009, "severe").when(F.col("r") < -0.007, "large").otherwise("mild")
-    return s.where("r < -0.005").join(base, "ts", "left_semi").select("symbol", day().alias("ts"), label.alias("label"))
+    return s.where("r < -0.005").join(calendar_sized(base), "ts", "left_semi").select("symbol", day().alias("ts"), label.alias("label"))

@@ -12,6 +12,7 @@ from tidemark.operators.signals import signal_frame
 from tidemark.plans import base_sql as B
 from tidemark.plans.base_queries import day
 from tidemark.plans.registry import query
+from tidemark.session import calendar_sized
 from tidemark.sources import market
 
 SIG = B.with_(*B.signal_frame())
@@ -122,7 +123,7 @@ SMA = (50, 100, 200)
 )
 def sma_filters(spark, sf):
     s = signal_frame(spark, sf)
-    q = s.join(s.where("symbol = 'NO'").select("ts", F.col("close").alias("bc")), "ts").withColumn("ra", F.col("close") / F.col("bc"))
+    q = s.join(calendar_sized(s.where("symbol = 'NO'").select("ts", F.col("close").alias("bc"))), "ts").withColumn("ra", F.col("close") / F.col("bc"))
     q = W.with_rolling(q, {**{f"c{k}": ("close", k) for k in SMA}, **{f"q{k}": ("ra", k) for k in SMA}})
     return q.select("symbol", day().alias("ts"), *[r6(F.col("close") / F.col(f"c{k}_mean") - 1, f"over{k}") for k in SMA], *[r6(F.col("ra") / F.col(f"q{k}_mean") - 1, f"ratio{k}") for k in SMA])
 

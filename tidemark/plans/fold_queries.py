@@ -14,6 +14,7 @@ from tidemark.operators.projections import alternating_signals, with_previous
 from tidemark.operators.signals import signal_frame
 from tidemark.plans import base_sql as B
 from tidemark.plans.registry import query
+from tidemark.session import calendar_sized
 from tidemark.sources import market
 
 
@@ -105,7 +106,7 @@ def event_driven_strategy(spark, sf):
     ev = alternating_signals(with_previous(market.projections(spark, sf))).where("signal <> ''")
     ev = ev.select(F.lit("X").alias("cal_id"), F.date_add("meeting_date", 1).alias("ts"), "meeting_date", "state")
     ev = asof(ev, cal, ["cal_id"], "ts", ["use_on"], "forward").where("use_on is not null").select(F.col("use_on").alias("ts"), "meeting_date", "state")
-    s = s.join(latest_per_key(ev, ["ts"], "meeting_date", ["state"]), "ts", "left").withColumn("st", latch(F.col("state"), initial=1))
+    s = s.join(calendar_sized(latest_per_key(ev, ["ts"], "meeting_date", ["state"])), "ts", "left").withColumn("st", latch(F.col("state"), initial=1))
     m = path_metrics(M.in_out_returns(s, "st", cash=F.col("rate")))
     return m.select("symbol", "n", F.round("final", 5).alias("final"), F.round("mdd", 6).alias("mdd"), F.round("sharpe", 5).alias("sharpe"))
 

@@ -190,7 +190,7 @@ def classifiers(n_features: int) -> dict:
         "gbt": C.GBTClassifier(labelCol="label", maxDepth=3, maxIter=20, stepSize=0.05, subsamplingRate=0.8, seed=42),
         "forest": C.RandomForestClassifier(labelCol="label", maxDepth=5, numTrees=30, seed=42),
         "tree": C.DecisionTreeClassifier(labelCol="label", maxDepth=4, seed=42),
-        "logistic_cv": CrossValidator(estimator=logistic, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol="label"), numFolds=3, seed=42),
+        "logistic_cv": CrossValidator(estimator=logistic, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol="label"), numFolds=3, parallelism=4, seed=42),
         "elastic_net": C.LogisticRegression(labelCol="label", regParam=0.05, elasticNetParam=0.5, maxIter=20),
         "ridge": C.LogisticRegression(labelCol="label", regParam=0.5, elasticNetParam=0.0, maxIter=20),
         "svm": C.LinearSVC(labelCol="label", maxIter=15),

@@ -14,6 +14,7 @@ from tidemark.plans import base_sql as B
 from tidemark.plans.base_queries import day
 from tidemark.plans.fold_queries import LAYERS, METRICS, recursive, run_sql
 from tidemark.plans.registry import query
+from tidemark.session import calendar_sized
 from tidemark.sources import files, market
 
 SIG = B.with_(*B.signal_frame())
@@ -228,7 +229,7 @@ def holdings_valuation(spark, sf):
     )
     # prices are resolved once per day and met by key, so orders are never windowed on one symbol
     days = A.asof(o.select("ts").distinct().withColumn("symbol", F.lit("NO")), px, ["symbol"], "ts", ["price"]).where("price is not null")
-    p = Q.positions(o.join(days.select("ts", "price"), "ts"), ["holder"])
+    p = Q.positions(o.join(calendar_sized(days.select("ts", "price")), "ts"), ["holder"])
     last = px.agg(F.max_by("price", "ts").alias("px"))
     fx = market.observations(spark, sf).where("series_id = 'P5'").agg((F.max_by("value", "ts") + 1).alias("fx"))
     quote = F.broadcast(last.withColumn("k", F.lit(1)).join(fx.withColumn("k", F.lit(1)), "k"))  # exactly one row
@@ -259,7 +260,7 @@ def horizon_changes(spark, sf):
 def implied_price(spark, sf):
     s = signal_frame(spark, sf)
     b = s.where("symbol = 'NO'").select("ts", F.col("r").alias("br"))
-    j = s.join(b, "ts").withColumn("base", F.lag("close").over(W.over())).where("base is not null and br is not null")
+    j = s.join(calendar_sized(b), "ts").withColumn("base", F.lag("close").over(W.over())).where("base is not null and br is not null")
     sim = F.col("base") * (1 + 3 * F.col("br"))
     pick = F.when(F.abs(sim - F.col("base")) > F.abs(F.col("close") - F.col("base")), sim).otherwise(F.col("close"))
     return j.select("symbol", day().alias("ts"), r6(pick, "implied"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -42,6 +43,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def calendar_sized(df: DataFrame) -> DataFrame:
+    """Broadcast a table that holds at most a few rows per calendar day.
+
+    Its size is bounded by the calendar (a century is 36,525 days), not by the data.
+    """
+    return F.broadcast(df)
+
+
 def fan_join(fanned: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join whose left side was multiplied by an explode.
 
