@@ -122,7 +122,8 @@ def labelled_numbers(docs: DataFrame, label: str, skip: str, lookahead: int = 0,
     match ``skip``. One pass over each row's lines, no shuffle.
     """
     numbers = lambda s: F.regexp_extract_all(s, F.lit(r"(\d+\.\d+)"), F.lit(1))
-    d = docs.withColumn("__l", F.split(text, "\n"))
+    # a text without any decimal can yield nothing, so one scan of it is enough
+    d = docs.where(F.col(text).rlike(r"\d\.\d")).withColumn("__l", F.split(text, "\n"))
     at = lambda i: F.coalesce(F.get(F.col("__l"), i), F.lit(""))
 
     def found(line, i):
