@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats as S
 from tidemark.functions.expr import tags
 from tidemark.operators import asof as A
-from tidemark.operators import linear
 from tidemark.operators import machines as M
 from tidemark.operators import windows as W
 from tidemark.operators.episodes import blocks, drawdown_episodes
-from tidemark.operators.events import following_rows, nearest_event, round_trips, transitions, within_periods
+from tidemark.operators.events import nearest_event, round_trips, transitions, within_periods
 from tidemark.operators.latch import latch, latch_event
 from tidemark.operators.signals import signal_frame
 from tidemark.plans import base_sql as B
 from tidemark.plans.base_queries import day
-from tidemark.plans.join_queries import EDGE, NEAR, PERIODS, PSQL, TRIP, pulses
-from tidemark.plans.machine_queries import COOL, DDE, HOLD, cond_sql
+from tidemark.plans.join_queries import NEAR, PERIODS, PSQL, TRIP
+from tidemark.plans.machine_queries import DDE, HOLD, cond_sql
 from tidemark.plans.registry import query
 from tidemark.session import fan_join
 from tidemark.plans.window_queries import BLOCKS, fwd_mdd_sql
@@ -33,7 +31,7 @@ SY = "OVER (PARTITION BY symbol ORDER BY pos)"
 
 @query(
     "V1 forward return and drawdown distribution by regime and horizon",
-    SIGX + " UNION ALL ".join([""]).strip() + f""" m21 AS ({fwd_mdd_sql(0, 21, 22, 'm')}), m63 AS ({fwd_mdd_sql(0, 63, 64, 'm')}), x AS (SELECT s.symbol, s.pos, s.z, s.vz, s.master, lead(close,21) {SY.replace('symbol', 's.symbol').replace('pos', 's.pos')}/close-1 AS f21, lead(close,63) {SY.replace('symbol', 's.symbol').replace('pos', 's.pos')}/close-1 AS f63, a.m AS d21, b.m AS d63 FROM sig s LEFT JOIN m21 a ON a.symbol=s.symbol AND a.pos=s.pos LEFT JOIN m63 b ON b.symbol=s.symbol AND b.pos=s.pos),
+    SIGX + f""" m21 AS ({fwd_mdd_sql(0, 21, 22, 'm')}), m63 AS ({fwd_mdd_sql(0, 63, 64, 'm')}), x AS (SELECT s.symbol, s.pos, s.z, s.vz, s.master, lead(close,21) {SY.replace('symbol', 's.symbol').replace('pos', 's.pos')}/close-1 AS f21, lead(close,63) {SY.replace('symbol', 's.symbol').replace('pos', 's.pos')}/close-1 AS f63, a.m AS d21, b.m AS d63 FROM sig s LEFT JOIN m21 a ON a.symbol=s.symbol AND a.pos=s.pos LEFT JOIN m63 b ON b.symbol=s.symbol AND b.pos=s.pos),
     t AS (SELECT *, unnest(list_filter([CASE WHEN z>1 THEN 'stress' END, CASE WHEN vz>1 THEN 'volatile' END, CASE WHEN z<0 AND vz<0 THEN 'calm' END, 'all'], lambda v: v IS NOT NULL)) AS regime FROM x), u AS (SELECT regime, 21 AS h, f21 AS f, d21 AS d FROM t UNION ALL SELECT regime, 63, f63, d63 FROM t)
     SELECT regime, CAST(h AS INT) AS h, count(f) AS n, round(avg(f),7) AS mean, round(median(f),7) AS med, round(avg(CAST(f<0 AS INT)),6) AS neg, round(avg(d),7) AS mdd_mean, round(quantile_cont(d,0.1),7) AS mdd_p10 FROM u GROUP BY 1,2""",
 )

@@ -15,9 +15,8 @@ from tidemark.operators.latch import latch, latch_event
 from tidemark.operators.signals import signal_frame
 from tidemark.plans import base_sql as B
 from tidemark.plans.base_queries import day
-from tidemark.plans.fold_queries import LAYERS, latch_sql
+from tidemark.plans.fold_queries import LAYERS
 from tidemark.plans.registry import query
-from tidemark.sources import market
 from tidemark.functions.expr import publication_tuesday
 
 SIG = B.with_(*B.signal_frame())
@@ -64,10 +63,6 @@ def cond_sql(e, n):
     return f" cond AS MATERIALIZED (SELECT symbol, pos, ts, coalesce({e},FALSE) AS e, coalesce({n},FALSE) AS n FROM sig),"
 
 
-def state_of(df, switches):
-    return M.with_state(df, switches)
-
-
 @query("E4 W24 two-state machine with a minimum hold of 42 rows", RSIGX + cond_sql("z>1.0 AND iz>0", "vz<0.5") + HOLD.format(hold=42) + f" SELECT symbol, {TS}, CAST(state AS INT) AS state FROM hs")
 def hold_machine_state(spark, sf):
     s = signal_frame(spark, sf)
