@@ -36,7 +36,7 @@ def draw_cols(keys, n, name):
 
 LAYER_SETS = [{}, {"use_credit": 0}, {"use_ratio": 0}, {"use_vol": 0}]
 NAMES = ["full", "credit", "ratio", "vol"]
-REPS = 2000
+REPS = 10000
 BOOT_BLOCKS = [21, 63, 126]
 
 
