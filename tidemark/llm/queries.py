@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, urls
+from tidemark.llm import chat, mixing, sharding, simhash, urls
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,28 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIG
 """
 
 
+@query()
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = simhash.near_duplicates(docs)
+    return d.select(F.col("id").alias("doc_id"), simhash.hex_print("fp").alias("fingerprint"), "component_id")
+
+
+@query()
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    d = sharding.shard(docs, 16, "source", ("doc_id", "text_crc32"))
+    return d.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
+@query()
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.word_counts(table(spark, sf_dir, "documents"))
+    d = mixing.plan_mix(docs, ["doc_id", "_t"])
+    return d.select("doc_id", "size", "source_size", "target", "taken", F.get("passes", F.lit(0))["position"].alias("position"))
+
+
 @query(CHAT_SQL)
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
