@@ -28,8 +28,8 @@ END_ID = 2
 TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 1 << 16
 SLICE_DOCS = 512
-#: Words a task remembers the ids of; more make it forget and start anew
-MEMORY = 1_000_000
+#: Words, and pieces of words, that a worker remembers the ids of; more make it forget and start anew
+MEMORY = 800_000
 
 #: What the tokenizer's file splits words by (fixed values)
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -63,6 +63,7 @@ class WordTokenizer:
     def _learn(self, missing: set[bytes]) -> None:
         if len(self.words) + len(missing) > self.memory:
             self.words = {}
+        if len(self.pieces) > self.memory:
             self.pieces = {}
         whole, split = [], []
         for w in missing:
@@ -91,6 +92,16 @@ class WordTokenizer:
         return [b"".join(map(get, words)) for words in split]
 
 
+_KEPT: dict[str, WordTokenizer] = {}
+
+
+def kept_tokenizer(path: str) -> WordTokenizer:
+    """One for each worker process: what a task has learned helps the next one."""
+    if path not in _KEPT:
+        _KEPT[path] = WordTokenizer(path)
+    return _KEPT[path]
+
+
 class Packer:
     """Fills windows from a stream of documents; ``take`` returns the sequences that are complete."""
 
@@ -188,7 +199,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(path)
+        words = kept_tokenizer(path)
         packer = Packer(tiers)
         base = TaskContext.get().partitionId() << 33
         end = np.array([end_id], dtype="<u4").tobytes()
