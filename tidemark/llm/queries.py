@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, mixing, packing, sharding, simhash, substrings, urls
+from tidemark.llm import capfilters, chat, mixing, packing, sharding, simhash, substrings, urls
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,11 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "size", "source_size", "target", "taken", F.get("passes", F.lit(0))["position"].alias("position"))
 
 
+@query()
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilters.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query(REPEATS_SQL)
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
