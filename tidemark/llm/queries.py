@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import capfilters, chat, mixing, packing, sharding, simhash, substrings, urls
+from tidemark.llm import ann, capfilters, chat, mixing, packing, sharding, simhash, substrings, urls
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +70,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+@query()
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where("vec_id % 50 = 0"))
+
+
 @query()
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.word_counts(table(spark, sf_dir, "documents"))
