@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, capfilters, chat, mixing, packing, sharding, simhash, substrings, urls
+from tidemark.llm import ann, capfilters, chat, mixing, packing, quality, sharding, simhash, substrings, urls
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,12 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(rows, rows.where("vec_id % 50 = 0"))
 
 
+@query()
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 @query()
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.word_counts(table(spark, sf_dir, "documents"))
