@@ -16,8 +16,8 @@ from tidemark.llm.common import SEED, durable, n_words, running, unit_hash
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
-#: Tokens of a source that are put in order in one task
-SLICE_ROWS = 50_000
+#: Documents that are put in order together
+SLICE_ROWS = 8192
 #: Weight at the start, the middle and the end of training, times the source's weight; dealt in turn to the ordered sources
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
 #: Equal steps over which schedules are integrated
@@ -85,12 +85,17 @@ def demand_knots(sources: DataFrame, schedules=SCHEDULES, steps: int = STEPS) ->
 
 def moment(part: Column, knots: Column, steps: int = STEPS) -> Column:
     """Time in [0, 1] at which the demand reaches ``part`` of a source's tokens: the inverse of the knots."""
-    k = F.aggregate(knots, F.lit(0), lambda n, x: n + F.when(x <= part, 1).otherwise(0))
-    k = F.least(k, F.lit(steps - 1))
-    low = F.when(k == 0, F.lit(0.0)).otherwise(F.element_at(knots, F.greatest(k, F.lit(1))))
-    high = F.element_at(knots, k + 1)
-    inside = F.when(high > low, (part - low) / (high - low)).otherwise(0.0)
-    return (k + F.least(F.lit(1.0), F.greatest(F.lit(0.0), inside))) / steps
+
+    def at(x):
+        p, k = x["p"], F.least(x["k"], F.lit(steps - 1))
+        low = F.when(k == 0, F.lit(0.0)).otherwise(F.element_at(knots, F.greatest(k, F.lit(1))))
+        high = F.element_at(knots, k + 1)
+        inside = F.when(high > low, (p - low) / (high - low)).otherwise(0.0)
+        return (k + F.least(F.lit(1.0), F.greatest(F.lit(0.0), inside))) / steps
+
+    # arrays of one element bind a value, which would be computed anew wherever it is named
+    bound = F.transform(F.array(part.cast("double")), lambda p: F.struct(p.alias("p"), F.aggregate(knots, F.lit(0), lambda n, x: n + F.when(x <= p, 1).otherwise(0)).alias("k")))
+    return F.element_at(F.transform(bound, at), 1)
 
 
 def plan_mix(docs: DataFrame, keys: list[str], weights=WEIGHTS, max_repeats: int = MAX_REPEATS, schedules=SCHEDULES, seed: int = SEED, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -116,9 +121,14 @@ def plan_mix(docs: DataFrame, keys: list[str], weights=WEIGHTS, max_repeats: int
         # pass p takes the words of the source's stream from p * source_size + before on
         start = (p - 1) * F.col("source_size") + F.col("_before")
         taken = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_goal") - start)).cast("long")
-        return F.struct(p.alias("number"), taken.alias("taken"), moment((start + taken / 2) / F.greatest(F.col("_goal"), F.lit(1)), F.col("knots")).alias("position"))
+        return F.struct(p.alias("number"), taken.alias("taken"), start.alias("start"))
+
+    def placed(x):
+        part = (x["start"] + x["taken"] / 2) / F.greatest(F.col("_goal"), F.lit(1))
+        return F.struct(x["number"].alias("number"), x["taken"].alias("taken"), moment(part, F.col("knots")).alias("position"))
 
     passes = F.filter(F.transform(F.sequence(F.lit(1), F.lit(int(max_repeats))), one_pass), lambda x: x["taken"] > 0)
+    passes = F.transform(passes, placed)
     d = d.withColumn("passes", passes)
     d = d.withColumn("taken", F.aggregate("passes", F.lit(0).cast("long"), lambda a, x: a + x["taken"]))
     return d.drop("_before", "_goal", "knots")
