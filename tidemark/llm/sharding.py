@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import SEED, durable, running, unit_hash
 
 #: Rows that are sorted together in one task
-SLICE_ROWS = 50_000
+SLICE_ROWS = 8192
 PLACES = 1 << 40
 
 
