@@ -72,7 +72,9 @@ class Words:
             return np.zeros(0, dtype=np.uint64)
         lens = self.ends - self.starts
         at = np.cumsum(lens) - lens
-        power = np.multiply.accumulate(np.concatenate([[1], np.full(int(lens.max()), BASE, dtype=np.uint64)]).astype(np.uint64))
+        steps = np.full(int(lens.max()), BASE, dtype=np.uint64)
+        steps[0] = 1
+        power = np.multiply.accumulate(steps)
         inside = np.arange(int(lens.sum())) - np.repeat(at, lens)
         values = (self.data[self.solid].astype(np.uint64) + np.uint64(1)) * power[inside]
         return _mix(np.add.reduceat(values, at) + lens.astype(np.uint64))
