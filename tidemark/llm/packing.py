@@ -61,8 +61,6 @@ class WordTokenizer:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, missing: set[bytes]) -> None:
-        if len(self.words) + len(missing) > self.memory:
-            self.words = {}
         if len(self.pieces) > self.memory:
             self.pieces = {}
         whole, split = [], []
@@ -82,12 +80,11 @@ class WordTokenizer:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        missing = set().union(*split)
-        if not missing <= self.words.keys():
-            missing -= self.words.keys()
+        needed = set().union(*split)
+        if missing := needed - self.words.keys():
+            if len(self.words) + len(missing) > self.memory:
+                self.words, missing = {}, needed
             self._learn(missing)
-            if len(self.words) == len(missing):  # all was forgotten
-                self._learn(set().union(*split) - missing)
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
 
