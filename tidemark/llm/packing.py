@@ -29,7 +29,7 @@ TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 1 << 16
 SLICE_DOCS = 512
 #: Words, and pieces of words, that a worker remembers the ids of; more make it forget and start anew
-MEMORY = 800_000
+MEMORY = 1_300_000
 
 #: What the tokenizer's file splits words by (fixed values)
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -66,7 +66,11 @@ class WordTokenizer:
         whole, split = [], []
         for w in missing:
             s = w.decode("utf-8", "replace")
-            if PLAIN.fullmatch(s) and "<|" not in s:
+            stem, tail = (s[:-1], [s[-1]]) if s[-1] in ",." else (s, [])
+            # letters alone are one piece; most words need no pattern
+            if stem.isalpha() and max(stem) <= "\xff":
+                split.append((w, [stem.lower(), *tail]))
+            elif PLAIN.fullmatch(s) and "<|" not in s:
                 split.append((w, PIECES.findall(s.lower())))
             else:
                 whole.append((w, s))
