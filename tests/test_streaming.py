@@ -30,10 +30,27 @@ def test_bars_over_micro_batches(spark, sf_dir):
     assert rows(got.select(want.columns)) == rows(want)
 
 
+def shuffled_parts(spark, sf_dir):
+    """Files whose events overlap in time, so most micro-batches bring late rows."""
+    path = scratch(spark, "events")
+    e = batch_events(spark, sf_dir)
+    for k in range(4):
+        e.where(F.col("event_id") % 4 == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def test_latch_state_survives_micro_batches(spark, sf_dir):
-    one = live.settle(live.latch_switches(live.event_stream(spark, sf_dir), 100.0, 20.0), [], mode="append")
-    many = live.settle(live.latch_switches(parts(spark, sf_dir), 100.0, 20.0), [], mode="append")
-    assert rows(one) == rows(many) and one.count() > 0
+    keys = ["event_type", "start"]
+    want = live.latch_switches(live.latch_windows(batch_events(spark, sf_dir), 100.0, 20.0))
+    many = live.latch_switches(live.settle(live.latch_windows(parts(spark, sf_dir), 100.0, 20.0), keys))
+    assert rows(want) == rows(many) and want.count() > 0
+
+
+def test_late_rows_revise_the_latch(spark, sf_dir):
+    keys = ["event_type", "start"]
+    want = live.latch_switches(live.latch_windows(batch_events(spark, sf_dir), 100.0, 20.0))
+    late = live.latch_switches(live.settle(live.latch_windows(shuffled_parts(spark, sf_dir), 100.0, 20.0, late="60 days"), keys))
+    assert rows(want) == rows(late)
 
 
 def test_revisions_keep_the_newest(spark, sf_dir):

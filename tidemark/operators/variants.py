@@ -74,8 +74,7 @@ def _fan_out(sig: DataFrame, variants: Variants, by: list[str], chunk: int, peri
     v = v.groupBy("chunk").agg(F.collect_list(F.struct("variant_id", *DEFAULTS)).alias("lanes"))
     n_chunks = (variants.size - 1) // chunk + 1
     fan = arr.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)).cast("array<bigint>")))
-    # a variant is about 200 bytes, so this many stay under 10 MB; larger tables are shuffled
-    fan = fan.join(F.broadcast(v), "chunk") if variants.size <= 50_000 else fan_join(fan, v, ["chunk"])
+    fan = fan_join(fan, v, ["chunk"])
     fan = fan.select(*by, "chunk", *[F.col(f"lanes.{c}").alias(f"v_{c}") for c in ["variant_id", *DEFAULTS]], *SERIES, "period")
     return spread(fan, *by, "chunk")
 
@@ -117,8 +116,9 @@ def equity_paths(sig: DataFrame, variants: Variants, by: tuple[str, ...] = ("sym
             for row in pdf.to_dict("records"):
                 day, params, ids = _lanes(row)
                 _, path = _advance(day, params, keep_path=True)
+                eq, lev = (np.stack([p[k] for p in path]) for k in (0, 1))
                 for j, v in enumerate(ids):
-                    one = pd.DataFrame({"pos": np.arange(1, len(path) + 1), "eq": [e[j] for e, _ in path], "lev": [x[j] for _, x in path]})
+                    one = pd.DataFrame({"pos": np.arange(1, len(path) + 1), "eq": eq[:, j], "lev": lev[:, j]})
                     yield one.assign(**{b: row[b] for b in by}, variant_id=v)
 
     return _fan_out(sig, variants, by, chunk, None).mapInPandas(run, _ddl(sig, by, "pos bigint, eq double, lev double"))

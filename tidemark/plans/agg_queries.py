@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -15,14 +14,13 @@ from tidemark.operators.signals import signal_frame
 from tidemark.plans import base_sql as B
 from tidemark.plans.base_queries import day
 from tidemark.plans.registry import query
-from tidemark.session import calendar_sized
+from tidemark.session import calendar_sized, fan_join
 from tidemark.sources import market
 
 SIG = B.with_(*B.signal_frame())
 SIGX = SIG.rstrip() + ","
 TS = "strftime(ts,'%Y-%m-%d') AS ts"
 SY = "OVER (PARTITION BY symbol ORDER BY ts)"
-SYMBOLS = ["AF", "AO", "NF", "NO", "RF", "RO"]
 r6 = lambda c, n=None: F.round(c, 6).alias(n or c)
 
 
@@ -50,23 +48,14 @@ def return_shape(spark, sf):
 
 
 @query(
-    "A6 J13 correlation matrix from one wide aggregation",
+    "A6 correlation matrix of all pairs of series",
     SIG + "SELECT a.symbol AS a, b.symbol AS b, round(corr(a.r,b.r),6) AS corr, count(*) AS n FROM sig a JOIN sig b ON a.ts=b.ts AND a.symbol<b.symbol WHERE a.r IS NOT NULL AND b.r IS NOT NULL GROUP BY 1,2",
 )
 def correlation_matrix(spark, sf):
-    """One row per day (named columns), then every pair in a single pass: no self-join."""
-    wide = signal_frame(spark, sf).groupBy("ts").pivot("symbol", SYMBOLS).agg(F.first("r"))
-    pairs = list(combinations(SYMBOLS, 2))
-    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    agg = wide.agg(
-        F.array(*[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"),
-                     F.round(F.corr(F.when(both(a, b), F.col(a)), F.when(both(a, b), F.col(b))), 6).alias("corr"),
-                     F.count_if(both(a, b)).alias("n"))
-            for a, b in pairs
-        ]).alias("m")
-    )
-    return agg.select(F.explode("m").alias("m")).select("m.*")
+    """Day rows of all symbols meet on the day, each pair once; moments per pair combine map-side."""
+    d = signal_frame(spark, sf).where("r is not null").select("ts", "symbol", "r")
+    x = fan_join(d.toDF("ts", "a", "ra"), d.toDF("ts", "b", "rb"), ["ts"]).where("a < b")
+    return x.groupBy("a", "b").agg(F.round(F.corr("ra", "rb"), 6).alias("corr"), F.count(F.lit(1)).alias("n"))
 
 
 @query(

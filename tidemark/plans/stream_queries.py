@@ -14,7 +14,7 @@ T = "'%Y-%m-%d %H:%M:%S'"
 
 @query(
     "ST1 tumbling hourly bars from ticks with a watermark",
-    f"SELECT event_type, strftime(date_trunc('hour',ts),{T}) AS start, arg_min(value,ts) AS open, max(value) AS high, min(value) AS low, arg_max(value,ts) AS close, round(avg(value),8) AS mean, count(*) AS n FROM events GROUP BY 1,2",
+    f"SELECT event_type, strftime(date_trunc('hour',ts),{T}) AS start, arg_min(value,{{ts: ts, id: event_id}}) AS open, max(value) AS high, min(value) AS low, arg_max(value,{{ts: ts, id: event_id}}) AS close, round(avg(value),8) AS mean, count(*) AS n FROM events GROUP BY 1,2",
 )
 def stream_hourly_bars(spark, sf):
     b = live.settle(live.tumbling_bars(live.event_stream(spark, sf)), ["event_type", "start"], name="bars")
@@ -27,8 +27,8 @@ def stream_hourly_bars(spark, sf):
     SELECT event_type, strftime(ts,{T}) AS ts, CAST(st AS INT) AS state FROM (SELECT *, lag(st,1,0) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS p FROM l) WHERE st<>p""",
 )
 def stream_latch(spark, sf):
-    s = live.settle(live.latch_switches(live.event_stream(spark, sf), 100.0, 20.0), [], mode="append", name="latch")
-    return s.select("event_type", stamp("ts").alias("ts"), "state")
+    w = live.settle(live.latch_windows(live.event_stream(spark, sf), 100.0, 20.0), ["event_type", "start"], name="latch")
+    return live.latch_switches(w).select("event_type", stamp("ts").alias("ts"), "state")
 
 
 @query(
@@ -43,7 +43,7 @@ def source_staleness(spark, sf):
 
 @query(
     "ST4 late revisions: newest value per user and day wins",
-    "SELECT user_id, strftime(CAST(ts AS DATE),'%Y-%m-%d') AS d, arg_max(value,ts) AS value, count(*) AS n FROM events GROUP BY 1,2",
+    "SELECT user_id, strftime(CAST(ts AS DATE),'%Y-%m-%d') AS d, arg_max(value,{ts: ts, id: event_id}) AS value, count(*) AS n FROM events GROUP BY 1,2",
 )
 def stream_revisions(spark, sf):
     r = live.settle(live.revisions(live.event_stream(spark, sf)), ["user_id", "d"], name="revisions")
@@ -52,8 +52,8 @@ def stream_revisions(spark, sf):
 
 @query(
     "ST5 sliding windows with a live z-score",
-    f"""WITH x AS (SELECT event_type, value, ts, unnest([CAST(time_bucket(INTERVAL 6 HOUR, ts) AS TIMESTAMP) - k*INTERVAL 6 HOUR FOR k IN [0,1,2,3]]) AS s FROM events)
-    SELECT event_type, strftime(s,{T}) AS start, round(avg(value),8) AS mean, round(stddev_samp(value),8) AS sd, round((arg_max(value,ts)-avg(value))/nullif(stddev_samp(value),0),6) AS z, count(*) AS n FROM x GROUP BY 1,2""",
+    f"""WITH x AS (SELECT event_type, event_id, value, ts, unnest([CAST(time_bucket(INTERVAL 6 HOUR, ts) AS TIMESTAMP) - k*INTERVAL 6 HOUR FOR k IN [0,1,2,3]]) AS s FROM events)
+    SELECT event_type, strftime(s,{T}) AS start, round(avg(value),8) AS mean, round(stddev_samp(value),8) AS sd, round((arg_max(value,{{ts: ts, id: event_id}})-avg(value))/nullif(stddev_samp(value),0),6) AS z, count(*) AS n FROM x GROUP BY 1,2""",
 )
 def stream_sliding_scores(spark, sf):
     s = live.settle(live.sliding_stats(live.event_stream(spark, sf)), ["event_type", "start"], name="sliding")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,19 +28,6 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names.
-
-    ``spark.checkpoint.dir`` wins; a private folder is used only where the
-    session has none (local tests), so executors lost later can be replaced.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-ckpt-"))
-    return df.checkpoint(eager=True)
-
-
 def calendar_sized(df: DataFrame) -> DataFrame:
     """Broadcast a table that holds at most a few rows per calendar day.
 

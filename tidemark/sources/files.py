@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,11 +13,15 @@ from tidemark.functions.expr import parse_number
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder of ``spark.checkpoint.dir`` (a private one in local tests)."""
+    """A fresh path in the shared folder of ``spark.checkpoint.dir``.
+
+    A session whose only machine is the driver's may do without one; on a cluster a
+    folder that executors do not share would lose the data, so none is made up.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        import tempfile
-
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 

@@ -7,16 +7,16 @@ table in the shared folder and reads the final version of each key.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.sources.files import scratch
 from tidemark.sources.market import SCHEMAS
 
+def at() -> Column:
+    """Order of events; equal times go by id."""
+    return F.struct("ts", "event_id")
+
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a file stream."""
@@ -29,7 +29,7 @@ def tumbling_bars(events: DataFrame, size: str = "1 hour", late: str = "2 hours"
         events.withWatermark("ts", late)
         .groupBy(F.window("ts", size).alias("w"), "event_type")
         .agg(
-            F.min_by("value", "ts").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "ts").alias("close"),
+            F.min_by("value", at()).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at()).alias("close"),
             F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"),
         )
         .select("event_type", F.col("w.start").alias("start"), "open", "high", "low", "close", "mean", "n")
@@ -39,7 +39,7 @@ def tumbling_bars(events: DataFrame, size: str = "1 hour", late: str = "2 hours"
 def sliding_stats(events: DataFrame, size: str = "24 hours", slide: str = "6 hours", late: str = "2 hours") -> DataFrame:
     """Mean, deviation and last-value z-score over overlapping windows."""
     g = events.withWatermark("ts", late).groupBy(F.window("ts", size, slide).alias("w"), "event_type")
-    g = g.agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.max_by("value", "ts").alias("last"), F.count(F.lit(1)).alias("n"))
+    g = g.agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.max_by("value", at()).alias("last"), F.count(F.lit(1)).alias("n"))
     z = (F.col("last") - F.col("mean")) / F.nullif(F.col("sd"), F.lit(0.0))
     return g.select("event_type", F.col("w.start").alias("start"), "mean", "sd", z.alias("z"), "n")
 
@@ -50,24 +50,24 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "2 hours") ->
     return g.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n", "total")
 
 
-def latch_switches(events: DataFrame, trigger: float, recover: float) -> DataFrame:
-    """Hysteresis latch per event type, kept in keyed state across micro-batches."""
+def latch_windows(events: DataFrame, trigger: float, recover: float, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
+    """Changes of direction among the threshold crossings of each (window, event_type).
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        on = state.get[0] if state.exists else 0
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out = []
-        for r in rows.itertuples():
-            new = 1 if r.value > trigger else 0 if r.value < recover else on
-            if new != on:
-                out.append((key[0], r.ts, new))
-                on = new
-        state.update((on,))
-        yield pd.DataFrame(out, columns=["event_type", "ts", "state"])
+    Rows between the thresholds never move a latch and are filtered first. State is kept by window,
+    so one event type is many keys, and a late row within the watermark revises its window only.
+    """
+    side = F.when(F.col("value") > trigger, 1).when(F.col("value") < recover, 0)
+    c = events.withWatermark("ts", late).withColumn("state", side).where("state is not null")
+    g = c.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "state"))).alias("rows"))
+    changes = F.filter("rows", lambda x, i: (i == 0) | (x["state"] != F.get("rows", i - 1)["state"]))
+    return g.select("event_type", F.col("w.start").alias("start"), changes.alias("changes"), F.element_at("rows", -1)["state"].alias("last"))
 
-    return events.select("event_type", "ts", "event_id", "value").groupBy("event_type").applyInPandasWithState(
-        step, "event_type string, ts timestamp, state int", "on int", "append", GroupStateTimeout.NoTimeout
-    )
+
+def latch_switches(windows: DataFrame) -> DataFrame:
+    """Hysteresis latch per event type from the newest version of its windows: every time the state changes, from 0."""
+    before = F.coalesce(F.lag("last").over(Window.partitionBy("event_type").orderBy("start")), F.lit(0))
+    x = windows.withColumn("before", before).select("event_type", "before", F.posexplode("changes").alias("i", "c"))
+    return x.where((F.col("i") > 0) | (F.col("c.state") != F.col("before"))).select("event_type", "c.ts", "c.state")
 
 
 def settle(stream: DataFrame, keys: list[str], mode: str = "update", name: str = "stream") -> DataFrame:
@@ -100,7 +100,8 @@ def staleness(source: DataFrame, by: list[str], limit_hours: float) -> DataFrame
     return x.select(*by, "last", "age_hours", (F.col("age_hours") > limit_hours).alias("stale"))
 
 
-def revisions(events: DataFrame) -> DataFrame:
-    """Newest value per (user, day); later events revise earlier ones."""
-    g = events.groupBy("user_id", F.to_date("ts").alias("d"))
-    return g.agg(F.max_by("value", "ts").alias("value"), F.max("ts").alias("version"), F.count(F.lit(1)).alias("n"))
+def revisions(events: DataFrame, late: str = "2 days") -> DataFrame:
+    """Newest value per (user, day); later events revise earlier ones until the watermark passes the day."""
+    g = events.withWatermark("ts", late).groupBy("user_id", F.window("ts", "1 day").alias("w"))
+    out = g.agg(F.max_by("value", at()).alias("value"), F.max("ts").alias("version"), F.count(F.lit(1)).alias("n"))
+    return out.select("user_id", F.to_date("w.start").alias("d"), "value", "version", "n")
