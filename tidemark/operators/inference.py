@@ -86,6 +86,139 @@ def block_bootstrap(
     return arr.mapInPandas(resample, f"{keys}, b int, rep int, n int, " + ", ".join(f"{k} double" for k in names))
 
 
+def per_replicate(df: DataFrame, by: list[str], columns: dict[str, Column], reps: int, kernel, out: list[str], order: str = "pos", slices: int = 64) -> DataFrame:
+    """(key, rep, out): ``kernel(arrays, reps)`` on every slice of replicates of every series.
+
+    A series (one row per day) travels as arrays once for each slice; missing values
+    are NaN. Replicates are index arithmetic on those arrays, so no replicate's rows are joined or shuffled.
+    """
+    d = df.select(*by, order, *[v.cast("double").alias(k) for k, v in columns.items()])
+    arr = d.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("rows"))
+    arr = arr.select(*by, *[F.col(f"rows.{k}").alias(k) for k in columns])
+    arr = spread(arr.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(min(slices, reps) - 1)))), *by, "slice")
+    names = list(columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                x = {k: np.array([np.nan if v is None else v for v in row[k]], dtype=float) for k in names}
+                every = np.arange(row["slice"], reps, min(slices, reps))
+                for i in range(0, len(every), 256):
+                    rep = every[i : i + 256]
+                    got = kernel(x, rep)
+                    if got is not None:
+                        yield pd.DataFrame(got, columns=out).assign(**{c: row[c] for c in by}, rep=rep)
+
+    keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema)
+    return arr.mapInPandas(run, f"{keys}, rep int, " + ", ".join(f"{k} double" for k in out))
+
+
+def mean_difference(seed: int):
+    """Rows drawn with replacement from the pooled series; ``late`` flags give the size of the second group."""
+
+    def kernel(x: dict, rep: np.ndarray) -> np.ndarray:
+        r, n0 = x["r"], int((x["late"] == 0).sum())
+        v = r[_draws(seed, rep, np.arange(len(r)), len(r))]
+        if not 0 < n0 < len(r):
+            return np.full((len(rep), 1), np.nan)
+        return (v[:, n0:].mean(axis=1) - v[:, :n0].mean(axis=1))[:, None]
+
+    return kernel
+
+
+def spaced_dates(seed: int, gap: int, tries: int, tail: int):
+    """Greedy acceptance of dates at least ``gap`` rows apart; a replicate that does not find enough in ``tries`` draws is NaN."""
+
+    def kernel(x: dict, rep: np.ndarray) -> np.ndarray | None:
+        f, m, n = x["f"], int(x["event"].sum()), len(x["f"]) - tail
+        if not m or n <= 0:
+            return None
+        draws = _draws(seed, rep, np.arange(tries), n)
+        taken, count = np.full((len(rep), m), -(10**9)), np.zeros(len(rep), dtype=np.int64)
+        for k in range(tries):
+            c = draws[:, k]
+            fits = (count < m) & (np.abs(taken - c[:, None]) >= gap).all(axis=1)
+            taken[fits, count[fits]] = c[fits]
+            count += fits
+        full = count == m
+        value = np.full(len(rep), np.nan)
+        value[full] = np.nanmean(f[taken[full]], axis=1)
+        return np.column_stack([value, full.astype(float)])
+
+    return kernel
+
+
+def shifted_events(seed: int, tail: int):
+    """All events moved together to a drawn start, with their distances kept."""
+
+    def kernel(x: dict, rep: np.ndarray) -> np.ndarray | None:
+        at = np.flatnonzero(x["event"] > 0)
+        if not len(at):
+            return None
+        free = len(x["f"]) - int(at[-1] - at[0]) - tail
+        if free <= 0:
+            return None
+        start = _draw_one(seed, rep, free)
+        return np.nanmean(x["f"][start[:, None] + (at - at[0])[None, :]], axis=1)[:, None]
+
+    return kernel
+
+
+def shifted_fit(seed: int, edge: int):
+    """R squared of the target on the feature rotated by a drawn shift."""
+
+    def kernel(x: dict, rep: np.ndarray) -> np.ndarray | None:
+        z, f, n = x["z"], x["f"], len(x["z"])
+        if n <= 2 * edge:
+            return None
+        shift = edge + _draw_one(seed, rep, n - 2 * edge)
+        y = f[(np.arange(n)[None, :] + shift[:, None]) % n]
+        z0, y0 = z - z.mean(), y - y.mean(axis=1, keepdims=True)
+        return ((y0 @ z0) ** 2 / ((z0 @ z0) * (y0 * y0).sum(axis=1)))[:, None]
+
+    return kernel
+
+
+def walk_forward_error(z: np.ndarray, y: np.ndarray, first: int, lag: int) -> np.ndarray:
+    """Out-of-sample R squared of an expanding regression, refitted every row from moments of rows at least ``lag`` older."""
+    zc = z - z[:first].mean()
+    run = lambda v: np.cumsum(v, axis=-1)
+    n = np.arange(1, len(z) + 1)
+    sz, szz, sy, szy = run(zc), run(zc * zc), run(y), run(y * zc)
+    i = np.arange(first, len(z))
+    k = i - lag
+    var = szz[k] - sz[k] ** 2 / n[k]
+    slope = (szy[:, k] - sz[k] * sy[:, k] / n[k]) / var
+    mean = sy[:, k] / n[k]
+    predicted = mean + slope * (zc[i] - sz[k] / n[k])
+    return 1 - ((y[:, i] - predicted) ** 2).sum(axis=1) / ((y[:, i] - mean) ** 2).sum(axis=1)
+
+
+def shifted_walk_forward(seed: int, edge: int, first: int, lag: int):
+    """The whole expanding walk-forward refitted for every rotation of the target; the real order's value goes along."""
+
+    def kernel(x: dict, rep: np.ndarray) -> np.ndarray | None:
+        z, f, n = x["z"], x["f"], len(x["z"])
+        if n <= max(2 * edge, first + 1):
+            return None
+        shift = edge + _draw_one(seed, rep, n - 2 * edge)
+        y = f[(np.arange(n)[None, :] + shift[:, None]) % n]
+        real = walk_forward_error(z, f[None, :], first, lag)
+        return np.column_stack([walk_forward_error(z, y, first, lag), np.repeat(real, len(rep))])
+
+    return kernel
+
+
+def _draw_one(seed: int, reps: np.ndarray, n: int) -> np.ndarray:
+    """Same numbers as ``with_draw`` with keys (seed, rep)."""
+    p, h = np.int64(2147483647), np.int64(0)
+    for i, key in enumerate((np.int64(seed), reps.astype(np.int64))):
+        x = (h + key * 1000003 + 7919 * (i + 1)) % p
+        y = (x * x) % p
+        h = (((y * y) % p) * x) % p
+    return h % n
+
+
 def sharpe_from_sums(s: str, q: str, n: str = "n") -> Column:
     mean = F.col(s) / F.col(n)
     var = F.col(q) / F.col(n) - mean * mean

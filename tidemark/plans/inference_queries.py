@@ -17,7 +17,7 @@ from tidemark.plans.fold_queries import recursive
 from tidemark.plans.machine_queries import COOL
 from tidemark.plans.registry import query
 from tidemark.plans.variant_queries import variant_sql
-from tidemark.session import fan_join
+from tidemark.session import calendar_sized, fan_join
 
 SIG = B.with_(*B.signal_frame())
 SIGX = SIG.rstrip() + ","
@@ -114,21 +114,26 @@ def bootstrap_crash_lift(spark, sf):
     SELECT symbol, round(any_value(d),8) AS diff, round(avg(CAST(abs(bd)>=abs(d) AS INT)),6) AS p_value, round(avg(bd),8) AS null_mean, round(stddev_samp(bd),8) AS null_sd FROM b GROUP BY 1""",
 )
 def bootstrap_mean_difference(spark, sf):
-    s = signal_frame(spark, sf).where("r is not null").withColumn("p", (F.row_number().over(W.over()) - 1).cast("long"))
-    g = F.col("ts") >= F.to_date(F.lit("1999-01-01"))
-    a = s.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.count_if(~g).alias("n0"), (F.avg(F.when(g, F.col("r"))) - F.avg(F.when(~g, F.col("r")))).alias("d"))
-    r = N.replicates(a, ["symbol"], 200).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    r = N.with_draw(r, "p", [7, "rep", "k"], F.col("n"))
-    late = F.col("k") >= F.col("n0")
-    b = fan_join(r, s.select("symbol", "p", "r"), ["symbol", "p"]).groupBy("symbol", "rep").agg(
-        F.first("d").alias("d"), (F.avg(F.when(late, F.col("r"))) - F.avg(F.when(~late, F.col("r")))).alias("bd")
-    )
-    return b.groupBy("symbol").agg(
+    return mean_difference_test(spark, sf, 200)
+
+
+def mean_difference_test(spark, sf, reps):
+    s = signal_frame(spark, sf).where("r is not null").select("symbol", "pos", "r", (F.col("ts") >= F.to_date(F.lit("1999-01-01"))).cast("int").alias("late"))
+    real = s.groupBy("symbol").agg((F.avg(F.when(F.col("late") == 1, F.col("r"))) - F.avg(F.when(F.col("late") == 0, F.col("r")))).alias("d"))
+    b = N.per_replicate(s, ["symbol"], {"r": F.col("r"), "late": F.col("late")}, reps, N.mean_difference(7), ["bd"])
+    b = b.withColumn("bd", F.nanvl("bd", F.lit(None).cast("double")))
+    g = calendar_sized(real).join(b, "symbol").groupBy("symbol")
+    return g.agg(
         F.round(F.first("d"), 8).alias("diff"), F.round(F.avg((F.abs("bd") >= F.abs("d")).cast("int")), 6).alias("p_value"),
         F.round(F.avg("bd"), 8).alias("null_mean"), F.round(F.stddev_samp("bd"), 8).alias("null_sd"),
     )
 
 
+@query("I11 I15 the same bootstrap with 10,000 replicates")
+def bootstrap_mean_difference_full(spark, sf):
+    return mean_difference_test(spark, sf, 10_000)
+
+
 SPACED = f""" fw AS (SELECT symbol, pos, lead(close,21) OVER (PARTITION BY symbol ORDER BY pos)/close-1 AS f FROM sig),
  ev AS (SELECT ep.symbol, count(*) AS m, avg(f) AS real FROM ep JOIN fw ON fw.symbol=ep.symbol AND fw.pos=ep.pos WHERE f IS NOT NULL GROUP BY 1), mx AS (SELECT symbol, max(pos)-21 AS n FROM sig GROUP BY 1),
  sp(symbol,rep,m,real,n,k,acc) AS (SELECT symbol, rep, m, real, n, 0, CAST([] AS BIGINT[]) FROM (SELECT ev.*, mx.n, unnest(generate_series(0,199)) AS rep FROM ev JOIN mx USING (symbol))
@@ -139,27 +144,29 @@ SPACED = f""" fw AS (SELECT symbol, pos, lead(close,21) OVER (PARTITION BY symbo
 
 @query("I12 spaced random-date permutation: greedy acceptance of at most 500 draws", RSIGX + COOL.format(g=60) + "," + SPACED)
 def spaced_permutation(spark, sf):
+    return episode_permutation(spark, sf, 200, N.spaced_dates(11, 42, 500, 21), ["v", "full"])
+
+
+def episode_permutation(spark, sf, reps, kernel, out):
+    """Mean forward return of the episodes against replicates of their dates."""
     s = signal_frame(spark, sf).withColumn("f", W.forward_return("close", 21))
-    e = cooled_episodes(s, F.col("z") > 1.0, 60).where("f is not null")
-    real = e.groupBy("symbol").agg(F.count(F.lit(1)).alias("m"), F.avg("f").alias("real"))
-    keys = real.join(s.groupBy("symbol").agg((F.max("pos") - 21).cast("long").alias("n")), "symbol")
-    r = N.replicates(keys, ["symbol"], 200)
-    # the draws of a replicate are an array computed in place: nothing is exploded or shuffled
-    tries = r.withColumn("t", F.transform(F.sequence(F.lit(0), F.lit(499)), lambda k: draw(11, "rep", k, n=F.col("n"))))
-    none = F.array().cast("array<bigint>")
-    accept = lambda acc, x: F.when(
-        (F.size(acc) < F.col("m")) & ~F.exists(acc, lambda a: F.abs(a - x) < 42), F.concat(acc, F.array(x))
-    ).otherwise(acc)
-    t = tries.withColumn("acc", F.aggregate("t", none, accept)).where(F.size("acc") == F.col("m"))
-    x = t.select("symbol", "rep", "real", F.explode(F.transform("acc", lambda a: a + 1)).alias("pos"))
-    x = fan_join(x, s.select("symbol", F.col("pos").cast("long").alias("pos"), "f"), ["symbol", "pos"])
-    p = x.groupBy("symbol", "rep").agg(F.first("real").alias("real"), F.avg("f").alias("v"))
-    return p.groupBy("symbol").agg(
+    e = cooled_episodes(s, F.col("z") > 1.0, 60).where("f is not null").select("symbol", "pos", F.lit(1).alias("event"))
+    x = s.select("symbol", "pos", "f").join(e, ["symbol", "pos"], "left")
+    real = x.where("event = 1").groupBy("symbol").agg(F.avg("f").alias("real"))
+    columns = {"f": F.col("f"), "event": F.coalesce("event", F.lit(0))}
+    p = N.per_replicate(x, ["symbol"], columns, reps, kernel, out)
+    p = (p.where("full = 1") if "full" in out else p).withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
+    return calendar_sized(real).join(p, "symbol").groupBy("symbol").agg(
         F.count(F.lit(1)).alias("reps"), F.round(F.first("real"), 6).alias("real"), F.round(F.avg("v"), 6).alias("null_mean"),
         F.round(F.avg((F.col("v") <= F.col("real")).cast("int")), 6).alias("p_value"),
     )
 
 
+@query("I12 the same permutation with 100,000 replicates")
+def spaced_permutation_full(spark, sf):
+    return episode_permutation(spark, sf, 100_000, N.spaced_dates(11, 42, 500, 21), ["v", "full"])
+
+
 @query(
     "I13 shift permutation that keeps the gaps between episodes",
     SIGX + COOL.format(g=60) + f""", fw AS (SELECT symbol, pos, lead(close,21) OVER (PARTITION BY symbol ORDER BY pos)/close-1 AS f FROM sig), e2 AS (SELECT ep.symbol, ep.pos, f FROM ep JOIN fw ON fw.symbol=ep.symbol AND fw.pos=ep.pos WHERE f IS NOT NULL),
@@ -168,35 +175,45 @@ def spaced_permutation(spark, sf):
     SELECT symbol, count(*) AS reps, round(any_value(real),6) AS real, round(avg(v),6) AS null_mean, round(avg(CAST(v<=real AS INT)),6) AS p_value FROM v GROUP BY 1""",
 )
 def shift_permutation(spark, sf):
-    s = signal_frame(spark, sf).withColumn("f", W.forward_return("close", 21)).withColumn("pos", F.col("pos").cast("long"))
-    e = cooled_episodes(s, F.col("z") > 1.0, 60).where("f is not null").select("symbol", "pos", "f")
-    a = e.groupBy("symbol").agg(F.min("pos").alias("p0"), (F.max("pos") - F.min("pos")).alias("span"), F.avg("f").alias("real"))
-    offs = e.join(a.select("symbol", "p0"), "symbol").select("symbol", (F.col("pos") - F.col("p0")).alias("off"))
-    keys = a.join(s.groupBy("symbol").agg(F.max("pos").alias("n")), "symbol").where("n - span - 22 > 0")
-    r = N.with_draw(N.replicates(keys, ["symbol"], 1000), "start", [13, "rep"], F.col("n") - F.col("span") - 22)
-    x = fan_join(r, offs, ["symbol"]).withColumn("pos", F.col("start") + 1 + F.col("off"))
-    x = fan_join(x, s.select("symbol", "pos", "f"), ["symbol", "pos"])
-    p = x.groupBy("symbol", "rep").agg(F.first("real").alias("real"), F.avg("f").alias("v"))
-    return p.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("reps"), F.round(F.first("real"), 6).alias("real"), F.round(F.avg("v"), 6).alias("null_mean"),
-        F.round(F.avg((F.col("v") <= F.col("real")).cast("int")), 6).alias("p_value"),
-    )
+    return episode_permutation(spark, sf, 1000, N.shifted_events(13, 22), ["v"])
+
+
+@query("I13 the same permutation with 100,000 replicates")
+def shift_permutation_full(spark, sf):
+    return episode_permutation(spark, sf, 100_000, N.shifted_events(13, 22), ["v"])
 
 
 @query(
-    "I14 A10 circular-shift permutation with a refit of the regression per replicate",
+    "I14 A10 circular-shift permutation of a one-feature fit",
     SIGX + f""" x AS (SELECT symbol, z, f, row_number() OVER (PARTITION BY symbol ORDER BY pos)-1 AS p, count(*) OVER (PARTITION BY symbol) AS n FROM (SELECT symbol, pos, z, lead(close,5) OVER (PARTITION BY symbol ORDER BY pos)/close-1 AS f FROM sig) WHERE z IS NOT NULL AND f IS NOT NULL),
-    a AS (SELECT symbol, any_value(n) AS n, regr_r2(f,z) AS real FROM x GROUP BY 1), dr AS (SELECT *, 26+{draw_cols(["17", "rep"], "n-52", "sh0").replace(" AS sh0", "")} AS sh FROM (SELECT *, unnest(generate_series(0,99)) AS rep FROM a)),
+    a AS (SELECT symbol, any_value(n) AS n, regr_r2(f,z) AS real FROM x GROUP BY 1), dr AS (SELECT *, 26+{draw_cols(["17", "rep"], "n-52", "sh0").replace(" AS sh0", "")} AS sh FROM (SELECT *, unnest(generate_series(0,199)) AS rep FROM a)),
     v AS (SELECT dr.symbol, rep, any_value(real) AS real, regr_r2(y.f,x.z) AS v FROM dr JOIN x ON x.symbol=dr.symbol JOIN x y ON y.symbol=x.symbol AND y.p=(x.p+dr.sh)%dr.n GROUP BY 1,2)
     SELECT symbol, round(any_value(real),6) AS real, round(avg(v),6) AS null_mean, round(quantile_cont(v,0.95),6) AS null_p95, round(avg(CAST(v>=real AS INT)),6) AS p_value FROM v GROUP BY 1""".replace("26+(0+", "(0+").replace("h1_%(n-52) AS sh", "26+h1_%(n-52) AS sh"),
 )
 def circular_shift_permutation(spark, sf):
     s = signal_frame(spark, sf).withColumn("f", W.forward_return("close", 5)).where("z is not null and f is not null")
-    s = s.select("symbol", "z", "f", (F.row_number().over(W.over()) - 1).cast("long").alias("p"))
-    a = s.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.regr_r2("f", "z").alias("real"))
-    r = N.with_draw(N.replicates(a, ["symbol"], 100), "sh", [17, "rep"], F.col("n") - 52).withColumn("sh", F.col("sh") + 26)
-    x = fan_join(r, s.select("symbol", "z", "p"), ["symbol"]).withColumn("p", (F.col("p") + F.col("sh")) % F.col("n"))
-    v = fan_join(x, s.select("symbol", "p", "f"), ["symbol", "p"]).groupBy("symbol", "rep").agg(F.first("real").alias("real"), F.regr_r2("f", "z").alias("v"))
+    a = s.groupBy("symbol").agg(F.regr_r2("f", "z").alias("real"))
+    v = N.per_replicate(s, ["symbol"], {"z": F.col("z"), "f": F.col("f")}, 200, N.shifted_fit(17, 26), ["v"])
+    return calendar_sized(a).join(v, "symbol").groupBy("symbol").agg(
+        F.round(F.first("real"), 6).alias("real"), F.round(F.avg("v"), 6).alias("null_mean"), F.round(F.percentile("v", 0.95), 6).alias("null_p95"),
+        F.round(F.avg((F.col("v") >= F.col("real")).cast("int")), 6).alias("p_value"),
+    )
+
+
+WALK_SQL = f""" x AS (SELECT symbol, z, f, row_number() OVER (PARTITION BY symbol ORDER BY pos)-1 AS p, count(*) OVER (PARTITION BY symbol) AS n FROM (SELECT symbol, pos, z, lead(close,5) OVER (PARTITION BY symbol ORDER BY pos)/close-1 AS f FROM sig) WHERE z IS NOT NULL AND f IS NOT NULL),
+    a AS (SELECT symbol, any_value(n) AS n FROM x GROUP BY 1), dr AS (SELECT symbol, n, rep, 26+sh0 AS sh FROM (SELECT *, {draw_cols(["19", "rep"], "n-52", "sh0")} FROM (SELECT *, unnest(generate_series(0,199)) AS rep FROM a)) UNION ALL SELECT symbol, n, -1, 0 FROM a),
+    y AS (SELECT dr.symbol, rep, x.p, x.z, s.f FROM dr JOIN x ON x.symbol=dr.symbol JOIN x s ON s.symbol=x.symbol AND s.p=(x.p+dr.sh)%dr.n),
+    u AS (SELECT *, count(*) OVER w AS k, sum(z) OVER w AS sz, sum(z*z) OVER w AS szz, sum(f) OVER w AS sf, sum(f*z) OVER w AS sfz FROM y WINDOW w AS (PARTITION BY symbol, rep ORDER BY p)),
+    l AS (SELECT symbol, rep, p, z, f, lag(k,6) OVER w AS k, lag(sz,6) OVER w AS sz, lag(szz,6) OVER w AS szz, lag(sf,6) OVER w AS sf, lag(sfz,6) OVER w AS sfz FROM u WINDOW w AS (PARTITION BY symbol, rep ORDER BY p)),
+    c AS (SELECT symbol, rep, p, z, f, (sfz-sz*sf/k)/(szz-sz*sz/k) AS b, sf/k AS m, sf/k-(sfz-sz*sf/k)/(szz-sz*sz/k)*sz/k AS a FROM l),
+    v AS (SELECT symbol, rep, 1-sum((f-a-b*z)*(f-a-b*z))/sum((f-m)*(f-m)) AS v FROM c WHERE p>=252 GROUP BY 1,2)
+    SELECT v.symbol, round(any_value(r.v),6) AS real, round(avg(v.v),6) AS null_mean, round(quantile_cont(v.v,0.95),6) AS null_p95, round(avg(CAST(v.v>=r.v AS INT)),6) AS p_value FROM v JOIN v r ON r.symbol=v.symbol AND r.rep=-1 WHERE v.rep>=0 GROUP BY 1"""
+
+
+@query("I14 M2 circular-shift permutation with the whole expanding walk-forward refitted per shift", SIGX + WALK_SQL)
+def circular_shift_walk_forward(spark, sf):
+    s = signal_frame(spark, sf).withColumn("f", W.forward_return("close", 5)).where("z is not null and f is not null")
+    v = N.per_replicate(s, ["symbol"], {"z": F.col("z"), "f": F.col("f")}, 200, N.shifted_walk_forward(19, 26, 252, 6), ["v", "real"])
     return v.groupBy("symbol").agg(
         F.round(F.first("real"), 6).alias("real"), F.round(F.avg("v"), 6).alias("null_mean"), F.round(F.percentile("v", 0.95), 6).alias("null_p95"),
         F.round(F.avg((F.col("v") >= F.col("real")).cast("int")), 6).alias("p_value"),
