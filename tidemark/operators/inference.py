@@ -86,23 +86,25 @@ def block_bootstrap(
     return arr.mapInPandas(resample, f"{keys}, b int, rep int, n int, " + ", ".join(f"{k} double" for k in names))
 
 
-def per_replicate(df: DataFrame, by: list[str], columns: dict[str, Column], reps: int, kernel, out: list[str], order: str = "pos", slices: int = 64) -> DataFrame:
+def per_replicate(df: DataFrame, by: list[str], columns: dict[str, Column], reps: int | None, kernel, out: list[str], order: str = "pos", slices: int = 64) -> DataFrame:
     """(key, rep, out): ``kernel(arrays, reps)`` on every slice of replicates of every series.
 
     A series (one row per day) travels as arrays once for each slice; missing values
     are NaN. Replicates are index arithmetic on those arrays, so no replicate's rows are joined or shuffled.
+    Without ``reps`` every row of a series is a replicate.
     """
+    step = min(slices, reps or slices)
     d = df.select(*by, order, *[v.cast("double").alias(k) for k, v in columns.items()])
     arr = d.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("rows"))
     arr = arr.select(*by, *[F.col(f"rows.{k}").alias(k) for k in columns])
-    arr = spread(arr.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(min(slices, reps) - 1)))), *by, "slice")
+    arr = spread(arr.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(step - 1)))), *by, "slice")
     names = list(columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.to_dict("records"):
                 x = {k: np.array([np.nan if v is None else v for v in row[k]], dtype=float) for k in names}
-                every = np.arange(row["slice"], reps, min(slices, reps))
+                every = np.arange(row["slice"], reps or len(row[names[0]]), step)
                 for i in range(0, len(every), 256):
                     rep = every[i : i + 256]
                     got = kernel(x, rep)
@@ -209,6 +211,29 @@ def shifted_walk_forward(seed: int, edge: int, first: int, lag: int):
     return kernel
 
 
+def split_tests(edge: int, every: int):
+    """Median-centred Levene and Kolmogorov-Smirnov statistics of the rows before and from each split."""
+
+    def kernel(x: dict, rep: np.ndarray) -> np.ndarray | None:
+        r = x["x"]
+        n = len(r)
+        k = rep[(rep >= edge) & (n - rep >= edge) & (rep % every == 0)]
+        order = np.argsort(r, kind="stable")
+        last = np.append(np.diff(r[order]) != 0, True)
+        out = np.full((len(rep), 3), np.nan)
+        for j in k:
+            before = np.cumsum(order < j)[last]
+            rows = np.flatnonzero(last) + 1
+            ks = np.abs(before / j - (rows - before) / (n - j)).max()
+            d = [np.abs(side - np.median(side)) for side in (r[:j], r[j:])]
+            mu, size = np.array([v.mean() for v in d]), np.array([j, n - j])
+            between = (size * mu * mu).sum() - (size * mu).sum() ** 2 / n
+            out[np.searchsorted(rep, j)] = (j, (n - 2) * between / (size * np.array([v.var() for v in d])).sum(), ks)
+        return out
+
+    return kernel
+
+
 def _draw_one(seed: int, reps: np.ndarray, n: int) -> np.ndarray:
     """Same numbers as ``with_draw`` with keys (seed, rep)."""
     p, h = np.int64(2147483647), np.int64(0)

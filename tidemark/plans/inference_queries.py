@@ -277,21 +277,50 @@ def break_point_scan(spark, sf):
     return t.where("rn <= 5 or ts = date'1999-01-04'").select("symbol", day().alias("ts"), "t", "rn")
 
 
+SPLITS_SQL = SIGX + """ n AS (SELECT symbol, r, row_number() OVER (PARTITION BY symbol ORDER BY pos)-1 AS p, count(*) OVER (PARTITION BY symbol) AS n FROM sig WHERE r IS NOT NULL),
+    sp AS (SELECT DISTINCT symbol, n, k FROM (SELECT symbol, n, unnest(range(0, n, 200)) AS k FROM (SELECT DISTINCT symbol, n FROM n)) WHERE k>=252 AND n-k>=252),
+    g AS (SELECT n.symbol, k, r, CAST(p>=k AS INT) AS g FROM n JOIN sp ON sp.symbol=n.symbol),
+    ks AS (SELECT symbol, k, max(abs(a/na-b/nb)) AS ks FROM (SELECT symbol, k, sum(1-g) OVER w AS a, sum(g) OVER w AS b, sum(1-g) OVER p AS na, sum(g) OVER p AS nb FROM g WINDOW w AS (PARTITION BY symbol,k ORDER BY r), p AS (PARTITION BY symbol,k)) GROUP BY 1,2),
+    md AS (SELECT symbol, k, g, median(r) AS m FROM g GROUP BY 1,2,3), dv AS (SELECT g.symbol, g.k, g.g, abs(r-m) AS d FROM g JOIN md ON md.symbol=g.symbol AND md.k=g.k AND md.g=g.g),
+    pe AS (SELECT symbol, k, g, count(*) AS c, avg(d) AS mu, var_pop(d) AS vp FROM dv GROUP BY 1,2,3), lv AS (SELECT symbol, k, (sum(c)-2)*(sum(c*mu*mu)-sum(c*mu)*sum(c*mu)/sum(c))/sum(c*vp) AS w FROM pe GROUP BY 1,2)
+    SELECT ks.symbol, ks.k AS split, round(w,6) AS levene, round(ks,6) AS ks FROM ks JOIN lv ON lv.symbol=ks.symbol AND lv.k=ks.k"""
+
+
+def splits(spark, sf, every):
+    s = signal_frame(spark, sf).where("r is not null")
+    t = N.per_replicate(s, ["symbol"], {"x": F.col("r")}, None, N.split_tests(252, every), ["split", "levene", "ks"])
+    return t.where("split is not null and not isnan(split)").select("symbol", F.col("split").cast("long").alias("split"), F.round("levene", 6).alias("levene"), F.round("ks", 6).alias("ks"))
+
+
+@query("I20 Levene and Kolmogorov-Smirnov at every 200th split", SPLITS_SQL)
+def split_statistics(spark, sf):
+    return splits(spark, sf, 200)
+
+
+@query("I20 strongest Levene and Kolmogorov-Smirnov split over all splits")
+def strongest_splits(spark, sf):
+    t = splits(spark, sf, 1)
+    best = lambda c: F.max_by("split", F.struct(c, -F.col("split")))
+    return t.groupBy("symbol").agg(F.count(F.lit(1)).alias("splits"), best("levene").alias("levene_split"), F.max("levene").alias("levene"), best("ks").alias("ks_split"), F.max("ks").alias("ks"))
+
+
 BREAKS = ["1997-01-01", "1998-01-01", "1999-01-01", "2000-01-01"]
 
 
 @query(
     "I21 A17 list of candidate breaks tested with Levene, KS and variance ratio",
     SIGX + " br(bd) AS (VALUES " + ",".join(f"(DATE '{d}')" for d in BREAKS) + """), g AS (SELECT symbol, bd, r, CAST(ts>=bd AS INT) AS g FROM sig JOIN br ON TRUE WHERE r IS NOT NULL), vr AS (SELECT symbol, bd, var_samp(CASE WHEN g=1 THEN r END)/var_samp(CASE WHEN g=0 THEN r END) AS f FROM g GROUP BY 1,2),
-    ks AS (SELECT symbol, bd, max(abs(a/na-b/nb)) AS ks FROM (SELECT symbol, bd, sum(1-g) OVER w AS a, sum(g) OVER w AS b, sum(1-g) OVER p AS na, sum(g) OVER p AS nb FROM g WINDOW w AS (PARTITION BY symbol,bd ORDER BY r), p AS (PARTITION BY symbol,bd)) GROUP BY 1,2)
-    SELECT vr.symbol, strftime(vr.bd,'%Y-%m-%d') AS break_date, round(f,6) AS f_ratio, round(ks,6) AS ks FROM vr JOIN ks ON ks.symbol=vr.symbol AND ks.bd=vr.bd""",
+    ks AS (SELECT symbol, bd, max(abs(a/na-b/nb)) AS ks FROM (SELECT symbol, bd, sum(1-g) OVER w AS a, sum(g) OVER w AS b, sum(1-g) OVER p AS na, sum(g) OVER p AS nb FROM g WINDOW w AS (PARTITION BY symbol,bd ORDER BY r), p AS (PARTITION BY symbol,bd)) GROUP BY 1,2),
+    md AS (SELECT symbol, bd, g, median(r) AS m FROM g GROUP BY 1,2,3), dv AS (SELECT g.symbol, g.bd, g.g, abs(r-m) AS d FROM g JOIN md ON md.symbol=g.symbol AND md.bd=g.bd AND md.g=g.g),
+    pe AS (SELECT symbol, bd, g, count(*) AS k, avg(d) AS mu, var_pop(d) AS vp FROM dv GROUP BY 1,2,3), lv AS (SELECT symbol, bd, (sum(k)-2)*(sum(k*mu*mu)-sum(k*mu)*sum(k*mu)/sum(k))/sum(k*vp) AS w FROM pe GROUP BY 1,2)
+    SELECT vr.symbol, strftime(vr.bd,'%Y-%m-%d') AS break_date, round(f,6) AS f_ratio, round(w,6) AS levene, round(ks,6) AS ks FROM vr JOIN ks ON ks.symbol=vr.symbol AND ks.bd=vr.bd JOIN lv ON lv.symbol=vr.symbol AND lv.bd=vr.bd""",
 )
 def candidate_breaks(spark, sf):
     s = signal_frame(spark, sf).withColumn("bd", F.explode(F.array(*[F.to_date(F.lit(d)) for d in BREAKS])))
     g = (F.col("ts") >= F.col("bd")).cast("int")
     by = ["symbol", "bd"]
-    x = N.two_sample(s, by, "r", g).join(N.kolmogorov_smirnov(s, by, "r", g).select(*by, "ks"), by)
-    return x.select("symbol", day("bd").alias("break_date"), F.round("f_ratio", 6).alias("f_ratio"), F.round("ks", 6).alias("ks"))
+    x = N.two_sample(s, by, "r", g).join(N.kolmogorov_smirnov(s, by, "r", g).select(*by, "ks"), by).join(N.levene(s, by, "r", g).select(*by, "levene"), by)
+    return x.select("symbol", day("bd").alias("break_date"), F.round("f_ratio", 6).alias("f_ratio"), F.round("levene", 6).alias("levene"), F.round("ks", 6).alias("ks"))
 
 
 @query(

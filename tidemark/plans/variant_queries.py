@@ -100,20 +100,68 @@ def grid_marginals(spark, sf):
     )
 
 
-@query("I1 E2 full six-parameter grid on every symbol, full and sub-period metrics")
-def parameter_grid(spark, sf):
-    """The whole grid: summary per symbol and period of all valid variants."""
+#: Cost levels of the stress, and the gates a variant must pass (fixed values)
+STRESS = [25, 200]
+GATES = {"sharpe": 1.33, "mdd": -0.45, "trades": 5.0, "cost": 1.0, "oos": 0.5, "fwd": 0.5}
+AUDITED = {"z_trigger": [0.8, 1.0, 1.5], "vz_trigger": [1.0, 2.0], "inf_trigger": [1.5, 2.5], "tc_bps": STRESS}
+
+
+def audit(spark, sf, axes):
+    """Replay a grid at both costs with periods; one row per (symbol, variant) with the inputs of all gates.
+
+    Variants that differ in the cost alone share an id: the cost is the last axis of the grid.
+    """
     per = F.when(F.year("ts") <= 1997, 0).when(F.year("ts") <= 1999, 1).otherwise(2)
-    m = V.replay(signal_frame(spark, sf), V.grid(spark, V.PUBLISHED_GRID), period=per)
-    a = m.groupBy("symbol", "period").agg(
-        F.count(F.lit(1)).alias("variants"), F.percentile("sharpe0", F.array(*[F.lit(q) for q in (0.1, 0.25, 0.5, 0.75, 0.9)])).alias("q"),
-        F.max_by("variant_id", F.struct("sharpe0", -F.col("variant_id"))).alias("best"), F.count_if((F.col("sharpe0") > 0.5) & (F.col("mdd") > -0.6)).alias("passed"),
+    g = V.grid(spark, {**axes, "tc_bps": STRESS})
+    base = g.size // len(STRESS)
+    m = V.replay(signal_frame(spark, sf), g, period=per)
+    m = m.withColumn("dear", F.col("variant_id") >= base).withColumn("vid", F.col("variant_id") % base).withColumn("sh", F.round("sharpe1", 8))
+    at = lambda period, c, dear=False: F.max(F.when((F.col("period") == period) & (F.col("dear") == F.lit(dear)), F.col(c)))
+    return m.groupBy("symbol", "vid").agg(
+        at(-1, "sh").alias("sharpe"), F.round(at(-1, "mdd"), 8).alias("mdd"), F.round(at(-1, "trades") / (at(-1, "n") / 252), 8).alias("trades"),
+        at(-1, "sh", True).alias("cost"), at(0, "sh").alias("is"), at(1, "sh").alias("oos"), at(2, "sh").alias("fwd"),
+    )
+
+
+def audited(a):
+    """Counts of every gate and of all together, and what the best in-sample variant loses out of sample, in percent."""
+    gate = {k: F.col(k) <= v if k == "trades" else F.col(k) >= v if k == "mdd" else F.col(k) > v for k, v in GATES.items()}
+    every = gate["sharpe"]
+    for k in list(gate)[1:]:
+        every = every & gate[k]
+    loss = lambda c: F.round(F.when(F.col("best.is") > 0, (F.col("best.is") - F.col(f"best.{c}")) / F.col("best.is") * 100).otherwise(0.0), 4)
+    g = a.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("variants"), *[F.count_if(e).alias(f"by_{k}") for k, e in gate.items()], F.count_if(every).alias("passed"),
+        F.max_by(F.struct("vid", "is", "oos", "fwd"), F.struct("is", -F.col("vid"))).alias("best"),
     )
-    return a.select("symbol", "period", "variants", *[F.round(F.col("q")[i], 5).alias(f"p{q}") for i, q in enumerate((10, 25, 50, 75, 90))], "best", "passed")
+    return g.select("symbol", "variants", *[f"by_{k}" for k in gate], "passed", F.col("best.vid").alias("best"), loss("oos").alias("oos_loss_pct"), loss("fwd").alias("fwd_loss_pct"))
+
+
+@query(
+    "I1 P6 K15 cost rerun, audit gates and in-sample to out-of-sample degradation on a small grid",
+    recursive(*B.signal_frame(), *variant_sql(grid_rows(AUDITED))) + """, ps AS (SELECT k, CASE WHEN year(ts)<=1997 THEN 0 WHEN year(ts)<=1999 THEN 1 ELSE 2 END AS period, pos, eq FROM path),
+    pd AS (SELECT *, eq/lag(eq) OVER w-1 AS er FROM ps WINDOW w AS (PARTITION BY k, period ORDER BY pos)),
+    pm AS (SELECT k, period, round(coalesce(avg(er)/nullif(stddev_samp(er),0)*sqrt(252),0),8) AS sh FROM pd GROUP BY 1,2),
+    a AS (SELECT split_part(m.k,'#',1) AS symbol, CAST(split_part(m.k,'#',2) AS BIGINT) AS vid, round(sharpe,8) AS sharpe, round(mdd,8) AS mdd, round(trades/(n/252.0::DOUBLE),8) AS trades,
+      max(CASE WHEN period=0 THEN sh END) AS "is", max(CASE WHEN period=1 THEN sh END) AS oos, max(CASE WHEN period=2 THEN sh END) AS fwd FROM met m JOIN pm ON pm.k=m.k GROUP BY ALL),
+    f AS (SELECT a.*, d.sharpe AS cost FROM a JOIN a d ON d.symbol=a.symbol AND d.vid=a.vid+12 WHERE a.vid<12),
+    b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY "is" DESC, vid) AS rn FROM f) WHERE rn=1),
+    c AS (SELECT symbol, count(*) AS variants, count(CASE WHEN sharpe>1.33 THEN 1 END) AS by_sharpe, count(CASE WHEN mdd>=-0.45 THEN 1 END) AS by_mdd, count(CASE WHEN trades<=5 THEN 1 END) AS by_trades, count(CASE WHEN cost>1 THEN 1 END) AS by_cost,
+      count(CASE WHEN oos>0.5 THEN 1 END) AS by_oos, count(CASE WHEN fwd>0.5 THEN 1 END) AS by_fwd, count(CASE WHEN sharpe>1.33 AND mdd>=-0.45 AND trades<=5 AND cost>1 AND oos>0.5 AND fwd>0.5 THEN 1 END) AS passed FROM f GROUP BY 1)
+    SELECT c.*, vid AS best, round(CASE WHEN "is">0 THEN ("is"-oos)/"is"*100 ELSE 0 END,4) AS oos_loss_pct, round(CASE WHEN "is">0 THEN ("is"-fwd)/"is"*100 ELSE 0 END,4) AS fwd_loss_pct FROM c JOIN b USING (symbol)""",
+)
+def grid_audit(spark, sf):
+    return audited(audit(spark, sf, {k: v for k, v in AUDITED.items() if k != "tc_bps"}))
+
+
+@query("I1 E2 P6 K15 full six-parameter grid on every symbol at both costs: gates and degradation")
+def parameter_grid(spark, sf):
+    """The whole grid: every valid variant is replayed at both costs, over the whole history and three periods."""
+    return audited(audit(spark, sf, V.PUBLISHED_GRID))
 
 
 @query(
-    "I3 A16 K15 neighbours of the best variant: exactly one parameter differs",
+    "I3 A16 neighbours of the best variant: exactly one parameter differs",
     recursive(*B.signal_frame(), *variant_sql(grid_rows(GRID))) + """, g AS (SELECT split_part(k,'#',1) AS symbol, round(sharpe,8) AS sharpe, v.* FROM met JOIN v ON v.vid=CAST(split_part(k,'#',2) AS INT)),
     b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY sharpe DESC, vid) AS rn FROM g) WHERE rn=1)
     SELECT g.symbol, count(*) AS neighbours, count(CASE WHEN b.sharpe-g.sharpe<=0.05 THEN 1 END) AS within05, count(CASE WHEN b.sharpe-g.sharpe<=0.10 THEN 1 END) AS within10, round(max(b.sharpe),5) AS best, round(min(g.sharpe),5) AS worst FROM g JOIN b ON g.symbol=b.symbol
