@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,12 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a private one only where none is set (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Where none is set, a session on one machine gets a private one (tests); a cluster gets an error.
+    """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-llm-"))
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="tidemark-llm-")
+        sc.setCheckpointDir(folder)
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()
 
@@ -50,9 +58,22 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def unit_hash(*cols) -> Column:
-    """Uniform long in [0, 2**62) that depends on the values alone."""
-    return F.shiftrightunsigned(F.xxhash64(*cols), 2)
+HASH_BITS = 60
+
+
+def text_hash(text: Column) -> Column:
+    """Uniform long in [0, 2**60) of a text, by the first hex digits of its MD5; null counts as empty."""
+    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def ordered_hash(*cols) -> Column:
+    """``text_hash`` of the values, joined by bars; null counts as ~."""
+    return text_hash(F.concat_ws("|", *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("~")) for c in cols]))
+
+
+def slice_of_hash(h: Column, slices: int) -> Column:
+    """Which of equal ranges of hashes a hash lies in."""
+    return F.floor(F.shiftright(h, 30) * slices / (1 << (HASH_BITS - 30)))
 
 
 def running(df: DataFrame, group: list[str], order: list[Column], value: Column, slice_of: Column, out: str) -> DataFrame:

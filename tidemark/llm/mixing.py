@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SEED, durable, n_words, running, unit_hash
+from tidemark.llm.common import SEED, durable, n_words, ordered_hash, running, slice_of_hash, text_hash
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
@@ -108,12 +108,11 @@ def plan_mix(docs: DataFrame, keys: list[str], weights=WEIGHTS, max_repeats: int
     moment of training. Documents that the mix does not reach, and those without words, have no
     passes and 0 taken. Repeated rows are documents of their own; an empty table gives an empty result.
     """
-    d = durable(docs.withColumn("_h", unit_hash(F.lit(seed), *keys)))
+    d = durable(docs.withColumn("_h", ordered_hash(F.lit(seed), *keys)))
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = durable(demand_knots(targets(sizes, weights, max_repeats), schedules))
     slices = max(1, -(-d.count() // slice_rows))
-    by_hash = F.floor(F.shiftright("_h", 32) * slices / 0x40000000)
-    d = running(d, ["source"], [F.col("_h"), *map(F.col, keys), F.col("size")], F.col("size"), by_hash, "_before").drop("_before_total")
+    d = running(d, ["source"], [F.col("_h"), *map(F.col, keys), F.col("size")], F.col("size"), slice_of_hash(F.col("_h"), slices), "_before").drop("_before_total")
     few = plan.select(F.col("source").alias("_s"), "source_size", "target", "knots", F.floor(F.col("target") + 0.5).cast("long").alias("_goal"))
     d = d.join(few, d["source"].eqNullSafe(few["_s"])).drop("_s", "_h")
 
@@ -136,7 +135,7 @@ def plan_mix(docs: DataFrame, keys: list[str], weights=WEIGHTS, max_repeats: int
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, _t) of documents; ``_t`` tells rows of one id apart by their text."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("_t"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), text_hash(F.col(text_col)).alias("_t"))
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, schedules=SCHEDULES, seed: int = SEED) -> DataFrame:
@@ -146,7 +145,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REP
     after the words taken, and n_chars follows. Documents the mix does not reach are left out.
     """
     columns = docs.columns
-    d = docs.withColumn("_t", F.xxhash64("text")).withColumn("_copy", F.monotonically_increasing_id())
+    d = docs.withColumn("_t", text_hash(F.col("text"))).withColumn("_copy", F.monotonically_increasing_id())
     plan = plan_mix(word_counts(docs), ["doc_id", "_t"], weights, max_repeats, schedules, seed).where("taken > 0")
     plan = plan.select(F.col("doc_id").alias("_id"), F.col("_t").alias("_pt"), F.col("source").alias("_ps"), "passes", F.col("size").alias("_size"))
     # rows that repeat an (id, text, source) are paired off one by one

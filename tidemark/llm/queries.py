@@ -35,6 +35,40 @@ k AS (SELECT w.doc_id, count(*) AS n_words, count(g.i) AS n_removed, coalesce(st
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
 """
 
+#: The table of the CRC-32 from its polynomial, and the checksum of each text byte by byte
+SHARD_SQL = r"""
+WITH RECURSIVE t(i, k, c) AS (SELECT i, 0, i::BIGINT FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM t WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS l FROM t WHERE k = 8),
+b AS (SELECT doc_id, source, coalesce(text, '') AS text, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents),
+d AS (SELECT doc_id, source, CAST(strlen(text) + 1 AS BIGINT) AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, l[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS text_crc32 FROM b, tab),
+h AS (SELECT *, ('0x' || substr(md5('42|' || coalesce(doc_id::VARCHAR, '~') || '|' || text_crc32), 1, 15))::BIGINT AS h, ('0x' || substr(md5('43|' || coalesce(source, '~')), 1, 15))::BIGINT % 1099511627776 AS phase FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32) - 1 AS rank, count(*) OVER (PARTITION BY source) AS total FROM h),
+p AS (SELECT *, row_number() OVER (ORDER BY (rank::HUGEINT * 1099511627776 + phase) // total, h, doc_id, text_crc32) - 1 AS pos, count(*) OVER () AS n FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(pos * 16 // n AS INT) AS shard, pos - (pos * 16 // n * n + 15) // 16 AS slot, CAST(NULL AS INT) AS grown_shard, source FROM p
+"""
+
+MIX_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, ('0x' || substr(md5(coalesce(text, '')), 1, 15))::BIGINT AS t FROM documents),
+h AS (SELECT *, ('0x' || substr(md5('42|' || coalesce(doc_id::VARCHAR, '~') || '|' || t), 1, 15))::BIGINT AS h FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS number FROM d GROUP BY source),
+w AS (SELECT *, (number % 3 + 1)::DOUBLE AS weight, 3.0::DOUBLE * source_size AS cap FROM s),
+-- sources that stop at their cap come first in the order of cap over weight
+o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held, sum(weight) OVER (ORDER BY cap / weight, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open, sum(source_size) OVER () AS total FROM w),
+l AS (SELECT (total - held) / open AS level FROM o WHERE cap >= weight * (total - held) / open ORDER BY cap / weight, number LIMIT 1),
+g AS (SELECT w.*, least(cap, weight * level) AS target, CAST(floor(least(cap, weight * level) + 0.5) AS BIGINT) AS goal FROM w, l),
+r AS (SELECT number, k, weight * CASE number % 3 WHEN 0 THEN 1.5 - (k + 0.5) / 64 WHEN 1 THEN 1.0 ELSE 0.5 + (k + 0.5) / 64 END::DOUBLE AS rate FROM g, range(64) x(k)),
+c AS (SELECT number, k, sum(share) OVER (PARTITION BY number ORDER BY k) / sum(share) OVER (PARTITION BY number) AS knot FROM (SELECT number, k, rate / sum(rate) OVER (PARTITION BY k) AS share FROM r)),
+n AS (SELECT number, list(knot ORDER BY k) AS knots FROM c GROUP BY number),
+b AS (SELECT h.*, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, t, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM h),
+j AS (SELECT b.*, source_size, target, goal, knots, greatest(0, least(size, goal - before)) AS t1, greatest(0, least(size, goal - before - source_size)) AS t2, greatest(0, least(size, goal - before - 2 * source_size)) AS t3
+  FROM b JOIN g ON b.source IS NOT DISTINCT FROM g.source JOIN n ON n.number = g.number),
+q AS (SELECT *, (before + t1 / 2.0::DOUBLE) / greatest(goal, 1) AS part FROM j),
+k AS (SELECT *, least(63, len(list_filter(knots, lambda x: x <= part))) AS k FROM q),
+m AS (SELECT *, CASE WHEN k = 0 THEN 0 ELSE knots[k] END AS low, knots[k + 1] AS high FROM k)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(t1 + t2 + t3 AS BIGINT) AS taken,
+  round(CASE WHEN t1 > 0 THEN (k + least(1, greatest(0, (part - low) / (high - low)))) / 64 END::DOUBLE, 6) AS position FROM m
+"""
+
 CHAT_SQL = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -62,7 +96,7 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("id").alias("doc_id"), simhash.hex_print("fp").alias("fingerprint"), "component_id")
 
 
-@query()
+@query(SHARD_SQL)
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
@@ -82,11 +116,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
-@query()
+@query(MIX_SQL)
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.word_counts(table(spark, sf_dir, "documents"))
     d = mixing.plan_mix(docs, ["doc_id", "_t"])
-    return d.select("doc_id", "size", "source_size", "target", "taken", F.get("passes", F.lit(0))["position"].alias("position"))
+    return d.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("passes", F.lit(0))["position"], 6).alias("position"))
 
 
 @query()

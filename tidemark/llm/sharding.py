@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SEED, durable, running, unit_hash
+from tidemark.llm.common import SEED, durable, ordered_hash, running, slice_of_hash
 
 #: Rows that are sorted together in one task
 SLICE_ROWS = 8192
@@ -24,14 +24,13 @@ def interleaved(rows: DataFrame, source: str, keys: list[str], seed: int = SEED,
     places in any order. No source and no stretch of the order is sorted in
     one task: both rankings go by slices of a hash, whose counts are added up first.
     """
-    d = rows.withColumn("_h", unit_hash(F.lit(seed), *keys))
+    d = rows.withColumn("_h", ordered_hash(F.lit(seed), *keys))
     n = d.count()
     slices = max(1, -(-n // slice_rows))
-    by_hash = F.shiftright("_h", 32) % 0x40000000
     one = F.lit(1).cast("long")
-    d = running(d, [source], [F.col("_h"), *map(F.col, keys)], one, F.floor(by_hash * slices / 0x40000000), "_rank")
+    d = running(d, [source], [F.col("_h"), *map(F.col, keys)], one, slice_of_hash(F.col("_h"), slices), "_rank")
     # each source starts at its own phase, else all sources with one row would fall on one place
-    phase = unit_hash(F.lit(seed + 1), source) % PLACES
+    phase = ordered_hash(F.lit(seed + 1), source) % PLACES
     place = F.floor((F.col("_rank").cast("decimal(30,0)") * PLACES + phase) / F.col("_rank_total").cast("decimal(20,0)")).cast("long")
     d = durable(d.withColumn("_place", place).drop("_rank", "_rank_total"))
     d = d.withColumn("_all", F.lit(0))
