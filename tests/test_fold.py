@@ -29,6 +29,22 @@ def test_day_zero_earns_nothing_and_costs_nothing(spark):
     assert out.final == 1.0 and out.trades == 0 and out.n == 1
 
 
+def test_a_series_may_be_of_any_length(spark):
+    n = 120_000
+    days = spark.range(n).select(
+        F.lit("A").alias("symbol"), F.date_add(F.to_date(F.lit("1650-01-01")), F.col("id").cast("int")).alias("ts"),
+        *[F.lit(0.0).alias(c) for c in ("r", "gap", "intra", "rate")], F.lit(5).alias("layer"),
+    )
+    out = leverage_fold(days, ["symbol"]).first()
+    assert out.n == n and out.trades == 0
+
+
+def test_two_rows_of_one_day_are_an_error(spark):
+    df = frame(spark, [{}, {}]).withColumn("ts", F.lit(D0))
+    with pytest.raises(Exception, match="one row per day"):
+        leverage_fold(with_layers(df, ["symbol"]), ["symbol"]).collect()
+
+
 def test_without_layers_it_is_buy_and_hold_at_three(spark):
     out = run(spark, [{}, {"r": 0.01}, {"r": -0.02}])
     fee = FEE / 252

@@ -55,6 +55,13 @@ def shared(spark, name: str, sf_dir: str, build) -> DataFrame:
     return _SHARED[key]
 
 
+def release() -> None:
+    """Drop all shared tables; the next query builds its own again."""
+    for df in _SHARED.values():
+        df.unpersist(blocking=True)
+    _SHARED.clear()
+
+
 def signal_frame(spark, sf_dir: str, by: str = "flag") -> DataFrame:
     return shared(spark, f"signals-{by}", sf_dir, lambda: build_signal_frame(spark, sf_dir, by))
 
