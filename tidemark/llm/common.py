@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +49,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict[str, tuple[int, object]] = {}
+
+
+def forget_other_stages() -> int:
+    """In a task: drop what the worker process kept for other stages, so a long session's workers stay small."""
+    context = TaskContext.get()
+    stage = context.stageId() if context else -1
+    for name in [n for n, (of, _) in _KEPT.items() if of != stage]:
+        del _KEPT[name]
+    return stage
+
+
+def kept_in_worker(name: str, build):
+    """In a task: what ``build`` gave the first task of this stage in this worker process."""
+    stage = forget_other_stages()
+    if name not in _KEPT:
+        _KEPT[name] = (stage, build())
+    return _KEPT[name][1]
+
+
 def partitions(spark: SparkSession, rows: float = 0, per: float = 1) -> int:
     """Partition count: what the session sets, or more where ``rows`` at ``per`` each need it."""
     return int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per)))

@@ -23,12 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import kept_in_worker
+
 END_ID = 2
 #: Context sizes; powers of two, ascending
 TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 1 << 16
 SLICE_DOCS = 512
-#: Words, and pieces of words, that a worker remembers the ids of; more make it forget and start anew
+#: Words, and pieces of words, that a worker remembers the ids of during a stage; more make it forget and start anew
 MEMORY = 1_300_000
 
 #: What the tokenizer's file splits words by (fixed values)
@@ -93,16 +95,6 @@ class WordTokenizer:
         return [b"".join(map(get, words)) for words in split]
 
 
-_KEPT: dict[str, WordTokenizer] = {}
-
-
-def kept_tokenizer(path: str) -> WordTokenizer:
-    """One for each worker process: what a task has learned helps the next one."""
-    if path not in _KEPT:
-        _KEPT[path] = WordTokenizer(path)
-    return _KEPT[path]
-
-
 class Packer:
     """Fills windows from a stream of documents; ``take`` returns the sequences that are complete."""
 
@@ -200,7 +192,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = kept_tokenizer(path)
+        words = kept_in_worker(path, lambda: WordTokenizer(path))
         packer = Packer(tiers)
         base = TaskContext.get().partitionId() << 33
         end = np.array([end_id], dtype="<u4").tobytes()

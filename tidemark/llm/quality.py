@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.capfilters import matrix
-from tidemark.llm.common import durable
+from tidemark.llm.common import durable, forget_other_stages
 from tidemark.llm.substrings import SLICE_BYTES, Words, _slices
 
 THRESHOLD = 0.7
@@ -95,6 +95,7 @@ def document_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rest = [c for c in docs.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_other_stages()
         for whole in batches:
             for b in _slices(whole, 0, SLICE_BYTES):
                 x = features(b.column(0))
@@ -232,6 +233,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     if keep_text:
         @F.arrow_udf("double")
         def score(texts: pa.Array) -> pa.Array:
+            forget_other_stages()
             t = pa.table({"t": texts}).to_batches()
             parts = [model.score(features(b.column(0)).astype(np.float32).astype(np.float64)) for whole in t for b in _slices(whole, 0, SLICE_BYTES)]
             return pa.array(np.concatenate(parts) if parts else np.zeros(0))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SEED, durable, partitions
+from tidemark.llm.common import SEED, durable, forget_other_stages, partitions
 from tidemark.llm.components import connected_components
 
 MAX_BITS = 4
@@ -70,6 +70,7 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 def fingerprint_column(text, width: int = 4):
     @F.pandas_udf("long")
     def signed(texts: pd.Series) -> pd.Series:
+        forget_other_stages()
         return pd.Series(np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64))
 
     return signed(text)

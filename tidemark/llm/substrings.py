@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import partitions
+from tidemark.llm.common import forget_other_stages, partitions
 
 WIDTH = 20
 #: Bytes of text that a task works on at a time
@@ -186,6 +186,7 @@ def _slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.Record
 
 def _send(width: int, parts: int, doc_parts: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_other_stages()
         for whole in batches:
             for batch in _slices(whole, 1, SLICE_BYTES):
                 ids = pc.fill_null(batch.column(0), NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
