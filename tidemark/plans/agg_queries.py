@@ -64,8 +64,8 @@ def correlation_matrix(spark, sf):
     k AS (SELECT symbol, z, f, rank() OVER (PARTITION BY symbol ORDER BY z)+(count(*) OVER (PARTITION BY symbol,z)-1)/2.0::DOUBLE AS a, rank() OVER (PARTITION BY symbol ORDER BY f)+(count(*) OVER (PARTITION BY symbol,f)-1)/2.0::DOUBLE AS b FROM v WHERE z IS NOT NULL AND f IS NOT NULL)
     SELECT symbol, round(corr(a,b),6) AS spearman, round(corr(z,f),6) AS pearson FROM k GROUP BY symbol""",
 )
-def rank_correlation(spark, sf):
-    s = signal_frame(spark, sf).withColumn("f", W.forward_return("close", 5)).where("z is not null and f is not null")
+def rank_correlation(spark, sf, by="flag"):
+    s = signal_frame(spark, sf, by).withColumn("f", W.forward_return("close", 5)).where("z is not null and f is not null")
     s = S.average_rank(S.average_rank(s, "z", ["symbol"], "a"), "f", ["symbol"], "b")
     return s.groupBy("symbol").agg(r6(F.corr("a", "b"), "spearman"), r6(F.corr("z", "f"), "pearson"))
 

@@ -117,8 +117,8 @@ def bootstrap_mean_difference(spark, sf):
     return mean_difference_test(spark, sf, 200)
 
 
-def mean_difference_test(spark, sf, reps):
-    s = signal_frame(spark, sf).where("r is not null").select("symbol", "pos", "r", (F.col("ts") >= F.to_date(F.lit("1999-01-01"))).cast("int").alias("late"))
+def mean_difference_test(spark, sf, reps, by="flag"):
+    s = signal_frame(spark, sf, by).where("r is not null").select("symbol", "pos", "r", (F.col("ts") >= F.to_date(F.lit("1999-01-01"))).cast("int").alias("late"))
     real = s.groupBy("symbol").agg((F.avg(F.when(F.col("late") == 1, F.col("r"))) - F.avg(F.when(F.col("late") == 0, F.col("r")))).alias("d"))
     b = N.per_replicate(s, ["symbol"], {"r": F.col("r"), "late": F.col("late")}, reps, N.mean_difference(7), ["bd"])
     b = b.withColumn("bd", F.nanvl("bd", F.lit(None).cast("double")))

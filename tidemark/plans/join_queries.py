@@ -166,8 +166,8 @@ NEAR = """ st AS (SELECT symbol, ts, pos, coalesce(last_value(CASE WHEN z>1.0 TH
     "J15 J16 nearest event in an asymmetric window, match classes A/B/C/D",
     SIGX + NEAR + """ SELECT symbol, strftime(ts,'%Y-%m-%d') AS ts, CAST(delay AS DOUBLE) AS delay, CASE WHEN on1=1 THEN 'A' WHEN delay<0 THEN 'B' WHEN delay>=0 THEN 'C' ELSE 'D' END AS match_class, CAST(CASE WHEN on1=1 THEN last_on END AS DOUBLE) AS on_since FROM lt""",
 )
-def event_matching(spark, sf):
-    s = signal_frame(spark, sf)
+def event_matching(spark, sf, by="flag"):
+    s = signal_frame(spark, sf, by)
     s = s.withColumn("on1", latch(latch_event("z", 1.0, 0.5)))
     cand = s.withColumn("__p", F.lag("on1").over(W.over())).where("on1 = 1 and __p = 0").select("symbol", "pos")
     bench = s.withColumn("__e", W.rising(F.col("vz") > 1.5)).where("__e").select("symbol", "pos", "ts", "on1")

@@ -7,11 +7,22 @@ from pyspark.sql import functions as F
 from tidemark.operators import windows as W
 from tidemark.operators.fold import leverage_fold, with_layers
 from tidemark.operators.signals import signal_frame
+from tidemark.plans import agg_queries, inference_queries, join_queries, machine_queries
 from tidemark.plans import base_sql as B
 from tidemark.plans.fold_queries import LAYERS, METRICS, recursive, run_sql
-from tidemark.plans.registry import query
+from tidemark.plans.registry import ORACLE, query
 
 SUP = B.signal_frame("supplier")
+SUPX = B.with_(*SUP).rstrip() + ","
+
+
+def per_supplier(name: str) -> str:
+    """The SQL of a query over the named series, over one series per supplier."""
+    start = B.with_(*B.signal_frame()).rstrip()
+    sql = ORACLE[name]
+    if not sql.startswith(start):
+        raise ValueError(f"{name} does not start from the signal frame")
+    return SUPX[:-1] + sql[len(start):]
 
 
 @query(
@@ -53,3 +64,21 @@ def supplier_forward_outcomes(spark, sf):
     )
 
 
+@query("E8 drawdown episodes for every supplier", per_supplier("drawdown_episode_list"))
+def supplier_drawdown_episodes(spark, sf):
+    return machine_queries.drawdown_episode_list(spark, sf, "supplier")
+
+
+@query("J15 J16 nearest event in an asymmetric window for every supplier", per_supplier("event_matching"))
+def supplier_event_matching(spark, sf):
+    return join_queries.event_matching(spark, sf, "supplier")
+
+
+@query("A7 M14 Spearman next to Pearson for every supplier", per_supplier("rank_correlation"))
+def supplier_rank_correlation(spark, sf):
+    return agg_queries.rank_correlation(spark, sf, "supplier")
+
+
+@query("I11 I15 bootstrap of a mean difference for every supplier", per_supplier("bootstrap_mean_difference"))
+def supplier_mean_difference(spark, sf):
+    return inference_queries.mean_difference_test(spark, sf, 200, "supplier")
