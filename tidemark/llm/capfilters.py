@@ -29,8 +29,8 @@ SHARED_FILTERS = 22.0
 CODES = 4
 #: Random neighbours that a vector may meet over all its filters
 RANDOM_MEETINGS = 512.0
-#: Vectors within this many degrees of their leader, and listed under the same code words, form a class
-CLASS_DEGREES = 5.0
+#: Vectors within this part of the threshold's angle from their leader, and with its nearest code words, form a class; all of a class link
+CLASS_PART = 0.4
 #: Entries of one filter, or members of one class, that meet in one task
 BLOCK = 2048
 SKETCH_WORDS = 4
@@ -170,8 +170,8 @@ def _by_dim(d: DataFrame):
     return [r["k"] for r in d.groupBy(F.size("vec").alias("k")).count().select("k").collect()]
 
 
-def _classes(d: DataFrame, filters: CapFilters) -> DataFrame:
-    """(uid, id, vec, n, leader): vectors within a few degrees of the leader of their code words join it, others lead themselves."""
+def _classes(d: DataFrame, filters: CapFilters, rho: float) -> DataFrame:
+    """(uid, id, vec, n, leader, leader_vec, angle): vectors within a few degrees of the leader of their code words join it, others lead themselves."""
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,8 +186,8 @@ def _classes(d: DataFrame, filters: CapFilters) -> DataFrame:
     cos = dot / (norm("vec") * norm("lv"))
     angle = F.when(F.col("lu") == F.col("uid"), 0.0).otherwise(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cos)))))
     j = coded.join(lead, "code").withColumn("angle", angle)
-    near = F.col("angle") <= CLASS_DEGREES
-    return j.select("uid", "id", "vec", "n", F.when(near, F.col("lu")).otherwise(F.col("uid")).alias("leader"), F.when(near, F.col("angle")).otherwise(0.0).alias("angle"))
+    near = F.col("angle") <= CLASS_PART * math.degrees(math.acos(rho))
+    return j.select("uid", "id", "vec", "n", F.when(near, F.col("lu")).otherwise(F.col("uid")).alias("leader"), F.when(near, F.col("lv")).otherwise(F.col("vec")).alias("leader_vec"), F.when(near, F.col("angle")).otherwise(0.0).alias("angle"))
 
 
 def _listed(filters: CapFilters):
@@ -196,7 +196,7 @@ def _listed(filters: CapFilters):
             for i in range(0, whole.num_rows, 1024):
                 b = whole.slice(i, 1024)
                 x = unit(matrix(b.column("vec")))
-                ids, sketch = filters.filters_of(x), filters.sketch(x)
+                ids, sketch = filters.filters_of(x), filters.sketch(unit(matrix(b.column("leader_vec"))))
                 n = [len(k) for k in ids]
                 rep = np.repeat(np.arange(len(x)), n)
                 uid = b.column("leader").to_numpy(zero_copy_only=False)[rep]
@@ -261,11 +261,15 @@ def _meet(limit: int):
     return meet
 
 
-def _candidates(leaders: DataFrame, filters: CapFilters, rho: float, block: int) -> DataFrame:
-    """Distinct (a, b) of leaders that share a filter and have close sketches."""
-    n = partitions(leaders.sparkSession)
-    reach = math.degrees(math.acos(rho)) + 2 * CLASS_DEGREES
-    listed = durable(leaders.mapInArrow(_listed(filters), "filter long, uid long, sketch binary"))
+def _candidates(members: DataFrame, filters: CapFilters, rho: float, block: int) -> DataFrame:
+    """Distinct (a, b) of leaders whose classes share a filter and whose own sketches are close.
+
+    A class is listed once under every filter of any of its members, so it meets what its members would meet.
+    """
+    n = partitions(members.sparkSession)
+    reach = math.degrees(math.acos(rho)) * (1 + 2 * CLASS_PART)
+    listed = members.mapInArrow(_listed(filters), "filter long, uid long, sketch binary")
+    listed = durable(listed.groupBy("filter", "uid").agg(F.min("sketch").alias("sketch")))
     large = listed.groupBy("filter").agg(F.count("*").alias("m")).where("m > 1")
     met = listed.join(large, "filter")
     blocks = F.ceil(F.col("m") / block)
@@ -322,11 +326,11 @@ def near_duplicate_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str
 
 def _one_dim(base: DataFrame, dim: int, rho: float, shared: float, block: int, seed: int) -> DataFrame:
     filters = CapFilters.plan(dim, base.count(), rho, shared, RANDOM_MEETINGS, CODES, seed)
-    members = durable(_classes(base.select("uid", F.col("id").cast("long").alias("id"), "vec", "n"), filters))
+    members = durable(_classes(base.select("uid", F.col("id").cast("long").alias("id"), "vec", "n"), filters, rho))
     classes = members.groupBy("leader").agg(F.max("angle").alias("radius"), F.sum("n").alias("size"), F.min("id").alias("least"))
     leaders = members.where("uid = leader").select("uid", "leader", "vec").join(classes, "leader")
     leaders = durable(leaders)
-    pairs = _pair_cosines(_candidates(leaders, filters, rho, block), leaders)
+    pairs = _pair_cosines(_candidates(members.select("leader", "vec", "leader_vec"), filters, rho, block), leaders)
     side = leaders.select("uid", "radius", "size")
     pairs = pairs.join(side.toDF("a", "ra", "na"), "a").join(side.toDF("b", "rb", "nb"), "b")
     limit = math.degrees(math.acos(rho))
