@@ -29,7 +29,7 @@ END_ID = 2
 #: Context sizes; powers of two, ascending
 TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 1 << 16
-SLICE_DOCS = 512
+SLICE_DOCS = 64
 #: Words, and pieces of words, that a worker remembers the ids of during a stage; more make it forget and start anew
 MEMORY = 1_300_000
 
@@ -70,13 +70,13 @@ class WordTokenizer:
             s = w.decode("utf-8", "replace")
             stem, tail = (s[:-1], [s[-1]]) if s[-1] in ",." else (s, [])
             # letters alone are one piece; most words need no pattern
-            if stem.isalpha() and max(stem) <= "\xff":
+            if stem.isalpha() and (stem.isascii() or max(stem) <= "\xff"):
                 split.append((w, [stem.lower(), *tail]))
             elif PLAIN.fullmatch(s) and "<|" not in s:
                 split.append((w, PIECES.findall(s.lower())))
             else:
                 whole.append((w, s))
-        new = list({p for _, parts in split for p in parts} - self.pieces.keys())
+        new = list({p for _, parts in split for p in parts}.difference(self.pieces))
         self.pieces.update(zip(new, self._encode(new)))
         known = self.pieces
         for w, parts in split:
@@ -86,10 +86,13 @@ class WordTokenizer:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        needed = set().union(*split)
-        if missing := needed - self.words.keys():
+        # text by text: a small set stays in the processor's cache, one of all texts does not
+        missing: set[bytes] = set()
+        for words in split:
+            missing.update(set(words).difference(self.words))
+        if missing:
             if len(self.words) + len(missing) > self.memory:
-                self.words, missing = {}, needed
+                self.words, missing = {}, set().union(*split)
             self._learn(missing)
         get = self.words.__getitem__
         return [b"".join(map(get, words)) for words in split]
