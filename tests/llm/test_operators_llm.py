@@ -184,6 +184,27 @@ def test_neighbours_recall(spark, sf_dir):
     assert hit / total >= 0.9
 
 
+def test_neighbours_come_from_the_lists(spark):
+    rng = np.random.default_rng(11)
+    x = np.repeat(rng.standard_normal((40, 16)), 50, axis=0) + 0.5 * rng.standard_normal((2000, 16))
+    u = capfilters.unit(x)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    asked = rows.where("vec_id % 40 = 0")
+
+    def recall_of(got):
+        mine = {}
+        for r in got.collect():
+            mine.setdefault(r["query_id"], set()).add(r["vec_id"])
+        assert all(len(mine[q]) == 5 for q in range(0, 2000, 40))
+        near = u @ u.T
+        np.fill_diagonal(near, -2)
+        return sum(len(mine[q] & set(np.argsort(-near[q])[:5].tolist())) for q in range(0, 2000, 40)) / 250
+
+    # one list alone cannot hold all neighbours, though the sample holds all rows
+    assert recall_of(ann.nearest(rows, asked, recall=0.01)) < 1
+    assert recall_of(ann.nearest(rows, asked, sample_rows=200)) >= 0.9
+
+
 def test_neighbours_odd(spark):
     v = [1.0, 2.0, 3.0]
     data = [(0, v), (1, v), (2, [2.0, 4.0, 6.0]), (3, v), (4, None), (5, [0.0, 0.0, 0.0]), (6, [1.0, None, 2.0]), (7, [float("nan"), 1.0, 1.0]), (8, [1.0, 0.0, 0.0]), (None, v), (9, [1.0]), (0, v), (10, [])]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.capfilters import cosines, matrix, unit, valid_vectors
 from tidemark.llm.common import SEED, durable, partitions
 
-#: Rows that centroids, probes and first bounds are fitted on
+#: Rows that centroids and probes are fitted on
 SAMPLE_ROWS = 16384
 #: Part of the sample's true neighbours that lie in the probed lists
 TARGET_RECALL = 0.985
@@ -92,8 +92,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_
     share a query's id are its own and left out, rows with null ids are no queries and rank last in ties. Vectors that are
     null, empty, zero, or hold null or non-finite components take no part; queries see vectors of their
     own length only. A repeated row is one candidate. A query id given with several vectors asks with the smallest.
-    Empty tables give empty results. Centroids, the number of probes and first bounds come from a sample of
-    ``sample_rows`` rows by hash; every row is indexed.
+    Empty tables give empty results. Centroids and the number of probes come from a sample of ``sample_rows``
+    rows by hash; every row is indexed, and only the lists that a query probes give its answers.
     """
     base = durable(valid_vectors(rows, id_col, vec_col).select("id", "vec"))
     asked = durable(valid_vectors(queries.where(F.col(id_col).isNotNull()), id_col, vec_col).groupBy("id").agg(F.min("vec").alias("vec")))
@@ -112,60 +112,40 @@ def _search(base: DataFrame, asked: DataFrame, k: int, dim: int, recall: float,
     first = base.select("id", "vec", F.xxhash64(F.lit(seed), "id", "vec").alias("h")).orderBy("h", "id").limit(sample_rows).toArrow()
     if not first.num_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    raw = matrix(first["vec"].combine_chunks())
-    sample_ids = first["id"].fill_null(-(1 << 63)).to_numpy()
     rotation = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))[0]
-    sample = (unit(raw) @ rotation).astype(np.float32)
+    sample = (unit(matrix(first["vec"].combine_chunks())) @ rotation).astype(np.float32)
     centroids, probes = _fit(sample, n, k, recall, seed)
-    fitted = spark.sparkContext.broadcast((rotation, centroids, probes, sample, sample_ids, raw))
+    fitted = spark.sparkContext.broadcast((rotation, centroids, probes))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rotation, c, *_ = fitted.value
+        rotation, c, _ = fitted.value
         for whole in batches:
             for i in range(0, whole.num_rows, 4096):
                 b = whole.slice(i, 4096)
                 near = ((unit(matrix(b.column("vec"))) @ rotation).astype(np.float32) @ c.T).argmax(axis=1)
                 yield pa.record_batch([*b.columns, pa.array(near.astype(np.int32))], names=["id", "vec", "list"])
 
+    listed = durable(base.mapInArrow(deal, "id long, vec array<double>, list int"))
+    # at most MAX_LISTS rows
+    held = np.zeros(len(centroids), dtype=np.int64)
+    for r in listed.groupBy("list").count().collect():
+        held[r["list"]] = r["count"]
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rotation, c, probes, sample, ids, _ = fitted.value
+        """The nearest ``probes`` lists of each query that hold rows, and more where those hold no ``k`` rows besides its own."""
+        rotation, c, probes = fitted.value
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 b = whole.slice(i, 256)
-                q = (unit(matrix(b.column("vec"))) @ rotation).astype(np.float32)
-                lists = np.argpartition(-(q @ c.T), probes - 1, axis=1)[:, :probes]
-                near = q @ sample.T
-                near[b.column("id").to_numpy(zero_copy_only=False)[:, None] == ids[None, :]] = -np.inf
-                kth = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] >= k else np.full(len(q), -np.inf)
-                bound = np.where(np.isfinite(kth), 2 - 2 * kth + 1e-4, 4.1)
-                rep = pa.array(np.repeat(np.arange(len(q)), probes))
-                yield pa.record_batch([*(x.take(rep) for x in b.columns), pa.array(lists.ravel().astype(np.int32)), pa.array(np.repeat(bound, probes).astype(np.float64))], names=["id", "vec", "list", "bound"])
-
-    def in_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The sample's own nearest rows, which the first bounds rest on, are candidates too."""
-        rotation, _, _, sample, ids, raw = fitted.value
-        for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                b = whole.slice(i, 256)
-                v, own = matrix(b.column("vec")), b.column("id").to_numpy(zero_copy_only=False)
-                near = (unit(v) @ rotation).astype(np.float32) @ sample.T
-                near[own[:, None] == ids[None, :]] = -np.inf
-                top = np.argsort(-near, axis=1)[:, :k]
-                use = np.isfinite(np.take_along_axis(near, top, axis=1)).ravel()
-                row, col = np.repeat(np.arange(len(v)), top.shape[1])[use], top.ravel()[use]
-                found = ids[col]
-                yield pa.record_batch([pa.array(own[row]), pa.array(found, mask=found == -(1 << 63)), pa.array(cosines(raw[col], v[row]))], names=["query_id", "vec_id", "score"])
+                near = (unit(matrix(b.column("vec"))) @ rotation).astype(np.float32) @ c.T
+                near[:, held == 0] = -np.inf
+                lists = np.argsort(-near, axis=1, kind="stable")[:, : int((held > 0).sum())]
+                before = np.cumsum(held[lists], axis=1) - held[lists]
+                use = (np.arange(lists.shape[1])[None, :] < probes) | (before <= k)
+                row, nth = np.nonzero(use)
+                yield pa.record_batch([*(x.take(pa.array(row)) for x in b.columns), pa.array(lists[use].astype(np.int32)), pa.array(nth.astype(np.int32))], names=["id", "vec", "list", "nth"])
 
-    listed = durable(base.mapInArrow(deal, "id long, vec array<double>, list int"))
-    probed = durable(asked.mapInArrow(probe, "id long, vec array<double>, list int, bound double"))
-    # blocks of hot lists: sizes come by list, at most MAX_LISTS rows
-    sizes = listed.groupBy("list").agg(F.ceil(F.count("*") / LIST_BLOCK).alias("cn"))
-    wanted = probed.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("qn"))
-    blocks = sizes.join(wanted, "list")
-    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    own = lambda c: F.pmod(F.xxhash64("id", "vec"), F.col(c))
-    x = listed.join(F.broadcast(blocks), "list").select("list", own("cn").alias("cb"), every("qn").alias("qb"), "id", "vec")
-    q = probed.join(F.broadcast(blocks), "list").select("list", every("cn").alias("cb"), own("qn").alias("qb"), "id", "vec", "bound")
+    probed = durable(asked.mapInArrow(probe, "id long, vec array<double>, list int, nth int"))
 
     def meet(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         out: list[pd.DataFrame] = []
@@ -186,10 +166,31 @@ def _search(base: DataFrame, asked: DataFrame, k: int, dim: int, recall: float,
             return pd.concat(out, ignore_index=True)
         return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="Int64"), "score": pd.Series(dtype="float64")})
 
-    keys = ["list", "cb", "qb"]
-    parts = partitions(spark)
-    left, right = q.repartition(parts, *keys), x.repartition(parts, *keys)
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
-    found = found.union(asked.mapInArrow(in_sample, "query_id long, vec_id long, score double")).distinct()
+    def met(probed: DataFrame) -> DataFrame:
+        # blocks of hot lists: sizes come by list, at most MAX_LISTS rows
+        sizes = listed.groupBy("list").agg(F.ceil(F.count("*") / LIST_BLOCK).alias("cn"))
+        wanted = probed.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("qn"))
+        blocks = sizes.join(wanted, "list")
+        every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+        own = lambda c: F.pmod(F.xxhash64("id", "vec"), F.col(c))
+        x = listed.join(F.broadcast(blocks), "list").select("list", own("cn").alias("cb"), every("qn").alias("qb"), "id", "vec")
+        q = probed.join(F.broadcast(blocks), "list").select("list", every("cn").alias("cb"), own("qn").alias("qb"), "id", "vec", "bound")
+        keys = ["list", "cb", "qb"]
+        parts = partitions(spark)
+        left, right = q.repartition(parts, *keys), x.repartition(parts, *keys)
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
+
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = lambda rows: rows.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    # the first bound is the k-th row met in the nearest list: that row is in the result itself
+    first_met = durable(best(met(probed.where("nth = 0").withColumn("bound", F.lit(4.1)))).drop("rank"))
+    bounds = first_met.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, 2 - 2 * F.min("score") + 1e-4).alias("kth"))
+    rest = durable(probed.where("nth > 0").join(bounds, "id", "left").select("id", "vec", "list", F.coalesce("kth", F.lit(4.1)).alias("bound")))
+    found = durable(best(first_met.union(met(rest))))
+    # rows that repeat a query's id fill its lists but are no answers: such a query asks all lists
+    short = asked.join(found.where(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti")
+    lists = F.explode(F.array(*[F.lit(int(i)) for i in np.flatnonzero(held)]))
+    again = durable(short.select("id", "vec", lists.alias("list"), F.lit(4.1).alias("bound")))
+    if not again.isEmpty():
+        found = best(found.drop("rank").union(met(again)))
+    return found.select("query_id", "rank", "vec_id", "score")
