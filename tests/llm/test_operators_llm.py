@@ -580,6 +580,20 @@ def test_url_model_equals_plain_counts(spark):
     assert all(model.score([u.encode()])[0] >= model.threshold for u in good) and all(model.score([u.encode()])[0] < model.threshold for u in bad)
 
 
+def test_url_counts_grow_with_the_urls(spark):
+    rng = np.random.default_rng(8)
+    names = ["".join(chr(97 + c) for c in rng.integers(0, 26, 30)) for _ in range(3000)]
+    rows = [(f"http://{u}.org/" if i % 2 else f"http://x.com/{u}", i % 2) for i, u in enumerate(names)]
+    model = urls.fit_url_model(spark.createDataFrame(rows, "url string, label int"))
+    seen = [(u.encode(), y) for u, y in rows]
+    got = {r["url"]: r["url_score"] for r in model.scores(spark.createDataFrame([(rows[0][0],), ("http://new.org/",), ("http://new.org/",), ("",), (None,)], "url string")).collect()}
+    assert set(got) == {rows[0][0], "http://new.org/", ""}
+    for u, score in got.items():
+        # no two grams share a count, whatever their number
+        assert abs(score - slow_scores(seen, u.encode(), urls.ORDER, None)) < 1e-9
+        assert abs(score - model.score([u.encode()])[0]) < 1e-12
+
+
 def test_urls_without_training(spark):
     d = urls.filter_urls(spark.createDataFrame([(1, "http://a.net/"), (2, None)], "page_id long, url string"))
     assert [r["verdict"] for r in d.collect()] == ["allow", "allow"] and urls.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
