@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from compare import check, connect
 from tidemark.llm import ORACLE, QUERIES, ann, capfilters, chat, mixing, packing, quality, sharding, simhash, substrings, urls
@@ -388,6 +389,22 @@ def test_repeats_match_all_windows(spark, width):
         assert sum(x for _, x in spans) == removed and all(a + x < b for (a, x), (b, _) in zip(spans, spans[1:]))
 
 
+def test_repeats_under_one_hot_anchor(spark):
+    # a line whose hash is the least of all grams around it
+    lines = [" ".join(f"c{i}k{j}" for j in range(10)) for i in range(4000)]
+    line = min(lines, key=lambda x: int(substrings._mix(substrings._roll(substrings.Words(pa.array([x])).hashes(), 10))[0]))
+    around = lambda side: F.concat_ws(" ", *[F.concat(F.lit(f"{side}{j}"), F.col("id").cast("string")) for j in range(5)])
+    rows = spark.range(300_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", around("a"), F.lit(line), around("b")).alias("text"))
+    again = rows.where("doc_id = 5").select(F.lit(10**6).cast("long").alias("doc_id"), "text")
+    docs = rows.union(again)
+    # about ten pairs of these windows share 32 bits of their hashes
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(docs).where("n_removed > 0").collect()} == {10**6: 20}
+    slots, hot = substrings.hot_slots(docs, 20, 8)
+    sent = docs.mapInArrow(substrings._send(20, 8, 8, slots, hot), substrings.BLOB_DDL).where("not hits")
+    sizes = [r["n"] for r in sent.groupBy("part").agg(F.sum(F.length("w")).alias("n")).collect()]
+    assert len(sizes) == 8 and max(sizes) < sum(sizes) / 6
+
+
 def test_repeats_odd(spark, odd, none):
     d = substrings.remove_repeats(odd)
     rows = d.collect()

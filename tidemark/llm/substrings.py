@@ -3,7 +3,8 @@
 Every window of ``width`` words has a Rabin-Karp hash. To keep a passage's
 windows together and their shuffle small, a window travels under its anchor,
 the smallest hash among the half-width windows inside it: equal windows have
-equal anchors, and neighbouring windows mostly share one. A task first
+equal anchors, and neighbouring windows mostly share one. Windows of anchors that
+a first count shows to be hot are dealt by their own hashes. A task first
 merges the windows it sees twice, so a passage of a third of all
 documents costs one record for each task that meets it. Windows that also start
 earlier go back to their documents and merge into maximal removal intervals.
@@ -28,6 +29,8 @@ WIDTH = 20
 SLICE_BYTES = 2 << 20
 #: Bytes of text behind one part of the shuffled windows, and of the documents
 PART_BYTES = 12 << 20
+#: Windows under one anchor that may meet in one part
+HOT_WINDOWS = 1 << 16
 NO_ID = -(1 << 63)
 BASE, ROLL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 SPACE = np.zeros(256, dtype=bool)
@@ -184,7 +187,31 @@ def _slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.Record
         yield batch.slice(at)
 
 
-def _send(width: int, parts: int, doc_parts: int):
+def _slot(a: np.ndarray, slots: int) -> np.ndarray:
+    return _part(a ^ ROLL, slots)
+
+
+def hot_slots(texts: DataFrame, width: int, parts: int, most: int = HOT_WINDOWS) -> tuple[int, np.ndarray]:
+    """Number of slots that anchors are hashed to, and the slots under which more than ``most`` windows come.
+
+    A task leaves out slots with so few windows that all tasks together lose a quarter of ``most``.
+    """
+    slots, least = max(1 << 16, parts << 10), max(most // (4 * parts), 1)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_other_stages()
+        sums = np.zeros(slots, dtype=np.int64)
+        for whole in batches:
+            for batch in _slices(whole, 0, SLICE_BYTES):
+                sums += np.bincount(_slot(windows_of(Words(batch.column(0)), width)[2], slots), minlength=slots)
+        some = np.flatnonzero(sums >= least)
+        yield pa.record_batch([pa.array(some), pa.array(sums[some])], names=["slot", "n"])
+
+    found = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    return slots, np.array(sorted(r["slot"] for r in found.select("slot").collect()), dtype=np.int64)
+
+
+def _send(width: int, parts: int, doc_parts: int, slots: int = 1, hot: np.ndarray | None = None):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_other_stages()
         for whole in batches:
@@ -198,22 +225,25 @@ def _send(width: int, parts: int, doc_parts: int):
                 text = words.text[first]
                 d, t = ids[text], keys[text]
                 s = (first - words.first[text]).astype(np.uint32)
-                w32 = (w >> np.uint64(32)).astype(np.uint32)
-                later = _later(a, w32, d, t, s)
+                later = _later(a, w, d, t, s)
                 yield from _hit_rows(d[later], t[later], s[later], doc_parts)
                 stay = np.ones(len(d), dtype=bool)
                 stay[later] = False
-                d, t, s, a, w32, first, anchor_at = (x[stay] for x in (d, t, s, a, w32, first, anchor_at))
+                d, t, s, a, w, first, anchor_at = (x[stay] for x in (d, t, s, a, w, first, anchor_at))
                 # a record is a run of windows under one anchor
                 new = np.ones(len(d), dtype=bool)
                 new[1:] = (anchor_at[1:] != anchor_at[:-1]) | (first[1:] != first[:-1] + 1)
+                # and a single window under a hot one
+                alone = np.isin(_slot(a, slots), hot) if hot is not None and len(hot) else np.zeros(len(d), dtype=bool)
+                new |= alone
+                new[1:] |= alone[:-1]
                 head = np.flatnonzero(new)
                 count = np.diff(np.append(head, len(d)))
-                part = _part(a[head], parts)
+                part = _part(np.where(alone[head], a[head] ^ w[head], a[head]), parts)
                 o = np.lexsort((s[head], t[head], d[head], part))
                 head, count, part = head[o], count[o], part[o]
                 inner = np.repeat(head - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-                values, ends = w32[inner], np.concatenate([[0], np.cumsum(count)])
+                values, ends = w[inner], np.concatenate([[0], np.cumsum(count)])
                 edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
                 rows = []
                 for x, y in zip(edges, np.append(edges[1:], len(part))):
@@ -229,7 +259,7 @@ def _count(doc_parts: int):
 
     def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         join = lambda i, kind: np.frombuffer(b"".join(r[i] for r in rows), dtype=kind)
-        a, d, t, s, c, w = (join(i, k) for i, k in enumerate((np.uint64, np.int64, np.uint16, np.uint32, np.uint8, np.uint32)))
+        a, d, t, s, c, w = (join(i, k) for i, k in enumerate((np.uint64, np.int64, np.uint16, np.uint32, np.uint8, np.uint64)))
         c = c.astype(np.int64)
         of = np.repeat(np.arange(len(a)), c)
         s = s[of] + (np.arange(len(of)) - np.repeat(np.cumsum(c) - c, c)).astype(np.uint32)
@@ -325,14 +355,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one space; a text that loses nothing stays as it is, null stays null. A null id counts as the smallest;
     ids are integers. Rows that repeat an id and its text are one document and get equal results; other rows
     of one id are documents ordered by a hash of the text. All other columns stay; those with the names of
-    the results are replaced. Windows are compared by 96 bits of hashes. Empty tables give empty results.
+    the results are replaced. Windows are compared by 64 bits of hashes, besides those of their anchor. Empty tables give empty results.
     """
     spark = docs.sparkSession
     docs = docs.drop(*RESULTS)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     parts = partitions(spark, size, PART_BYTES)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*[c for c in docs.columns if c != text_col], *([] if len(docs.columns) > 1 else [F.lit(1).alias("_")])).alias("row"))
-    sent = texts.select("id", "text").mapInArrow(_send(width, parts, parts), BLOB_DDL)
+    # a window has a word and a space at least
+    slots, hot = hot_slots(texts, width, parts) if size > 2 * HOT_WINDOWS else (1, None)
+    sent = texts.select("id", "text").mapInArrow(_send(width, parts, parts, slots, hot), BLOB_DDL)
     met = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_count(parts), BLOB_DDL)
     nothing = [F.lit(None).cast("binary").alias(c) for c in ("d", "t", "s", "c")]
     with_part = texts.mapInArrow(_with_part(parts), T.StructType([T.StructField("part", T.IntegerType()), *texts.schema.fields]))
