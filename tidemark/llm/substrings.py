@@ -12,17 +12,17 @@ earlier go back to their documents and merge into maximal removal intervals.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import forget_other_stages, partitions
+from tidemark.llm.common import SEED, forget_other_stages, partitions
 
 WIDTH = 20
 #: Bytes of text that a task works on at a time
@@ -46,6 +46,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def text_key(text: bytes | np.ndarray) -> int:
+    """Tells texts of one id apart."""
+    return xxhash.xxh64_intdigest(text, SEED)
+
+
 class Words:
     """Words of some texts: byte spans, text of each word, and hashes."""
 
@@ -83,7 +88,7 @@ class Words:
         return _mix(np.add.reduceat(values, at) + lens.astype(np.uint64))
 
     def key(self, i: int) -> int:
-        return zlib.crc32(self.data[self.offs[i] : self.offs[i + 1]]) & 0xFFFF
+        return text_key(self.data[self.offs[i] : self.offs[i + 1]])
 
 
 def _roll(h: np.ndarray, width: int) -> np.ndarray:
@@ -148,7 +153,7 @@ def _later(k1, k2, d, t, s) -> np.ndarray:
 
 
 def _doc_part(d: np.ndarray, t: np.ndarray, parts: int) -> np.ndarray:
-    return _part(d.view(np.uint64) ^ (t.astype(np.uint64) << np.uint64(48)), parts)
+    return _part(d.view(np.uint64) ^ (t * ROLL), parts)
 
 
 BLOB = pa.schema([("part", pa.int32()), ("hits", pa.bool_()), *[(c, pa.binary()) for c in ("a", "d", "t", "s", "c", "w")]])
@@ -218,7 +223,7 @@ def _send(width: int, parts: int, doc_parts: int, slots: int = 1, hot: np.ndarra
             for batch in _slices(whole, 1, SLICE_BYTES):
                 ids = pc.fill_null(batch.column(0), NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
                 words = Words(batch.column(1))
-                keys = np.array([words.key(i) for i in range(len(ids))], dtype=np.uint16)
+                keys = np.array([words.key(i) for i in range(len(ids))], dtype=np.uint64)
                 first, w, a, anchor_at = windows_of(words, width)
                 if not len(first):
                     continue
@@ -259,7 +264,7 @@ def _count(doc_parts: int):
 
     def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         join = lambda i, kind: np.frombuffer(b"".join(r[i] for r in rows), dtype=kind)
-        a, d, t, s, c, w = (join(i, k) for i, k in enumerate((np.uint64, np.int64, np.uint16, np.uint32, np.uint8, np.uint64)))
+        a, d, t, s, c, w = (join(i, k) for i, k in enumerate((np.uint64, np.int64, np.uint64, np.uint32, np.uint8, np.uint64)))
         c = c.astype(np.int64)
         of = np.repeat(np.arange(len(a)), c)
         s = s[of] + (np.arange(len(of)) - np.repeat(np.cumsum(c) - c, c)).astype(np.uint32)
@@ -291,7 +296,7 @@ def _cut(width: int):
     def hits_of(rows: list[tuple]) -> dict[tuple[int, int], list[np.ndarray]]:
         out: dict[tuple[int, int], list[np.ndarray]] = {}
         for d, t, s, c in rows:
-            d, t, s, c = np.frombuffer(d, np.int64), np.frombuffer(t, np.uint16), np.frombuffer(s, np.uint32), np.frombuffer(c, np.uint32)
+            d, t, s, c = np.frombuffer(d, np.int64), np.frombuffer(t, np.uint64), np.frombuffer(s, np.uint32), np.frombuffer(c, np.uint32)
             for k, x in zip(zip(d.tolist(), t.tolist()), np.split(s, np.cumsum(c)[:-1])):
                 out.setdefault(k, []).append(x)
         return out
@@ -354,7 +359,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     document; n_words and spans are of the text before. Kept runs keep their own spacing and are joined by
     one space; a text that loses nothing stays as it is, null stays null. A null id counts as the smallest;
     ids are integers. Rows that repeat an id and its text are one document and get equal results; other rows
-    of one id are documents ordered by a hash of the text. All other columns stay; those with the names of
+    of one id are documents ordered by a 64-bit hash of the text. All other columns stay; those with the names of
     the results are replaced. Windows are compared by 64 bits of hashes, besides those of their anchor. Empty tables give empty results.
     """
     spark = docs.sparkSession
@@ -381,7 +386,7 @@ def _with_part(parts: int):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = pc.fill_null(b.column(0), NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-            keys = np.array([zlib.crc32((x or "").encode()) & 0xFFFF for x in b.column(1).to_pylist()], dtype=np.uint16)
+            keys = np.array([text_key((x or "").encode()) for x in b.column(1).to_pylist()], dtype=np.uint64)
             yield pa.record_batch([pa.array(_doc_part(ids, keys, parts).astype(np.int32)), *b.columns], names=["part", *b.schema.names])
 
     return add
