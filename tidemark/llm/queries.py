@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, capfilters, chat, mixing, packing, quality, sharding, simhash, substrings, urls
+from tidemark.llm import ann, capfilters, chat, mixing, packing, quality, sharding, simhash, substrings, suffixes, urls
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,23 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIG
 """
 
 
+BYTES_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents),
+win AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, n_bytes - 49)) AS i FROM d)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM win) WHERE least < doc_id),
+-- runs of hit windows that touch or overlap are maximal spans
+runs AS (SELECT doc_id, i, sum(CASE WHEN i <= coalesce(before, -100) + 50 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM later)),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY doc_id, run),
+gone AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS tail FROM spans GROUP BY doc_id),
+kept AS (SELECT s.doc_id, string_agg(substr(x, 2 * coalesce(s.was, 0) + 1, 2 * (s.a - coalesce(s.was, 0))), '' ORDER BY s.a) AS head
+  FROM (SELECT *, lag(b) OVER (PARTITION BY doc_id ORDER BY a) AS was FROM spans) s JOIN d ON d.doc_id = s.doc_id GROUP BY s.doc_id)
+SELECT d.doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head || substr(x, 2 * tail + 1), x))) AS kept_sha256
+FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
 @query()
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -163,3 +180,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict", "url_score")
+
+
+@query(BYTES_SQL)
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = suffixes.remove_shared_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.lit("").cast("binary")), 256).alias("kept_sha256"))
