@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, capfilters, chat, mixing, packing, quality, sharding, simhash, substrings, suffixes, urls
+from tidemark.llm import alignment, ann, capfilters, chat, mixing, packing, quality, sharding, simhash, substrings, suffixes, urls
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = suffixes.remove_shared_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("kept", F.lit("").cast("binary")), 256).alias("kept_sha256"))
+
+
+@query()
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    return d.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"), "n_group_links")

@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,12 +109,13 @@ def _rows(data: np.ndarray, first: np.ndarray, last: np.ndarray, at: np.ndarray,
     """right, n_right, left and n_left of anchors ``at`` whose windows start from ``first`` to ``last``."""
     rights, lefts = _columns(width)
     n_right, n_left = last + width - at, at - first
+    n_right, n_left = n_right.astype(np.uint8), n_left.astype(np.uint8)
     space = np.concatenate([np.zeros(lefts, dtype=np.uint8), data, np.zeros(rights, dtype=np.uint8)])
-    right = space[(at + lefts)[:, None] + np.arange(rights)]
-    right[np.arange(rights) >= n_right[:, None]] = 0
-    left = space[(at + lefts - 1)[:, None] - np.arange(lefts)]
-    left[np.arange(lefts) >= n_left[:, None]] = 0
-    return right, n_right.astype(np.uint8), left, n_left.astype(np.uint8)
+    right = sliding_window_view(space, rights)[at + lefts]
+    right[np.arange(rights, dtype=np.uint8) >= n_right[:, None]] = 0
+    left = sliding_window_view(space, lefts)[at][:, ::-1].copy()
+    left[np.arange(lefts, dtype=np.uint8) >= n_left[:, None]] = 0
+    return right, n_right, left, n_left
 
 
 def sorted_order(right: np.ndarray, n_right: np.ndarray) -> np.ndarray:
