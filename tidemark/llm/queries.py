@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import alignment, ann, capfilters, chat, mixing, packing, quality, sharding, simhash, substrings, suffixes, urls
+from tidemark.llm import alignment, ann, capfilters, chat, mixing, packing, quality, sharding, simhash, substrings, suffixes, urls, whitening
 from tidemark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +192,10 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
     return d.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"), "n_group_links")
+
+
+@query()
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    d = d.select("vec_id", "n", F.expr("try_cast(deviation AS bigint)").alias("deviation"), F.posexplode(F.arrays_zip("whitened", "explained")).alias("i", "c"), "identity_error")
+    return d.select("vec_id", (F.col("i") + 1).alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error")
