@@ -14,6 +14,7 @@ from tidemark.operators import linear
 from tidemark.operators import machines as M
 from tidemark.operators import models as ML
 from tidemark.operators import windows as W
+from tidemark.operators.nearest import nearest_join
 from tidemark.operators.signals import shared, signal_frame
 from tidemark.plans import base_sql as B
 from tidemark.plans.base_queries import day
@@ -151,6 +152,25 @@ def nearest_neighbours(spark, sf):
     return v.select("symbol", F.col("pos").cast("long"), r6("vote"))
 
 
+KNN_XS, KNN_KS = ("z", "mom4", "mom13", "rv20"), (5, 10, 20)
+KNN_SQL = LBL.replace("z, mom13,", "z, mom4, mom13, rv20,") + ", fl AS (SELECT * FROM lb WHERE z IS NOT NULL AND mom4 IS NOT NULL AND mom13 IS NOT NULL AND rv20 IS NOT NULL), ms AS (SELECT symbol, " + ", ".join(f"round(avg({x}),9) AS m_{x}, round(stddev_pop({x}),9) AS s_{x}" for x in KNN_XS) + " FROM fl WHERE tr GROUP BY 1), st AS (SELECT fl.symbol, ts, pos, y, tr, " + ", ".join(f"round(({x}-m_{x})/nullif(s_{x},0),7) AS {x}" for x in KNN_XS) + " FROM fl JOIN ms USING (symbol)), d AS (SELECT t.symbol, t.ts, t.pos, r.pos AS p, r.y, " + "+".join(f"(t.{x}-r.{x})*(t.{x}-r.{x})" for x in KNN_XS) + " AS d2 FROM st t JOIN st r ON r.symbol=t.symbol AND r.tr WHERE NOT t.tr), n AS (SELECT *, row_number() OVER (PARTITION BY symbol, pos ORDER BY d2, p) AS rank FROM d)"
+
+
+@query(
+    "M10 M1 exact k-nearest-neighbour votes of 5, 10 and 20 on four standardised features",
+    WF + KNN_SQL + " SELECT symbol, strftime(any_value(ts),'%Y-%m-%d') AS ts, pos, " + ", ".join(f"round(avg(y) FILTER (rank<={k}),6) AS vote{k}" for k in KNN_KS) + ", round(max(sqrt(d2)) FILTER (rank<=20),6) AS reach FROM n GROUP BY symbol, pos",
+)
+def nearest_feature_votes(spark, sf):
+    f, train = labelled(spark, sf)
+    f = f.na.drop("any", subset=list(KNN_XS))
+    m = f.where(train).groupBy("symbol").agg(*[F.round(g(x), 9).alias(f"{p}_{x}") for x in KNN_XS for p, g in (("m", F.avg), ("s", F.stddev_pop))])
+    scaled = {x: F.round((F.col(x) - F.col(f"m_{x}")) / F.nullif(F.col(f"s_{x}"), F.lit(0.0)), 7) for x in KNN_XS}
+    s = f.join(m, "symbol").select("symbol", "ts", F.col("pos").cast("long").alias("pos"), "y", *[e.alias(x) for x, e in scaled.items()])
+    n = nearest_join(s.where(~train), s.where(train), list(KNN_XS), max(KNN_KS), ["symbol"], carry=("y",))
+    votes = n.groupBy("symbol", "pos").agg(*[r6(F.avg(F.when(F.col("rank") <= k, F.col("y"))), f"vote{k}") for k in KNN_KS], r6(F.sqrt(F.max("d2")), "reach"))
+    return votes.join(s.select("symbol", "pos", day().alias("ts")), ["symbol", "pos"])
+
+
 PARAMS = [(e, x, h) for e in (0.6, 0.65, 0.7, 0.75) for x in (0.4, 0.45, 0.5) for h in (2, 4)]
 H2 = HOLD.split("hs AS")[0].rstrip().rstrip(",")
 NEST = """ pb AS MATERIALIZED (SELECT symbol, pos, ts, r, coalesce(round(1/(1+exp(-z)),6),0.5::DOUBLE) AS p FROM sig), pv(vid,en,ex,mh) AS (VALUES """ + ",".join(f"({i},{e}::DOUBLE,{x}::DOUBLE,{h})" for i, (e, x, h) in enumerate(PARAMS)) + """),
