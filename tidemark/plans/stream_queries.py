@@ -28,7 +28,20 @@ def stream_hourly_bars(spark, sf):
 )
 def stream_latch(spark, sf):
     w = live.settle(live.latch_windows(live.event_stream(spark, sf), 100.0, 20.0), ["event_type", "start"], name="latch")
-    return live.latch_switches(w).select("event_type", stamp("ts").alias("ts"), "state")
+    c = live.settle(live.crossings(live.event_stream(spark, sf), 100.0, 20.0), [], mode="append", name="crossings")
+    return live.latch_switches(w, c).select("event_type", stamp("ts").alias("ts"), "state")
+
+
+@query(
+    "ST2 E1 latch and leverage state per key at the end of every day, from merged hourly summaries",
+    f"""WITH c AS (SELECT event_type, ts, event_id, CASE WHEN value>100 THEN 1 WHEN value<20 THEN 0 END AS st FROM events WHERE value>100 OR value<20),
+    g AS (SELECT event_type, date_trunc('day',ts) AS d, count(*) AS n, arg_min(st,{{ts: ts, id: event_id}}) AS f, arg_max(st,{{ts: ts, id: event_id}}) AS l FROM c GROUP BY 1,2)
+    SELECT event_type, strftime(d,{T}) AS start, n, f AS first_state, coalesce(lag(l) OVER (PARTITION BY event_type ORDER BY d),0) AS before, l AS after, CASE WHEN l=1 THEN 0.0::DOUBLE ELSE 3.0::DOUBLE END AS leverage FROM g""",
+)
+def stream_latch_states(spark, sf):
+    w = live.settle(live.latch_windows(live.event_stream(spark, sf), 100.0, 20.0), ["event_type", "start"], name="latch")
+    s = live.latch_states(live.merge_windows(w, "1 day"))
+    return s.select("event_type", stamp("start").alias("start"), "n", F.col("first.state").alias("first_state"), "before", "after", "leverage")
 
 
 @query(
@@ -69,3 +82,24 @@ def event_sessions(spark, sf):
     e = market.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     s = live.sessions(e)
     return s.select("user_id", stamp("start").alias("start"), stamp("end").alias("end"), "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    "ST3 live alarm for each silence of a source, from keyed state with timers",
+    f"""WITH e AS (SELECT event_type, user_id, ts, lead(ts) OVER (PARTITION BY event_type, user_id ORDER BY ts) AS nxt FROM events), m AS (SELECT max(ts)-INTERVAL 2 HOUR AS mark FROM events)
+    SELECT event_type, user_id, strftime(ts,{T}) AS last, strftime(ts+INTERVAL 72 HOUR,{T}) AS due FROM e JOIN m ON TRUE WHERE ts+INTERVAL 72 HOUR<nxt OR (nxt IS NULL AND ts+INTERVAL 72 HOUR<mark)""",
+)
+def stream_silence_alarms(spark, sf):
+    timed = live.with_timers(spark)
+    a = live.settle(live.silence_alarms(live.event_stream(timed, sf), ["event_type", "user_id"], 72.0), [], mode="append", name="alarms")
+    return a.select("event_type", "user_id", stamp("last").alias("last"), stamp("due").alias("due"))
+
+
+@query(
+    "ST5 sessions emitted once, when the watermark closes them",
+    f"""WITH g AS (SELECT *, CASE WHEN ts-lag(ts) OVER (PARTITION BY user_id ORDER BY ts)<INTERVAL 6 HOUR THEN 0 ELSE 1 END AS nw FROM events), s AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g), m AS (SELECT max(ts)-INTERVAL 2 HOUR AS mark FROM events)
+    SELECT user_id, strftime(min(ts),{T}) AS start, strftime(max(ts)+INTERVAL 6 HOUR,{T}) AS "end", count(*) AS n, round(sum(value),4) AS total FROM s GROUP BY user_id, sid HAVING max(ts)+INTERVAL 6 HOUR<=(SELECT mark FROM m)""",
+)
+def stream_sessions(spark, sf):
+    s = live.settle(live.sessions(live.event_stream(spark, sf)), [], mode="append", name="sessions")
+    return s.select("user_id", stamp("start").alias("start"), stamp("end").alias("end"), "n", F.round("total", 4).alias("total"))

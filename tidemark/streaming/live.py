@@ -7,6 +7,8 @@ table in the shared folder and reads the final version of each key.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,24 +52,64 @@ def sessions(events: DataFrame, gap: str = "6 hours", late: str = "2 hours") ->
     return g.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n", "total")
 
 
+def crossings(events: DataFrame, trigger: float, recover: float) -> DataFrame:
+    """Rows beyond a threshold, as latch state 1 or 0. Rows between never move a latch."""
+    side = F.when(F.col("value") > trigger, 1).when(F.col("value") < recover, 0)
+    return events.withColumn("state", side).where("state is not null").select("event_type", "ts", "event_id", "state")
+
+
 def latch_windows(events: DataFrame, trigger: float, recover: float, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Changes of direction among the threshold crossings of each (window, event_type).
+    """Summary of the threshold crossings of each (window, event_type): first, last and their number.
 
-    Rows between the thresholds never move a latch and are filtered first. State is kept by window,
-    so one event type is many keys, and a late row within the watermark revises its window only.
+    A crossing sets or clears a latch whatever it was, so a window acts on it as its last crossing does and a window
+    without one holds it. The state is three values however many rows come, and a late row within the watermark revises its window only.
     """
-    side = F.when(F.col("value") > trigger, 1).when(F.col("value") < recover, 0)
-    c = events.withWatermark("ts", late).withColumn("state", side).where("state is not null")
-    g = c.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "state"))).alias("rows"))
-    changes = F.filter("rows", lambda x, i: (i == 0) | (x["state"] != F.get("rows", i - 1)["state"]))
-    return g.select("event_type", F.col("w.start").alias("start"), changes.alias("changes"), F.element_at("rows", -1)["state"].alias("last"))
+    c = crossings(events.withWatermark("ts", late), trigger, recover)
+    g = c.groupBy(F.window("ts", size).alias("w"), "event_type").agg(*_first_and_last(F.struct("ts", "event_id", "state"), F.struct("ts", "event_id", "state"), F.count(F.lit(1))))
+    return g.select("event_type", F.col("w.start").alias("start"), "first", "last", "n")
+
+
+def _first_and_last(first: Column, last: Column, n: Column) -> list[Column]:
+    # structs compare by ts, then event_id
+    return [F.min(first).alias("first"), F.max(last).alias("last"), n.alias("n")]
+
+
+def merge_windows(windows: DataFrame, size: str) -> DataFrame:
+    """Summaries of longer windows from those of their parts; the order of merging does not matter."""
+    g = windows.groupBy("event_type", F.window("start", size).alias("w")).agg(*_first_and_last(F.col("first"), F.col("last"), F.sum("n")))
+    return g.select("event_type", F.col("w.start").alias("start"), "first", "last", "n")
+
+
+def latch_states(windows: DataFrame, leverage: tuple[float, float] = (3.0, 0.0)) -> DataFrame:
+    """State that each window finds and leaves, from 0, and the leverage held from its end on: ``leverage[state]``."""
+    w = Window.partitionBy("event_type").orderBy("start")
+    s = windows.withColumn("after", F.col("last.state")).withColumn("before", F.coalesce(F.lag("after").over(w), F.lit(0)))
+    return s.withColumn("leverage", F.when(F.col("after") == 1, F.lit(leverage[1])).otherwise(F.lit(leverage[0])))
+
+
+def latch_switches(windows: DataFrame, crossed: DataFrame, size: str = "1 hour") -> DataFrame:
+    """Every time the latch of an event type changes.
+
+    Inside a window a crossing is compared with the one before it, the first one with the state that the window finds;
+    the rows of one window are sorted together, never those of an event type. Windows whose crossings were one and agree with what
+    they find are left out before that.
+    """
+    found = latch_states(windows).where((F.col("n") > 1) | (F.col("first.state") != F.col("before"))).select("event_type", "start", "before")
+    c = crossed.withColumn("start", F.window("ts", size)["start"]).join(found, ["event_type", "start"])
+    before = F.coalesce(F.lag("state").over(Window.partitionBy("event_type", "start").orderBy("ts", "event_id")), F.col("before"))
+    return c.withColumn("__b", before).where(F.col("state") != F.col("__b")).select("event_type", "ts", "state")
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def latch_switches(windows: DataFrame) -> DataFrame:
-    """Hysteresis latch per event type from the newest version of its windows: every time the state changes, from 0."""
-    before = F.coalesce(F.lag("last").over(Window.partitionBy("event_type").orderBy("start")), F.lit(0))
-    x = windows.withColumn("before", before).select("event_type", "before", F.posexplode("changes").alias("i", "c"))
-    return x.where((F.col("i") > 0) | (F.col("c.state") != F.col("before"))).select("event_type", "c.ts", "c.state")
+def with_timers(spark: SparkSession) -> SparkSession:
+    """A session like this one whose streams keep state in RocksDB, which processors with timers need."""
+    other = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        other.conf.set(key, spark.conf.get(key))
+    other.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return other
 
 
 def settle(stream: DataFrame, keys: list[str], mode: str = "update", name: str = "stream") -> DataFrame:
@@ -100,6 +142,88 @@ def staleness(source: DataFrame, by: list[str], limit_hours: float) -> DataFrame
     return x.select(*by, "last", "age_hours", (F.col("age_hours") > limit_hours).alias("stale"))
 
 
+#: One alarm for each silence: the source, its last row before it, and when it was due
+ALARM = "last timestamp, due timestamp"
+
+
+def _alarms(limit_hours: float, clock: str):
+    """Processor that keeps the newest time of a source and a timer at which it is overdue."""
+    from pyspark.sql.streaming import StatefulProcessor
+
+    limit = pd.Timedelta(hours=limit_hours)
+    ms = lambda t: int(t.value // 1_000_000)
+
+    class Silence(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.last = handle.getValueState("last", "ts timestamp, alarmed boolean")
+
+        def _arm(self, at_ms: int) -> None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at_ms)
+
+        def handleInputRows(self, key, rows, timerValues):
+            ts = np.sort(np.concatenate([r["ts"].to_numpy(dtype="datetime64[us]") for r in rows]))
+            held = self.last.get() if self.last.exists() else None
+            if held is not None:
+                last = np.datetime64(pd.Timestamp(held[0]).tz_localize(None), "us")
+                # late rows cannot end a silence, and one that had its alarm has no second
+                if ts[-1] <= last:
+                    return
+                ts = np.concatenate([[last], ts[ts > last]])
+            silent = np.flatnonzero(np.diff(ts) > limit.to_timedelta64())
+            if held is not None and held[1] and len(silent) and silent[0] == 0:
+                silent = silent[1:]
+            self.last.update((pd.Timestamp(ts[-1]).to_pydatetime(), False))
+            due = pd.Timestamp(ts[-1]) + limit
+            self._arm(ms(due) + 1 if clock == "eventTime" else timerValues.getCurrentProcessingTimeInMs() + int(limit.value // 1_000_000))
+            if len(silent):
+                last = pd.to_datetime(ts[silent])
+                yield pd.DataFrame({**{c: [v] * len(silent) for c, v in zip(self.keys, key)}, "last": last, "due": last + limit})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            last = pd.Timestamp(self.last.get()[0]).tz_localize(None)
+            self.last.update((last.to_pydatetime(), True))
+            yield pd.DataFrame({**{c: [v] for c, v in zip(self.keys, key)}, "last": [last], "due": [last + limit]})
+
+        def close(self) -> None:
+            pass
+
+    return Silence
+
+
+def silence_alarms(events: DataFrame, by: list[str], limit_hours: float, clock: str = "eventTime", late: str = "2 hours") -> DataFrame:
+    """An alarm each time a source has been silent for longer than the limit, from keyed state with a timer per source.
+
+    With event time, a silence counts once the watermark passes its end, or when the source's next row shows it; replays give the
+    same alarms however rows are batched, as long as rows are not late. With processing time the timer runs from when the newest row
+    came. State is one time and one flag for each source. Needs the RocksDB state store.
+    """
+    kind = _alarms(limit_hours, clock)
+    kind.keys = by
+    schema = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in by) + ", " + ALARM
+    e = events.withWatermark("ts", late) if clock == "eventTime" else events
+    return e.select(*by, "ts").groupBy(*by).transformWithStateInPandas(kind(), schema, "Append", clock)
+
+
+def silences(events: DataFrame, by: list[str], limit_hours: float, late_hours: float = 2.0) -> DataFrame:
+    """The same alarms from a table: gaps between a source's rows, and last rows that the watermark has passed by the limit."""
+    w = Window.partitionBy(*by).orderBy("ts")
+    limit = F.make_interval(secs=F.lit(limit_hours * 3600))
+    end = events.agg((F.max("ts") - F.make_interval(secs=F.lit(late_hours * 3600))).alias("mark")).withColumn("__k", F.lit(1))
+    g = events.select(*by, "ts").withColumn("nxt", F.lead("ts").over(w)).withColumn("__k", F.lit(1)).join(F.broadcast(end), "__k")  # end: one row
+    due = F.col("ts") + limit
+    return g.where((due < F.col("nxt")) | (F.col("nxt").isNull() & (due < F.col("mark")))).select(*by, F.col("ts").alias("last"), due.alias("due"))
+
+
+def closed_sessions(events: DataFrame, gap: str = "6 hours", late_hours: float = 2.0) -> DataFrame:
+    """Sessions of a table that a stream over all of it has closed: ended at or before its watermark."""
+    end = events.agg((F.max("ts") - F.make_interval(secs=F.lit(late_hours * 3600))).alias("mark")).withColumn("__k", F.lit(1))
+    s = sessions(events, gap).withColumn("__k", F.lit(1)).join(F.broadcast(end), "__k")  # end: one row
+    return s.where(F.col("end") <= F.col("mark")).drop("__k", "mark")
+
+
 def revisions(events: DataFrame, late: str = "2 days") -> DataFrame:
     """Newest value per (user, day); later events revise earlier ones until the watermark passes the day."""
     g = events.withWatermark("ts", late).groupBy("user_id", F.window("ts", "1 day").alias("w"))
