@@ -211,6 +211,48 @@ def shifted_walk_forward(seed: int, edge: int, first: int, lag: int):
     return kernel
 
 
+def _scramble(v: np.ndarray) -> np.ndarray:
+    """A number below 2^31 - 1 from another one below 2^31; the arithmetic of ``with_draw``."""
+    p = np.int64(2147483647)
+    x = (v * 1000003 + 7919) % p
+    y = (x * x) % p
+    return (((y * y) % p) * x) % p
+
+
+def permuted(seed: int, reps: np.ndarray, n: int) -> np.ndarray:
+    """A permutation of ``0..n-1`` for each replicate, as a reps-by-n matrix, without sorting.
+
+    Four Feistel rounds are a bijection on ``2^(2 half)`` numbers, the least such power that holds n; a number that
+    lands at n or beyond is sent on until it lands below, which keeps it a bijection.
+    """
+    half = max((int(n - 1).bit_length() + 1) // 2, 1)
+    keys = [_scramble(_scramble(np.int64(seed * 4 + k)) + reps.astype(np.int64))[:, None] for k in range(4)]
+
+    def once(v: np.ndarray) -> np.ndarray:
+        left, right = v >> half, v & ((1 << half) - 1)
+        for key in keys:
+            left, right = right, left ^ (_scramble(right + key) & ((1 << half) - 1))
+        return (left << half) | right
+
+    v = once(np.broadcast_to(np.arange(n, dtype=np.int64), (len(reps), n)))
+    while (v >= n).any():
+        v = np.where(v >= n, once(v), v)
+    return v
+
+
+def shuffled_walk_forward(seed: int, first: int, lag: int):
+    """The whole expanding walk-forward refitted for every shuffle of the labels; the real order's value goes along."""
+
+    def kernel(x: dict, rep: np.ndarray) -> np.ndarray | None:
+        z, f, n = x["z"], x["f"], len(x["z"])
+        if n <= first + 1:
+            return None
+        real = walk_forward_error(z, f[None, :], first, lag)
+        return np.column_stack([walk_forward_error(z, f[permuted(seed, rep, n)], first, lag), np.repeat(real, len(rep))])
+
+    return kernel
+
+
 def split_tests(edge: int, every: int):
     """Median-centred Levene and Kolmogorov-Smirnov statistics of the rows before and from each split."""
 

@@ -122,7 +122,7 @@ def mean_difference_test(spark, sf, reps, by="flag"):
     real = s.groupBy("symbol").agg((F.avg(F.when(F.col("late") == 1, F.col("r"))) - F.avg(F.when(F.col("late") == 0, F.col("r")))).alias("d"))
     b = N.per_replicate(s, ["symbol"], {"r": F.col("r"), "late": F.col("late")}, reps, N.mean_difference(7), ["bd"])
     b = b.withColumn("bd", F.nanvl("bd", F.lit(None).cast("double")))
-    g = calendar_sized(real).join(b, "symbol").groupBy("symbol")
+    g = real.join(b, "symbol").groupBy("symbol")
     return g.agg(
         F.round(F.first("d"), 8).alias("diff"), F.round(F.avg((F.abs("bd") >= F.abs("d")).cast("int")), 6).alias("p_value"),
         F.round(F.avg("bd"), 8).alias("null_mean"), F.round(F.stddev_samp("bd"), 8).alias("null_sd"),
@@ -156,7 +156,7 @@ def episode_permutation(spark, sf, reps, kernel, out):
     columns = {"f": F.col("f"), "event": F.coalesce("event", F.lit(0))}
     p = N.per_replicate(x, ["symbol"], columns, reps, kernel, out)
     p = (p.where("full = 1") if "full" in out else p).withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
-    return calendar_sized(real).join(p, "symbol").groupBy("symbol").agg(
+    return real.join(p, "symbol").groupBy("symbol").agg(
         F.count(F.lit(1)).alias("reps"), F.round(F.first("real"), 6).alias("real"), F.round(F.avg("v"), 6).alias("null_mean"),
         F.round(F.avg((F.col("v") <= F.col("real")).cast("int")), 6).alias("p_value"),
     )
@@ -194,7 +194,7 @@ def circular_shift_permutation(spark, sf):
     s = signal_frame(spark, sf).withColumn("f", W.forward_return("close", 5)).where("z is not null and f is not null")
     a = s.groupBy("symbol").agg(F.regr_r2("f", "z").alias("real"))
     v = N.per_replicate(s, ["symbol"], {"z": F.col("z"), "f": F.col("f")}, 200, N.shifted_fit(17, 26), ["v"])
-    return calendar_sized(a).join(v, "symbol").groupBy("symbol").agg(
+    return a.join(v, "symbol").groupBy("symbol").agg(
         F.round(F.first("real"), 6).alias("real"), F.round(F.avg("v"), 6).alias("null_mean"), F.round(F.percentile("v", 0.95), 6).alias("null_p95"),
         F.round(F.avg((F.col("v") >= F.col("real")).cast("int")), 6).alias("p_value"),
     )
@@ -220,6 +220,38 @@ def circular_shift_walk_forward(spark, sf):
     )
 
 
+def feistel_sql(seed: int) -> str:
+    """One pass of the keyed bijection over column v with half, rep and n, as nested selects."""
+    mix = lambda v, i: (f"(({v})*1000003+7919)%{P} AS x{i}, (x{i}*x{i})%{P} AS y{i}", f"(((y{i}*y{i})%{P})*x{i})%{P}")
+    cols, left, right = ["v>>half AS l0, v&((1<<half)-1) AS r0"], "l0", "r0"
+    for k in range(4):
+        key = seed * 4 + k
+        x = (key * 1000003 + 7919) % P
+        first = ((((x * x) % P) ** 2 % P) * x) % P
+        a, key_k = mix(f"{first}+rep", f"k{k}")
+        b, out = mix(f"{right}+kk{k}", f"v{k}")
+        cols.append(f"{a}, {key_k} AS kk{k}, {b}, xor({left}, ({out})&((1<<half)-1)) AS r{k + 1}")
+        left, right = right, f"r{k + 1}"
+    return ", ".join(cols) + f", ({left}<<half)|{right} AS nv"
+
+
+SHUFFLE_SQL = WALK_SQL[: WALK_SQL.index("dr AS (")] + f"""st AS (SELECT symbol, n, rep, (strlen(ltrim(bin(n-1),'0'))+1)//2 AS half, unnest(generate_series(0,n-1)) AS p FROM (SELECT symbol, n, unnest(generate_series(0,199)) AS rep FROM a)),
+    fe(symbol, n, rep, half, p, v) AS (SELECT symbol, n, rep, half, p, nv FROM (SELECT *, {feistel_sql(23)} FROM (SELECT *, p AS v FROM st))
+      UNION ALL SELECT symbol, n, rep, half, p, nv FROM (SELECT *, {feistel_sql(23)} FROM (SELECT * FROM fe WHERE v>=n))),
+    y AS (SELECT fe.symbol, rep, x.p, x.z, s.f FROM fe JOIN x ON x.symbol=fe.symbol AND x.p=fe.p JOIN x s ON s.symbol=fe.symbol AND s.p=fe.v WHERE fe.v<fe.n UNION ALL SELECT symbol, -1, p, z, f FROM x),
+    u AS (""" + WALK_SQL.split("    u AS (", 1)[1]
+
+
+@query("I14 M2 label shuffle with the whole expanding walk-forward refitted per replicate, by a keyed bijection", RSIGX + SHUFFLE_SQL)
+def label_shuffle_walk_forward(spark, sf):
+    s = signal_frame(spark, sf).withColumn("f", W.forward_return("close", 5)).where("z is not null and f is not null")
+    v = N.per_replicate(s, ["symbol"], {"z": F.col("z"), "f": F.col("f")}, 200, N.shuffled_walk_forward(23, 252, 6), ["v", "real"])
+    return v.groupBy("symbol").agg(
+        F.round(F.first("real"), 6).alias("real"), F.round(F.avg("v"), 6).alias("null_mean"), F.round(F.percentile("v", 0.95), 6).alias("null_p95"),
+        F.round(F.avg((F.col("v") >= F.col("real")).cast("int")), 6).alias("p_value"),
+    )
+
+
 GRP = "CAST(ts>=DATE '1999-01-01' AS INT)"
 
 
