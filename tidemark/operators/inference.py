@@ -109,7 +109,7 @@ def per_replicate(df: DataFrame, by: list[str], columns: dict[str, Column], reps
                     rep = every[i : i + 256]
                     got = kernel(x, rep)
                     if got is not None:
-                        yield pd.DataFrame(got, columns=out).assign(**{c: row[c] for c in by}, rep=rep)
+                        yield pd.DataFrame(got, columns=out).assign(**{c: row[c] for c in by}, rep=rep[: len(got)])
 
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*by).schema)
     return arr.mapInPandas(run, f"{keys}, rep int, " + ", ".join(f"{k} double" for k in out))

@@ -152,6 +152,87 @@ def nearest_neighbours(spark, sf):
     return v.select("symbol", F.col("pos").cast("long"), r6("vote"))
 
 
+def logistic_sql(src: str, x1: str, x2: str, y: str, first: int, step: int, embargo: int, rounds: int = 14) -> str:
+    """CTEs up to lp(symbol, ts, pos, fold, p): Newton for every fold, a 3 by 3 system each time. Must stand behind WITH RECURSIVE."""
+    sums = "sum(p*(1-p)) AS a, sum(p*(1-p)*u) AS b, sum(p*(1-p)*v) AS c, sum(p*(1-p)*u*u)+1 AS d, sum(p*(1-p)*u*v) AS e, sum(p*(1-p)*v*v)+1 AS f, sum(p-y) AS g0, sum((p-y)*u)+any_value(w1) AS g1, sum((p-y)*v)+any_value(w2) AS g2"
+    det = "(a*(d*f-e*e)-b*(b*f-c*e)+c*(b*e-c*d))"
+    return f"""lx AS MATERIALIZED (SELECT symbol, ts, pos, {x1} AS x1, {x2} AS x2, CAST({y} AS DOUBLE) AS y, count(*) OVER (PARTITION BY symbol) AS n FROM {src}),
+ lf AS (SELECT symbol, unnest(generate_series(0, CAST((any_value(n)-1-{embargo}-{first})//{step} AS BIGINT))) AS fold FROM lx GROUP BY symbol HAVING any_value(n)>{first + embargo}),
+ ls AS (SELECT lf.symbol, fold, avg(x1) AS m1, stddev_pop(x1) AS s1, avg(x2) AS m2, stddev_pop(x2) AS s2 FROM lf JOIN lx ON lx.symbol=lf.symbol AND pos<={first}+fold*{step} GROUP BY 1,2),
+ lt AS MATERIALIZED (SELECT ls.symbol, fold, (x1-m1)/s1 AS u, (x2-m2)/s2 AS v, y FROM ls JOIN lx ON lx.symbol=ls.symbol AND pos<={first}+fold*{step}),
+ nw(symbol, fold, it, w0, w1, w2) AS (SELECT symbol, fold, 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM ls UNION ALL
+  SELECT symbol, fold, it+1, w0-(g0*(d*f-e*e)-b*(g1*f-g2*e)+c*(g1*e-g2*d))/{det}, w1-(a*(g1*f-g2*e)-g0*(b*f-c*e)+c*(b*g2-c*g1))/{det}, w2-(a*(d*g2-e*g1)-b*(b*g2-c*g1)+g0*(b*e-c*d))/{det} FROM
+  (SELECT symbol, fold, any_value(it) AS it, any_value(w0) AS w0, any_value(w1) AS w1, any_value(w2) AS w2, {sums} FROM (SELECT nw.*, u, v, y, 1/(1+exp(-(w0+w1*u+w2*v))) AS p FROM nw JOIN lt ON lt.symbol=nw.symbol AND lt.fold=nw.fold WHERE it<{rounds}) GROUP BY symbol, fold)),
+ lp AS (SELECT lx.symbol, lx.ts, lx.pos, nw.fold, lx.y, 1/(1+exp(-(w0+w1*(x1-m1)/s1+w2*(x2-m2)/s2))) AS p FROM lx JOIN nw ON nw.symbol=lx.symbol AND it={rounds} AND nw.fold=(lx.pos-1-{embargo}-{first})//{step} AND lx.pos>{first + embargo} JOIN ls ON ls.symbol=nw.symbol AND ls.fold=nw.fold)"""
+
+
+RWF = WF.replace("WITH ", "WITH RECURSIVE ", 1)
+LABELLED_WEEKS = "(SELECT symbol, ts, z, mom13, fwd, CAST(fwd>0 AS INT) AS up, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS pos FROM fr WHERE fwd IS NOT NULL)"
+
+
+@query(
+    "M2 M6 M1 logistic classifier refitted on an expanding weekly walk-forward: 156 weeks, every 26, embargo 5",
+    RWF + ", " + logistic_sql(LABELLED_WEEKS, "z", "mom13", "up", 156, 26, 5) + " SELECT symbol, strftime(ts,'%Y-%m-%d') AS ts, fold, round(p,6) AS p FROM lp",
+)
+def weekly_classifier(spark, sf):
+    f = weekly_frame(spark, sf).where("fwd is not null").withColumn("up", (F.col("fwd") > 0).cast("int")).withColumn("pos", F.row_number().over(W.over()))
+    return ML.walk_forward_logistic(f, ["z", "mom13"], "up", 156, 26, 5).select("symbol", day().alias("ts"), "fold", r6("p"))
+
+
+MONTHS = """, mt AS (SELECT symbol, last_day(ts) AS ts, arg_max(close,ts) AS c, arg_max(z,ts) FILTER (z IS NOT NULL) AS z FROM sig GROUP BY 1,2), mu AS (SELECT symbol, ts, z, round(c/lag(c,3) OVER w-1,6) AS mom3, lead(c,1) OVER w/c-1 AS fwd FROM mt WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+ mr AS (SELECT *, CAST(fwd>0 AS INT) AS up, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS pos FROM mu WHERE z IS NOT NULL AND mom3 IS NOT NULL AND fwd IS NOT NULL)"""
+
+
+def monthly_classified(spark, sf):
+    """Month-end signals with the next month's direction."""
+    s = signal_frame(spark, sf)
+    m = s.groupBy("symbol", F.last_day("ts").alias("m")).agg(F.max_by("close", "ts").alias("c"), F.max_by("z", F.when(F.col("z").isNotNull(), F.col("ts"))).alias("z")).withColumnRenamed("m", "ts")
+    m = m.withColumn("mom3", F.round(W.pct_change("c", 3), 6)).withColumn("fwd", W.forward_return("c", 1))
+    m = m.where("z is not null and mom3 is not null and fwd is not null").withColumn("up", (F.col("fwd") > 0).cast("int"))
+    return m.withColumn("pos", F.row_number().over(W.over()))
+
+
+@query(
+    "M2 M6 M19 logistic classifier on an expanding monthly walk-forward: 60 months, every 12, embargo of the horizon",
+    RSIGX.rstrip().rstrip(",") + MONTHS + ", " + logistic_sql("mr", "z", "mom3", "up", 60, 12, 1) + " SELECT symbol, fold, count(*) AS n, round(avg(CAST((p>=0.5)=(y=1) AS INT)),6) AS accuracy, round(avg(pow(p-y,2)),6) AS brier, round(avg(p),6) AS mean_p FROM lp GROUP BY 1,2",
+)
+def monthly_classifier(spark, sf):
+    p = ML.walk_forward_logistic(monthly_classified(spark, sf), ["z", "mom3"], "up", 60, 12, 1)
+    hit = (F.col("p") >= 0.5) == (F.col("up") == 1)
+    return p.groupBy("symbol", "fold").agg(F.count(F.lit(1)).alias("n"), r6(S.share(hit), "accuracy"), r6(F.avg((F.col("p") - F.col("up")) ** 2), "brier"), r6(F.avg("p"), "mean_p"))
+
+
+#: Five years train a fold's model; the last of them validates the thresholds, on a model of the four before, which is the fold before
+INNER = 4 * 252
+CUTS = [round(0.30 + 0.04 * i, 2) for i in range(11)]
+DAILY = """, dt AS (SELECT symbol, ts, z, r, round(close/lag(close,21) OVER w-1,6) AS m21, lead(close,5) OVER w/close-1 AS fwd FROM sig WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+ dl AS (SELECT *, CAST(fwd>0 AS INT) AS up, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS pos FROM dt WHERE z IS NOT NULL AND m21 IS NOT NULL AND fwd IS NOT NULL)"""
+SHARPE_SQL = "coalesce(avg(sr)/nullif(stddev_pop(sr),0)*sqrt(252),0)"
+
+
+@query(
+    "M12 M19 M2 thresholds chosen on the fold before, on probabilities fitted over 5 x 252 days and refitted every 252",
+    RSIGX.rstrip().rstrip(",") + DAILY + ", " + logistic_sql("dl", "z", "m21", "up", INNER, 252, 0) + f""", th AS (SELECT unnest([{",".join(f"{c}::DOUBLE" for c in CUTS)}]) AS th),
+ hs AS (SELECT symbol, ts, pos, fold, round(p,9) AS p FROM lp), sr AS MATERIALIZED (SELECT hs.symbol, fold, th, coalesce(dl.r,0)*lag(CAST(p>=th AS INT),1,0) OVER (PARTITION BY hs.symbol, th ORDER BY hs.pos) AS sr FROM hs JOIN dl ON dl.symbol=hs.symbol AND dl.pos=hs.pos JOIN th ON TRUE),
+ sh AS (SELECT symbol, fold, th, count(*) AS n, round({SHARPE_SQL},8) AS s FROM sr GROUP BY 1,2,3), pk AS (SELECT symbol, fold+1 AS fold, arg_max(th, s*1000-th) AS th FROM sh GROUP BY 1,2), bs AS (SELECT symbol, fold, max(s) AS best FROM sh GROUP BY 1,2)
+ SELECT sh.symbol, sh.fold, sh.n, pk.th AS threshold, round(s,5) AS nested, round(best,5) AS best_in_hindsight, round(best-s,5) AS bias FROM sh JOIN pk ON pk.symbol=sh.symbol AND pk.fold=sh.fold AND pk.th=sh.th JOIN bs ON bs.symbol=sh.symbol AND bs.fold=sh.fold""",
+)
+def nested_fitted_thresholds(spark, sf):
+    d = signal_frame(spark, sf).withColumn("m21", F.round(W.pct_change("close", 21), 6)).withColumn("fwd", W.forward_return("close", 5))
+    d = d.where("z is not null and m21 is not null and fwd is not null").withColumn("up", (F.col("fwd") > 0).cast("int")).withColumn("pos", F.row_number().over(W.over()))
+    p = ML.walk_forward_logistic(d, ["z", "m21"], "up", INNER, 252, 0).withColumn("p", F.round("p", 9))
+    v = p.withColumn("th", F.explode(F.array(*[F.lit(c) for c in CUTS])))
+    held = F.coalesce(F.lag((F.col("p") >= F.col("th")).cast("int")).over(W.over(("symbol", "th"), ("pos",))), F.lit(0))
+    sr = v.withColumn("sr", F.coalesce("r", F.lit(0.0)) * held)
+    sh = sr.groupBy("symbol", "fold", "th").agg(F.count(F.lit(1)).alias("n"), F.round(S.sharpe("sr", population=True), 8).alias("s"))
+    # folds are few rows a symbol: one window finds the fold's best and what the fold before would choose
+    by = Window.partitionBy("symbol", "fold")
+    sh = sh.withColumn("best", F.max("s").over(by)).withColumn("mine", F.max_by("th", F.col("s") * 1000 - F.col("th")).over(by))
+    chosen = sh.select("symbol", (F.col("fold") + 1).alias("fold"), F.col("mine").alias("th")).distinct()
+    x = sh.join(chosen, ["symbol", "fold", "th"])
+    return x.select("symbol", "fold", "n", F.col("th").alias("threshold"), F.round("s", 5).alias("nested"), F.round("best", 5).alias("best_in_hindsight"), F.round(F.col("best") - F.col("s"), 5).alias("bias"))
+
+
 KNN_XS, KNN_KS = ("z", "mom4", "mom13", "rv20"), (5, 10, 20)
 KNN_SQL = LBL.replace("z, mom13,", "z, mom4, mom13, rv20,") + ", fl AS (SELECT * FROM lb WHERE z IS NOT NULL AND mom4 IS NOT NULL AND mom13 IS NOT NULL AND rv20 IS NOT NULL), ms AS (SELECT symbol, " + ", ".join(f"round(avg({x}),9) AS m_{x}, round(stddev_pop({x}),9) AS s_{x}" for x in KNN_XS) + " FROM fl WHERE tr GROUP BY 1), st AS (SELECT fl.symbol, ts, pos, y, tr, " + ", ".join(f"round(({x}-m_{x})/nullif(s_{x},0),7) AS {x}" for x in KNN_XS) + " FROM fl JOIN ms USING (symbol)), d AS (SELECT t.symbol, t.ts, t.pos, r.pos AS p, r.y, " + "+".join(f"(t.{x}-r.{x})*(t.{x}-r.{x})" for x in KNN_XS) + " AS d2 FROM st t JOIN st r ON r.symbol=t.symbol AND r.tr WHERE NOT t.tr), n AS (SELECT *, row_number() OVER (PARTITION BY symbol, pos ORDER BY d2, p) AS rank FROM d)"
 

@@ -177,6 +177,26 @@ def rolling_factor_model(spark, sf):
     return m.select("symbol", day().alias("ts"), F.round("beta_gap", 5).alias("beta_gap"), F.round("beta_z", 6).alias("beta_z"), F.round("r2", 5).alias("r2"))
 
 
+ATTR = """ a0 AS (SELECT symbol, ts, r AS y, gap AS x1, z AS x2, vz AS x3 FROM sig WHERE r IS NOT NULL AND gap IS NOT NULL AND z IS NOT NULL AND vz IS NOT NULL),
+a1 AS (SELECT *, count(*) OVER w AS c, avg(y) OVER w AS my, var_pop(y) OVER w AS vy, """ + ", ".join(f"avg(x{i}) OVER w AS m{i}, sqrt(var_pop(x{i}) OVER w) AS s{i}, covar_pop(x{i},y) OVER w AS y{i}" for i in (1, 2, 3)) + ", " + ", ".join(f"covar_pop(x{i},x{j}) OVER w AS c{i}{j}" for i, j in ((1, 2), (1, 3), (2, 3))) + """ FROM a0 WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 63 PRECEDING AND 1 PRECEDING)),
+-- correlations p, q, t of the factors and u1 to u3 with the target; the constant factor has no part
+a2 AS (SELECT *, c12/(s1*s2) AS p, c13/(s1*s3) AS q, c23/(s2*s3) AS t, y1/s1 AS u1, y2/s2 AS u2, y3/s3 AS u3 FROM a1 WHERE c=63),
+a3 AS (SELECT *, 1+2*p*q*t-p*p-q*q-t*t AS det FROM a2),
+a4 AS (SELECT *, (u1*(1-t*t)-u2*(p-q*t)+u3*(p*t-q))/det AS b1, (-u1*(p-q*t)+u2*(1-q*q)-u3*(t-p*q))/det AS b2, (u1*(p*t-q)-u2*(t-p*q)+u3*(1-p*p))/det AS b3 FROM a3),
+a5 AS (SELECT *, b1*(x1-m1)/s1 AS p1, b2*(x2-m2)/s2 AS p2, b3*(x3-m3)/s3 AS p3 FROM a4)"""
+
+
+@query(
+    "W22 A21 rolling regression standardised inside its 63-row window: weights, contributions, residual, R2, with a factor that never varies",
+    SIG.rstrip() + "," + ATTR + f" SELECT symbol, {TS}, round(b1,6) AS weight_gap, round(b2,6) AS weight_z, round(p1,6) AS part_gap, round(p2,6) AS part_z, round(p3,6) AS part_vz, 0.0::DOUBLE AS part_days, round(my,7) AS base, round(y-my-p1-p2-p3,6) AS rest, round((b1*u1+b2*u2+b3*u3)/vy,5) AS r2 FROM a5",
+)
+def rolling_attribution(spark, sf):
+    s = signal_frame(spark, sf).withColumn("days", F.lit(5.0))
+    m = linear.rolling_attribution(s, ["gap", "z", "vz", "days"], "r", 63)
+    r = lambda c, n, k=6: F.round(c, k).alias(n)
+    return m.select("symbol", day().alias("ts"), r("gap_weight", "weight_gap"), r("z_weight", "weight_z"), r("gap_part", "part_gap"), r("z_part", "part_z"), r("vz_part", "part_vz"), r("days_part", "part_days"), r("base", "base", 7), r("rest", "rest"), r("r2", "r2", 5))
+
+
 @query(
     "W23 A21 P12 rolling variance share of two contributions, every 5th row",
     SIG.rstrip() + "," + ROLL2 + f""", vs AS (SELECT symbol, ts, row_number() OVER w AS rn, count(*) OVER w63 AS c, var_pop(b1*x1) OVER w63 AS a, var_pop(b2*x2) OVER w63 AS b FROM ro
