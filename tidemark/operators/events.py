@@ -7,7 +7,7 @@ cross join is planned.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof
@@ -61,3 +61,71 @@ def round_trips(events: DataFrame, values: list[str], by=("symbol",), order="ts"
     e = events.withColumn("__n", F.lead(F.struct("kind", order, *values)).over(w)).where("kind = 'exit'")
     ok = F.col("__n.kind") == "enter"
     return e.withColumns({f"entry_{v}": F.when(ok, F.col(f"__n.{v}")) for v in [order, *values]}).drop("__n")
+
+
+def next_true(df: DataFrame, conditions: dict[str, Column], by=("symbol",), order: str = "pos") -> DataFrame:
+    """For each row the position of the first later row at which a condition holds; one backward pass for all conditions."""
+    later = Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumns({name: F.min(F.when(c, F.col(order))).over(later) for name, c in conditions.items()})
+
+
+def with_blocks(df: DataFrame, value: str, longest: int, by=("symbol",), order: str = "pos") -> DataFrame:
+    """Adds ``__low`` and ``__high``: smallest and largest value over the 1, 2, 4, ... rows from each row on, up to ``longest`` rows.
+
+    Each level joins two blocks of the level before, so a row costs log(longest) and all levels share one sort. Blocks that reach
+    beyond the series hold what there is of it.
+    """
+    w = Window.partitionBy(*by).orderBy(order)
+    levels = max(longest.bit_length(), 1)
+    d = df.withColumn("__l0", F.col(value)).withColumn("__h0", F.col(value))
+    for k in range(1, levels):
+        half = 1 << (k - 1)
+        d = d.withColumn(f"__l{k}", F.least(f"__l{k - 1}", F.lead(f"__l{k - 1}", half).over(w))).withColumn(f"__h{k}", F.greatest(f"__h{k - 1}", F.lead(f"__h{k - 1}", half).over(w)))
+    arrays = [F.array(*[f"__{p}{k}" for k in range(levels)]).alias(n) for p, n in (("l", "__low"), ("h", "__high"))]
+    return d.select(*df.columns, *arrays)
+
+
+def range_extremes(spans: DataFrame, blocks: DataFrame, start: str, end: str, by=("symbol",), order: str = "pos") -> DataFrame:
+    """Adds ``low`` and ``high`` over the rows from ``start`` to ``end``, both included: two overlapping blocks cover any span.
+
+    ``blocks`` comes from ``with_blocks``; spans that are longer than it allows, or have no end, get NULL.
+    """
+    by = list(by)
+    level = F.floor(F.log2((F.col(end) - F.col(start) + 1).cast("double")) + 1e-9).cast("int")
+    s = spans.withColumn("__k", level).withColumn("__e", F.col(end) - F.expr("shiftleft(1L, __k)") + 1)
+    b = blocks.select(*by, F.col(order).alias("__p"), "__low", "__high")
+    s = s.join(b.withColumnsRenamed({"__p": start, "__low": "__la", "__high": "__ha"}), [*by, start], "left")
+    s = s.join(b.withColumnsRenamed({"__p": "__e", "__low": "__lb", "__high": "__hb"}), [*by, "__e"], "left")
+    at = lambda c: F.get(c, F.col("__k"))
+    both = lambda f, a, b: F.when(at(a).isNotNull() & at(b).isNotNull(), f(at(a), at(b)))
+    return s.withColumns({"low": both(F.least, "__la", "__lb"), "high": both(F.greatest, "__ha", "__hb")}).select(*spans.columns, "low", "high")
+
+
+def virtual_trades(frame: DataFrame, pulse: Column, danger: Column, calm: Column, price: str, longest: int, ahead: tuple[int, ...] = (63, 126), by=("symbol",)) -> DataFrame:
+    """A trade for every pulse: out at its close, back in by the rule that fits how late it comes.
+
+    A pulse that meets ``danger`` is late and waits for the first later row out of danger. An early one goes in at the first of: new
+    danger after a row out of it (its own row counts), or ``calm``; danger wins a tie. NULL conditions are neither. Without such a row
+    the trade is open to the last row. Rows are found by backward running minima and equality, never by scanning ahead.
+    Adds kind, entry (position), reason, out (return while out), avoided and missed (lowest and highest close while out against the exit), and after{n}.
+    """
+    by, w = list(by), Window.partitionBy(*by).orderBy("pos")
+    d = frame.withColumn("__safe", ~danger)
+    d = next_true(d, {"n_safe": F.col("__safe"), "n_danger": danger, "n_calm": calm}, by)
+    d = d.withColumn("last", F.max("pos").over(Window.partitionBy(*by)))
+    d = d.withColumns({f"after{n}": F.lead(price, n).over(w) / F.col(price) - 1 for n in ahead})
+    d = with_blocks(d.withColumn("__danger", danger).withColumn("__pulse", pulse), price, longest, by)
+    p = d.where("__pulse").select(*by, "ts", "pos", F.col(price).alias("exit_price"), "__danger", "__safe", "n_safe", "n_danger", "n_calm", "last")
+    # a pulse with nothing known starts to watch for danger at the first safe row
+    jump = d.select(*by, F.col("pos").alias("n_safe"), F.col("n_danger").alias("__after_safe"))
+    p = p.join(jump, [*by, "n_safe"], "left")
+    late = F.coalesce("__danger", F.lit(False))
+    fresh = F.when(F.coalesce("__safe", F.lit(False)), F.col("n_danger")).otherwise(F.col("__after_safe"))
+    entry = F.when(late, F.col("n_safe")).otherwise(F.least(fresh, F.col("n_calm")))
+    reason = F.when(entry.isNull(), "still_out").when(late, "recovered").when(fresh.isNotNull() & (fresh <= F.coalesce("n_calm", fresh)), "new_danger").otherwise("calm")
+    p = p.withColumn("kind", F.when(late, "late").otherwise("early")).withColumn("reason", reason).withColumn("entry", F.coalesce(entry, "last"))
+    p = range_extremes(p, d, "pos", "entry", by)
+    e = d.select(*by, F.col("pos").alias("entry"), F.col(price).alias("entry_price"), *[f"after{n}" for n in ahead])
+    p = p.join(e, [*by, "entry"])
+    of = lambda c: F.col(c) / F.col("exit_price") - 1
+    return p.select(*by, "ts", "pos", "kind", "entry", "reason", of("entry_price").alias("out"), of("low").alias("avoided"), of("high").alias("missed"), *[f"after{n}" for n in ahead])

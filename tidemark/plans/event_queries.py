@@ -10,7 +10,7 @@ from tidemark.operators import asof as A
 from tidemark.operators import machines as M
 from tidemark.operators import windows as W
 from tidemark.operators.episodes import blocks, drawdown_episodes
-from tidemark.operators.events import nearest_event, round_trips, transitions, within_periods
+from tidemark.operators.events import nearest_event, round_trips, transitions, virtual_trades, within_periods
 from tidemark.operators.latch import latch, latch_event
 from tidemark.operators.signals import signal_frame
 from tidemark.plans import base_sql as B
@@ -162,6 +162,26 @@ def round_trip_accounting(spark, sf):
     return c.select("symbol", day().alias("ts"), F.round(alpha, 5).alias("alpha"), verdict.alias("verdict"), r6("f63", "after63"), r6("entry_f63", "entry63"))
 
 
+@query(
+    "V11 E15 X1 virtual trade per pulse: conditional re-entry, return while out, avoided and missed moves, returns 63 and 126 rows after",
+    SIGX + f""" f AS MATERIALIZED (SELECT symbol, ts, pos, close, iz<=-0.5 AS danger, iz>-0.5 AS safe, vz<0.5 AS calm, vz>1.5 AND NOT coalesce(lag(vz) {SY}>1.5, FALSE) AS pulse, max(pos) OVER (PARTITION BY symbol) AS last, lead(close,63) {SY}/close-1 AS a63, lead(close,126) {SY}/close-1 AS a126 FROM sig),
+    p AS (SELECT f.*, (SELECT min(g.pos) FROM f g WHERE g.symbol=f.symbol AND g.pos>f.pos AND g.safe) AS ns, (SELECT min(g.pos) FROM f g WHERE g.symbol=f.symbol AND g.pos>f.pos AND g.calm) AS nc FROM f WHERE pulse),
+    q AS (SELECT p.*, (SELECT min(g.pos) FROM f g WHERE g.symbol=p.symbol AND g.danger AND g.pos>CASE WHEN coalesce(p.safe,FALSE) THEN p.pos ELSE p.ns END) AS fresh FROM p),
+    e AS (SELECT *, CASE WHEN coalesce(danger,FALSE) THEN ns ELSE least(fresh,nc) END AS en FROM q),
+    x AS (SELECT e.*, coalesce(en,last) AS entry, CASE WHEN en IS NULL THEN 'still_out' WHEN coalesce(danger,FALSE) THEN 'recovered' WHEN fresh IS NOT NULL AND fresh<=coalesce(nc,fresh) THEN 'new_danger' ELSE 'calm' END AS reason FROM e),
+    m AS (SELECT x.symbol, x.pos, min(g.close) AS lo, max(g.close) AS hi FROM x JOIN f g ON g.symbol=x.symbol AND g.pos BETWEEN x.pos AND x.entry GROUP BY 1,2)
+    SELECT x.symbol, strftime(x.ts,'%Y-%m-%d') AS ts, CASE WHEN coalesce(x.danger,FALSE) THEN 'late' ELSE 'early' END AS kind, strftime(h.ts,'%Y-%m-%d') AS re_entry, reason, datediff('day', x.ts, h.ts) AS days_out, round(h.close/x.close-1,6) AS out, round(lo/x.close-1,6) AS avoided, round(hi/x.close-1,6) AS missed, round(h.a63,6) AS after63, round(h.a126,6) AS after126
+    FROM x JOIN f h ON h.symbol=x.symbol AND h.pos=x.entry JOIN m ON m.symbol=x.symbol AND m.pos=x.pos""",
+)
+def virtual_trade_per_pulse(spark, sf):
+    s = signal_frame(spark, sf).select("symbol", "ts", F.col("pos").cast("long").alias("pos"), "close", "iz", "vz")
+    pulse = (F.col("vz") > 1.5) & ~F.coalesce(F.lag(F.col("vz") > 1.5).over(W.over()), F.lit(False))
+    # a century of trading days is below 2 ** 15
+    t = virtual_trades(s, pulse, F.col("iz") <= -0.5, F.col("vz") < 0.5, "close", (1 << 15) - 1)
+    t = t.join(s.select("symbol", F.col("pos").alias("entry"), F.col("ts").alias("re")), ["symbol", "entry"])
+    return t.select("symbol", day().alias("ts"), "kind", day("re").alias("re_entry"), "reason", F.datediff("re", "ts").cast("long").alias("days_out"), *[r6(c) for c in ("out", "avoided", "missed", "after63", "after126")])
+
+
 @query(
     "V13 A21 V6 variance share and dominant factor inside event windows",
     SIGX + PSQL + """, c AS (SELECT symbol, period, var_pop(gap) AS a, var_pop(intra) AS b, sum(r)*10000 AS flow FROM sig JOIN pr ON ts BETWEEN a AND b WHERE r IS NOT NULL GROUP BY 1,2) SELECT symbol, period, round(a/(a+b),6) AS gap_share, round(flow,4) AS flow_bp, CASE WHEN a>b THEN 'gap' ELSE 'intra' END AS dominant FROM c""",

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import expr as E
 from tidemark.operators import asof as A
 from tidemark.operators import projections as PJ
 from tidemark.operators import windows as W
+from tidemark.operators.quality import drop_sparse
 from tidemark.operators.signals import signal_frame
 from tidemark.plans import base_sql as B
 from tidemark.plans.base_queries import day
@@ -151,6 +153,22 @@ def weekly_feature_frame(spark, sf):
     return weekly_features(spark, sf).drop("close").withColumn("ts", day())
 
 
+@query(
+    "P4 P3 G20 weekly features filled forward, without columns that stay null in half the rows, then complete rows only",
+    SIGX + WFEAT + f""", lw AS (SELECT *, round(close/lag(close,208) OVER w-1,6) AS mom208 FROM wf WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+    ff AS (SELECT symbol, ts, {", ".join(f"last_value({c} IGNORE NULLS) OVER w AS {c}" for c in ("z", "vz", "mom13", "mom52", "rv20"))} FROM lw WINDOW w AS (PARTITION BY symbol ORDER BY ts))
+    SELECT symbol, {TS}, z, vz, mom13, mom52, rv20 FROM ff WHERE z IS NOT NULL AND vz IS NOT NULL AND mom13 IS NOT NULL AND mom52 IS NOT NULL AND rv20 IS NOT NULL""",
+)
+def dense_weekly_features(spark, sf):
+    w = W.over()
+    f = weekly_features(spark, sf).withColumn("mom208", F.round(W.pct_change("close", 208), 6))
+    # the 208 weeks before mom208 has a value are more than half of the sample, and filling forward cannot reach them
+    cols = ["z", "vz", "mom13", "mom52", "rv20", "mom208"]
+    filled = f.select("symbol", "ts", *[F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in cols])
+    d = drop_sparse(filled, cols)
+    return d.na.drop("any", subset=[c for c in cols if c in d.columns]).withColumn("ts", day())
+
+
 @query(
     "G21 G22 monthly feature frame: level, 3- and 12-month change, year-on-year, lag option, valuation ratio",
     B.with_(B.OBS).rstrip() + """, m AS (SELECT series_id, last_day(ts) AS me, round(avg(value),12) AS v FROM obs GROUP BY 1,2), q AS (SELECT series_id, last_day(date_trunc('quarter',ts)+INTERVAL 2 MONTH) AS qe, round(avg(value),12) AS qv FROM obs GROUP BY 1,2), ql AS (SELECT series_id, CAST(last_day(qe + INTERVAL 3 MONTH) AS DATE) AS av, qv FROM q)

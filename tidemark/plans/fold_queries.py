@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import machines as M
@@ -10,6 +12,7 @@ from tidemark.operators.fold import instrument_fold, leverage_fold, with_layers
 from tidemark.operators.latch import latch
 from tidemark.operators.linear import ols
 from tidemark.operators.metrics import path_metrics
+from tidemark.operators.quality import tolerance_gates
 from tidemark.operators.projections import alternating_signals, with_previous
 from tidemark.operators.signals import signal_frame
 from tidemark.plans import base_sql as B
@@ -94,6 +97,33 @@ def instrument_replay(spark, sf):
     return m.select("symbol", "n", *[F.round(c, 5).alias(c) for c in ("final", "cagr", "mdd")])
 
 
+def renamed(sql: str, names: tuple[str, ...], suffix: str) -> str:
+    """The CTEs under other names, so that a second run stands beside the first."""
+    for n in names:
+        sql = re.sub(rf"\b{n}\b(?=\s*(\(k,|AS \(|AS MATERIALIZED|r JOIN|WHERE pos|GROUP BY k|\)))", n + suffix, sql)
+    return sql
+
+
+CLOSE_RUN = renamed(run_sql(split=False), ("run", "path"), "_c") + "," + renamed(METRICS, ("path", "dd", "met"), "_c")
+GATES = """, rm AS (SELECT k, pow(arg_max(eq,pos),252.0::DOUBLE/count(*))-1 AS cagr, min(dd) AS mdd FROM rd GROUP BY 1),
+ mm AS (SELECT met.k AS symbol, met.cagr AS o, met_c.cagr AS c, rm.cagr AS i, met.mdd AS mo, rm.mdd AS mi FROM met JOIN met_c ON met_c.k=met.k JOIN rm ON rm.k=met.k)
+ SELECT symbol, gate, round(base,5) AS base, round(other,5) AS other, round(abs(base-other),5) AS gap, tolerance, abs(base-other)<tolerance AS ok FROM (
+ SELECT symbol, 'instruments_cagr' AS gate, o AS base, i AS other, 0.15::DOUBLE AS tolerance FROM mm UNION ALL SELECT symbol, 'close_to_close_cagr', o, c, 0.05::DOUBLE FROM mm UNION ALL SELECT symbol, 'instruments_mdd', mo, mi, 0.15::DOUBLE FROM mm)"""
+
+
+@query(
+    "Q7 E1 E3 model comparison gates: replay on scaled returns against instruments (15 points) and against close-to-close fills (5 points)",
+    recursive(*B.signal_frame(), LAYERS, run_sql(), METRICS, CLOSE_RUN, REAL) + GATES,
+)
+def model_gates(spark, sf):
+    s = with_layers(signal_frame(spark, sf), ["symbol"])
+    inst = {k: {"r": k * F.col("r") - 0.00002 * k * (k - 1), "gap": k * F.col("gap"), "intra": k * F.col("intra")} for k in (3, 2, 1)}
+    models = {"open": leverage_fold(s, ["symbol"]), "close": leverage_fold(s, ["symbol"], next_open=False), "instruments": instrument_fold(s, ["symbol"], inst)}
+    return tolerance_gates(models, ["symbol"], "open", [("instruments_cagr", "instruments", "cagr", 0.15), ("close_to_close_cagr", "close", "cagr", 0.05), ("instruments_mdd", "instruments", "mdd", 0.15)]).select(
+        "symbol", "gate", *[F.round(c, 5).alias(c) for c in ("base", "other", "gap")], "tolerance", "ok"
+    )
+
+
 @query(
     "E16 E13 fire-once events met by equality on the day after, cash yield while out",
     B.with_(*B.signal_frame()).rstrip() + """, ev AS (SELECT ts, arg_max(signal,md) AS signal FROM (SELECT (SELECT min(ts) FROM cal WHERE ts>=md+1) AS ts, md, signal FROM psig WHERE signal<>'') WHERE ts IS NOT NULL GROUP BY 1),

@@ -14,6 +14,7 @@ from tidemark.operators import linear
 from tidemark.operators import machines as M
 from tidemark.operators import models as ML
 from tidemark.operators import windows as W
+from tidemark.operators.lasso import lasso
 from tidemark.operators.nearest import nearest_join
 from tidemark.operators.signals import shared, signal_frame
 from tidemark.plans import base_sql as B
@@ -233,6 +234,29 @@ def nested_fitted_thresholds(spark, sf):
     return x.select("symbol", "fold", "n", F.col("th").alias("threshold"), F.round("s", 5).alias("nested"), F.round("best", 5).alias("best_in_hindsight"), F.round(F.col("best") - F.col("s"), 5).alias("bias"))
 
 
+LASSO_RATIOS, LASSO_SWEEPS = [0.9, 0.5, 0.2, 0.05], 400
+_SOFT = lambda r, d: f"sign({r})*greatest(abs({r})-a,0)/({d})"
+LASSO_SQL = f""", la AS MATERIALIZED (SELECT symbol, pos, x1, x2, x3, y, CASE WHEN i<n%5*(n//5+1) THEN i//(n//5+1) ELSE n%5+(i-n%5*(n//5+1))//(n//5) END AS b FROM (SELECT symbol, pos, round((z-avg(z) OVER w)/stddev_pop(z) OVER w,9) AS x1, round((mom4-avg(mom4) OVER w)/stddev_pop(mom4) OVER w,9) AS x2, round((mom13-avg(mom13) OVER w)/stddev_pop(mom13) OVER w,9) AS x3, fwd AS y, count(*) OVER w AS n, row_number() OVER (PARTITION BY symbol ORDER BY pos)-1 AS i FROM fr WHERE fwd IS NOT NULL AND mom4 IS NOT NULL WINDOW w AS (PARTITION BY symbol))),
+ lm AS MATERIALIZED (SELECT la.symbol, t.f, count(*) AS n, avg(y) AS my, {", ".join(f"avg(x{i}) AS m{i}, var_pop(x{i}) AS g{i}{i}, covar_pop(x{i},y) AS t{i}" for i in (1, 2, 3))}, covar_pop(x1,x2) AS g12, covar_pop(x1,x3) AS g13, covar_pop(x2,x3) AS g23 FROM la JOIN (SELECT unnest([-1,0,1,2,3,4]) AS f) t ON la.b<>t.f GROUP BY 1,2),
+ al AS (SELECT symbol, ratio, ratio*greatest(abs(t1),abs(t2),abs(t3)) AS a FROM lm, (SELECT unnest([{",".join(f"{r}::DOUBLE" for r in LASSO_RATIOS)}]) AS ratio) WHERE f=-1),
+ cd(symbol, f, a, it, w1, w2, w3) AS (SELECT lm.symbol, f, a, 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM lm JOIN al ON al.symbol=lm.symbol UNION ALL
+  SELECT symbol, f, a, it+1, v1, v2, {_SOFT("(t3-g13*v1-g23*v2)", "g33")} FROM (SELECT *, {_SOFT("(t2-g12*v1-g23*w3)", "g22")} AS v2 FROM (SELECT cd.*, lm.* EXCLUDE (symbol, f), {_SOFT("(t1-g12*w2-g13*w3)", "g11")} AS v1 FROM cd JOIN lm ON lm.symbol=cd.symbol AND lm.f=cd.f WHERE it<{LASSO_SWEEPS}))),
+ en AS (SELECT cd.*, my-w1*m1-w2*m2-w3*m3 AS c FROM cd JOIN lm ON lm.symbol=cd.symbol AND lm.f=cd.f WHERE it={LASSO_SWEEPS}),
+ ce AS (SELECT symbol, a, avg(e) AS cv FROM (SELECT en.symbol, a, f, avg(pow(y-c-w1*x1-w2*x2-w3*x3,2)) AS e FROM en JOIN la ON la.symbol=en.symbol AND la.b=en.f GROUP BY 1,2,3) GROUP BY 1,2)"""
+
+
+@query(
+    "M6 M18 lasso path on co-moments with the penalty chosen by five contiguous cross-validation folds",
+    RWF + LASSO_SQL + " SELECT en.symbol, round(en.a,9) AS alpha, round(cv,9) AS cv_error, round(cv,12)=min(round(cv,12)) OVER (PARTITION BY en.symbol) AS chosen, round(c,7) AS intercept, round(w1,7) AS beta_z, round(w2,7) AS beta_mom4, round(w3,7) AS beta_mom13 FROM en JOIN ce ON ce.symbol=en.symbol AND ce.a=en.a WHERE f=-1",
+)
+def lasso_path(spark, sf):
+    xs, w = ["z", "mom4", "mom13"], Window.partitionBy("symbol")
+    f = weekly_frame(spark, sf).where("fwd is not null and mom4 is not null")
+    f = f.select("symbol", "pos", "fwd", *[F.round((F.col(x) - F.avg(x).over(w)) / F.stddev_pop(x).over(w), 9).alias(x) for x in xs])
+    m = lasso(f, xs, "fwd", ["symbol"], LASSO_RATIOS)
+    return m.select("symbol", F.round("alpha", 9).alias("alpha"), F.round("cv_error", 9).alias("cv_error"), "chosen", *[F.round(c, 7).alias(c) for c in ("intercept", "beta_z", "beta_mom4", "beta_mom13")])
+
+
 KNN_XS, KNN_KS = ("z", "mom4", "mom13", "rv20"), (5, 10, 20)
 KNN_SQL = LBL.replace("z, mom13,", "z, mom4, mom13, rv20,") + ", fl AS (SELECT * FROM lb WHERE z IS NOT NULL AND mom4 IS NOT NULL AND mom13 IS NOT NULL AND rv20 IS NOT NULL), ms AS (SELECT symbol, " + ", ".join(f"round(avg({x}),9) AS m_{x}, round(stddev_pop({x}),9) AS s_{x}" for x in KNN_XS) + " FROM fl WHERE tr GROUP BY 1), st AS (SELECT fl.symbol, ts, pos, y, tr, " + ", ".join(f"round(({x}-m_{x})/nullif(s_{x},0),7) AS {x}" for x in KNN_XS) + " FROM fl JOIN ms USING (symbol)), d AS (SELECT t.symbol, t.ts, t.pos, r.pos AS p, r.y, " + "+".join(f"(t.{x}-r.{x})*(t.{x}-r.{x})" for x in KNN_XS) + " AS d2 FROM st t JOIN st r ON r.symbol=t.symbol AND r.tr WHERE NOT t.tr), n AS (SELECT *, row_number() OVER (PARTITION BY symbol, pos ORDER BY d2, p) AS rank FROM d)"
 

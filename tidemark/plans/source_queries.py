@@ -201,7 +201,7 @@ def null_gates(spark, sf):
 
 
 @query(
-    "I23 Q3 Q7 structural checklist of the replay",
+    "I23 Q3 structural checklist of the replay",
     recursive(*B.signal_frame(), LAYERS, run_sql(), METRICS).rstrip() + """, c AS (SELECT symbol, max(abs((1+gap)*(1+intra)-1-r))<0.0001 AS gap_ok, count(*)>252 AS long_enough FROM sig GROUP BY 1), j AS (SELECT k AS symbol, gap_ok, long_enough, trades>=1 AS has_trades, trades*252.0::DOUBLE/n<60 AS turnover_ok, mdd> -0.95 AS drawdown_ok, final>0.001 AS alive, in_market BETWEEN 0.2 AND 1 AS exposure_ok FROM met JOIN c ON c.symbol=met.k)
     SELECT symbol, "check", ok FROM j UNPIVOT (ok FOR "check" IN (gap_ok, long_enough, has_trades, turnover_ok, drawdown_ok, alive, exposure_ok))""",
 )
