@@ -85,18 +85,21 @@ PUB = """ p AS (SELECT series_id, ts AS obs_date, value, CAST(ts + CAST(((4-(iso
  l AS (SELECT p.*, (SELECT min(c.ts) FROM cal c WHERE c.ts>=pub) AS use_on FROM p), k AS (SELECT series_id, use_on AS ts, max(obs_date) AS obs_date, arg_max(value,obs_date) AS value FROM l WHERE use_on IS NOT NULL GROUP BY 1,2)"""
 
 
+def for_every_series(rows, obs):
+    """Each row once for every observed series; the list of series is one row."""
+    ids = obs.agg(F.array_sort(F.collect_set("series_id")).alias("__ids")).withColumn("__k", F.lit(1))
+    return rows.withColumn("__k", F.lit(1)).join(F.broadcast(ids), "__k").withColumn("series_id", F.explode("__ids")).drop("__k", "__ids")
+
+
 @query(
-    "J9 D6 publication-lag availability",
-    BOX + SC + "," + PUB + " SELECT symbol, strftime(sc.ts,'%Y-%m-%d') AS ts, strftime(obs_date,'%Y-%m-%d') AS obs_date, value AS value FROM sc ASOF LEFT JOIN k ON sc.series_id=k.series_id AND sc.ts>=k.ts",
+    "J9 D6 publication-lag availability of every series on the trading calendar",
+    BOX + "cs AS (SELECT series_id, cal.ts FROM cal, (SELECT DISTINCT series_id FROM obs))," + PUB + " SELECT cs.series_id, strftime(cs.ts,'%Y-%m-%d') AS ts, strftime(obs_date,'%Y-%m-%d') AS obs_date, value AS value FROM cs ASOF LEFT JOIN k ON cs.series_id=k.series_id AND cs.ts>=k.ts",
 )
 def publication_lag(spark, sf):
-    cal = symbol_calendar(spark, sf)
-    # every series shares the trading calendar, so availability is resolved once per series
-    base = market.calendar(spark, sf).select("ts").withColumn("series_id", F.explode(F.array(*[F.lit(f"P{i}") for i in (1, 2, 3)])))
-    obs = market.observations(spark, sf).where("series_id in ('P1','P2','P3')")
+    obs = market.observations(spark, sf)
+    base = for_every_series(market.calendar(spark, sf).select("ts"), obs)
     x = A.available_on_calendar(base, obs, ["series_id"], "ts", publication_tuesday("ts"), ["value"])
-    y = cal.join(x, ["series_id", "ts"], "left")
-    return y.select("symbol", day().alias("ts"), day("obs_date").alias("obs_date"), F.col("value"))
+    return x.select("series_id", day().alias("ts"), day("obs_date").alias("obs_date"), F.col("value"))
 
 
 @query(
@@ -115,25 +118,26 @@ def fixed_lag_availability(spark, sf):
     )
 
 
-EV = """ ev AS (SELECT md, row_number() OVER (ORDER BY md) AS n FROM proj), p1 AS (SELECT ts, value FROM obs WHERE series_id='P1'),
- e1 AS (SELECT ev.md, a.value AS before FROM ev ASOF LEFT JOIN p1 a ON ev.md>a.ts), e2 AS (SELECT e1.*, b.value AS atv FROM e1 ASOF LEFT JOIN p1 b ON e1.md>=b.ts),
- e3 AS (SELECT md, round(atv-before,11) AS shock, round(sum(atv-before) OVER (ORDER BY md ROWS 2 PRECEDING),11) AS shock3 FROM e2)"""
+EV = """ ev AS (SELECT md, series_id FROM proj, (SELECT DISTINCT series_id FROM obs)),
+ e1 AS (SELECT ev.*, a.value AS before FROM ev ASOF LEFT JOIN obs a ON ev.series_id=a.series_id AND ev.md>a.ts), e2 AS (SELECT e1.*, b.value AS atv FROM e1 ASOF LEFT JOIN obs b ON e1.series_id=b.series_id AND e1.md>=b.ts),
+ e3 AS (SELECT md, series_id, round(atv-before,11) AS shock, round(sum(atv-before) OVER (PARTITION BY series_id ORDER BY md ROWS 2 PRECEDING),11) AS shock3 FROM e2),
+ cs AS (SELECT series_id, cal.ts FROM cal, (SELECT DISTINCT series_id FROM obs))"""
 
 
 @query(
-    "J11 event value carried to the next event, rolling sum of three events",
-    B.with_(B.bars(), B.OBS, B.CAL, B.PROJ).rstrip() + "," + EV + " SELECT strftime(c.ts,'%Y-%m-%d') AS ts, shock, shock3 FROM cal c ASOF LEFT JOIN e3 ON c.ts>=e3.md",
+    "J11 event value of every series carried to the next event, rolling sum of three events",
+    B.with_(B.bars(), B.OBS, B.CAL, B.PROJ).rstrip() + "," + EV + " SELECT cs.series_id, strftime(cs.ts,'%Y-%m-%d') AS ts, shock, shock3 FROM cs ASOF LEFT JOIN e3 ON cs.series_id=e3.series_id AND cs.ts>=e3.md",
 )
 def event_shock_carried(spark, sf):
-    ev = market.projections(spark, sf).select(F.col("meeting_date").alias("ts"), F.lit("P1").alias("series_id"))
-    obs = market.observations(spark, sf).where("series_id = 'P1'")
+    obs = market.observations(spark, sf)
+    ev = for_every_series(market.projections(spark, sf).select(F.col("meeting_date").alias("ts")), obs)
     e = A.asof(ev, obs.withColumnRenamed("value", "before"), ["series_id"], "ts", ["before"], strict=True)
     e = A.asof(e, obs.withColumnRenamed("value", "at"), ["series_id"], "ts", ["at"])
     w = Window.partitionBy("series_id").orderBy("ts")
     raw = F.col("at") - F.col("before")
     e = e.select("series_id", "ts", F.round(raw, 11).alias("shock"), F.round(F.sum(raw).over(w.rowsBetween(-2, 0)), 11).alias("shock3"))
-    cal = market.calendar(spark, sf).select("ts", F.lit("P1").alias("series_id"))
-    return A.asof(cal, e, ["series_id"], "ts", ["shock", "shock3"]).select(day().alias("ts"), "shock", "shock3")
+    cal = for_every_series(market.calendar(spark, sf).select("ts"), obs)
+    return A.asof(cal, e, ["series_id"], "ts", ["shock", "shock3"]).select("series_id", day().alias("ts"), "shock", "shock3")
 
 
 EDGE = """ ed AS (SELECT symbol, ts, pos, close FROM (SELECT *, coalesce(z>1.0,FALSE) AS f, coalesce(lag(z>1.0) OVER (PARTITION BY symbol ORDER BY ts),FALSE) AS g FROM sig) WHERE f AND NOT g)"""
@@ -230,18 +234,19 @@ def period_metrics(spark, sf):
 
 
 @query(
-    "J23 latest and previous available quarter at each meeting",
-    B.with_(B.OBS, B.PROJ) + """, q AS (SELECT last_day(date_trunc('quarter',ts)+INTERVAL 2 MONTH) AS qe, avg(value) AS v FROM obs WHERE series_id='P2' GROUP BY 1), g AS (SELECT qe, v/lag(v) OVER (ORDER BY qe)-1 AS growth FROM q), h AS (SELECT qe, growth, lag(growth) OVER (ORDER BY qe) AS prev_growth FROM g)
-    SELECT strftime(md,'%Y-%m-%d') AS meeting_date, strftime(qe,'%Y-%m-%d') AS quarter, round(growth,6) AS growth, round(prev_growth,6) AS prev_growth FROM proj ASOF LEFT JOIN h ON md>=qe""",
+    "J23 latest and previous available quarter of every series at each meeting",
+    B.with_(B.OBS, B.PROJ) + """, q AS (SELECT series_id, last_day(date_trunc('quarter',ts)+INTERVAL 2 MONTH) AS qe, avg(value) AS v FROM obs GROUP BY 1,2), g AS (SELECT series_id, qe, v/lag(v) OVER (PARTITION BY series_id ORDER BY qe)-1 AS growth FROM q), h AS (SELECT series_id, qe, growth, lag(growth) OVER (PARTITION BY series_id ORDER BY qe) AS prev_growth FROM g),
+    ev AS (SELECT md, series_id FROM proj, (SELECT DISTINCT series_id FROM obs))
+    SELECT ev.series_id, strftime(md,'%Y-%m-%d') AS meeting_date, strftime(qe,'%Y-%m-%d') AS quarter, round(growth,6) AS growth, round(prev_growth,6) AS prev_growth FROM ev ASOF LEFT JOIN h ON ev.series_id=h.series_id AND md>=qe""",
 )
 def quarters_at_meeting(spark, sf):
-    o = market.observations(spark, sf).where("series_id = 'P2'").withColumn("ts", quarter_end("ts"))
-    q = o.groupBy("series_id", "ts").agg(F.avg("value").alias("v"))
+    obs = market.observations(spark, sf)
+    q = obs.withColumn("ts", quarter_end("ts")).groupBy("series_id", "ts").agg(F.avg("value").alias("v"))
     by = ("series_id",)
     q = q.withColumn("growth", W.pct_change("v", 1, by)).withColumn("prev_growth", F.lag("growth").over(W.over(by)))
-    ev = market.projections(spark, sf).select(F.lit("P2").alias("series_id"), F.col("meeting_date").alias("ts"))
+    ev = for_every_series(market.projections(spark, sf).select(F.col("meeting_date").alias("ts")), obs)
     x = A.asof(ev, q, ["series_id"], "ts", ["growth", "prev_growth"], obs_on="quarter")
-    return x.select(day().alias("meeting_date"), day("quarter").alias("quarter"), F.round("growth", 6).alias("growth"), F.round("prev_growth", 6).alias("prev_growth"))
+    return x.select("series_id", day().alias("meeting_date"), day("quarter").alias("quarter"), F.round("growth", 6).alias("growth"), F.round("prev_growth", 6).alias("prev_growth"))
 
 
 @query(
@@ -271,12 +276,12 @@ def daily_forward_fill(spark, sf):
 
 
 @query(
-    "P16 centre row of a +/-10-day neighbourhood of each meeting",
-    B.with_(B.OBS, B.PROJ) + """SELECT strftime(md,'%Y-%m-%d') AS meeting_date, strftime(ts,'%Y-%m-%d') AS centre, value AS value FROM (SELECT md, ts, value, row_number() OVER (PARTITION BY md ORDER BY ts) AS rn, count(*) OVER (PARTITION BY md) AS n FROM proj JOIN obs ON series_id='P1' AND ts BETWEEN md-10 AND md+10) WHERE rn=n//2+1""",
+    "P16 centre row of every series in a +/-10-day neighbourhood of each meeting",
+    B.with_(B.OBS, B.PROJ) + """SELECT series_id, strftime(md,'%Y-%m-%d') AS meeting_date, strftime(ts,'%Y-%m-%d') AS centre, value AS value FROM (SELECT md, series_id, ts, value, row_number() OVER (PARTITION BY md, series_id ORDER BY ts) AS rn, count(*) OVER (PARTITION BY md, series_id) AS n FROM proj JOIN obs ON ts BETWEEN md-10 AND md+10) WHERE rn=n//2+1""",
 )
 def centre_of_neighbourhood(spark, sf):
     ev = market.projections(spark, sf).select("meeting_date", F.explode(F.sequence(F.date_sub("meeting_date", 10), F.date_add("meeting_date", 10))).alias("ts"))
-    x = ev.join(market.observations(spark, sf).where("series_id = 'P1'"), "ts")
-    w = Window.partitionBy("meeting_date")
+    x = ev.join(market.observations(spark, sf), "ts")
+    w = Window.partitionBy("meeting_date", "series_id")
     x = x.withColumn("rn", F.row_number().over(w.orderBy("ts"))).withColumn("n", F.count(F.lit(1)).over(w))
-    return x.where("rn = floor(n / 2) + 1").select(day("meeting_date").alias("meeting_date"), day().alias("centre"), F.col("value"))
+    return x.where("rn = floor(n / 2) + 1").select("series_id", day("meeting_date").alias("meeting_date"), day().alias("centre"), F.col("value"))

@@ -156,19 +156,20 @@ def availability_profile(spark, sf):
 
 
 @query(
-    "S13 S15 D8 Q5 expected against present days: missing dates and next due date",
-    BO + """, ex AS (SELECT CAST(unnest(generate_series(date_trunc('month',a), date_trunc('month',b), INTERVAL 1 MONTH)) AS DATE) AS m FROM (SELECT min(ts) AS a, max(ts) AS b FROM obs)), d AS (SELECT m+CAST(14+(3-isodow(m+14)+7)%7 AS INT) AS due FROM ex), pr AS (SELECT DISTINCT ts FROM obs WHERE series_id='P1')
-    SELECT CAST(year(due) AS INT) AS yr, count(*) AS expected, count(CASE WHEN ts IS NULL THEN 1 END) AS missing, strftime(min(CASE WHEN ts IS NULL THEN due END),'%Y-%m-%d') AS first_missing FROM d LEFT JOIN pr ON ts=due GROUP BY 1""",
+    "S13 S15 D8 Q5 expected against present days of every series: missing dates and next due date",
+    BO + """, ex AS (SELECT CAST(unnest(generate_series(date_trunc('month',a), date_trunc('month',b), INTERVAL 1 MONTH)) AS DATE) AS m FROM (SELECT min(ts) AS a, max(ts) AS b FROM obs)), d AS (SELECT series_id, m+CAST(14+(3-isodow(m+14)+7)%7 AS INT) AS due FROM ex, (SELECT DISTINCT series_id FROM obs)), pr AS (SELECT DISTINCT series_id, ts FROM obs)
+    SELECT d.series_id, CAST(year(due) AS INT) AS yr, count(*) AS expected, count(CASE WHEN ts IS NULL THEN 1 END) AS missing, strftime(min(CASE WHEN ts IS NULL THEN due END),'%Y-%m-%d') AS first_missing FROM d LEFT JOIN pr ON ts=due AND pr.series_id=d.series_id GROUP BY 1,2""",
 )
 def expected_documents(spark, sf):
     obs = market.observations(spark, sf)
-    span = obs.agg(F.trunc(F.min("ts"), "month").alias("a"), F.trunc(F.max("ts"), "month").alias("b"))
-    months = span.select(F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("m"))
-    due = months.select(third_wednesday("m").alias("ts"))
-    present = obs.where("series_id = 'P1'").select("ts").distinct().withColumn("here", F.lit(1))
-    x = due.join(present, "ts", "left")
+    # one row: first and last month over all series, and the series
+    span = obs.agg(F.trunc(F.min("ts"), "month").alias("a"), F.trunc(F.max("ts"), "month").alias("b"), F.collect_set("series_id").alias("ids"))
+    months = span.select("ids", F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("m"))
+    due = months.select(F.explode("ids").alias("series_id"), third_wednesday("m").alias("ts"))
+    present = obs.select("series_id", "ts").distinct().withColumn("here", F.lit(1))
+    x = due.join(present, ["series_id", "ts"], "left")
     gone = F.col("here").isNull()
-    return x.groupBy(F.year("ts").alias("yr")).agg(F.count(F.lit(1)).alias("expected"), F.count_if(gone).alias("missing"), day(F.min(F.when(gone, F.col("ts")))).alias("first_missing"))
+    return x.groupBy("series_id", F.year("ts").alias("yr")).agg(F.count(F.lit(1)).alias("expected"), F.count_if(gone).alias("missing"), day(F.min(F.when(gone, F.col("ts")))).alias("first_missing"))
 
 
 @query(
