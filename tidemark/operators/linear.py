@@ -85,7 +85,8 @@ def _standardised_fit(cov: pd.Series, target: pd.Series) -> pd.Series:
     flat = sd <= 1e-9 * np.maximum(sd.max(axis=1, keepdims=True), 1e-300)
     safe = np.where(flat, 1.0, sd)
     r = np.where(flat[:, :, None] | flat[:, None, :], 0.0, a / safe[:, :, None] / safe[:, None, :])
-    return pd.Series(list(np.einsum("nij,nj->ni", np.linalg.pinv(r, rcond=1e-10, hermitian=True), np.where(flat, 0.0, t / safe))))
+    w = np.einsum("nij,nj->ni", np.linalg.pinv(r, rcond=1e-10, hermitian=True), np.where(flat, 0.0, t / safe))
+    return pd.Series(list(np.where(flat, 0.0, w)))
 
 
 def rolling_attribution(df: DataFrame, xs: list[str], y: str, k: int, by=("symbol",), order=("ts",)) -> DataFrame:
