@@ -26,7 +26,7 @@ def test_merge_by_common_prefixes(seed):
     its = [iter(r) for r in runs]
     out = [next(its[x]) for x in order]
     assert out == sorted(sum(runs, []))
-    assert h[1:] == [shared(a, b) for a, b in zip(out, out[1:])]
+    assert h[1:].tolist() == [shared(a, b) for a, b in zip(out, out[1:])]
 
 
 def test_merge_compares_no_known_prefix(monkeypatch):
@@ -55,14 +55,28 @@ def some_suffixes(rng, width, n=300, alphabet=b"ab"):
 @pytest.mark.parametrize("width", [8, 20, 50])
 def test_front_coding_round_trip(width):
     _, s = some_suffixes(random.Random(width), width)
-    back, prefixes = S.front_decoded(S.front_coded(s), width)
+    back, prefixes, sizes = S.front_decoded([S.front_coded(s), S.front_coded(s)], width)
+    assert sizes.tolist() == [len(s)] * 2
     for f in S.Suffixes.FIELDS:
-        assert np.array_equal(getattr(back, f), getattr(s, f)), f
+        assert np.array_equal(getattr(back, f), np.concatenate([getattr(s, f)] * 2)), f
+    prefixes = prefixes[: len(s)]
     rows = [bytes(r[:n]) for r, n in zip(s.right, s.n_right)]
     assert rows == sorted(rows)
     assert prefixes.tolist() == [shared(rows[i - 1], rows[i]) if i else 0 for i in range(len(rows))]
 
 
+def test_leads_keep_all_that_share_windows():
+    rng = random.Random(4)
+    data, s = some_suffixes(rng, 20, 3000, b"abcdefghij")
+    keep = set(S.shared_leads(s, 20).tolist())
+    rows = [bytes(r[:n]) for r, n in zip(s.right, s.n_right)]
+    for i, r in enumerate(rows):
+        need = 20 - int(s.n_left[i])
+        if any(j != i and shared(r, o) >= need for j, o in enumerate(rows)):
+            assert i in keep
+    assert len(keep) < len(s)
+
+
 @pytest.mark.parametrize("width", [8, 50])
 def test_every_window_has_one_suffix(width):
     data, s = some_suffixes(random.Random(1), width, 700, b"abc")

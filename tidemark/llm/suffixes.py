@@ -12,6 +12,7 @@ Suffixes of anchors that hold too many of a sample travel window by window, deal
 from __future__ import annotations
 
 from collections.abc import Iterator
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +31,9 @@ WIDTH = 50
 #: Bytes of an anchor, for windows of four times as many or more
 GRAM = 12
 #: Bytes of text that a task sorts at a time; longer texts are cut into pieces that overlap by a window
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 #: Bytes of text behind one part of the merged order, and of the documents
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 #: Ranges of the order; beyond them a range is dealt by hashes of anchors
 MAX_RANGES = 1 << 14
 #: Suffixes sampled for each range, and suffixes of one anchor that may meet in one part
@@ -53,7 +54,7 @@ def gram_of(width: int) -> int:
 
 def anchors(data: np.ndarray, width: int) -> np.ndarray:
     """Place of the anchor of every window: the leftmost gram of least hash in it."""
-    gram, out = gram_of(width), np.empty(max(len(data) - width + 1, 0), dtype=np.int64)
+    gram, out = gram_of(width), np.empty(max(len(data) - width + 1, 0), dtype=np.int32)
     span = width - gram + 1
     for at in range(0, len(out), CHUNK):
         part = data[at : at + CHUNK + width - 1]
@@ -71,7 +72,7 @@ def anchors(data: np.ndarray, width: int) -> np.ndarray:
             step *= 2
         if step < span:
             least = np.minimum(least[: step - span], least[span - step :] + np.uint64(span - step))
-        out[at : at + len(least)] = (least & np.uint64(0xFFFF)).astype(np.int64) + np.arange(at, at + len(least))
+        out[at : at + len(least)] = (least & np.uint64(0xFFFF)).astype(np.int32) + np.arange(at, at + len(least), dtype=np.int32)
     return out
 
 
@@ -147,7 +148,7 @@ def common_prefixes(right: np.ndarray, n_right: np.ndarray) -> np.ndarray:
     return out
 
 
-def merge(runs: list[list[bytes]], prefixes: list[list[int]]) -> tuple[list[int], list[int]]:
+def merge(runs: list[list[bytes]], prefixes: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Merges sorted runs by a loser tree; ``prefixes`` are common prefix lengths inside each run.
 
     Returns the run of each string in the merged order and what it shares with the string before it. A node
@@ -157,54 +158,45 @@ def merge(runs: list[list[bytes]], prefixes: list[list[int]]) -> tuple[list[int]
     size = 1
     while size < len(runs):
         size *= 2
-    heads: list[bytes] = [b""] * size
-    places, ends = [0] * size, [len(r) for r in runs] + [0] * (size - len(runs))
-    shared = [-1] * size  # an ended run shares less than any other, so it loses
-
-    def differ(x: bytes, y: bytes, at: int) -> int:
-        if x == y:
-            return len(x)
-        most = min(len(x), len(y))
-        while at < most and x[at] == y[at]:
-            at += 1
-        return at
-
-    for r, run in enumerate(runs):
-        if run:
-            heads[r], shared[r] = run[0], 0
+    # an ended run shares less than any other, so it loses
+    runs = [[*r, b""] for r in runs] + [[b""]] * (size - len(runs))
+    prefixes = [[*p, -1] for p in prefixes] + [[-1]] * (size - len(prefixes))
+    heads, places = [r[0] for r in runs], [0] * size
     loser, loser_shares, winner = [0] * size, [-1] * size, [0] * size + list(range(size))
     for node in range(size - 1, 0, -1):
         a, b = winner[2 * node], winner[2 * node + 1]
-        if shared[a] < 0 or (shared[b] >= 0 and heads[b] < heads[a]):
+        if prefixes[a][0] < 0 or (prefixes[b][0] >= 0 and heads[b] < heads[a]):
             a, b = b, a
         winner[node], loser[node] = a, b
-        loser_shares[node] = differ(heads[a], heads[b], 0) if shared[b] >= 0 else -1
-    run = winner[1]
-    h = shared[run]
-    out_run, out_shared = [], []
+        loser_shares[node] = len(commonprefix((heads[a], heads[b]))) if prefixes[b][0] >= 0 else -1
+    run, h, out = winner[1], prefixes[winner[1]][0], []
     while h >= 0:
-        out_run.append(run)
-        out_shared.append(h)
+        out.append(run << 8 | h)
         p = places[run] = places[run] + 1
-        if p < ends[run]:
-            heads[run], h = runs[run][p], prefixes[run][p]
-        else:
-            h = -1
+        x = heads[run] = runs[run][p]
+        h = prefixes[run][p]
         node = (run + size) >> 1
         while node:
             other = loser_shares[node]
             if other > h:
-                loser_shares[node], h = h, other
+                loser_shares[node] = h
                 loser[node], run = run, loser[node]
+                h, x = other, heads[run]
             elif other == h and h >= 0:
-                x, o = heads[run], loser[node]
-                y = heads[o]
-                c = differ(x, y, h)
-                loser_shares[node] = c
-                if y[c : c + 1] < x[c : c + 1]:
-                    loser[node], run = run, o
+                y = heads[loser[node]]
+                if x == y:
+                    loser_shares[node] = len(x)
+                else:
+                    c, most = h, min(len(x), len(y))
+                    while c < most and x[c] == y[c]:
+                        c += 1
+                    loser_shares[node] = c
+                    if y < x:
+                        loser[node], run = run, loser[node]
+                        x = y
             node >>= 1
-    return out_run, out_shared
+    packed = np.array(out, dtype=np.int64)
+    return (packed >> 8).astype(np.int32), (packed & 0xFF).astype(np.uint8)
 
 
 def repeats(s: Suffixes, shared: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,7 +213,7 @@ def repeats(s: Suffixes, shared: np.ndarray, width: int) -> tuple[np.ndarray, np
         i = np.flatnonzero((low <= m) & (m <= s.n_left))
         if len(i) > 1:
             segment = np.cumsum(shared < width - m)[i].astype(np.uint64)
-            some.append(i), ms.append(np.full(len(i), m)), keys.append(_mix(h[i] ^ _mix(segment * BASE + np.uint64(m))))
+            some.append(i.astype(np.int32)), ms.append(np.full(len(i), m, dtype=np.uint8)), keys.append(_mix(h[i] ^ _mix(segment * BASE + np.uint64(m))))
     if not some:
         z = np.zeros(0, dtype=np.int64)
         return z, z, z
@@ -232,13 +224,14 @@ def repeats(s: Suffixes, shared: np.ndarray, width: int) -> tuple[np.ndarray, np
     twice = ~new
     twice[:-1] |= ~new[1:]
     i = order[twice]
-    return some[i], ms[i], np.cumsum(new)[twice]
+    return some[i].astype(np.int64), ms[i].astype(np.int64), np.cumsum(new)[twice]
 
 
 def _window_hashes(s: Suffixes, i: np.ndarray, m: np.ndarray, width: int) -> np.ndarray:
     """The hash that ``hashes_of`` gives window m of each suffix."""
-    rows = np.concatenate([s.left[:, ::-1], s.right], axis=1)
-    at, flat = i * rows.shape[1] + s.left.shape[1] - m, rows.ravel()
+    some, place = np.unique(i, return_inverse=True)
+    rows = np.concatenate([s.left[some][:, ::-1], s.right[some]], axis=1)
+    at, flat = place * rows.shape[1] + s.left.shape[1] - m, rows.ravel()
     h = np.zeros(len(i), dtype=np.uint64)
     for c in range(width):
         h = h * ROLL + flat[at + c] + np.uint64(1)
@@ -300,31 +293,51 @@ def front_coded(s: Suffixes) -> bytes:
     return b"".join([np.int64(len(s)).tobytes(), shared.tobytes(), s.n_right.tobytes(), s.n_left.tobytes(), *planes, rest.tobytes(), left.tobytes()])
 
 
-def front_decoded(raw: bytes, width: int) -> tuple[Suffixes, np.ndarray]:
-    """The suffixes of a run, and what each shares with the one before it."""
+def front_decoded(raws: list[bytes], width: int) -> tuple[Suffixes, np.ndarray, np.ndarray]:
+    """The suffixes of some runs, one run after another, what each shares with the one before it, and the sizes of the runs."""
     rights, lefts = _columns(width)
-    n, at = int(np.frombuffer(raw, np.int64, 1)[0]), 8
-
-    def column(kind) -> np.ndarray:
-        nonlocal at
-        size = np.dtype(kind).itemsize
-        planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
-        at += n * size
-        return np.ascontiguousarray(planes.T).view(kind).ravel()
-
-    shared, n_right, n_left = column(np.uint8), column(np.uint8), column(np.uint8)
-    ids, salt, place = column(np.int64), column(np.uint16), column(np.uint32)
-    right, left = np.zeros((n, rights), dtype=np.uint8), np.zeros((n, lefts), dtype=np.uint8)
-    own = (np.arange(rights) >= shared[:, None]) & (np.arange(rights) < n_right[:, None])
-    size = int(own.sum())
-    right[own] = np.frombuffer(raw, np.uint8, size, at)
-    left[np.arange(lefts) < n_left[:, None]] = np.frombuffer(raw, np.uint8, offset=at + size)
-    # byte j comes from the last suffix up to here that brought its own
+    kinds = [np.dtype(k) for k in (np.uint8, np.uint8, np.uint8, np.int64, np.uint16, np.uint32)]
+    sizes = np.array([int(np.frombuffer(r, np.int64, 1)[0]) for r in raws])
+    columns: list[list[np.ndarray]] = [[] for _ in kinds]
+    rests, sides = [], []
+    for raw, n in zip(raws, sizes.tolist()):
+        at = 8
+        for kind, column in zip(kinds, columns):
+            planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
+            column.append(planes[0] if kind.itemsize == 1 else np.ascontiguousarray(planes.T).view(kind).ravel())
+            at += n * kind.itemsize
+        size = int(columns[1][-1].sum(dtype=np.int64) - columns[0][-1].sum(dtype=np.int64))
+        rests.append(np.frombuffer(raw, np.uint8, size, at))
+        sides.append(np.frombuffer(raw, np.uint8, offset=at + size))
+    shared, n_right, n_left, ids, salt, place = (np.concatenate(c) for c in columns)
+    bytes_at, left = np.zeros((rights, len(ids)), dtype=np.uint8), np.zeros((len(ids), lefts), dtype=np.uint8)
+    col = np.arange(rights, dtype=np.uint8)
+    bytes_at.T[(col >= shared[:, None]) & (col < n_right[:, None])] = np.concatenate(rests)
+    left[col[:lefts] < n_left[:, None]] = np.concatenate(sides)
+    # byte j comes from the last suffix up to here that brought its own; a run's first one brings all
+    where = np.arange(len(ids), dtype=np.int32)
     for j in range(int(shared.max(initial=0))):
-        last = np.maximum.accumulate(np.where(shared <= j, np.arange(n), 0))
-        right[:, j] = right[last, j]
-    right[np.arange(rights) >= n_right[:, None]] = 0
-    return Suffixes(right, n_right, left, n_left, ids, salt, place), shared
+        bytes_at[j] = bytes_at[j][np.maximum.accumulate(np.where(shared <= j, where, 0))]
+    bytes_at[col[:, None] >= n_right] = 0
+    return Suffixes(np.ascontiguousarray(bytes_at.T), n_right, left, n_left, ids, salt, place), shared, sizes
+
+
+def shared_leads(s: Suffixes, width: int) -> np.ndarray:
+    """Places of the suffixes whose leading bytes another one has too.
+
+    A window of a suffix needs ``width - n_left`` equal bytes to the right at least. Leads of a few lengths up to that are
+    counted by hash; a false match keeps a suffix, never drops one.
+    """
+    need = width - s.n_left.astype(np.int64)
+    size = 1 << max(int(4 * len(s)).bit_length(), 10)
+    lengths = sorted({gram_of(width), width // 3, width // 2})
+    keep, h = np.ones(len(s), dtype=bool), np.zeros(len(s), dtype=np.uint64)
+    for j in range(lengths[-1]):
+        h = h * ROLL + s.right[:, j] + np.uint64(1)
+        if j + 1 in lengths:
+            slot = (_mix(h) & np.uint64(size - 1)).astype(np.int64)
+            keep &= (np.bincount(slot, minlength=size)[slot] > 1) | (need < j + 1)
+    return np.flatnonzero(keep)
 
 
 def pieces_of(batch: pa.RecordBatch, width: int) -> Iterator[list[tuple[int, int, np.ndarray]]]:
@@ -351,12 +364,13 @@ def suffixes_of(pieces: list[tuple[int, int, np.ndarray]], ids: np.ndarray, salt
     inside = np.ones(len(data), dtype=bool)
     for e in np.cumsum(sizes):
         inside[max(e - width + 1, 0) : e] = False
-    p = np.flatnonzero(inside[: max(len(data) - width + 1, 0)])
-    at = anchors(data, width)[p]
-    new = np.ones(len(p), dtype=bool)
-    new[1:] = (at[1:] != at[:-1]) | (p[1:] != p[:-1] + 1)
-    head = np.flatnonzero(new)
-    first, last, at = p[head], p[np.append(head[1:], len(p)) - 1], at[head]
+    inside = inside[: max(len(data) - width + 1, 0)]
+    at = anchors(data, width)
+    # a suffix stands for a run of windows inside one piece that have its anchor
+    turn = np.ones(len(at) + 1, dtype=bool)
+    turn[1:-1] = (at[1:] != at[:-1]) | (inside[1:] != inside[:-1])
+    first, last = np.flatnonzero(turn[:-1] & inside), np.flatnonzero(turn[1:] & inside)
+    at = at[first].astype(np.int64)
     piece = np.searchsorted(begins, at, side="right") - 1
     rows = np.array([r for r, _, _ in pieces])[piece]
     place = at - begins[piece] + np.array([b for _, b, _ in pieces])[piece]
@@ -370,7 +384,12 @@ def settled(s: Suffixes, rows: np.ndarray, shared: np.ndarray, width: int) -> tu
     """
     i, m, group = repeats(s, shared, width)
     start = s.at[i].astype(np.int64) - m
-    o = np.lexsort((start, rows[i], s.salt[i], s.id[i], group))
+    # rows by id and salt, so that one number orders the windows of a group
+    known, first = np.unique(rows, return_index=True)
+    rank = np.empty(int(known.max(initial=0)) + 1, dtype=np.int64)
+    rank[known[np.lexsort((known, s.salt[first], s.id[first]))]] = np.arange(len(known))
+    key, bits = group * len(known) + rank[rows[i]], int(start.max(initial=0)).bit_length()
+    o = np.argsort(key << bits | start) if int(key.max(initial=0)).bit_length() + bits < 63 else np.lexsort((start, key))
     i, m, group, start = i[o], m[o], group[o], start[o]
     ids, salts, row = s.id[i], s.salt[i], rows[i]
     same = np.zeros(len(i), dtype=bool)
@@ -379,12 +398,15 @@ def settled(s: Suffixes, rows: np.ndarray, shared: np.ndarray, width: int) -> tu
     hit = ids != ids[head]
     again = same.copy()
     again[1:] &= (ids[1:] == ids[:-1]) & (salts[1:] == salts[:-1]) & ((row[1:] == row[:-1]) | (start[1:] == start[:-1]))
-    stays = np.arange(s.left.shape[1] + 1)
-    alive = (stays >= width - s.n_right.astype(np.int64)[:, None]) & (stays <= s.n_left[:, None])
     gone = hit | again
-    alive[i[gone], m[gone]] = False
-    last = alive.shape[1] - 1 - alive[:, ::-1].argmax(axis=1)
-    return i[hit], m[hit], alive.any(axis=1), last
+    left = s.n_left.astype(np.int64) + s.n_right + 1 - width - np.bincount(i[gone], minlength=len(s))
+    # the last m that stays, where some go
+    last, some = s.n_left.astype(np.int64), np.unique(i[gone])
+    place = np.searchsorted(some, i[gone])
+    alive = np.arange(s.left.shape[1] + 1) <= last[some][:, None]
+    alive[place, m[gone]] = False
+    last[some] = alive.shape[1] - 1 - alive[:, ::-1].argmax(axis=1)
+    return i[hit], m[hit], left > 0, last
 
 
 def _alone(s: Suffixes, width: int) -> Suffixes:
@@ -497,24 +519,27 @@ def _merge(width: int, parts: int):
     """Merges the runs of a part and finds the windows that a smaller id has too."""
 
     def settle(bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
-        runs, prefixes, all_ = [], [], []
-        for body in bodies:
-            s, shared = front_decoded(zstandard.ZstdDecompressor().decompress(body), width)
-            raw, step = s.right.tobytes(), s.right.shape[1]
-            runs.append([raw[k * step : k * step + n] for k, n in enumerate(s.n_right.tolist())])
-            prefixes.append(shared.tolist())
-            all_.append(s)
-        order, shared = merge(runs, prefixes)
-        run = np.array(order)
-        del runs, prefixes, order
-        sizes = np.array([len(s) for s in all_])
+        unpack = zstandard.ZstdDecompressor()
+        s, shared, sizes = front_decoded([unpack.decompress(b) for b in bodies], width)
+        bodies.clear()
+        # those leave whose leading bytes nobody shares: they can have no window in common with another
+        keep = shared_leads(s, width)
+        if not len(keep):
+            return
+        sizes = np.diff(np.searchsorted(keep, np.append(0, np.cumsum(sizes))))
+        shared = np.minimum.reduceat(shared[: keep[-1] + 1], np.append(0, keep[:-1] + 1))
+        s = s.take(keep)
+        raw, step = s.right.tobytes(), s.right.shape[1]
+        strings, shared = [raw[k : k + n] for k, n in zip(range(0, len(raw), step), s.n_right.tolist())], shared.tolist()
+        ends = np.cumsum(sizes).tolist()
+        spans = list(zip([0, *ends[:-1]], ends))
+        run, shared = merge([strings[a:b] for a, b in spans], [shared[a:b] for a, b in spans])
+        del raw, strings
         # a run's strings keep their order: the k-th time a run comes, it is its k-th string
-        by_run = np.argsort(run, kind="stable")
         index = np.empty(len(run), dtype=np.int64)
-        index[by_run] = np.arange(len(run))
-        assert int(sizes.sum()) == len(run)
-        s = Suffixes.join(all_).take(index)
-        i, m, group = repeats(s, np.array(shared, dtype=np.uint8), width)
+        index[np.argsort(run, kind="stable")] = np.arange(len(run))
+        s = s.take(index)
+        i, m, group = repeats(s, shared, width)
         if not len(i):
             return
         ids = s.id[i]
@@ -552,12 +577,11 @@ def gone_bytes(data: np.ndarray, hits: np.ndarray, width: int) -> np.ndarray:
     start, end, total = start[fits], end[fits], hits["sum"][fits]
     right = sums[end] - sums[start] == total
     start, end = start[right], end[right]
-    depth = np.zeros(len(h) + 1, dtype=np.int64)
-    np.add.at(depth, start, 1)
-    np.add.at(depth, end, -1)
-    found = np.cumsum(depth[:-1]) > 0
-    found = np.isin(h, np.unique(h[found]))
-    at = np.flatnonzero(found)
+    found = np.cumsum(np.bincount(start, minlength=len(h) + 1) - np.bincount(end, minlength=len(h) + 1))[:-1] > 0
+    wanted = np.unique(h[found])
+    if not len(wanted):
+        return np.zeros(len(data), dtype=bool)
+    at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h)
     cover = np.zeros(len(data) + 1, dtype=np.int64)
     cover[at] += 1
     cover[at + width] -= 1
