@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import machines as M
@@ -100,7 +101,7 @@ def instrument_replay(spark, sf):
 def renamed(sql: str, names: tuple[str, ...], suffix: str) -> str:
     """The CTEs under other names, so that a second run stands beside the first."""
     for n in names:
-        sql = re.sub(rf"\b{n}\b(?=\s*(\(k,|AS \(|AS MATERIALIZED|r JOIN|WHERE pos|GROUP BY k|\)))", n + suffix, sql)
+        sql = re.sub(rf"(?<=FROM ){n}\b|(?<=JOIN ){n}\b|\b{n}(?= AS (MATERIALIZED )?\()|\b{n}(?=\(k,)", n + suffix, sql)
     return sql
 
 
@@ -124,6 +125,61 @@ def model_gates(spark, sf):
     )
 
 
+TC_RUN = renamed(run_sql(bps="200.0"), ("run", "path"), "_t") + "," + renamed(METRICS, ("path", "dd", "met"), "_t")
+ONLY_RUN = "lay_p AS (SELECT *, CASE WHEN master=0 THEN 0 ELSE 5 END AS layer FROM sig)," + renamed(run_sql(src="lay_p"), ("run", "path"), "_p") + "," + renamed(METRICS, ("path", "dd", "met"), "_p")
+CHECKS = """docs_ok rates_complete returns_complete gap_ok long_enough exit_events signals_mapped next_day_execution beats_hold_return beats_hold_drawdown overlay_improves_drawdown
+ sharpe_ok trades_ok drawdown_ok costs_200_sharpe trades_per_year_ok instruments_within_15 close_fills_within_5 has_trades turnover_ok alive exposure_ok signals_present no_repeated_day costs_reduce_return""".split()
+CHECK_SQL = f""", rm AS (SELECT k, pow(arg_max(eq,pos),252.0::DOUBLE/count(*))-1 AS cagr FROM rd GROUP BY 1),
+ oc AS (SELECT series_id, count(*) AS docs FROM obs GROUP BY 1), pm AS (SELECT max(md) FILTER (signal<>'') <= (SELECT max(ts) FROM cal) AS mapped FROM psig),
+ da AS (SELECT symbol, any_value({B.SID}) AS sid, count(rate)=count(*) AS rates, count(*)-count(r)<=1 AS rets, max(abs((1+gap)*(1+intra)-1-r))<0.0001 AS gap, count(*)>252 AS long, count(*) FILTER (master=0)>0 AS exits, count(z)>0 AND count(vz)>0 AS sigs, count(DISTINCT ts)=count(*) AS days FROM sig GROUP BY 1),
+ h0 AS (SELECT symbol, pos, exp(sum(ln(greatest(1+3*coalesce(r,0),0.001::DOUBLE))) OVER (PARTITION BY symbol ORDER BY pos)) AS eq FROM sig), h1 AS (SELECT *, eq/max(eq) OVER (PARTITION BY symbol ORDER BY pos)-1 AS dd FROM h0), ho AS (SELECT symbol, pow(arg_max(eq,pos),252.0::DOUBLE/count(*))-1 AS cagr, min(dd) AS mdd FROM h1 GROUP BY 1),
+ dl AS (SELECT k, coalesce(bool_and(ts>pts) FILTER (lev<>plev0),TRUE) AS ok FROM (SELECT k, ts, lev, lag(lev) OVER w AS plev0, lag(ts) OVER w AS pts FROM path WINDOW w AS (PARTITION BY k ORDER BY pos)) GROUP BY 1),
+ cj AS (SELECT da.symbol, docs>=20 AS docs_ok, rates AS rates_complete, rets AS returns_complete, gap AS gap_ok, long AS long_enough, exits AS exit_events, mapped AS signals_mapped, dl.ok AS next_day_execution, met.cagr>ho.cagr AS beats_hold_return, met.mdd>ho.mdd AS beats_hold_drawdown, met.mdd>met_p.mdd AS overlay_improves_drawdown,
+  met.sharpe>1.33 AS sharpe_ok, met.trades<80 AS trades_ok, met.mdd>= -0.45 AS drawdown_ok, met_t.sharpe>1 AS costs_200_sharpe, met.trades*252.0::DOUBLE/met.n<=5 AS trades_per_year_ok, abs(met.cagr-rm.cagr)<0.15 AS instruments_within_15, abs(met.cagr-met_c.cagr)<0.05 AS close_fills_within_5, met.trades>=1 AS has_trades, met.trades*252.0::DOUBLE/met.n<60 AS turnover_ok, met.final>0.001 AS alive, met.in_market BETWEEN 0.2 AND 1 AS exposure_ok, sigs AS signals_present, days AS no_repeated_day, met_t.cagr<=met.cagr AS costs_reduce_return
+  FROM da JOIN met ON met.k=da.symbol JOIN met_c ON met_c.k=da.symbol JOIN met_t ON met_t.k=da.symbol JOIN met_p ON met_p.k=da.symbol JOIN rm ON rm.k=da.symbol JOIN ho ON ho.symbol=da.symbol JOIN dl ON dl.k=da.symbol JOIN oc ON oc.series_id=da.sid, pm)
+ SELECT symbol, "check", ok FROM cj UNPIVOT (ok FOR "check" IN ({", ".join(CHECKS)}))"""
+
+
+@query(
+    "I23 Q2 Q3 Q4 Q7 the whole structural checklist: data, execution, performance, cost stress and model comparison",
+    recursive(*B.signal_frame(), LAYERS, run_sql(), METRICS, CLOSE_RUN, TC_RUN, ONLY_RUN, REAL) + CHECK_SQL,
+)
+def full_checklist(spark, sf):
+    by = ["symbol"]
+    sig = signal_frame(spark, sf)
+    s = with_layers(sig, by)
+    inst = {k: {"r": k * F.col("r") - 0.00002 * k * (k - 1), "gap": k * F.col("gap"), "intra": k * F.col("intra")} for k in (3, 2, 1)}
+    metrics = ("n", "final", "cagr", "mdd", "sharpe", "trades", "in_market")
+    of = lambda m, tag, cols: m.select("symbol", *[F.col(c).alias(f"{tag}_{c}") for c in cols])
+    base = leverage_fold(s, by)
+    late = F.exists("log", lambda t: t["exec_date"] <= t["signal_date"])
+    m = base.select("symbol", *metrics, (~F.coalesce(late, F.lit(False))).alias("next_day"))
+    m = m.join(of(leverage_fold(s, by, next_open=False), "close", ["cagr"]), by).join(of(instrument_fold(s, by, inst), "inst", ["cagr"]), by)
+    m = m.join(of(leverage_fold(s, by, p={"tc_bps": 200.0}), "tc", ["cagr", "sharpe"]), by)
+    m = m.join(of(leverage_fold(with_layers(sig, by, credit=False, vol=False, ratio=False), by), "only", ["mdd"]), by)
+    run = Window.partitionBy("symbol").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    hold = sig.withColumn("eq", F.exp(F.sum(F.log(F.greatest(1 + 3 * F.coalesce("r", F.lit(0.0)), F.lit(0.001)))).over(run))).withColumn("dd", F.col("eq") / F.max("eq").over(run) - 1)
+    hold = hold.groupBy("symbol").agg((F.pow(F.max_by("eq", "pos"), 252.0 / F.count(F.lit(1))) - 1).alias("hold_cagr"), F.min("dd").alias("hold_mdd"))
+    n = F.count(F.lit(1))
+    data = sig.groupBy("symbol").agg(
+        (F.count("rate") == n).alias("rates"), (n - F.count("r") <= 1).alias("rets"), (F.max(F.abs((1 + F.col("gap")) * (1 + F.col("intra")) - 1 - F.col("r"))) < 0.0001).alias("gap_fits"), (n > 252).alias("long"),
+        (F.count_if(F.col("master") == 0) > 0).alias("exits"), ((F.count("z") > 0) & (F.count("vz") > 0)).alias("sigs"), (F.count_distinct("ts") == n).alias("days"),
+    )
+    docs = market.observations(spark, sf).groupBy("series_id").agg(F.count(F.lit(1)).alias("docs"))
+    data = data.withColumn("series_id", market.series_of_symbol()).join(docs, "series_id")
+    # two single rows: the last signal and the last trading day
+    ev = alternating_signals(with_previous(market.projections(spark, sf))).where("signal <> ''").agg(F.max("meeting_date").alias("md")).withColumn("__k", F.lit(1))
+    ends = market.calendar(spark, sf).agg(F.max("ts").alias("last")).withColumn("__k", F.lit(1)).join(F.broadcast(ev), "__k")
+    m = m.join(data, by).join(hold, by).withColumn("__k", F.lit(1)).join(F.broadcast(ends.select("__k", (F.col("md") <= F.col("last")).alias("mapped"))), "__k")
+    c, per_year = F.col, F.col("trades") * 252.0 / F.col("n")
+    tests = [
+        c("docs") >= 20, c("rates"), c("rets"), c("gap_fits"), c("long"), c("exits"), c("mapped"), c("next_day"), c("cagr") > c("hold_cagr"), c("mdd") > c("hold_mdd"), c("mdd") > c("only_mdd"),
+        c("sharpe") > 1.33, c("trades") < 80, c("mdd") >= -0.45, c("tc_sharpe") > 1, per_year <= 5, F.abs(c("cagr") - c("inst_cagr")) < 0.15, F.abs(c("cagr") - c("close_cagr")) < 0.05, c("trades") >= 1, per_year < 60,
+        c("final") > 0.001, c("in_market").between(0.2, 1), c("sigs"), c("days"), c("tc_cagr") <= c("cagr"),
+    ]
+    return m.select("symbol", *[t.alias(k) for k, t in zip(CHECKS, tests)]).unpivot(["symbol"], CHECKS, "check", "ok")
+
+
 @query(
     "E16 E13 fire-once events met by equality on the day after, cash yield while out",
     B.with_(*B.signal_frame()).rstrip() + """, ev AS (SELECT ts, arg_max(signal,md) AS signal FROM (SELECT (SELECT min(ts) FROM cal WHERE ts>=md+1) AS ts, md, signal FROM psig WHERE signal<>'') WHERE ts IS NOT NULL GROUP BY 1),
