@@ -399,8 +399,11 @@ def test_repeats_under_one_hot_anchor(spark):
     docs = rows.union(again)
     # about ten pairs of these windows share 32 bits of their hashes
     assert {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(docs).where("n_removed > 0").collect()} == {10**6: 20}
-    slots, hot = substrings.hot_slots(docs, 20, 8)
-    sent = docs.mapInArrow(substrings._send(20, 8, 8, slots, hot), substrings.BLOB_DDL).where("not hits")
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    hot = substrings.hot_anchors(texts, 10**7, 20, 8)
+    # a sample of a tenth finds the same one
+    assert len(hot) == 1 and substrings.hot_anchors(texts, 10**7, 20, 8, sample=5 * 10**5).tolist() == hot.tolist()
+    sent = docs.mapInArrow(substrings._send(20, 8, 8, hot), substrings.BLOB_DDL).where("not hits")
     sizes = [r["n"] for r in sent.groupBy("part").agg(F.sum(F.length("w")).alias("n")).collect()]
     assert len(sizes) == 8 and max(sizes) < sum(sizes) / 6
 

@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force on the smallest tables, and on an empty one."""
 
 import corpus_pipeline as P
+from pyspark.sql import functions as F
 from test_operators_llm import check_pieces, components, slow_print, slow_repeats, slow_targets
 from tidemark.llm import packing, quality
 from tidemark.llm.common import written
@@ -62,3 +63,15 @@ def test_run_and_empty(spark, sf_dir):
     for i, (_, stage) in enumerate(P.STAGES):
         docs = stage(spark, docs, sf_dir)
         assert docs.count() == 0
+
+
+def test_user_columns_with_the_stages_names_come_through(spark, sf_dir):
+    """Names that the operators use inside are the user's own here, and hold the same values after every stage."""
+    names = ["x", "passes", "_h", "_t", "_n", "_copy", "n_words", "n_removed", "score", "predicted", "held_out", "component_id", "fp", "taken", "size", "a.b"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 120")
+    docs = docs.select("*", *[F.concat(F.lit(n + ":"), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for i, (_, stage) in enumerate(P.STAGES[:-1]):
+        docs = written(stage(spark, docs, sf_dir), f"own-{i}")
+        got = docs.collect()
+        assert got and docs.columns[-len(names) :] == names
+        assert all(r[n] == f"{n}:{r['doc_id']}" for r in got for n in names)

@@ -31,6 +31,8 @@ SLICE_BYTES = 2 << 20
 PART_BYTES = 12 << 20
 #: Windows under one anchor that may meet in one part
 HOT_WINDOWS = 1 << 16
+#: Windows counted to find those anchors
+SAMPLE_WINDOWS = 1 << 26
 NO_ID = -(1 << 63)
 BASE, ROLL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 SPACE = np.zeros(256, dtype=bool)
@@ -192,31 +194,36 @@ def _slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.Record
         yield batch.slice(at)
 
 
-def _slot(a: np.ndarray, slots: int) -> np.ndarray:
-    return _part(a ^ ROLL, slots)
+def hot_anchors(texts: DataFrame, size: int, width: int, parts: int, most: int = HOT_WINDOWS, sample: int = SAMPLE_WINDOWS) -> np.ndarray:
+    """Anchors under which more than ``most`` windows come; beyond 2**20 times that many windows, more than a 2**20th of all.
 
-
-def hot_slots(texts: DataFrame, width: int, parts: int, most: int = HOT_WINDOWS) -> tuple[int, np.ndarray]:
-    """Number of slots that anchors are hashed to, and the slots under which more than ``most`` windows come.
-
-    A task leaves out slots with so few windows that all tasks together lose a quarter of ``most``.
+    So there are about a million at most. Counted in texts drawn by hash with about ``sample`` windows, all texts where that many hold
+    them. A task counts the anchors it meets and leaves out those with so few windows that all tasks together lose a quarter of
+    the limit. What is hot decides where windows meet, not what is found.
     """
-    slots, least = max(1 << 16, parts << 10), max(most // (4 * parts), 1)
+    # a window has a word and a space at least
+    rate = min(1.0, 2 * sample / max(size, 1))
+    most = max(most, size >> 21) * rate
+    least = max(int(most / (4 * parts)), 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_other_stages()
-        sums = np.zeros(slots, dtype=np.int64)
+        found = [(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))]
         for whole in batches:
             for batch in _slices(whole, 0, SLICE_BYTES):
-                sums += np.bincount(_slot(windows_of(Words(batch.column(0)), width)[2], slots), minlength=slots)
+                found.append(np.unique(windows_of(Words(batch.column(0)), width)[2], return_counts=True))
+        anchors, n = (np.concatenate(x) for x in zip(*found))
+        anchors, inverse = np.unique(anchors, return_inverse=True)
+        sums = np.bincount(inverse, weights=n, minlength=len(anchors)).astype(np.int64)
         some = np.flatnonzero(sums >= least)
-        yield pa.record_batch([pa.array(some), pa.array(sums[some])], names=["slot", "n"])
+        yield pa.record_batch([pa.array(anchors[some].view(np.int64)), pa.array(sums[some])], names=["anchor", "n"])
 
-    found = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") > most)
-    return slots, np.array(sorted(r["slot"] for r in found.select("slot").collect()), dtype=np.int64)
+    drawn = texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1) if rate < 1 else texts
+    found = drawn.select("text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    return np.array(sorted(r["anchor"] for r in found.select("anchor").collect()), dtype=np.int64).view(np.uint64)
 
 
-def _send(width: int, parts: int, doc_parts: int, slots: int = 1, hot: np.ndarray | None = None):
+def _send(width: int, parts: int, doc_parts: int, hot: np.ndarray | None = None):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_other_stages()
         for whole in batches:
@@ -239,7 +246,7 @@ def _send(width: int, parts: int, doc_parts: int, slots: int = 1, hot: np.ndarra
                 new = np.ones(len(d), dtype=bool)
                 new[1:] = (anchor_at[1:] != anchor_at[:-1]) | (first[1:] != first[:-1] + 1)
                 # and a single window under a hot one
-                alone = np.isin(_slot(a, slots), hot) if hot is not None and len(hot) else np.zeros(len(d), dtype=bool)
+                alone = np.isin(a, hot) if hot is not None and len(hot) else np.zeros(len(d), dtype=bool)
                 new |= alone
                 new[1:] |= alone[:-1]
                 head = np.flatnonzero(new)
@@ -367,9 +374,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     parts = partitions(spark, size, PART_BYTES)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(*[c for c in docs.columns if c != text_col], *([] if len(docs.columns) > 1 else [F.lit(1).alias("_")])).alias("row"))
-    # a window has a word and a space at least
-    slots, hot = hot_slots(texts, width, parts) if size > 2 * HOT_WINDOWS else (1, None)
-    sent = texts.select("id", "text").mapInArrow(_send(width, parts, parts, slots, hot), BLOB_DDL)
+    hot = hot_anchors(texts, size, width, parts) if size > 2 * HOT_WINDOWS else None
+    sent = texts.select("id", "text").mapInArrow(_send(width, parts, parts, hot), BLOB_DDL)
     met = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_count(parts), BLOB_DDL)
     nothing = [F.lit(None).cast("binary").alias(c) for c in ("d", "t", "s", "c")]
     with_part = texts.mapInArrow(_with_part(parts), T.StructType([T.StructField("part", T.IntegerType()), *texts.schema.fields]))
