@@ -1,14 +1,14 @@
 """Documents to packed training sequences: filter, near-dedup, repeats, mixture, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last
-return the columns of documents.
+return the columns of documents. A user's further columns come through unchanged, whatever their names but ``_document``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, packing, quality, simhash, substrings
@@ -18,29 +18,44 @@ from tidemark.llm.common import table, written
 ORACLE_SQL = None
 
 
+#: The column that carries a document's own columns through a stage, out of reach of the stage's names
+WHOLE = "_document"
+
+
+def whole(docs: DataFrame) -> DataFrame:
+    """doc_id, text and source, and the whole row apart."""
+    return docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(WHOLE))
+
+
+def unwrapped(stage: DataFrame, docs: DataFrame, changed: Column | None = None) -> DataFrame:
+    """The documents' own columns; where ``changed``, with the stage's text and an n_chars that follows it."""
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    own = lambda c: F.col(f"{WHOLE}.`{c}`")
+    return stage.select(*[(F.when(changed, new[c]).otherwise(own(c)) if changed is not None and c in new else own(c)).alias(c) for c in docs.columns])
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    scored = quality.classify(docs, table(spark, sf_dir, "labels"), keep_text=True)
-    return scored.where("predicted = 1").select(*docs.columns)
+    scored = quality.classify(whole(docs), table(spark, sf_dir, "labels"), keep_text=True)
+    return unwrapped(scored.where("predicted = 1"), docs)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id."""
-    return simhash.one_per_group(docs)
+    return unwrapped(simhash.one_per_group(whole(docs)), docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the passages that start earlier elsewhere; n_chars follows the text."""
-    cut = substrings.remove_repeats(docs)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return cut.select(*docs.columns)
+    return unwrapped(substrings.remove_repeats(whole(docs)), docs, F.col("n_removed") > 0)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each pass that the mixture takes over a document, in curriculum order."""
-    return mixing.mixed_documents(docs)
+    """A row for each pass that the mixture takes over a document, in curriculum order; a cut pass has a shorter text and n_chars."""
+    d = mixing.mixed_documents(whole(docs))
+    return unwrapped(d, docs, ~F.col("text").eqNullSafe(F.col(f"{WHOLE}.text")))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
