@@ -156,6 +156,32 @@ def forward_drawdown(
     return F.when(F.size(arr) >= need, fold)
 
 
+def forward_drawdowns(df: DataFrame, value: str, horizons: list[int], by=BY, order=ORDER) -> DataFrame:
+    """Adds ``mdd{h}``: worst drop from the running peak over the current row and the h after it, NULL where rows are missing.
+
+    A run of rows is (highest, lowest, worst drop), and two runs in a row make one: the drop from the first's peak to the second's
+    low may be the worst. Runs of 1, 2, 4, ... rows cover every horizon in log(h) steps a row, where a frame would hold h values.
+    """
+    w = over(by, order)
+
+    def merged(a: Column, b: Column) -> Column:
+        drop = F.least(a["dd"], b["dd"], b["low"] / a["high"] - 1)
+        return F.when(a.isNotNull() & b.isNotNull(), F.struct(F.greatest(a["high"], b["high"]).alias("high"), F.least(a["low"], b["low"]).alias("low"), drop.alias("dd")))
+
+    v = F.col(value)
+    d = df.withColumn("__b0", F.when(v.isNotNull(), F.struct(v.alias("high"), v.alias("low"), F.lit(0.0).alias("dd"))))
+    for k in range(1, max(h + 1 for h in horizons).bit_length()):
+        d = d.withColumn("__n", F.lead(f"__b{k - 1}", 1 << (k - 1)).over(w)).withColumn(f"__b{k}", merged(F.col(f"__b{k - 1}"), F.col("__n")))
+    for h in horizons:
+        at = 0
+        for k in [k for k in range((h + 1).bit_length()) if (h + 1) >> k & 1]:
+            d = d.withColumn("__n", F.lead(f"__b{k}", at).over(w) if at else F.col(f"__b{k}"))
+            d = d.withColumn("__a", merged(F.col("__a"), F.col("__n")) if at else F.col("__n"))
+            at += 1 << k
+        d = d.withColumn(f"mdd{h}", F.col("__a.dd"))
+    return d.select(*df.columns, *[f"mdd{h}" for h in horizons])
+
+
 def rolling_percent_rank(x, k: int, by=BY, order=ORDER) -> Column:
     """Average-rank percentile of the current value within its trailing k rows."""
     x = col(x)

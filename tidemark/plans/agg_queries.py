@@ -86,6 +86,22 @@ def tracking_against_base(spark, sf):
     )
 
 
+@query(
+    "K11 A12 log-alpha against a base symbol by year, its running sum and share of the whole",
+    SIG + """, j AS (SELECT a.symbol, year(a.ts) AS yr, ln(1+a.r)-ln(1+b.r) AS d FROM sig a JOIN sig b ON a.ts=b.ts AND b.symbol='NO' WHERE a.r IS NOT NULL AND b.r IS NOT NULL AND a.symbol<>'NO'), y AS (SELECT symbol, yr, count(*) AS n, sum(d) AS g, stddev_samp(d)*sqrt(252) AS te FROM j GROUP BY 1,2)
+    SELECT symbol, CAST(yr AS INT) AS yr, n, round(g,6) AS log_alpha, round(te,6) AS te, round(sum(g) OVER (PARTITION BY symbol ORDER BY yr),6) AS running, round(g/nullif(sum(abs(g)) OVER (PARTITION BY symbol),0),6) AS share FROM y""",
+)
+def yearly_log_alpha(spark, sf):
+    s = signal_frame(spark, sf).where("r is not null")
+    base = s.where("symbol = 'NO'").select("ts", F.col("r").alias("rb"))
+    d = F.log1p("r") - F.log1p("rb")
+    y = s.where("symbol <> 'NO'").join(calendar_sized(base), "ts").groupBy("symbol", F.year("ts").alias("yr")).agg(F.count(F.lit(1)).alias("n"), F.sum(d).alias("g"), (F.stddev_samp(d) * F.sqrt(F.lit(252.0))).alias("te"))
+    by = Window.partitionBy("symbol")
+    return y.select(
+        "symbol", "yr", "n", r6("g", "log_alpha"), r6("te"), r6(F.sum("g").over(by.orderBy("yr").rowsBetween(Window.unboundedPreceding, 0)), "running"), r6(F.col("g") / F.nullif(F.sum(F.abs("g")).over(by), F.lit(0.0)), "share")
+    )
+
+
 @query(
     "A10 multi-regressor OLS per symbol",
     SIGX + """ f AS (SELECT symbol, r AS y, gap AS x1, z AS x2 FROM sig WHERE r IS NOT NULL AND z IS NOT NULL AND gap IS NOT NULL),

@@ -47,6 +47,85 @@ def regime_outcomes(spark, sf):
     )
 
 
+HORIZONS = [21, 63, 126, 252]
+
+
+@query(
+    "V1 W15 forward returns and drawdowns by regime over 1, 3, 6 and 12 months",
+    SIGX + ", ".join(f"m{h} AS ({fwd_mdd_sql(0, h, h + 1, 'm')})" for h in HORIZONS) + f""", x AS (SELECT s.symbol, s.pos, s.z, s.vz, {", ".join(f"lead(close,{h}) OVER (PARTITION BY s.symbol ORDER BY s.pos)/close-1 AS f{h}, m{h}.m AS d{h}" for h in HORIZONS)} FROM sig s {" ".join(f"LEFT JOIN m{h} ON m{h}.symbol=s.symbol AND m{h}.pos=s.pos" for h in HORIZONS)}),
+    t AS (SELECT *, unnest(list_filter([CASE WHEN z>1 THEN 'stress' END, CASE WHEN vz>1 THEN 'volatile' END, CASE WHEN z<0 AND vz<0 THEN 'calm' END, 'all'], lambda v: v IS NOT NULL)) AS regime FROM x), u AS ({" UNION ALL ".join(f"SELECT regime, {h} AS h, f{h} AS f, d{h} AS d FROM t" for h in HORIZONS)})
+    SELECT regime, CAST(h AS INT) AS h, count(f) AS n, round(avg(f),7) AS mean, round(median(f),7) AS med, round(quantile_cont(f,0.1),7) AS p10, round(avg(CAST(f<0 AS INT)),6) AS neg, round(avg(d),7) AS mdd_mean, round(min(d),6) AS mdd_worst, round(quantile_cont(d,0.1),7) AS mdd_p10 FROM u GROUP BY 1,2""",
+)
+def regime_horizons(spark, sf):
+    s = W.forward_drawdowns(signal_frame(spark, sf), "close", HORIZONS)
+    regimes = {"stress": F.col("z") > 1, "volatile": F.col("vz") > 1, "calm": (F.col("z") < 0) & (F.col("vz") < 0), "all": F.lit(True)}
+    s = s.withColumn("o", F.array(*[F.struct(F.lit(h).alias("h"), W.forward_return("close", h).alias("f"), F.round(f"mdd{h}", 6).alias("d")) for h in HORIZONS]))
+    s = s.select(F.explode(tags(regimes)).alias("regime"), "o").select("regime", F.explode("o").alias("o")).select("regime", "o.*")
+    return s.groupBy("regime", "h").agg(
+        F.count("f").alias("n"), F.round(F.avg("f"), 7).alias("mean"), F.round(F.median("f"), 7).alias("med"), F.round(F.percentile("f", 0.1), 7).alias("p10"), r6(F.avg((F.col("f") < 0).cast("int")), "neg"),
+        F.round(F.avg("d"), 7).alias("mdd_mean"), r6(F.min("d"), "mdd_worst"), F.round(F.percentile("d", 0.1), 7).alias("mdd_p10"),
+    )
+
+
+LOOKBACKS = {"3m": 91, "6m": 182, "12m": 365, "24m": 730}
+
+
+@query(
+    "V3 look-backs of 3 to 24 months before drawdowns: days flagged, extremes, mean, first flag and lead days",
+    SIGX + DDE + f""", w AS (SELECT unnest([{",".join(f"'{n}'" for n in LOOKBACKS)}]) AS span, unnest([{",".join(str(d) for d in LOOKBACKS.values())}]) AS days),
+    l AS (SELECT e.symbol, e.start_ts, span, count(*) AS n, count(CASE WHEN z>1 THEN 1 END) AS flagged, min(z) AS lo, max(z) AS hi, avg(z) AS mean, min(CASE WHEN z>1 THEN s.ts END) AS first_flag FROM de e JOIN w ON TRUE JOIN sig s ON s.symbol=e.symbol AND s.ts BETWEEN CAST(e.start_ts-days AS DATE) AND e.start_ts-1 GROUP BY 1,2,3)
+    SELECT symbol, strftime(start_ts,'%Y-%m-%d') AS start_ts, span, n, flagged, lo, hi, round(mean,6) AS mean, CAST(date_diff('day',first_flag,start_ts) AS DOUBLE) AS lead_days FROM l""",
+)
+def pre_event_lookbacks(spark, sf):
+    s = signal_frame(spark, sf)
+    e = drawdown_episodes(s, "close", -0.10, -0.03).select("symbol", "start_ts")
+    # an episode meets each of its days once; the day then counts for every span that reaches it
+    e = e.withColumn("ts", F.explode(F.sequence(F.date_sub("start_ts", max(LOOKBACKS.values())), F.date_sub("start_ts", 1))))
+    x = fan_join(e, s.select("symbol", "ts", "z"), ["symbol", "ts"])
+    reach = F.array(*[F.when(F.col("ts") >= F.date_sub("start_ts", d), F.lit(n)) for n, d in LOOKBACKS.items()])
+    x = x.withColumn("span", F.explode(F.filter(reach, lambda v: v.isNotNull())))
+    flag = F.col("z") > 1
+    g = x.groupBy("symbol", "start_ts", "span").agg(F.count(F.lit(1)).alias("n"), F.count_if(flag).alias("flagged"), F.min("z").alias("lo"), F.max("z").alias("hi"), r6(F.avg("z"), "mean"), F.min(F.when(flag, F.col("ts"))).alias("ff"))
+    return g.select("symbol", day("start_ts").alias("start_ts"), "span", "n", "flagged", "lo", "hi", "mean", F.datediff("start_ts", "ff").cast("double").alias("lead_days"))
+
+
+@query(
+    "V6 K1 K3 period table: annual return, volatility, Sharpe, mean level of the signal and its growth",
+    SIGX + PSQL + """, c AS (SELECT symbol, period, count(r) AS n, exp(sum(ln(1+r))*252.0::DOUBLE/count(r))-1 AS cagr, stddev_samp(r)*sqrt(252) AS vol, avg(r)/stddev_samp(r)*sqrt(252) AS sharpe, avg(rate)*252 AS level, arg_max(rate,ts)/nullif(arg_min(rate,ts),0)-1 AS growth FROM sig JOIN pr ON ts BETWEEN a AND b WHERE r IS NOT NULL GROUP BY 1,2)
+    SELECT symbol, period, n, round(cagr,6) AS cagr, round(vol,6) AS vol, round(sharpe,5) AS sharpe, round(level,6) AS mean_level, round(growth,6) AS level_growth FROM c""",
+)
+def period_table(spark, sf):
+    s = signal_frame(spark, sf).where("r is not null").withColumn("period", F.explode(within_periods("ts", PERIODS)))
+    g = s.groupBy("symbol", "period").agg(
+        F.count("r").alias("n"), F.sum(F.log1p("r")).alias("l"), F.avg("r").alias("m"), F.stddev_samp("r").alias("sd"), F.avg("rate").alias("level"), F.max_by("rate", "ts").alias("last"), F.min_by("rate", "ts").alias("first")
+    )
+    root = F.sqrt(F.lit(252.0))
+    return g.select(
+        "symbol", "period", "n", r6(F.exp(F.col("l") * 252.0 / F.col("n")) - 1, "cagr"), r6(F.col("sd") * root, "vol"), F.round(F.col("m") / F.nullif(F.col("sd"), F.lit(0.0)) * root, 5).alias("sharpe"),
+        r6(F.col("level") * 252, "mean_level"), r6(F.col("last") / F.nullif(F.col("first"), F.lit(0.0)) - 1, "level_growth"),
+    )
+
+
+@query(
+    "V7 A6 correlations and levels before and after a break, with Fisher's z of the difference",
+    SIGX + """ x AS (SELECT symbol, ts>=DATE '1999-01-01' AS g, r, z, vz, iz, rate FROM sig WHERE r IS NOT NULL AND z IS NOT NULL AND vz IS NOT NULL AND iz IS NOT NULL),
+    p AS (SELECT symbol, 'r~z' AS pair, g, r AS a, z AS b FROM x UNION ALL SELECT symbol, 'z~vz', g, z, vz FROM x UNION ALL SELECT symbol, 'vz~iz', g, vz, iz FROM x),
+    c AS (SELECT symbol, pair, count(*) FILTER (NOT g) AS n0, count(*) FILTER (g) AS n1, corr(a,b) FILTER (NOT g) AS c0, corr(a,b) FILTER (g) AS c1, avg(b) FILTER (NOT g) AS m0, avg(b) FILTER (g) AS m1 FROM p GROUP BY 1,2)
+    SELECT symbol, pair, n0, n1, round(c0,6) AS before, round(c1,6) AS after, round(c1-c0,6) AS change, round((atanh(c1)-atanh(c0))/sqrt(1.0::DOUBLE/(n0-3)+1.0::DOUBLE/(n1-3)),5) AS fisher_z, round(m1-m0,6) AS level_change FROM c""",
+)
+def pre_post_correlations(spark, sf):
+    s = signal_frame(spark, sf).na.drop("any", subset=["r", "z", "vz", "iz"]).withColumn("g", F.col("ts") >= F.to_date(F.lit("1999-01-01")))
+    pairs = F.array(*[F.struct(F.lit(f"{a}~{b}").alias("pair"), F.col(a).alias("a"), F.col(b).alias("b")) for a, b in (("r", "z"), ("z", "vz"), ("vz", "iz"))])
+    p = s.select("symbol", "g", F.explode(pairs).alias("p")).select("symbol", "g", "p.*")
+    side = lambda c, late: F.when(F.col("g") == late, F.col(c))
+    g = p.groupBy("symbol", "pair").agg(
+        F.count_if(~F.col("g")).alias("n0"), F.count_if("g").alias("n1"), F.corr(side("a", False), side("b", False)).alias("c0"), F.corr(side("a", True), side("b", True)).alias("c1"), (F.avg(side("b", True)) - F.avg(side("b", False))).alias("m")
+    )
+    c0, c1 = F.col("c0"), F.col("c1")
+    z = (F.atanh(c1) - F.atanh(c0)) / F.sqrt(1 / (F.col("n0") - 3.0) + 1 / (F.col("n1") - 3.0))
+    return g.select("symbol", "pair", "n0", "n1", r6(c0, "before"), r6(c1, "after"), r6(c1 - c0, "change"), F.round(z, 5).alias("fisher_z"), r6("m", "level_change"))
+
+
 @query(
     "V2 flagged against normal days: forward return and tail probability",
     SIGX + f""" x AS (SELECT symbol, coalesce(z>1,FALSE) AS f, lead(close,63) {SY}/close-1 AS r FROM sig) SELECT f AS flagged, count(*) AS n, round(avg(r),7) AS mean, round(avg(CAST(r< -0.08 AS INT)),6) AS tail FROM x WHERE r IS NOT NULL GROUP BY 1""",
@@ -216,14 +295,14 @@ def drop_continuation(spark, sf):
 
 @query(
     "V18 A6 signal against past and future returns, partial correlation",
-    SIGX + f""" x AS (SELECT symbol, z, vz, close/lag(close,20) {SY}-1 AS p20, lead(close,20) {SY}/close-1 AS f20 FROM sig), c AS (SELECT symbol, corr(z,p20) AS zp, corr(z,f20) AS zf, corr(z,vz) AS zv, corr(vz,f20) AS vf FROM x WHERE z IS NOT NULL AND vz IS NOT NULL AND p20 IS NOT NULL AND f20 IS NOT NULL GROUP BY 1)
-    SELECT symbol, round(zp,6) AS past20, round(zf,6) AS future20, round((zf-zv*vf)/sqrt((1-zv*zv)*(1-vf*vf)),6) AS partial FROM c""",
+    SIGX + f""" x AS (SELECT symbol, z, vz, close/lag(close,20) {SY}-1 AS p20, lead(close,20) {SY}/close-1 AS f20, lead(close,60) {SY}/close-1 AS f60 FROM sig), c AS (SELECT symbol, corr(z,p20) AS zp, corr(z,f20) AS zf, corr(z,f60) AS zl, corr(z,vz) AS zv, corr(vz,f20) AS vf FROM x WHERE z IS NOT NULL AND vz IS NOT NULL AND p20 IS NOT NULL AND f20 IS NOT NULL GROUP BY 1)
+    SELECT symbol, round(zp,6) AS past20, round(zf,6) AS future20, round(zl,6) AS future60, round((zf-zv*vf)/sqrt((1-zv*zv)*(1-vf*vf)),6) AS partial FROM c""",
 )
 def signal_lead_lag(spark, sf):
-    s = signal_frame(spark, sf).withColumn("p20", W.pct_change("close", 20)).withColumn("f20", W.forward_return("close", 20)).na.drop("any", subset=["z", "vz", "p20", "f20"])
-    c = s.groupBy("symbol").agg(F.corr("z", "p20").alias("zp"), F.corr("z", "f20").alias("zf"), F.corr("z", "vz").alias("zv"), F.corr("vz", "f20").alias("vf"))
+    s = signal_frame(spark, sf).withColumn("p20", W.pct_change("close", 20)).withColumn("f20", W.forward_return("close", 20)).withColumn("f60", W.forward_return("close", 60)).na.drop("any", subset=["z", "vz", "p20", "f20"])
+    c = s.groupBy("symbol").agg(F.corr("z", "p20").alias("zp"), F.corr("z", "f20").alias("zf"), F.corr("z", "f60").alias("zl"), F.corr("z", "vz").alias("zv"), F.corr("vz", "f20").alias("vf"))
     zf, zv, vf = F.col("zf"), F.col("zv"), F.col("vf")
-    return c.select("symbol", r6("zp", "past20"), r6("zf", "future20"), r6((zf - zv * vf) / F.sqrt((1 - zv * zv) * (1 - vf * vf)), "partial"))
+    return c.select("symbol", r6("zp", "past20"), r6("zf", "future20"), r6("zl", "future60"), r6((zf - zv * vf) / F.sqrt((1 - zv * zv) * (1 - vf * vf)), "partial"))
 
 
 @query(
