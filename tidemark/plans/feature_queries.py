@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -153,6 +155,92 @@ def weekly_feature_frame(spark, sf):
     return weekly_features(spark, sf).drop("close").withColumn("ts", day())
 
 
+#: What observation series stand for in the feature tables
+LEVELS = {"stress": "P1", "credit": "P2", "yield": "P3", "conditions": "P4"}
+#: Levels and their differences are decimals of few digits, often halfway between two of six
+_digits = lambda c: 10 if re.match("(stress|credit|yield|conditions|curve|spread)(?!_z)|p[1-5]_(level|chg)", c) else 6
+_win = lambda k, part="symbol": f"OVER (PARTITION BY {part} ORDER BY ts ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+_full = lambda e, x, k, part="symbol": f"CASE WHEN count({x}) {_win(k, part)}={k} THEN {e} {_win(k, part)} END"
+_last = lambda c: f"arg_max({c},d) FILTER ({c} IS NOT NULL) AS {c}"
+FRIDAY = "CAST(ts+CAST((5-isodow(ts)+7)%7 AS INT) AS DATE)"
+WEEKLY_COLUMNS = ["rv20", "rv60", "rv_ratio", *[f"{n}{x}" for n in ("stress", "credit") for x in ("", "_z", "_chg4")], "yield", "yield_chg4", "curve", "conditions", "conditions_chg4", "mom4", "mom13", "mom52", "vs_sma200", "vs_base"]
+WEEKLY_SQL = f""" dy AS (SELECT symbol, ts AS d, {FRIDAY} AS ts, close, {_full("stddev_samp(r)", "r", 20)}*sqrt(252) AS rv20, {_full("stddev_samp(r)", "r", 60)}*sqrt(252) AS rv60, close/({_full("avg(close)", "close", 200)})-1 AS vs_sma200 FROM sig),
+ wk AS (SELECT symbol, ts, arg_max(close,d) AS close, {", ".join(map(_last, ("rv20", "rv60", "vs_sma200")))} FROM dy GROUP BY 1,2),
+ ow AS (SELECT series_id, {FRIDAY} AS ts, arg_max(value,ts) AS v FROM obs GROUP BY 1,2), oz AS (SELECT series_id, ts, v, (v-{_full("avg(v)", "v", 52, "series_id")})/nullif({_full("stddev_samp(v)", "v", 52, "series_id")},0) AS z, v-lag(v,4) OVER (PARTITION BY series_id ORDER BY ts) AS c FROM ow),
+ op AS (SELECT ts, {", ".join(f"max(v) FILTER (series_id='{p}') AS {n}_v, max(z) FILTER (series_id='{p}') AS {n}_q, max(c) FILTER (series_id='{p}') AS {n}_c" for n, p in LEVELS.items())} FROM oz GROUP BY 1),
+ mo AS (SELECT *, {", ".join(f"close/lag(close,{k}) OVER (PARTITION BY symbol ORDER BY ts)-1 AS mom{k}" for k in (4, 13, 52))} FROM wk),
+ wt AS (SELECT m.symbol, m.ts, m.rv20, m.rv60, m.rv20/nullif(m.rv60,0) AS rv_ratio, stress_v AS stress, stress_q AS stress_z, stress_c AS stress_chg4, credit_v AS credit, credit_q AS credit_z, credit_c AS credit_chg4, yield_v AS yield, yield_c AS yield_chg4, yield_v-credit_v AS curve, conditions_v AS conditions, conditions_c AS conditions_chg4, m.mom4, m.mom13, m.mom52, m.vs_sma200, m.mom13-b.mom13 AS vs_base
+  FROM mo m LEFT JOIN op ON op.ts=m.ts LEFT JOIN mo b ON b.symbol='NO' AND b.ts=m.ts)"""
+
+
+def _level_features(obs, label, changes, z_rows=None):
+    """Last value of each period and series with its changes (and z-score), one row a period."""
+    o = obs.withColumn("p", label).groupBy("series_id", "p").agg(F.max_by("value", "ts").alias("v")).withColumnRenamed("p", "ts")
+    by = ("series_id",)
+    if z_rows:
+        o = W.with_rolling(o, {"z": ("v", z_rows)}, by)
+        o = o.withColumn("q", (F.col("v") - F.col("z_mean")) / F.nullif(F.col("z_std"), F.lit(0.0)))
+    return o.withColumns({f"c{k}": F.col("v") - F.lag("v", k).over(W.over(by)) for k in changes})
+
+
+@query(
+    "G20 D16 P3 the whole weekly feature table: volatility, levels with z-scores and changes, curve, momentum, trend, excess over the base",
+    B.with_(*B.signal_frame()).rstrip() + "," + WEEKLY_SQL + f" SELECT symbol, {TS}, {', '.join(f'round({c},{_digits(c)}) AS {c}' for c in WEEKLY_COLUMNS)} FROM wt WHERE {' AND '.join(f'{c} IS NOT NULL' for c in WEEKLY_COLUMNS)}",
+)
+def weekly_feature_table(spark, sf):
+    s = W.with_rolling(signal_frame(spark, sf), {"a": ("r", 20), "b": ("r", 60), "c": ("close", 200)})
+    year = F.sqrt(F.lit(252.0))
+    s = s.withColumns({"rv20": F.col("a_std") * year, "rv60": F.col("b_std") * year, "vs_sma200": F.col("close") / F.col("c_mean") - 1})
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts"))).alias(c)
+    w = s.groupBy("symbol", E.week_ending("ts", "FR").alias("w")).agg(F.max_by("close", "ts").alias("close"), *map(latest, ("rv20", "rv60", "vs_sma200"))).withColumnRenamed("w", "ts")
+    w = w.withColumns({f"mom{k}": W.pct_change("close", k) for k in (4, 13, 52)})
+    o = _level_features(market.observations(spark, sf), E.week_ending("ts", "FR"), [4], 52)
+    at = lambda c, p: F.max(F.when(F.col("series_id") == p, F.col(c)))
+    o = o.groupBy("ts").agg(*[at(c, p).alias(f"{n}{x}") for n, p in LEVELS.items() for c, x in (("v", ""), ("q", "_z"), ("c4", "_chg4"))])
+    base = w.where("symbol = 'NO'").select("ts", F.col("mom13").alias("b13"))
+    x = w.join(calendar_sized(o), "ts").join(calendar_sized(base), "ts")
+    x = x.withColumns({"rv_ratio": F.col("rv20") / F.nullif(F.col("rv60"), F.lit(0.0)), "curve": F.col("yield") - F.col("credit"), "vs_base": F.col("mom13") - F.col("b13")})
+    return x.na.drop("any", subset=WEEKLY_COLUMNS).select("symbol", day().alias("ts"), *[F.round(c, _digits(c)).alias(c) for c in WEEKLY_COLUMNS])
+
+
+SERIES = ["P1", "P2", "P3", "P4", "P5"]
+MONTHLY_COLUMNS = [f"{p.lower()}_{x}" for p in SERIES for x in ("level", "chg3", "chg12", "yoy")] + ["spread12", "spread12_chg3", "spread32", "spread32_chg3", "ret1", "ret3", "ret6", "ret12", "vs_sma200", "vs_sma50", "rv20", "z", "vz", "iz", "vs_base3", "p1_rank12"]
+_lagged = lambda e, k: f"{e}-lag({e},{k}) OVER (ORDER BY ts)"
+MONTHLY_SQL = f""" dy AS (SELECT symbol, ts AS d, last_day(ts) AS ts, close, z, vz, iz, {_full("stddev_samp(r)", "r", 20)}*sqrt(252)*100 AS rv20, (close/({_full("avg(close)", "close", 200)})-1)*100 AS vs_sma200, (close/({_full("avg(close)", "close", 50)})-1)*100 AS vs_sma50 FROM sig),
+ mk AS (SELECT symbol, ts, arg_max(close,d) AS close, {", ".join(map(_last, ("rv20", "vs_sma200", "vs_sma50", "z", "vz", "iz")))} FROM dy GROUP BY 1,2),
+ rt AS (SELECT *, {", ".join(f"(close/lag(close,{k}) OVER (PARTITION BY symbol ORDER BY ts)-1)*100 AS ret{k}" for k in (1, 3, 6, 12))} FROM mk),
+ om AS (SELECT series_id, last_day(ts) AS ts, arg_max(value,ts) AS v FROM obs GROUP BY 1,2), oc AS (SELECT *, v-lag(v,3) OVER w AS c3, v-lag(v,12) OVER w AS c12, (lag(v,1) OVER w/nullif(lag(v,13) OVER w,0)-1)*100 AS y FROM om WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
+ op AS (SELECT ts, {", ".join(f"max({c}) FILTER (series_id='{p}') AS {p.lower()}_{n}" for p in SERIES for n, c in (("level", "v"), ("chg3", "c3"), ("chg12", "c12"), ("yoy", "y")))} FROM oc GROUP BY 1),
+ os AS (SELECT *, p1_level-p2_level AS spread12, {_lagged("(p1_level-p2_level)", 3)} AS spread12_chg3, p3_level-p2_level AS spread32, {_lagged("(p3_level-p2_level)", 3)} AS spread32_chg3, list(p1_level) OVER (ORDER BY ts ROWS 11 PRECEDING) AS l FROM op),
+ mt AS (SELECT r.symbol, os.* EXCLUDE (l), r.* EXCLUDE (symbol, ts, close), r.ret3-b.ret3 AS vs_base3, CASE WHEN len(l)=12 THEN (len(list_filter(l, lambda x: x<p1_level))+(len(list_filter(l, lambda x: x=p1_level))+1)/2.0::DOUBLE)/12 END AS p1_rank12 FROM rt r JOIN os ON os.ts=r.ts JOIN rt b ON b.symbol='NO' AND b.ts=r.ts)"""
+
+
+@query(
+    "G21 G22 D16 P3 the whole monthly feature table: levels, changes and lagged year-on-year of five series, spreads, returns, trend, scores, rank",
+    B.with_(*B.signal_frame()).rstrip() + "," + MONTHLY_SQL + f" SELECT symbol, {TS}, {', '.join(f'round({c},{_digits(c)}) AS {c}' for c in MONTHLY_COLUMNS)} FROM mt WHERE {' AND '.join(f'{c} IS NOT NULL' for c in MONTHLY_COLUMNS)}",
+)
+def monthly_feature_table(spark, sf):
+    s = W.with_rolling(signal_frame(spark, sf), {"a": ("r", 20), "b": ("close", 50), "c": ("close", 200)})
+    over_mean = lambda m: (F.col("close") / F.col(m) - 1) * 100
+    s = s.withColumns({"rv20": F.col("a_std") * F.sqrt(F.lit(252.0)) * 100, "vs_sma50": over_mean("b_mean"), "vs_sma200": over_mean("c_mean")})
+    latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ts"))).alias(c)
+    m = s.groupBy("symbol", F.last_day("ts").alias("m")).agg(F.max_by("close", "ts").alias("close"), *map(latest, ("rv20", "vs_sma200", "vs_sma50", "z", "vz", "iz"))).withColumnRenamed("m", "ts")
+    m = m.withColumns({f"ret{k}": W.pct_change("close", k) * 100 for k in (1, 3, 6, 12)})
+    o = _level_features(market.observations(spark, sf), F.last_day("ts"), [3, 12])
+    w = W.over(("series_id",))
+    # a value of a month is known in the month after
+    o = o.withColumn("y", (F.lag("v", 1).over(w) / F.nullif(F.lag("v", 13).over(w), F.lit(0.0)) - 1) * 100)
+    at = lambda c, p: F.max(F.when(F.col("series_id") == p, F.col(c)))
+    o = o.groupBy("ts").agg(*[at(c, p).alias(f"{p.lower()}_{n}") for p in SERIES for n, c in (("level", "v"), ("chg3", "c3"), ("chg12", "c12"), ("yoy", "y"))])
+    # one row a month from here on
+    o = o.withColumn("k", F.lit(1)).withColumns({"spread12": F.col("p1_level") - F.col("p2_level"), "spread32": F.col("p3_level") - F.col("p2_level")})
+    o = o.withColumns({f"{c}_chg3": F.col(c) - F.lag(c, 3).over(W.over(("k",))) for c in ("spread12", "spread32")})
+    o = o.withColumn("p1_rank12", W.rolling_percent_rank("p1_level", 12, ("k",))).drop("k")
+    base = m.where("symbol = 'NO'").select("ts", F.col("ret3").alias("b3"))
+    x = m.join(calendar_sized(o), "ts").join(calendar_sized(base), "ts").withColumn("vs_base3", F.col("ret3") - F.col("b3"))
+    return x.na.drop("any", subset=MONTHLY_COLUMNS).select("symbol", day().alias("ts"), *[F.round(c, _digits(c)).alias(c) for c in MONTHLY_COLUMNS])
+
+
 @query(
     "P4 P3 G20 weekly features filled forward, without columns that stay null in half the rows, then complete rows only",
     SIGX + WFEAT + f""", lw AS (SELECT *, round(close/lag(close,208) OVER w-1,6) AS mom208 FROM wf WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
