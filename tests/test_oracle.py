@@ -6,7 +6,7 @@ from compare import check, connect
 from tidemark.plans import COVERS, ORACLE, QUERIES
 
 #: Queries whose SQL has no rows on the smallest tables
-EMPTY: set[str] = set()
+EMPTY: set[str] = {"nested_fitted_thresholds"}  # five years of training days are more than there are
 
 
 @pytest.fixture(scope="module")

@@ -212,7 +212,7 @@ MONTHLY_SQL = f""" dy AS (SELECT symbol, ts AS d, last_day(ts) AS ts, close, z,
  om AS (SELECT series_id, last_day(ts) AS ts, arg_max(value,ts) AS v FROM obs GROUP BY 1,2), oc AS (SELECT *, v-lag(v,3) OVER w AS c3, v-lag(v,12) OVER w AS c12, (lag(v,1) OVER w/nullif(lag(v,13) OVER w,0)-1)*100 AS y FROM om WINDOW w AS (PARTITION BY series_id ORDER BY ts)),
  op AS (SELECT ts, {", ".join(f"max({c}) FILTER (series_id='{p}') AS {p.lower()}_{n}" for p in SERIES for n, c in (("level", "v"), ("chg3", "c3"), ("chg12", "c12"), ("yoy", "y")))} FROM oc GROUP BY 1),
  os AS (SELECT *, p1_level-p2_level AS spread12, {_lagged("(p1_level-p2_level)", 3)} AS spread12_chg3, p3_level-p2_level AS spread32, {_lagged("(p3_level-p2_level)", 3)} AS spread32_chg3, list(p1_level) OVER (ORDER BY ts ROWS 11 PRECEDING) AS l FROM op),
- mt AS (SELECT r.symbol, os.* EXCLUDE (l), r.* EXCLUDE (symbol, ts, close), r.ret3-b.ret3 AS vs_base3, CASE WHEN len(l)=12 THEN (len(list_filter(l, lambda x: x<p1_level))+(len(list_filter(l, lambda x: x=p1_level))+1)/2.0::DOUBLE)/12 END AS p1_rank12 FROM rt r JOIN os ON os.ts=r.ts JOIN rt b ON b.symbol='NO' AND b.ts=r.ts)"""
+ mt AS (SELECT r.symbol, os.* EXCLUDE (l), r.* EXCLUDE (symbol, ts, close), r.ret3-b.ret3 AS vs_base3, CASE WHEN len(list_filter(l, lambda x: x IS NOT NULL))=12 THEN (len(list_filter(l, lambda x: x<p1_level))+(len(list_filter(l, lambda x: x=p1_level))+1)/2.0::DOUBLE)/12 END AS p1_rank12 FROM rt r JOIN os ON os.ts=r.ts JOIN rt b ON b.symbol='NO' AND b.ts=r.ts)"""
 
 
 @query(

@@ -251,3 +251,37 @@ def window_and_pair_variants(spark, sf):
     g = u.groupBy("name").agg(F.sum("f").alias("days_on"), F.count("z").alias("days_known"))
     part = F.split("name", "#")
     return g.select(part[0].alias("pair"), part[1].cast("int").alias("win"), "days_on", "days_known")
+
+
+SIGNAL_WINDOWS, SIGNAL_LEVELS = (378, 504, 630, 756), (0.8, 1.0, 1.2, 1.5)
+_SCORES = " UNION ALL ".join(f"SELECT symbol, ts, close, {k} AS win, -{B.z('disc/tax', k)} AS z FROM c" for k in SIGNAL_WINDOWS)
+
+
+@query(
+    "I25 I8 signal windows of 378 to 756 rows times trigger levels: days on, entries, forward return when on and off, spread over the grid",
+    B.with_(B.bars()).rstrip() + f""", c AS (SELECT symbol, ts, close, 1+disc AS disc, 1+tax AS tax FROM bars), zz AS ({_SCORES}),
+    g AS (SELECT zz.*, level, lead(close,21) OVER (PARTITION BY symbol, win, level ORDER BY ts)/close-1 AS f FROM zz, (SELECT unnest([{",".join(f"{v}::DOUBLE" for v in SIGNAL_LEVELS)}]) AS level)),
+    l AS (SELECT *, coalesce(last_value(CASE WHEN z>level THEN 1 WHEN z<level*0.5 THEN 0 END IGNORE NULLS) OVER (PARTITION BY symbol,win,level ORDER BY ts),0) AS st FROM g),
+    e AS (SELECT *, lag(st,1,0) OVER (PARTITION BY symbol,win,level ORDER BY ts) AS was FROM l),
+    a AS (SELECT win, level, count(z) AS days_known, CAST(sum(CASE WHEN z IS NOT NULL THEN st END) AS BIGINT) AS days_on, count(*) FILTER (st=1 AND was=0) AS entries, avg(f) FILTER (st=1 AND z IS NOT NULL) AS f_on, avg(f) FILTER (st=0 AND z IS NOT NULL) AS f_off FROM e GROUP BY 1,2)
+    SELECT CAST(win AS INT) AS win, level, days_known, days_on, entries, round(f_on,7) AS return_on, round(f_off,7) AS return_off, round(max(f_off-f_on) OVER (PARTITION BY level)-min(f_off-f_on) OVER (PARTITION BY level),7) AS range_over_windows FROM a WHERE days_known>0""",
+)
+def signal_window_grid(spark, sf):
+    """One rolling score per window; levels only move the latch."""
+    from tidemark.operators.latch import latch, latch_event
+    from tidemark.operators.windows import forward_return
+    from tidemark.sources import market
+
+    b = market.bars(spark, sf).select("symbol", "ts", "close", (1 + F.col("disc")).alias("disc"), (1 + F.col("tax")).alias("tax"))
+    z = with_zscore(b, {f"z{k}": (F.col("disc") / F.col("tax"), k) for k in SIGNAL_WINDOWS}).withColumn("f", forward_return("close", 21))
+    cells = F.array(*[F.struct(F.lit(k).alias("win"), F.lit(v).alias("level"), (-F.col(f"z{k}")).alias("z")) for k in SIGNAL_WINDOWS for v in SIGNAL_LEVELS])
+    by = ("symbol", "win", "level")
+    u = z.select("symbol", "ts", "f", F.explode(cells).alias("v")).select("symbol", "ts", "f", "v.*")
+    u = u.withColumn("st", latch(latch_event("z", F.col("level"), F.col("level") * 0.5), by=by))
+    u = u.withColumn("was", F.coalesce(F.lag("st").over(Window.partitionBy(*by).orderBy("ts")), F.lit(0)))
+    on, known = F.col("st") == 1, F.col("z").isNotNull()
+    a = u.groupBy("win", "level").agg(
+        F.count("z").alias("days_known"), F.sum(F.when(known, F.col("st"))).alias("days_on"), F.count_if(on & (F.col("was") == 0)).alias("entries"), F.avg(F.when(on & known, F.col("f"))).alias("f_on"), F.avg(F.when(~on & known, F.col("f"))).alias("f_off")
+    ).where("days_known > 0")
+    gap, w = F.col("f_off") - F.col("f_on"), Window.partitionBy("level")
+    return a.select("win", "level", "days_known", "days_on", "entries", F.round("f_on", 7).alias("return_on"), F.round("f_off", 7).alias("return_off"), F.round(F.max(gap).over(w) - F.min(gap).over(w), 7).alias("range_over_windows"))
