@@ -18,7 +18,7 @@ from tidemark.plans.base_queries import day
 from tidemark.plans.join_queries import NEAR, PERIODS, PSQL, TRIP
 from tidemark.plans.machine_queries import DDE, HOLD, cond_sql
 from tidemark.plans.registry import query
-from tidemark.session import fan_join
+from tidemark.session import calendar_sized, fan_join
 from tidemark.plans.window_queries import BLOCKS, fwd_mdd_sql
 from tidemark.sources import market
 
@@ -227,6 +227,32 @@ def event_audit(spark, sf):
     )
 
 
+@query(
+    "V9 K17 event audit on two instruments: delays, late cost on the series and on the base, entries that no event explains",
+    SIGX + NEAR + """, nb AS (SELECT ts, close FROM sig WHERE symbol='NO'), au AS (SELECT nr.symbol, nr.delay, c.close/b.close-1 AS own, cb.close/bb.close-1 AS base FROM nr JOIN sig b ON b.symbol=nr.symbol AND b.pos=nr.pos LEFT JOIN sig c ON c.symbol=nr.symbol AND c.pos=nr.pos+nr.delay LEFT JOIN nb bb ON bb.ts=b.ts LEFT JOIN nb cb ON cb.ts=c.ts),
+    a AS (SELECT symbol, count(*) AS events, count(delay) AS matched, count(*) FILTER (delay<0) AS early, count(*) FILTER (delay>0) AS late, round(avg(delay) FILTER (delay>0),5) AS mean_late, CAST(max(delay) AS DOUBLE) AS worst_late, round(avg(own) FILTER (delay>0),6) AS late_cost, round(avg(base) FILTER (delay>0),6) AS late_cost_base FROM au GROUP BY 1),
+    fe AS (SELECT cd.symbol, cd.pos FROM cd WHERE NOT EXISTS (SELECT 1 FROM bm WHERE bm.symbol=cd.symbol AND cd.pos BETWEEN bm.pos-30 AND bm.pos+120)), f AS (SELECT fe.symbol, count(*) AS false_entries, round(avg(x.close/s.close-1),6) AS after_false FROM fe JOIN sig s ON s.symbol=fe.symbol AND s.pos=fe.pos LEFT JOIN sig x ON x.symbol=fe.symbol AND x.pos=fe.pos+21 GROUP BY 1)
+    SELECT a.*, coalesce(false_entries,0) AS false_entries, after_false FROM a LEFT JOIN f ON f.symbol=a.symbol""",
+)
+def event_audit_two(spark, sf):
+    s = signal_frame(spark, sf).withColumn("on1", latch(latch_event("z", 1.0, 0.5))).withColumn("f21", W.forward_return("close", 21))
+    base = s.where("symbol = 'NO'").select("ts", F.col("close").alias("base"))
+    w = W.over()
+    s = s.join(calendar_sized(base), "ts", "left").withColumn("__p", F.lag("on1").over(w)).withColumn("__e", W.rising(F.col("vz") > 1.5))
+    cand = s.where("on1 = 1 and __p = 0").select("symbol", "pos", "close", "base", "f21")
+    bench = s.where("__e").select("symbol", "pos", "close", "base")
+    m = nearest_event(bench, cand, 30, 120, cand_values=["close", "base"])
+    late = F.col("delay") > 0
+    a = m.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("events"), F.count("delay").alias("matched"), F.count_if(F.col("delay") < 0).alias("early"), F.count_if(late).alias("late"), F.round(F.avg(F.when(late, F.col("delay"))), 5).alias("mean_late"),
+        F.max("delay").cast("double").alias("worst_late"), r6(F.avg(F.when(late, F.col("cand_close") / F.col("close") - 1)), "late_cost"), r6(F.avg(F.when(late, F.col("cand_base") / F.col("base") - 1)), "late_cost_base"),
+    )
+    # an entry is explained by an event from 120 rows before it to 30 after
+    lone = nearest_event(cand, bench, 120, 30).where("delay is null")
+    f = lone.groupBy("symbol").agg(F.count(F.lit(1)).alias("false_entries"), r6(F.avg("f21"), "after_false"))
+    return a.join(f, "symbol", "left").withColumn("false_entries", F.coalesce("false_entries", F.lit(0)))
+
+
 @query(
     "V10 V11 K17 K14 round-trip accounting: alpha, good and false exits, penalty without re-entry, after-returns",
     SIGX + TRIP + """ SELECT rt.symbol, strftime(rt.ts,'%Y-%m-%d') AS ts, round(CASE WHEN ec IS NULL THEN -10.0 ELSE (rt.close/ec-1)*100 END,5) AS alpha, CASE WHEN ec IS NULL THEN 'open' WHEN ec<rt.close THEN 'good' ELSE 'false' END AS verdict, round(a.close/rt.close-1,6) AS after63, round(b.close/ec-1,6) AS entry63
