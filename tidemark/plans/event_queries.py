@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats as S
@@ -406,6 +407,48 @@ def signal_disagreement(spark, sf):
 RULES = [("z", 1.0), ("z", 1.5), ("vz", 1.0), ("vz", 1.5), ("iz", 1.0), ("iz", 2.0)]
 
 
+FAMILIES = {"level": (1.0, 1.5), "velocity": (0.8, 1.2), "volatility": (1.5, 2.0), "ratio": (1.0, 2.0), "below_trend": (0.02, 0.05), "off_high": (0.05, 0.1), "momentum": (0.03, 0.06), "spike": (1.3, 1.6)}
+_mean_sql = lambda x, k: f"CASE WHEN count({x}) OVER (PARTITION BY symbol ORDER BY pos ROWS {k - 1} PRECEDING)={k} THEN avg({x}) OVER (PARTITION BY symbol ORDER BY pos ROWS {k - 1} PRECEDING) END"
+FAMILY_SQL = {
+    "level": "z", "velocity": f"z-lag(z,5) {SY}", "volatility": "vz", "ratio": "iz", "below_trend": f"1-close/({_mean_sql('close', 200)})", "off_high": f"1-close/max(close) OVER (PARTITION BY symbol ORDER BY pos ROWS 251 PRECEDING)",
+    "momentum": f"1-close/lag(close,21) {SY}", "spike": f"({B.std('r', 20)})/nullif({B.std('r', 60)},0)",
+}
+_CELLS = [(n, t) for n, ts in FAMILIES.items() for t in ts]
+
+
+@query(
+    "V15 O4 X3 eight families of exit rules at two levels: hits, delay, false exits, moves after, ranked by coverage, false exits and delay",
+    SIGX + DDE + ", rl(rule,level) AS (VALUES " + ",".join(f"('{c}',{t}::DOUBLE)" for c, t in _CELLS) + "), sx AS (SELECT symbol, ts, pos, close, " + ", ".join(f"round({e},6) AS v_{n}" for n, e in FAMILY_SQL.items()) + f""", lead(close,42) {SY}/close-1 AS f42 FROM sig),
+    rs AS (SELECT rule, level, symbol, pos, f42, CASE rule {" ".join(f"WHEN '{n}' THEN v_{n}" for n in FAMILIES)} END>level AS f FROM sx JOIN rl ON TRUE),
+    rx AS (SELECT * FROM (SELECT rule, level, symbol, pos, f42, coalesce(f,FALSE) AS f, coalesce(lag(f) OVER (PARTITION BY rule,level,symbol ORDER BY pos),FALSE) AS g FROM rs) WHERE f AND NOT g), be AS (SELECT de.symbol, s.pos FROM de JOIN sig s ON s.symbol=de.symbol AND s.ts=de.start_ts),
+    h AS (SELECT rl.rule, rl.level, be.symbol, be.pos, arg_min(rx.pos-be.pos, abs(rx.pos-be.pos)*100000+rx.pos) AS d FROM be JOIN rl ON TRUE LEFT JOIN rx ON rx.rule=rl.rule AND rx.level=rl.level AND rx.symbol=be.symbol AND rx.pos BETWEEN be.pos-30 AND be.pos+30 GROUP BY 1,2,3,4),
+    fx AS (SELECT rx.rule, rx.level, count(*) AS exits, count(CASE WHEN NOT EXISTS (SELECT 1 FROM be WHERE be.symbol=rx.symbol AND rx.pos BETWEEN be.pos-30 AND be.pos+30) THEN 1 END) AS false_exits, round(avg(f42),6) AS after42 FROM rx GROUP BY 1,2),
+    a AS (SELECT h.rule, h.level, count(d) AS hits, count(*) AS starts, round(avg(d),5) AS mean_delay, any_value(exits) AS exits, any_value(false_exits) AS false_exits, any_value(after42) AS after42 FROM h LEFT JOIN fx ON fx.rule=h.rule AND fx.level=h.level GROUP BY 1,2)
+    SELECT rule, level, hits, starts, mean_delay, coalesce(exits,0) AS exits, coalesce(false_exits,0) AS false_exits, after42, CAST(row_number() OVER (ORDER BY hits DESC, coalesce(false_exits,0), mean_delay NULLS LAST, rule, level) AS INT) AS place FROM a""",
+)
+def exit_rule_families(spark, sf):
+    s = signal_frame(spark, sf)
+    s = W.with_rolling(s, {"t": ("close", 200), "a": ("r", 20), "b": ("r", 60)})
+    high = F.max("close").over(W.trailing(252))
+    values = {
+        "level": F.col("z"), "velocity": F.col("z") - F.lag("z", 5).over(W.over()), "volatility": F.col("vz"), "ratio": F.col("iz"), "below_trend": 1 - F.col("close") / F.col("t_mean"), "off_high": 1 - F.col("close") / high,
+        "momentum": 1 - F.col("close") / F.lag("close", 21).over(W.over()), "spike": F.col("a_std") / F.nullif(F.col("b_std"), F.lit(0.0)),
+    }
+    s = s.withColumns({f"v_{n}": F.round(e, 6) for n, e in values.items()}).withColumn("f42", W.forward_return("close", 42))
+    cells = F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(t).alias("level"), (F.col(f"v_{n}") > t).alias("f")) for n, t in _CELLS])
+    by = ("rule", "level", "symbol")
+    x = s.select("symbol", "ts", "pos", "f42", F.explode(cells).alias("r")).select("symbol", "ts", "pos", "f42", "r.*")
+    x = x.withColumn("e", W.rising("f", by)).where("e").select(*by, "pos", "f42")
+    e = drawdown_episodes(s, "close", -0.10, -0.03).select("symbol", F.col("start_ts").alias("ts")).join(s.select("symbol", "ts", "pos"), ["symbol", "ts"])
+    bench = e.select("symbol", "pos", F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(t).alias("level")) for n, t in _CELLS])).alias("r")).select("symbol", "pos", "r.*")
+    h = nearest_event(bench, x, 30, 30, by=by).groupBy("rule", "level").agg(F.count("delay").alias("hits"), F.count(F.lit(1)).alias("starts"), F.round(F.avg("delay"), 5).alias("mean_delay"))
+    f = nearest_event(x, bench, 30, 30, by=by).groupBy("rule", "level").agg(F.count(F.lit(1)).alias("exits"), F.count_if(F.col("delay").isNull()).alias("false_exits"), r6(F.avg("f42"), "after42"))
+    a = h.join(f, ["rule", "level"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("exits", "false_exits")})
+    # sixteen rows
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("hits"), "false_exits", F.asc_nulls_last("mean_delay"), "rule", "level"))
+    return a.withColumn("place", place)
+
+
 @query(
     "V15 O4 X3 exit-rule library scored by hits, delay and false exits against drawdown starts",
     SIGX + DDE + ", rl(rule,level) AS (VALUES " + ",".join(f"('{c}',{t}::DOUBLE)" for c, t in RULES) + """), rs AS (SELECT rule, level, symbol, pos, CASE rule WHEN 'z' THEN z WHEN 'vz' THEN vz ELSE iz END>level AS f FROM sig JOIN rl ON TRUE),
