@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, packing, quality, simhash, substrings
@@ -23,17 +23,18 @@ WHOLE = "_document"
 
 
 def whole(docs: DataFrame) -> DataFrame:
-    """doc_id, text and source, and the whole row apart."""
-    return docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(WHOLE))
+    """doc_id, text and source, and apart from them all columns but the text, with its length."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    return docs.select("doc_id", "text", "source", F.struct(own.alias("own"), F.length("text").alias("length")).alias(WHOLE))
 
 
-def unwrapped(stage: DataFrame, docs: DataFrame, changed: Column | None = None) -> DataFrame:
-    """The documents' own columns; where ``changed``, with the stage's text and an n_chars that follows it."""
-    new = {"text": F.col("text")}
+def unwrapped(stage: DataFrame, docs: DataFrame) -> DataFrame:
+    """The documents' own columns with the stage's text; where that is another length than it was, n_chars follows."""
+    out = {c: F.col(f"{WHOLE}.own.`{c}`") for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    own = lambda c: F.col(f"{WHOLE}.`{c}`")
-    return stage.select(*[(F.when(changed, new[c]).otherwise(own(c)) if changed is not None and c in new else own(c)).alias(c) for c in docs.columns])
+        cut = ~F.length("text").eqNullSafe(F.col(f"{WHOLE}.length"))
+        out["n_chars"] = F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return stage.select(*[out[c].alias(c) for c in docs.columns])
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,13 +50,12 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the passages that start earlier elsewhere; n_chars follows the text."""
-    return unwrapped(substrings.remove_repeats(whole(docs)), docs, F.col("n_removed") > 0)
+    return unwrapped(substrings.remove_repeats(whole(docs)), docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each pass that the mixture takes over a document, in curriculum order; a cut pass has a shorter text and n_chars."""
-    d = mixing.mixed_documents(whole(docs))
-    return unwrapped(d, docs, ~F.col("text").eqNullSafe(F.col(f"{WHOLE}.text")))
+    return unwrapped(mixing.mixed_documents(whole(docs)), docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
